@@ -1,0 +1,468 @@
+"""Hypothesis tests and effect sizes, all from two small tables.
+
+``group_moments`` holds count, mean and variance per (group column, level, value column).
+``side_counts`` holds, per (group column, value column, value), one count per level; its
+running totals give ranks, medians, U statistics and cumulative distributions at once.
+"""
+
+from __future__ import annotations
+
+import math
+from itertools import combinations
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from specula.functions import tails
+from specula.functions.effects import epsilon_squared, hedges_g, rank_biserial
+from specula.plans.ordered import bucket_by_column, cut_points, running_totals
+
+PAIR = ["group_col", "value_col"]
+
+
+def group_values(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    """(group_col, level, value_col, value) for every group and value column."""
+    cells = F.array(*[F.struct(F.lit(g).alias("group_col"), F.col(g).cast("string").alias("level"),
+                               F.lit(y).alias("value_col"), F.col(y).cast("double").alias("value"))
+                      for g in groups for y in values])
+    return df.select(F.inline(cells)).filter(F.col("level").isNotNull() & F.col("value").isNotNull())
+
+
+def group_moments(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    v = F.col("value")
+    return group_values(df, groups, values).groupBy(*PAIR, "level").agg(
+        F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("v"),
+        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"))
+
+
+def pairwise(moments: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """All pairs of levels (a < b) of the same group and value column, side by side."""
+    keys = keys or PAIR
+    rest = [c for c in moments.columns if c not in keys and c != "level"]
+    left = moments.select(*keys, F.col("level").alias("a"), *[F.col(c).alias(f"{c}1") for c in rest])
+    right = moments.select(*keys, F.col("level").alias("b"), *[F.col(c).alias(f"{c}2") for c in rest])
+    return left.join(right, keys).filter("a < b")
+
+
+def welch_t(moments: DataFrame) -> DataFrame:
+    """Unequal-variance t test with Hedges g for every pair of levels."""
+    q1, q2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    t = (F.col("m1") - F.col("m2")) / F.sqrt(q1 + q2)
+    df = (q1 + q2) ** 2 / (q1 * q1 / (F.col("n1") - 1) + q2 * q2 / (F.col("n2") - 1))
+    g = hedges_g(*[F.col(c) for c in ("m1", "v1", "n1", "m2", "v2", "n2")])
+    return (pairwise(moments).filter("n1 >= 2 AND n2 >= 2 AND v1 + v2 > 0")
+            .select(*PAIR, "a", "b", "n1", "n2", t.alias("t"), df.alias("df"), g["g"].alias("hedges_g"),
+                    g["ci_low"].alias("ci_low"), g["ci_high"].alias("ci_high"))
+            .withColumn("p", tails.p_t("t", "df")))
+
+
+def one_way(moments: DataFrame) -> DataFrame:
+    """Classic F and Welch's F per group and value column, with eta and omega squared."""
+    n, m, v = F.col("n").cast("double"), F.col("m"), F.col("v")
+    w = F.when(v > 0, n / v).otherwise(0.0)
+    centre = moments.groupBy(*PAIR).agg((F.sum(n * m) / F.sum(n)).alias("grand"), F.sum(w).alias("sw"),
+                                        (F.sum(w * m) / F.sum(w)).alias("wm"))
+    share = 1 - w / F.col("sw")
+    sums = (moments.join(F.broadcast(centre), PAIR).groupBy(*PAIR)
+            .agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
+                 F.sum(n * (m - F.col("grand")) ** 2).alias("ssb"), F.sum((n - 1) * v).alias("ssw"),
+                 F.sum(w * (m - F.col("wm")) ** 2).alias("wss"), F.sum(share * share / (n - 1)).alias("lam")))
+    k, total = F.col("k"), F.col("n")
+    msw = F.col("ssw") / (total - k)
+    sst = F.col("ssb") + F.col("ssw")
+    den = 1 + 2 * (k - 2) / (k * k - 1) * F.col("lam")
+    return (sums.filter("k > 1 AND n > k")
+            .select(*PAIR, "k", "n", (F.col("ssb") / (k - 1) / msw).alias("classic_f"),
+                    (F.col("wss") / (k - 1) / den).alias("welch_f"), ((k * k - 1) / (3 * F.col("lam"))).alias("df2"),
+                    (F.col("ssb") / sst).alias("eta2"),
+                    F.greatest(F.lit(0.0), (F.col("ssb") - (k - 1) * msw) / (sst + msw)).alias("omega2"))
+            .withColumn("classic_p", tails.p_f("classic_f", F.col("k") - 1, F.col("n") - F.col("k")))
+            .withColumn("welch_p", tails.p_f("welch_f", F.col("k") - 1, "df2")))
+
+
+def games_howell(moments: DataFrame) -> DataFrame:
+    """Pairwise comparisons under unequal variances, studentised-range p, Hedges g."""
+    sizes = moments.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("k"))
+    rows = welch_t(moments).drop("p").join(F.broadcast(sizes), PAIR)
+    return rows.withColumn("p", tails.p_studentized_range(F.abs("t") * math.sqrt(2), F.col("k").cast("double"), "df"))
+
+
+def levels_of(df: DataFrame, groups: list[str]) -> dict[str, list[str]]:
+    """The levels of small category columns, as plan parameters."""
+    from specula.operators.typing import level_counts
+    out: dict[str, list[str]] = {g: [] for g in groups}
+    rows = level_counts(df, groups).filter(F.col("value").isNotNull()).select("column", "value")
+    for r in rows.orderBy("column", "value").collect():
+        out[r["column"]].append(r["value"])
+    return out
+
+
+def side_counts(df: DataFrame, levels: dict[str, list[str]], values: list[str]) -> DataFrame:
+    """(group_col, value_col, bucket, value, n0, n1, ...): one count column per level index."""
+    width = max(len(v) for v in levels.values())
+    long = group_values(df, list(levels), values)
+    index = F.create_map(*[x for g, names in levels.items() for i, name in enumerate(names)
+                           for x in (F.lit(f"{g}\x1f{name}"), F.lit(i))])
+    placed = (long.withColumn("i", index[F.concat_ws("\x1f", "group_col", "level")]).filter(F.col("i").isNotNull())
+              .withColumn("bucket", bucket_by_column(F.col("value_col"), F.col("value"), cut_points(df, values))))
+    return placed.groupBy(*PAIR, "bucket", "value").agg(
+        *[F.sum((F.col("i") == j).cast("long")).alias(f"n{j}") for j in range(width)])
+
+
+def ranked_sides(df: DataFrame, levels: dict[str, list[str]], values: list[str]) -> DataFrame:
+    """Side counts with running totals per level and the average rank over all levels."""
+    width = max(len(v) for v in levels.values())
+    names = [f"n{j}" for j in range(width)]
+    run = running_totals(side_counts(df, levels, values), PAIR, "value", names)
+    add = lambda prefix: sum((F.col(f"{prefix}{c}") for c in names[1:]), F.col(f"{prefix}{names[0]}"))
+    return (run.withColumn("n", add("")).withColumn("rank", add("before_") + (F.col("n") + 1) / 2.0)
+            .withColumn("total", add("total_")))
+
+
+def _level_table(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    rows = [(g, i, name) for g, names in levels.items() for i, name in enumerate(names)]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "group_col string, i int, level string"))
+
+
+def rank_sums(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """(group_col, value_col, level, n, r): size and rank sum per level, with pair-wide n and ties."""
+    width = max(len(v) for v in levels.values())
+    n = F.col("n").cast("double")
+    wide = ranked.groupBy(*PAIR).agg(
+        F.sum("n").alias("total"), F.sum(n * n * n - n).alias("ties"),
+        *[x for j in range(width) for x in (F.sum(f"n{j}").alias(f"n{j}"), F.sum(F.col(f"n{j}") * F.col("rank")).alias(f"r{j}"))])
+    cells = F.array(*[F.struct(F.lit(j).alias("i"), F.col(f"n{j}").alias("n"), F.col(f"r{j}").alias("r")) for j in range(width)])
+    return (wide.select(*PAIR, "total", "ties", F.inline(cells)).filter("n > 0")
+            .join(_level_table(ranked, levels), ["group_col", "i"]).drop("i"))
+
+
+def mann_whitney_pairs(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """U, z, p and rank-biserial of every pair of levels, each from its own two-sample counts."""
+    width = max(len(v) for v in levels.values())
+    pairs = list(combinations(range(width), 2))
+    terms = []
+    for i, j in pairs:
+        a, b = F.col(f"n{i}").cast("double"), F.col(f"n{j}").cast("double")
+        both = a + b
+        terms += [F.sum(a * (F.col(f"before_n{j}") + b / 2)).alias(f"u{i}_{j}"),
+                  F.sum(both * both * both - both).alias(f"t{i}_{j}")]
+    wide = ranked.groupBy(*PAIR).agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(width)], *terms)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{i}").alias("n1"), F.col(f"n{j}").alias("n2"),
+                               F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties")) for i, j in pairs])
+    table = _level_table(ranked, levels)
+    rows = (wide.select(*PAIR, F.inline(cells)).filter("n1 > 0 AND n2 > 0")
+            .join(table.withColumnRenamed("level", "a"), ["group_col", "i"])
+            .join(table.withColumnRenamed("level", "b").withColumnRenamed("i", "j"), ["group_col", "j"]))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    z = F.greatest(F.lit(0.0), (F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5) / spread)
+    return (rows.select(*PAIR, "a", "b", "n1", "n2", "u", z.alias("z"), rank_biserial(F.col("u"), n1, n2).alias("rank_biserial"))
+            .withColumn("p", F.least(F.lit(1.0), tails.p_normal("z"))))
+
+
+def kruskal(sums: DataFrame) -> DataFrame:
+    """Tie-corrected H, p and epsilon squared per group and value column."""
+    n = F.max("total").cast("double")
+    h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
+    rows = sums.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("n"),
+                                   (h / (1 - F.max("ties") / (n * n * n - n))).alias("h")).filter("k > 1")
+    return (rows.withColumn("epsilon2", epsilon_squared(F.col("h"), F.col("n"), F.col("k")))
+            .withColumn("p", tails.p_chi2("h", F.col("k") - 1)))
+
+
+def dunn(sums: DataFrame) -> DataFrame:
+    """Pairwise z on mean ranks with tie correction."""
+    n = F.col("total1").cast("double")
+    spread = n * (n + 1) / 12 - F.col("ties1") / (12 * (n - 1))
+    z = (F.col("r1") / F.col("n1") - F.col("r2") / F.col("n2")) / F.sqrt(spread * (1 / F.col("n1") + 1 / F.col("n2")))
+    return (pairwise(sums).filter(spread > 0).select(*PAIR, "a", "b", "n1", "n2", z.alias("z"))
+            .withColumn("p", tails.p_normal("z")))
+
+
+def level_medians(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """(group_col, value_col, level, median) from the running totals of each level."""
+    width = max(len(v) for v in levels.values())
+    aggs = []
+    for j in range(width):
+        last, spot = F.col(f"before_n{j}") + F.col(f"n{j}"), F.lit(0.5) * (F.col(f"total_n{j}") - 1)
+        here = F.col(f"n{j}") > 0
+        aggs.append(((F.min(F.when(here & (last > F.floor(spot)), F.col("value")))
+                      + F.min(F.when(here & (last > F.ceil(spot)), F.col("value")))) / 2).alias(f"m{j}"))
+    cells = F.array(*[F.struct(F.lit(j).alias("i"), F.col(f"m{j}").alias("median")) for j in range(width)])
+    return (ranked.groupBy(*PAIR).agg(*aggs).select(*PAIR, F.inline(cells)).filter("median IS NOT NULL")
+            .join(_level_table(ranked, levels), ["group_col", "i"]).drop("i"))
+
+
+def levene(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """Brown-Forsythe: one-way F on distances to the level's median, from the value counts."""
+    width = max(len(v) for v in levels.values())
+    cells = F.array(*[F.struct(F.lit(j).alias("i"), F.col(f"n{j}").alias("w")) for j in range(width)])
+    long = (ranked.select(*PAIR, "value", F.inline(cells)).filter("w > 0")
+            .join(_level_table(ranked, levels), ["group_col", "i"])
+            .join(F.broadcast(level_medians(ranked, levels)), [*PAIR, "level"])
+            .withColumn("d", F.abs(F.col("value") - F.col("median"))))
+    d, w = F.col("d"), F.col("w")
+    table = long.groupBy(*PAIR, "level").agg(
+        F.sum("w").alias("n"), (F.sum(w * d) / F.sum("w")).alias("m"),
+        ((F.sum(w * d * d) - F.sum(w * d) * F.sum(w * d) / F.sum("w")) / (F.sum("w") - 1)).alias("v"))
+    return one_way(table).select(*PAIR, "k", "n", F.col("classic_f").alias("levene_f"), F.col("classic_p").alias("levene_p"))
+
+
+def chi_square_from_cells(cells: DataFrame) -> DataFrame:
+    """Per pair (a, b): chi-square, p, bias-corrected V, least expected count; Fisher for small 2x2."""
+    pair = ["a", "b"]
+    rows = cells.groupBy(*pair, "level_a").agg(F.sum("n").alias("na"))
+    cols = cells.groupBy(*pair, "level_b").agg(F.sum("n").alias("nb"))
+    side_a = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("rows"), F.sum("na").alias("n"), F.min("na").alias("least_a"))
+    side_b = cols.groupBy(*pair).agg(F.count(F.lit(1)).alias("columns"), F.min("nb").alias("least_b"))
+    first = rows.groupBy(*pair).agg(F.min("level_a").alias("ra")).join(cols.groupBy(*pair).agg(F.min("level_b").alias("cb")), pair)
+    inner = (cells.withColumnRenamed("n", "k").join(rows, [*pair, "level_a"]).join(cols, [*pair, "level_b"])
+             .join(F.broadcast(first), pair).groupBy(*pair)
+             .agg(F.sum(F.col("k").cast("double") * F.col("k") / (F.col("na").cast("double") * F.col("nb"))).alias("q"),
+                  F.sum(F.when((F.col("level_a") == F.col("ra")) & (F.col("level_b") == F.col("cb")), F.col("k")).otherwise(0)).alias("c11"),
+                  F.max(F.when(F.col("level_a") == F.col("ra"), F.col("na"))).alias("r1"),
+                  F.max(F.when(F.col("level_b") == F.col("cb"), F.col("nb"))).alias("c1")))
+    n, r, c = F.col("n").cast("double"), F.col("rows").cast("double"), F.col("columns").cast("double")
+    chi2 = F.greatest(F.lit(0.0), n * (F.col("q") - 1))
+    phi = F.greatest(F.lit(0.0), chi2 / n - (r - 1) * (c - 1) / (n - 1))
+    rc, cc = r - (r - 1) * (r - 1) / (n - 1), c - (c - 1) * (c - 1) / (n - 1)
+    v = F.least(F.lit(1.0), F.sqrt(phi / F.greatest(F.lit(1e-12), F.least(rc, cc) - 1)))
+    table = (side_a.join(side_b, pair).join(inner, pair).filter("rows > 1 AND columns > 1")
+             .select(*pair, "rows", "columns", "n", chi2.alias("chi2"), v.alias("v"),
+                     (F.col("least_a") * F.col("least_b") / n).alias("min_expected"), "c11", "r1", "c1"))
+    small = (F.col("min_expected") < 5) & (F.col("rows") == 2) & (F.col("columns") == 2)
+    other = lambda e: F.when(small, e.cast("double"))
+    table = (table.withColumn("used", F.when(small, "fisher").otherwise("chi-square"))
+             .withColumn("chi2_p", tails.p_chi2("chi2", (F.col("rows") - 1) * (F.col("columns") - 1)))
+             .withColumn("fisher_p", tails.p_fisher(other(F.col("c11")), other(F.col("r1") - F.col("c11")),
+                                                    other(F.col("c1") - F.col("c11")),
+                                                    other(F.col("n") - F.col("r1") - F.col("c1") + F.col("c11")))))
+    return table.withColumn("p", F.coalesce("fisher_p", "chi2_p"))
+
+
+def ks_from_ranked(ranked: DataFrame) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov, 1-D Wasserstein distance and U of level 0 against level 1."""
+    f0 = (F.col("before_n0") + F.col("n0")) / F.col("total_n0")
+    f1 = (F.col("before_n1") + F.col("n1")) / F.col("total_n1")
+    gaps = next_value(ranked.filter("total_n0 > 0 AND total_n1 > 0"))
+    rows = gaps.groupBy(*PAIR).agg(F.max("total_n0").alias("n1"), F.max("total_n1").alias("n2"),
+                                   F.max(F.abs(f0 - f1)).alias("ks_d"),
+                                   F.sum(F.abs(f0 - f1) * (F.coalesce("next_value", "value") - F.col("value"))).alias("wasserstein"))
+    return rows.withColumn("p", tails.p_ks("ks_d", F.col("n1").cast("double"), F.col("n2").cast("double")))
+
+
+def next_value(ranked: DataFrame) -> DataFrame:
+    """Add ``next_value``: the next larger value of the same pair, across bucket borders."""
+    heads = ranked.groupBy(*PAIR, "bucket").agg(F.min("value").alias("_head"))
+    ends = heads.withColumn("_edge", F.lead("_head").over(Window.partitionBy(*PAIR).orderBy("bucket"))).drop("_head")
+    inside = Window.partitionBy(*PAIR, "bucket").orderBy("value")
+    return (ranked.join(ends, [*PAIR, "bucket"])
+            .withColumn("next_value", F.coalesce(F.lead("value").over(inside), F.col("_edge"))).drop("_edge"))
+
+
+def psi_numeric(ranked: DataFrame, bins: int = 10) -> DataFrame:
+    """Population stability index of level 1 against the quantile bins of level 0."""
+    probs = [i / bins for i in range(1, bins)]
+    last, here = F.col("before_n0") + F.col("n0"), F.col("n0") > 0
+    edges = []
+    for i, q in enumerate([0.0, *probs, 1.0]):
+        spot = F.lit(q) * (F.col("total_n0") - 1)
+        low = F.min(F.when(here & (last > F.floor(spot)), F.col("value")))
+        high = F.min(F.when(here & (last > F.ceil(spot)), F.col("value")))
+        edges.append((low + F.max(spot - F.floor(spot)) * (high - low)).alias(f"e{i}"))
+    table = ranked.groupBy(*PAIR).agg(*edges).select(
+        *PAIR, F.array_sort(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(bins + 1)]))).alias("edges"))
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    last_bin = F.size("edges") - 2
+    bin_of = F.size(F.filter(inner, lambda e: e <= F.col("value")))
+    counts = (ranked.filter("total_n0 >= 10 AND total_n1 >= 10").join(F.broadcast(table.filter(F.size("edges") >= 3)), PAIR)
+              .groupBy(*PAIR, F.least(bin_of, last_bin).alias("bin"))
+              .agg((F.sum("n0") / F.max("total_n0")).alias("e"), (F.sum("n1") / F.max("total_n1")).alias("a"),
+                   F.max(last_bin + 1).alias("bins")))
+    e, a = F.greatest(F.col("e"), F.lit(1e-6)), F.greatest(F.col("a"), F.lit(1e-6))
+    return counts.groupBy(*PAIR).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
+
+
+def psi_categorical(df: DataFrame, columns: list[str], expected: Column) -> DataFrame:
+    """(column, psi) of the rows outside ``expected`` against those inside, null as a level."""
+    from specula.plans.longform import text_long
+    marked = df.withColumn("_e", expected.cast("int"))
+    counts = (text_long(marked, columns, ["_e"], keep_null=True).groupBy("column", "value")
+              .agg(F.sum("_e").alias("e"), F.sum(1 - F.col("_e")).alias("a")))
+    totals = counts.groupBy("column").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
+    e = F.greatest(F.col("e") / F.col("te"), F.lit(1e-6))
+    a = F.greatest(F.col("a") / F.col("ta"), F.lit(1e-6))
+    return (counts.join(F.broadcast(totals), "column").groupBy("column").agg(F.sum((a - e) * F.log(a / e)).alias("psi")))
+
+
+def two_proportions(df: DataFrame, label: str, first: Column, min_side: int = 10) -> DataFrame:
+    """Difference of two 0/1 rates with a 95% interval, z and odds ratio."""
+    y = F.col(label).cast("double")
+    row = df.filter(y.isNotNull()).agg(
+        F.sum(first.cast("long")).alias("n1"), F.sum((~first).cast("long")).alias("n2"),
+        F.sum(F.when(first, y).otherwise(0.0)).alias("x1"), F.sum(F.when(~first, y).otherwise(0.0)).alias("x2"),
+        F.bool_and(y.isin(0.0, 1.0)).alias("binary"))
+    p1, p2 = F.col("x1") / F.col("n1"), F.col("x2") / F.col("n2")
+    se = F.sqrt(p1 * (1 - p1) / F.col("n1") + p2 * (1 - p2) / F.col("n2"))
+    pool = (F.col("x1") + F.col("x2")) / (F.col("n1") + F.col("n2"))
+    z = (p1 - p2) / F.sqrt(pool * (1 - pool) * (1 / F.col("n1") + 1 / F.col("n2")))
+    odds = (F.col("x1") * (F.col("n2") - F.col("x2"))) / (F.col("x2") * (F.col("n1") - F.col("x1")))
+    half = 1.96 * F.sqrt(1 / F.col("x1") + 1 / (F.col("n1") - F.col("x1")) + 1 / F.col("x2") + 1 / (F.col("n2") - F.col("x2")))
+    return (row.filter(F.col("binary") & (F.col("n1") > min_side) & (F.col("n2") > min_side))
+            .select("n1", "n2", p1.alias("rate1"), p2.alias("rate2"), (p1 - p2).alias("difference"),
+                    (p1 - p2 - 1.96 * se).alias("ci_low"), (p1 - p2 + 1.96 * se).alias("ci_high"), z.alias("z"),
+                    odds.alias("odds_ratio"), F.exp(F.log(odds) - half).alias("or_low"), F.exp(F.log(odds) + half).alias("or_high"))
+            .withColumn("p", tails.p_normal("z")))
+
+
+def normality(df: DataFrame, groups: list[str], values: list[str], small: int = 5000) -> DataFrame:
+    """Shapiro-Wilk for levels of at most ``small`` rows, D'Agostino's K-squared above."""
+    moments = group_moments(df, groups, values).filter("n >= 8 AND v > 0")
+    n = F.col("n").cast("double")
+    # skewness test
+    y = F.col("skew") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + F.sqrt(2 * (beta - 1))
+    scaled = y / F.sqrt(2 / (w2 - 1))
+    z1 = F.log(scaled + F.sqrt(scaled * scaled + 1)) / F.sqrt(0.5 * F.log(w2))
+    # kurtosis test
+    e = 3 * (n - 1) / (n + 1)
+    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (F.col("kurt") + 3 - e) / F.sqrt(var)
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
+    den = 1 + x * F.sqrt(2 / (a - 4))
+    cube = F.signum(den) * F.pow((1 - 2 / a) / F.abs(den), F.lit(1 / 3))
+    z2 = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
+    large = (moments.filter(F.col("n") > small)
+             .select(*PAIR, "level", "n", F.lit("dagostino").alias("test"), (z1 * z1 + z2 * z2).alias("statistic"))
+             .withColumn("p", tails.p_chi2("statistic", F.lit(2.0))))
+    few = moments.filter(F.col("n") <= small).select(*PAIR, "level")
+    rows = group_values(df, groups, values).join(F.broadcast(few), [*PAIR, "level"])
+    shapiro = rows.groupBy(*PAIR, "level").applyInPandas(
+        _shapiro_frame, "group_col string, value_col string, level string, n long, test string, statistic double, p double")
+    return large.unionByName(shapiro)
+
+
+def _shapiro_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    w, p = shapiro_wilk(pdf["value"].to_numpy(dtype=float))
+    head = pdf.iloc[0]
+    return pd.DataFrame([{"group_col": head["group_col"], "value_col": head["value_col"], "level": head["level"],
+                          "n": len(pdf), "test": "shapiro", "statistic": w, "p": p}])
+
+
+# Published polynomial coefficients of Royston's 1995 approximation.
+ROYSTON_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+ROYSTON_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+ROYSTON_MU_SMALL = (0.5440, -0.39978, 0.025054, -0.0006714)
+ROYSTON_SD_SMALL = (1.3822, -0.77857, 0.062767, -0.0020322)
+ROYSTON_MU = (-1.5861, -0.31082, -0.083751, 0.0038915)
+ROYSTON_SD = (-0.4803, -0.082676, 0.0030302)
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and p for 8 to 5000 values (Royston's approximation)."""
+    x = np.sort(values)
+    n = len(x)
+    inv = NormalDist().inv_cdf
+    m = np.array([inv((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    total = float(m @ m)
+    u = 1 / math.sqrt(n)
+    poly = lambda coef, t: sum(c * t ** k for k, c in enumerate(coef))
+    last = m[-1] / math.sqrt(total) + poly(ROYSTON_LAST, u)
+    before = m[-2] / math.sqrt(total) + poly(ROYSTON_NEXT, u)
+    phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last ** 2 - 2 * before ** 2)
+    a = m / math.sqrt(phi)
+    a[-1], a[-2], a[0], a[1] = last, before, -last, -before
+    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+    w = min(w, 1.0)
+    if n <= 11:
+        gamma = 0.459 * n - 2.273
+        y = -math.log(max(gamma - math.log(1 - w), 1e-300)) if w < 1 else 0.0
+        mu, sd = poly(ROYSTON_MU_SMALL, n), math.exp(poly(ROYSTON_SD_SMALL, n))
+    else:
+        y, t = math.log(max(1 - w, 1e-300)), math.log(n)
+        mu, sd = poly(ROYSTON_MU, t), math.exp(poly(ROYSTON_SD, t))
+    return w, tails.normal_sf((y - mu) / sd)
+
+
+def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Paired t with d_z and the moments of the differences, for two columns of one row."""
+    d = F.col(a).cast("double") - F.col(b).cast("double")
+    row = df.select(d.alias("d")).dropna().agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"),
+                                               F.skewness("d").alias("skew"), F.kurtosis("d").alias("kurt"))
+    return (row.select("n", "mean", "sd", (F.col("mean") / (F.col("sd") / F.sqrt(F.col("n").cast("double")))).alias("t"),
+                       (F.col("mean") / F.col("sd")).alias("dz"), "skew", "kurt")
+            .withColumn("p", tails.p_t("t", (F.col("n") - 1).cast("double"))))
+
+
+def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed-rank test of paired columns: zero differences dropped, ties averaged."""
+    d = df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).filter("d <> 0")
+    sides = d.select(F.lit("d").alias("g"), (F.col("d") > 0).cast("string").alias("side"), F.abs("d").alias("size"))
+    levels = {"side": ["false", "true"]}
+    ranked = ranked_sides(sides, levels, ["size"])
+    sums = ranked.agg(F.sum(F.col("n1") * F.col("rank")).alias("w_plus"), F.sum(F.col("n0") * F.col("rank")).alias("w_minus"),
+                      F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread
+    return sums.select("n", "w_plus", "w_minus", z.alias("z")).withColumn("p", tails.p_normal("z"))
+
+
+def permutation_test(df: DataFrame, value: str, group: Column, row_id: str, reps: int = 200, seed: int = 7) -> DataFrame:
+    """Difference of two group means against seeded relabelings.
+
+    Each repetition relabels every row by a hashed coin that keeps the group's expected
+    share; only sums per repetition are shuffled.
+    """
+    base = df.select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("y"), group.cast("int").alias("g")).dropna()
+    share = base.agg(F.avg("g")).first()[0]
+    coin = (F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < share).cast("int")
+    label = F.when(F.col("rep") == 0, F.col("g")).otherwise(coin)
+    drawn = (base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("l", label)
+             .groupBy("rep").agg((F.sum(F.col("l") * F.col("y")) / F.sum("l")
+                                  - F.sum((1 - F.col("l")) * F.col("y")) / F.sum(1 - F.col("l"))).alias("d")))
+    seen = drawn.agg(F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("observed"))
+    return (drawn.filter("rep > 0").join(F.broadcast(seen), F.lit(True))
+            .agg(F.max("observed").alias("observed"), F.count(F.lit(1)).alias("reps"),
+                 ((1 + F.sum((F.abs("d") >= F.abs("observed")).cast("long"))) / (1 + F.count(F.lit(1)))).alias("p")))
+
+
+def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """I(x; y | z) in nats over categories, null as a level."""
+    from specula.plans.longform import level
+    cells = df.groupBy(level(x).alias("x"), level(y).alias("y"), level(z).alias("z")).agg(F.count(F.lit(1)).alias("n"))
+    plogp = lambda t, keys: t.groupBy(*keys).agg(F.sum("n").alias("n")).agg(
+        F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"), F.sum("n").alias("t"))
+    parts = [plogp(cells, k) for k in (["x", "y", "z"], ["z"], ["x", "z"], ["y", "z"])]
+    named = [p.select(F.col("s").alias(f"s{i}"), F.col("t").alias(f"t{i}")) for i, p in enumerate(parts)]
+    joined = named[0]
+    for p in named[1:]:
+        joined = joined.join(p, F.lit(True))
+    return joined.select(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"), F.col("t0").alias("n"),
+                         F.greatest(F.lit(0.0), (F.col("s0") + F.col("s1") - F.col("s2") - F.col("s3")) / F.col("t0")).alias("cmi"))
+
+
+def bootstrap_interval(df: DataFrame, value: str, row_id: str, reps: int = 2000, seed: int = 7) -> DataFrame:
+    """Percentile interval of the mean by the Poisson bootstrap.
+
+    A row's weight in a repetition is drawn from a hash of (row, repetition), so the result
+    repeats; only one sum per repetition and task is shuffled.
+    """
+    base = df.select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("y")).dropna()
+    cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    weight = F.lit(0)
+    for c in cumulative:
+        weight = weight + (F.col("u") > float(c)).cast("int")
+    drawn = (base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("u", u).withColumn("w", weight)
+             .groupBy("rep").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("stat")))
+    ends = F.percentile("stat", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")  # reps rows only
+    return (drawn.agg(F.count("stat").alias("reps"), ends)
+            .select(F.lit(value).alias("column"), "reps", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("centre"),
+                    F.col("q")[2].alias("ci_high")))
