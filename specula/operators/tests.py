@@ -100,10 +100,16 @@ def levels_of(df: DataFrame, groups: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def side_counts(df: DataFrame, levels: dict[str, list[str]], values: list[str]) -> DataFrame:
-    """(group_col, value_col, bucket, value, n0, n1, ...): one count column per level index."""
+def side_counts(df: DataFrame, levels: dict[str, list[str]], values: list[str],
+                kept: DataFrame | None = None) -> DataFrame:
+    """(group_col, value_col, bucket, value, n0, n1, ...): one count column per level index.
+
+    ``kept`` (group_col, value_col, level) leaves other levels out; it is as small as the levels.
+    """
     width = max(len(v) for v in levels.values())
     long = group_values(df, list(levels), values)
+    if kept is not None:
+        long = long.join(F.broadcast(kept), [*PAIR, "level"], "left_semi")
     index = F.create_map(*[x for g, names in levels.items() for i, name in enumerate(names)
                            for x in (F.lit(f"{g}\x1f{name}"), F.lit(i))])
     placed = (long.withColumn("i", index[F.concat_ws("\x1f", "group_col", "level")]).filter(F.col("i").isNotNull())
@@ -112,11 +118,12 @@ def side_counts(df: DataFrame, levels: dict[str, list[str]], values: list[str])
         *[F.sum((F.col("i") == j).cast("long")).alias(f"n{j}") for j in range(width)])
 
 
-def ranked_sides(df: DataFrame, levels: dict[str, list[str]], values: list[str]) -> DataFrame:
+def ranked_sides(df: DataFrame, levels: dict[str, list[str]], values: list[str],
+                 kept: DataFrame | None = None) -> DataFrame:
     """Side counts with running totals per level and the average rank over all levels."""
     width = max(len(v) for v in levels.values())
     names = [f"n{j}" for j in range(width)]
-    run = running_totals(side_counts(df, levels, values), PAIR, "value", names)
+    run = running_totals(side_counts(df, levels, values, kept), PAIR, "value", names)
     add = lambda prefix: sum((F.col(f"{prefix}{c}") for c in names[1:]), F.col(f"{prefix}{names[0]}"))
     return (run.withColumn("n", add("")).withColumn("rank", add("before_") + (F.col("n") + 1) / 2.0)
             .withColumn("total", add("total_")))
