@@ -1,152 +1,15 @@
-"""Tail probabilities of test statistics, applied to small aggregated tables.
-
-Textbook formulas: series and continued fractions for the incomplete gamma and beta
-functions, quadrature for the studentised range, the alternating series of Kolmogorov.
-"""
+"""Tail probabilities as columns, for small tables of aggregated statistics."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-
-def gamma_sf(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma."""
-    if x <= 0:
-        return 1.0
-    if math.isinf(x):
-        return 0.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1.0 - total * front)
-    b = x + 1 - a
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = b + an / c
-        c = c if abs(c) > 1e-300 else 1e-300
-        step = d * c
-        h *= step
-        if abs(step - 1) < 1e-15:
-            break
-    return front * h
-
-
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - beta_cdf(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 5000):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            step = d * c
-            h *= step
-        if abs(step - 1) < 1e-15:
-            break
-    return front * h
-
-
-def normal_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def chi2_sf(x: float, df: float) -> float:
-    return gamma_sf(df / 2.0, x / 2.0)
-
-
-def t_two_sided(t: float, df: float) -> float:
-    return beta_cdf(df / (df + t * t), df / 2.0, 0.5)
-
-
-def f_sf(f: float, d1: float, d2: float) -> float:
-    if f <= 0:
-        return 1.0
-    if math.isinf(d2):
-        return chi2_sf(f * d1, d1)
-    return beta_cdf(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
-
-
-def ks_sf(d: float, n1: float, n2: float) -> float:
-    """Asymptotic two-sided two-sample Kolmogorov-Smirnov tail."""
-    x = d * math.sqrt(n1 * n2 / (n1 + n2))
-    if x < 1e-6:
-        return 1.0
-    if x < 1.0:
-        total = sum(math.exp(-((2 * k - 1) ** 2) * math.pi ** 2 / (8 * x * x)) for k in range(1, 30))
-        return min(1.0, max(0.0, 1 - math.sqrt(2 * math.pi) / x * total))
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 30))))
-
-
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
-
-
-def studentized_range_sf(q: float, k: float, df: float) -> float:
-    """P(range / s > q) for k means and df degrees of freedom, by two nested quadratures."""
-    if q <= 0:
-        return 1.0
-    z = 8.0 * _NODES
-    phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
-
-    def range_cdf(w: float) -> float:
-        inner = np.clip(cdf(z) - cdf(z - w), 0, 1) ** (k - 1)
-        return float(min(1.0, k * 8.0 * np.sum(_WEIGHTS * phi * inner)))
-
-    if math.isinf(df) or df > 1e5:
-        return max(0.0, 1.0 - range_cdf(q))
-    spread = 8.0 / math.sqrt(2 * df)
-    lo, hi = max(1e-8, 1 - spread), 1 + spread + (3.0 if df < 10 else 0.0)
-    if df < 10:
-        lo = 1e-8
-    s = 0.5 * (hi - lo) * _NODES + 0.5 * (hi + lo)
-    log_pdf = (math.log(2) + (df / 2) * math.log(df / 2) - math.lgamma(df / 2)
-               + (df - 1) * np.log(s) - df * s * s / 2)
-    mass = 0.5 * (hi - lo) * _WEIGHTS * np.exp(log_pdf)
-    return float(min(1.0, max(0.0, 1.0 - np.sum(mass * [range_cdf(q * v) for v in s]))))
-
-
-def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Sum of all 2x2 tables with the same margins that are no more likely than this one."""
-    r1, c1, n = a + b, a + c, a + b + c + d
-    lo, hi = max(0, r1 + c1 - n), min(r1, c1)
-    x = np.arange(lo, hi + 1)
-    lg = np.vectorize(math.lgamma)
-    choose = lambda m, j: math.lgamma(m + 1) - lg(j + 1) - lg(m - j + 1)
-    logp = choose(c1, x) + choose(n - c1, r1 - x) - (math.lgamma(n + 1) - math.lgamma(r1 + 1) - math.lgamma(n - r1 + 1))
-    p = np.exp(logp)
-    return float(min(1.0, p[p <= p[a - lo] * (1 + 1e-7)].sum()))
+from specula.functions.probability import (
+    chi2_sf, f_sf, fisher_two_sided, ks_sf, normal_two_sided, studentized_range_sf, t_two_sided)
 
 
 def _tail(function):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from itertools import combinations
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from specula.functions import tails
 from specula.functions.effects import epsilon_squared, hedges_g, rank_biserial
+from specula.functions.probability import shapiro_wilk
 from specula.plans.ordered import bucket_by_column, cut_points, running_totals
 
 PAIR = ["group_col", "value_col"]
@@ -362,41 +362,6 @@ def _shapiro_frame(pdf: pd.DataFrame) -> pd.DataFrame:
                           "n": len(pdf), "test": "shapiro", "statistic": w, "p": p}])
 
 
-# Published polynomial coefficients of Royston's 1995 approximation.
-ROYSTON_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
-ROYSTON_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-ROYSTON_MU_SMALL = (0.5440, -0.39978, 0.025054, -0.0006714)
-ROYSTON_SD_SMALL = (1.3822, -0.77857, 0.062767, -0.0020322)
-ROYSTON_MU = (-1.5861, -0.31082, -0.083751, 0.0038915)
-ROYSTON_SD = (-0.4803, -0.082676, 0.0030302)
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p for 8 to 5000 values (Royston's approximation)."""
-    x = np.sort(values)
-    n = len(x)
-    inv = NormalDist().inv_cdf
-    m = np.array([inv((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    total = float(m @ m)
-    u = 1 / math.sqrt(n)
-    poly = lambda coef, t: sum(c * t ** k for k, c in enumerate(coef))
-    last = m[-1] / math.sqrt(total) + poly(ROYSTON_LAST, u)
-    before = m[-2] / math.sqrt(total) + poly(ROYSTON_NEXT, u)
-    phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last ** 2 - 2 * before ** 2)
-    a = m / math.sqrt(phi)
-    a[-1], a[-2], a[0], a[1] = last, before, -last, -before
-    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
-    w = min(w, 1.0)
-    if n <= 11:
-        gamma = 0.459 * n - 2.273
-        y = -math.log(max(gamma - math.log(1 - w), 1e-300)) if w < 1 else 0.0
-        mu, sd = poly(ROYSTON_MU_SMALL, n), math.exp(poly(ROYSTON_SD_SMALL, n))
-    else:
-        y, t = math.log(max(1 - w, 1e-300)), math.log(n)
-        mu, sd = poly(ROYSTON_MU, t), math.exp(poly(ROYSTON_SD, t))
-    return w, tails.normal_sf((y - mu) / sd)
-
-
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     """Paired t with d_z and the moments of the differences, for two columns of one row."""
     d = F.col(a).cast("double") - F.col(b).cast("double")
