@@ -103,58 +103,57 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
 
     Three scans, and only the buckets that hold a wanted order statistic are shuffled.
     """
+    totals, found = order_statistics(df, columns, lambda total: {
+        f(q * (total - 1)) for q in probs for f in (math.floor, math.ceil)})
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        values: list[float | None] = []
+        for q in probs:
+            if not totals[c]:
+                values.append(None)
+                continue
+            spot = q * (totals[c] - 1)
+            low, high = found[(c, math.floor(spot))][0], found[(c, math.ceil(spot))][0]
+            values.append(low + (spot - math.floor(spot)) * (high - low))
+        out[c] = values
+    return out
+
+
+def order_statistics(df: DataFrame, columns: list[str], ranks_of) -> tuple[dict, dict]:
+    """({column: rows}, {(column, rank): (value, rows before that value)}) for 0-based ranks.
+
+    ``ranks_of(rows)`` names the wanted ranks once the number of rows is known.
+    """
     cuts = cut_points(df, columns, max(32, bucket_count(df)))
     long = numeric_long(df, columns).withColumn(
         "bucket", bucket_by_column(F.col("column"), F.col("value"), cuts))
     sizes: dict[str, dict[int, int]] = {c: {} for c in columns}
     for row in long.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[row["column"]][row["bucket"]] = row["n"]
-    wanted: dict[tuple[str, int], set[int]] = {}
-    starts: dict[tuple[str, int], int] = {}
+    totals = {c: sum(sizes[c].values()) for c in columns}
+    spots = []
     for c in columns:
-        total = sum(sizes[c].values())
-        if not total:
-            continue
-        ranks = {f(q * (total - 1)) for q in probs for f in (math.floor, math.ceil)}
+        ranks = sorted(k for k in ranks_of(totals[c]) if 0 <= k < totals[c])
         begin = 0
         for b in sorted(sizes[c]):
-            here = {k for k in ranks if begin <= k < begin + sizes[c][b]}
-            if here:
-                wanted[(c, b)] = here
-                starts[(c, b)] = begin
+            spots += [(c, b, k, begin) for k in ranks if begin <= k < begin + sizes[c][b]]
             begin += sizes[c][b]
-    found: dict[tuple[str, int], float] = {}
-    if wanted:
-        keep = F.lit(False)
-        for c in columns:
-            buckets = [b for (name, b) in wanted if name == c]
-            if buckets:
-                keep = keep | ((F.col("column") == c) & F.col("bucket").isin(buckets))
-        counts = (long.filter(keep).groupBy("column", "bucket", "value")
-                  .agg(F.count(F.lit(1)).alias("n")))
-        inside = (Window.partitionBy("column", "bucket").orderBy("value")
-                  .rowsBetween(Window.unboundedPreceding, 0))
-        spots = df.sparkSession.createDataFrame(
-            [(c, b, k, k - starts[(c, b)]) for (c, b), ks in wanted.items() for k in ks],
-            "column string, bucket int, rank long, offset long")
-        hits = (counts.withColumn("last", F.sum("n").over(inside))
-                .join(F.broadcast(spots), ["column", "bucket"])
-                .filter((F.col("last") > F.col("offset")) & (F.col("last") - F.col("n") <= F.col("offset"))))
-        for row in hits.select("column", "rank", "value").collect():
-            found[(row["column"], row["rank"])] = row["value"]
-    out: dict[str, list[float | None]] = {}
+    if not spots:
+        return totals, {}
+    keep = F.lit(False)
     for c in columns:
-        total = sum(sizes[c].values())
-        values = []
-        for q in probs:
-            if not total:
-                values.append(None)
-                continue
-            spot = q * (total - 1)
-            low, high = found[(c, math.floor(spot))], found[(c, math.ceil(spot))]
-            values.append(low + (spot - math.floor(spot)) * (high - low))
-        out[c] = values
-    return out
+        buckets = {b for name, b, _, _ in spots if name == c}
+        if buckets:
+            keep = keep | ((F.col("column") == c) & F.col("bucket").isin(sorted(buckets)))
+    counts = long.filter(keep).groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    table = df.sparkSession.createDataFrame(spots, "column string, bucket int, rank long, start long")
+    hits = (counts.withColumn("last", F.sum("n").over(inside)).join(F.broadcast(table), ["column", "bucket"])
+            .filter((F.col("start") + F.col("last") > F.col("rank"))
+                    & (F.col("start") + F.col("last") - F.col("n") <= F.col("rank"))))
+    found = {(r["column"], r["rank"]): (r["value"], r["start"] + r["last"] - r["n"])
+             for r in hits.select("column", "rank", "value", "start", "last", "n").collect()}
+    return totals, found
 
 
 def spread_lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list[str],
