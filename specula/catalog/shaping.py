@@ -293,10 +293,10 @@ def CUTOFF_ANY():
     return Step("s", "split", params={"kind": "random", "test": 0.2})
 
 
-@query("custom_step", f"SELECT o_orderkey, round(total / 1000, 4) AS thousands FROM {BASE} WHERE o_orderstatus <> 'P'")
+@query("custom_step", f"SELECT o_orderkey, round(total / 1000, 6) AS thousands FROM {BASE} WHERE o_orderstatus <> 'P'")
 def custom_step(t):
     step = Step("u", "custom", params={"phase": 4, "function": lambda d, ctx: d.filter("o_orderstatus <> 'P'").withColumn("thousands", F.col("total") / 1000)}, source="user")
-    return shaped(t, step).select("o_orderkey", r("thousands", 4))
+    return shaped(t, step).select("o_orderkey", r("thousands", 6))
 
 
 # ----------------------------------------------------------------- whole recipes and reports

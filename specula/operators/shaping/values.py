@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specula.operators.depend import right_closed_bin
 from specula.operators.shaping.recipe import Shaped, Step
 from specula.operators.typing import kind_of, level_counts
+from specula.plans.longform import numeric_long
 from specula.plans.ordered import exact_quantiles, quantile_columns, ranked_counts, spread_lookup
 from specula.plans.sequence import with_lags, with_position
 
@@ -122,14 +123,13 @@ def winsorize(state: Shaped, step: Step) -> dict:
     return {"bounds": ends}
 
 
-def box_cox(x: Column, lam) -> Column:
-    lam = F.lit(float(lam))
+def box_cox(x: Column, lam: Column) -> Column:
     return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(float(lam))) - 1) / lam
-    down = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1 - x, F.lit(2.0 - lam)) - 1) / (2 - lam)
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
     return F.when(x >= 0, up).otherwise(down)
 
 
@@ -143,16 +143,18 @@ def best_lambda(df: DataFrame, columns: list[str], kind: str) -> dict[str, float
         if bad:
             raise ValueError(f"box-cox needs strictly positive values, {bad} have others (yeo-johnson takes them)")
     centre, step = {c: 0.0 for c in columns}, 0.25
+    scale = {c: math.exp(head[f"g{i}"]) if kind == "box-cox" else 1.0 for i, c in enumerate(columns)}
+    long = numeric_long(df.select(*[(F.col(c) / scale[c]).alias(c) for c in columns]), columns)
     for _ in range(5):
         grid = {c: [centre[c] + step * (j - 20) for j in range(41)] for c in columns}
-        exprs = []
-        for i, c in enumerate(columns):
-            x = F.col(c) / math.exp(head[f"g{i}"]) if kind == "box-cox" else F.col(c)
-            exprs += [F.var_pop(box_cox(x, v) if kind == "box-cox" else yeo_johnson(x, v)).alias(f"v{i}_{j}") for j, v in enumerate(grid[c])]
-        row = df.agg(*exprs).first()
+        tries = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in grid[c]]))])
+        spread = long.select("column", "value", F.posexplode(tries[F.col("column")]).alias("j", "lam"))
+        made = box_cox(F.col("value"), F.col("lam")) if kind == "box-cox" else yeo_johnson(F.col("value"), F.col("lam"))
+        found = {(r["column"], r["j"]): r["v"] for r in
+                 spread.select("column", "j", made.alias("y")).groupBy("column", "j").agg(F.var_pop("y").alias("v")).collect()}
         for i, c in enumerate(columns):
             def likelihood(j):
-                v = row[f"v{i}_{j}"]
+                v = found.get((c, j))
                 if v is None or not v > 0 or math.isinf(v):
                     return -math.inf
                 extra = (grid[c][j] - 1) * head[f"s{i}"] if kind == "yeo-johnson" else 0.0
@@ -170,7 +172,7 @@ def transform(state: Shaped, step: Step) -> dict:
         return {"kind": kind}
     lam = best_lambda(as_numbers(state.fit_rows, step.columns), step.columns, kind)
     apply = box_cox if kind == "box-cox" else yeo_johnson
-    state.df = state.df.withColumns({c: apply(number(c), lam[c]) for c in step.columns})
+    state.df = state.df.withColumns({c: apply(number(c), F.lit(float(lam[c]))) for c in step.columns})
     return {"kind": kind, "lambda": lam}
 
 

@@ -22,7 +22,7 @@ from specula.session import settle
 EARTH_ANALYSIS = 6371000.0
 EARTH_SHAPING = 6371008.8
 
-FEW = 2000        # probes that may be broadcast to every task
+FEW = 1000        # probes that may be broadcast to every task
 DENSE = 64        # locations per cell that a search starts from
 
 
@@ -191,19 +191,22 @@ def _brute_nearest(probes: DataFrame, sites: DataFrame, need: str, same_place: b
 
     def scan(batches):
         p = shared.value
-        px, py, parts = p["px"].to_numpy(), p["py"].to_numpy(), p["part"].to_numpy()
+        parts = p["part"].to_numpy()
         for b in batches:
-            x, y = b["_x"].to_numpy(), b["_y"].to_numpy()
-            for part in np.unique(b["part"]):
-                mine = np.flatnonzero(b["part"].to_numpy() == part)
-                for i in np.flatnonzero(parts == part):
-                    d = np.hypot(px[i] - x[mine], py[i] - y[mine])
+            site_parts = b["part"].to_numpy()
+            for part in np.unique(site_parts):
+                sites_here, probes_here = np.flatnonzero(site_parts == part), np.flatnonzero(parts == part)
+                x, y, m = (b[c].to_numpy()[sites_here] for c in ("_x", "_y", "m"))
+                for start in range(0, len(probes_here), 256):
+                    mine = probes_here[start:start + 256]
+                    px, py = p["px"].to_numpy()[mine, None], p["py"].to_numpy()[mine, None]
+                    d = np.hypot(px - x, py - y)
                     if not same_place:
-                        d = np.where((x[mine] == px[i]) & (y[mine] == py[i]), np.inf, d)
-                    edge = np.partition(d, min(most, len(d)) - 1)[min(most, len(d)) - 1]
-                    top = np.flatnonzero((d <= edge) & np.isfinite(d))
-                    yield pd.DataFrame({"part": part, "px": px[i], "py": py[i], "_x": x[mine][top], "_y": y[mine][top],
-                                        "m": b["m"].to_numpy()[mine][top], "distance": d[top], need: p[need].iloc[i]})
+                        d[(px == x) & (py == y)] = np.inf
+                    edge = np.partition(d, min(most, d.shape[1]) - 1, axis=1)[:, min(most, d.shape[1]) - 1]
+                    i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+                    yield pd.DataFrame({"part": part, "px": px[i, 0], "py": py[i, 0], "_x": x[j], "_y": y[j], "m": m[j],
+                                        "distance": d[i, j], need: p[need].to_numpy()[mine][i]})
 
     rows = sites.select("part", "_x", "_y", "m").mapInPandas(
         scan, f"part string, px double, py double, _x double, _y double, m long, distance double, {need} long")

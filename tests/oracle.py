@@ -80,7 +80,7 @@ def main():
         try:
             ok, message, took = compare(spark, con, name, build, sqls.get(name), folder)
         except Exception as e:
-            ok, message, took = False, f"{type(e).__name__}: {str(e)[:1500]}", 0.0
+            ok, message, took = False, f"{type(e).__name__}: {str(e)[:700]}", 0.0
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:40s} {took:6.1f}s {'' if sqls.get(name) else '(no sql) '}{message}", flush=True)
     print("failed:", bad, "of", len(queries))
