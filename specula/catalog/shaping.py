@@ -181,12 +181,12 @@ def transform(t):
     return run(df, steps, "l_orderkey").df.select("l_orderkey", r("a"), r("b"), r("c"), r("d"))
 
 
-BEST_BOX = "SELECT i / 20.0 AS lam FROM (SELECT i, var_pop(CASE WHEN i = 0 THEN ln(x) ELSE (pow(x, i / 20.0) - 1) / (i / 20.0) END) AS v FROM (SELECT value / (SELECT exp(avg(ln(value))) FROM events) AS x FROM events), range(-40, 41) g(i) GROUP BY i) ORDER BY v LIMIT 1"
+BEST_BOX = "SELECT i / 20.0 AS lam FROM (SELECT i, var_pop(CASE WHEN i = 0 THEN ln(x) ELSE (pow(x, i / 20.0) - 1) / (i / 20.0) END) AS v FROM (SELECT (value + 0.01) / (SELECT exp(avg(ln(value + 0.01))) FROM events) AS x FROM events), range(-40, 41) g(i) GROUP BY i) ORDER BY v LIMIT 1"
 
 
 @query("transform_box_cox", f"SELECT count(*) AS n, round(max(lam), 1) + 0.0 AS lam FROM events, ({BEST_BOX})")
 def transform_box_cox(t):
-    s = run(t.events.select("event_id", "value"), [Step("b", "transform", ["value"], {"kind": "box-cox"})], "event_id")
+    s = run(t.events.select("event_id", (F.col("value") + 0.01).alias("value")), [Step("b", "transform", ["value"], {"kind": "box-cox"})], "event_id")
     return s.df.agg(F.count("value").alias("n")).select("n", rnd(F.lit(s.fitted["b"]["lambda"]["value"]), 1).alias("lam"))
 
 
@@ -196,11 +196,11 @@ def transform_yeo_johnson(t):
     return s.df.agg(F.count("c_acctbal").alias("n"), F.round(F.skewness("c_acctbal"), 3).alias("skew"), F.lit(round(s.fitted["y"]["lambda"]["c_acctbal"], 4)).alias("lam"))
 
 
-@query("transform_suggestions", """WITH s AS (SELECT skewness(value) * (count(value) - 2) / sqrt(count(value) * (count(value) - 1.0)) AS skew, min(value) AS lo FROM events), a AS (SELECT skewness(ln(1 + value - (SELECT lo FROM s))) AS k, count(value) AS n FROM events)
+@query("transform_suggestions", """WITH s AS (SELECT skewness(value) * (count(value) - 2) / sqrt(count(value) * (count(value) - 1.0)) AS skew, min(value + 0.01) AS lo FROM events), a AS (SELECT skewness(ln(1 + value + 0.01 - (SELECT lo FROM s))) AS k, count(value) AS n FROM events)
 SELECT 'value' AS "column", 'box-cox' AS kind, round(skew, 4) AS skew, round(k * (n - 2) / sqrt(n * (n - 1.0)), 4) AS skew_after FROM s, a WHERE abs(skew) > 1 AND lo > 0""")
 def transform_suggestions(t):
     from specula.operators.suggest import transform_suggestions as suggest
-    return suggest(t.events, ["value"]).select("column", "kind", r("skew", 4), r("skew_after", 4))
+    return suggest(t.events.select((F.col("value") + 0.01).alias("value")), ["value"]).select("column", "kind", r("skew", 4), r("skew_after", 4))
 
 
 @query("bin", f"""WITH e AS (SELECT {q.quantile_edges('price', TRAIN, 4)} AS e, (SELECT min(total) FROM {TRAIN}) AS lo, (SELECT max(total) FROM {TRAIN}) AS hi)

@@ -13,7 +13,7 @@ from specula.functions.effects import benjamini_hochberg, fisher_z_interval
 from specula.plans.gram import gram
 from specula.plans.longform import contingency, level, numeric_long
 from specula.plans.ordered import (average_rank, bucket_of, cut_points, exact_quantiles, ranked_counts,
-                                   running_totals, spread_lookup)
+                                   running_totals, slices_for, spread_lookup)
 
 NUMERIC = ("numeric", "ordinal", "boolean")
 
@@ -177,7 +177,7 @@ def concordance(points: DataFrame, keys: list[str], rank: str, value: str, bits:
     placed = (collapsed.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
               .withColumn("node", F.expr(f"shiftright({rank}, bit + 1)"))
               .withColumn("right", F.expr(f"shiftright({rank}, bit) & 1") == 1)
-              .withColumn("bucket", bucket_of(F.col(value), cuts)))
+              .withColumn("bucket", bucket_of(F.col(value), cuts, slices_for(points))))
     counts = placed.groupBy(*keys, "bit", "node", "bucket", value).agg(
         F.sum(F.when(F.col("right"), 0).otherwise(F.col("n"))).alias("l"),
         F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("r"))
@@ -201,8 +201,8 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     sub = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna()
     cuts = cut_points(sub, ["x"])["x"]
     counts = (sub.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-              .select("x", "n", F.lit(1).cast("long").alias("one"), bucket_of(F.col("x"), cuts).alias("bucket")))
-    dense = running_totals(counts, [], "x", ["one", "n"]).withColumn("rank", F.col("before_one"))
+              .select("x", "n", F.lit(1).cast("long").alias("one"), bucket_of(F.col("x"), cuts, slices_for(df)).alias("bucket")))
+    dense = running_totals(counts, [], "x", ["one", "n"], few_keys=True).withColumn("rank", F.col("before_one"))
     points = spread_lookup(sub, dense, ["x"], ["rank"], "n")
     bits = max(1, counts.count().bit_length())
     pairs = concordance(points, [], "rank", "y", bits)

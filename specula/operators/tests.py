@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from specula.functions import tails
 from specula.functions.effects import epsilon_squared, hedges_g, rank_biserial
 from specula.functions.probability import shapiro_wilk
-from specula.plans.ordered import bucket_by_column, cut_points, running_totals
+from specula.plans.ordered import bucket_by_column, cut_points, running_totals, slices_for
 
 PAIR = ["group_col", "value_col"]
 
@@ -113,7 +113,7 @@ def side_counts(df: DataFrame, levels: dict[str, list[str]], values: list[str],
     index = F.create_map(*[x for g, names in levels.items() for i, name in enumerate(names)
                            for x in (F.lit(f"{g}\x1f{name}"), F.lit(i))])
     placed = (long.withColumn("i", index[F.concat_ws("\x1f", "group_col", "level")]).filter(F.col("i").isNotNull())
-              .withColumn("bucket", bucket_by_column(F.col("value_col"), F.col("value"), cut_points(df, values))))
+              .withColumn("bucket", bucket_by_column(F.col("value_col"), F.col("value"), cut_points(df, values), slices_for(df))))
     return placed.groupBy(*PAIR, "bucket", "value").agg(
         *[F.sum((F.col("i") == j).cast("long")).alias(f"n{j}") for j in range(width)])
 
@@ -123,7 +123,7 @@ def ranked_sides(df: DataFrame, levels: dict[str, list[str]], values: list[str],
     """Side counts with running totals per level and the average rank over all levels."""
     width = max(len(v) for v in levels.values())
     names = [f"n{j}" for j in range(width)]
-    run = running_totals(side_counts(df, levels, values, kept), PAIR, "value", names)
+    run = running_totals(side_counts(df, levels, values, kept), PAIR, "value", names, few_keys=True)
     add = lambda prefix: sum((F.col(f"{prefix}{c}") for c in names[1:]), F.col(f"{prefix}{names[0]}"))
     return (run.withColumn("n", add("")).withColumn("rank", add("before_") + (F.col("n") + 1) / 2.0)
             .withColumn("total", add("total_")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specula.plans.ordered import bucket_of, cut_points, previous_value
+from specula.plans.ordered import bucket_of, cut_points, previous_value, slices_for
 
 SHORT = 64
 
@@ -182,7 +182,7 @@ def instant_gaps(df: DataFrame, column: str) -> DataFrame:
     micros = F.unix_micros(F.col(column).cast("timestamp")).cast("double").alias("at")
     points = df.select(micros).filter(F.col("at").isNotNull())
     cuts = cut_points(points, ["at"])["at"]
-    distinct = points.distinct().withColumn("bucket", bucket_of(F.col("at"), cuts))
+    distinct = points.distinct().withColumn("bucket", bucket_of(F.col("at"), cuts, slices_for(df)))
     stepped = previous_value(distinct, [], "at").filter(F.col("prev_at").isNotNull())
     return (stepped.groupBy(((F.col("at") - F.col("prev_at")) / 1e6).alias("seconds"))
             .agg(F.count(F.lit(1)).alias("n")))

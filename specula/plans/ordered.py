@@ -15,46 +15,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specula.plans.longform import numeric_long
-from specula.session import shuffle_width
+from specula.session import settle, shuffle_width
 
-MAX_BUCKETS = 256
+MAX_CUTS = 32      # quantile cut points per column: the depth of the comparison tree
+PER_TASK = 4       # buckets per shuffle partition, so that hashing them spreads evenly
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(4, min(MAX_BUCKETS, shuffle_width(df.sparkSession)))
+    return max(4, min(MAX_CUTS, PER_TASK * shuffle_width(df.sparkSession)))
+
+
+def slices_for(df: DataFrame) -> int:
+    """Equal slices inside each quantile range, once there are more tasks than cut points."""
+    return max(1, math.ceil(PER_TASK * shuffle_width(df.sparkSession) / MAX_CUTS))
 
 
 def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) -> dict[str, list[float]]:
-    """Approximate quantiles per numeric column: at most ``columns x buckets`` doubles."""
+    """Approximate quantiles per numeric column: at most ``columns x buckets`` doubles.
+
+    A tenth of the rows is enough to balance buckets; no result depends on the cut points.
+    """
     buckets = buckets or bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), shares, 1000).alias(f"c{i}")
-                   for i, c in enumerate(columns)]).first()
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    row = df.sample(0.1, seed=7).agg(*[F.percentile_approx(known(c), shares, 20 * buckets).alias(f"c{i}")
+                                       for i, c in enumerate(columns)]).first()
     return {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
 
 
-def bucket_of(value: Column, bounds: list[float]) -> Column:
-    """How many cut points lie at or below the value: a balanced tree of comparisons."""
+def bucket_of(value: Column, bounds: list[float], slices: int = 1) -> Column:
+    """An ascending bucket number: a balanced tree over the cut points, then equal slices.
+
+    The slice index rises with the value, so buckets stay in order whatever the data.
+    """
+    def leaf(i: int) -> Column:
+        if slices == 1 or i == 0 or i == len(bounds):
+            return F.lit(i * slices)
+        low, high = bounds[i - 1], bounds[i]
+        part = F.floor((value - F.lit(low)) * F.lit(slices / (high - low))).cast("int")
+        return F.lit(i * slices) + F.least(F.greatest(part, F.lit(0)), F.lit(slices - 1))
+
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return leaf(lo)
         mid = (lo + hi) // 2
         return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
     return tree(0, len(bounds))
 
 
-def bucket_by_column(name: Column, value: Column, cuts: dict[str, list[float]]) -> Column:
+def bucket_by_column(name: Column, value: Column, cuts: dict[str, list[float]], slices: int = 1) -> Column:
     expr = F.lit(0)
     for column, bounds in cuts.items():
-        expr = F.when(name == column, bucket_of(value, bounds)).otherwise(expr)
+        expr = F.when(name == column, bucket_of(value, bounds, slices)).otherwise(expr)
     return expr
 
 
 def running_totals(counts: DataFrame, keys: list[str], value: str, weights: list[str],
-                   bucket: str = "bucket") -> DataFrame:
+                   bucket: str = "bucket", few_keys: bool = False) -> DataFrame:
     """Add ``before_<w>`` (sum of w at smaller values) and ``total_<w>`` per key.
 
-    ``counts`` has one row per (keys, bucket, value); buckets ascend with the value.
+    ``counts`` has one row per (keys, bucket, value); buckets ascend with the value. With
+    ``few_keys`` the keys come from the plan (columns, pairs of columns), so there are at most
+    keys x buckets starting points and they are broadcast; keys from the data join by shuffle.
     """
     per_bucket = counts.groupBy(*keys, bucket).agg(*[F.sum(w).alias(w) for w in weights])
     upto = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
@@ -63,7 +85,7 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, weights: list
         (F.sum(w).over(upto) - F.col(w)).alias(f"start_{w}"), F.sum(w).over(whole).alias(f"total_{w}"))])
     inside = (Window.partitionBy(*keys, bucket).orderBy(value)
               .rowsBetween(Window.unboundedPreceding, 0))
-    joined = counts.join(starts, [*keys, bucket])
+    joined = counts.join(F.broadcast(starts) if few_keys else starts, [*keys, bucket])
     return joined.select(*counts.columns, *[c for w in weights for c in (
         (F.col(f"start_{w}") + F.sum(w).over(inside) - F.col(w)).alias(f"before_{w}"),
         F.col(f"total_{w}"))])
@@ -74,9 +96,9 @@ def ranked_counts(df: DataFrame, columns: list[str], keys: list[str] | None = No
     keys = keys or []
     cuts = cut_points(df, columns)
     long = numeric_long(df, columns, keys)
-    counts = (long.withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts))
+    counts = (long.withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts, slices_for(df)))
               .groupBy("column", *keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n")))
-    return running_totals(counts, ["column", *keys], "value", ["n"])
+    return running_totals(counts, ["column", *keys], "value", ["n"], few_keys=not keys)
 
 
 def average_rank() -> Column:
@@ -161,11 +183,12 @@ def spread_lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list
     """Left-join ``table`` (unique on keys, ``size`` = rows per key) without a hot shuffle key.
 
     Keys holding more than ``hot_share`` of a column's rows are at most 1/hot_share per
-    column: they go by broadcast. All other keys are small and go by shuffle.
+    column: they go by broadcast. All other keys are small and go by shuffle. The table is
+    written once, since both ways read it.
     """
     total = Window.partitionBy(keys[0])
-    marked = table.withColumn("_hot", F.col(size) > hot_share * F.sum(size).over(total)) \
-        if "total_n" not in table.columns else table.withColumn("_hot", F.col(size) > hot_share * F.col("total_n"))
+    whole = F.col("total_n") if "total_n" in table.columns else F.sum(size).over(total)
+    marked = settle(table.select(*keys, *take, (F.col(size) > hot_share * whole).alias("_hot")))
     hot = marked.filter("_hot").select(*keys, *[F.col(t).alias(f"_hot_{t}") for t in take])
     cold = marked.filter("NOT _hot").select(*keys, F.lit(0).alias("_salt"), *take)
     flagged = rows.join(F.broadcast(hot), keys, "left")

@@ -12,7 +12,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specula.plans.ordered import bucket_count, bucket_of, cut_points
+from specula.plans.ordered import bucket_count, bucket_of, cut_points, slices_for
 
 BLOCK = 100_000
 
@@ -24,11 +24,11 @@ def order_buckets(df: DataFrame, order: str, tie: str | None = None) -> Column:
     its rows are spread further over buckets of the tie column.
     """
     n = bucket_count(df)
-    row = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 1000).alias("c")).first()
+    row = df.sample(0.1, seed=7).agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 20 * n).alias("c")).first()
     seen = Counter(row["c"] or [])
     bounds = sorted(seen)
-    bucket = bucket_of(F.col(order), bounds)
     hot = [v for v, k in seen.items() if k > 1]
+    bucket = bucket_of(F.col(order), bounds, slices_for(df))
     if tie is None or not hot:
         return bucket
     ties = cut_points(df.filter(F.col(order).isin(hot)), [tie])[tie]
