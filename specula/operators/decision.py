@@ -200,7 +200,7 @@ def interval_gaps(spark: SparkSession, table: Table, column: str) -> DataFrame:
     """(low, high, issue): gaps between the intervals of one input, and end points shared by two."""
     at = table.inputs.index(column)
     cells = [r.cells[at] for r in table.rows if isinstance(r.cells[at], Between)]
-    rows = [(c.low if c.low is not None else float("-inf"), c.high if c.high is not None else float("inf"), c.closed_low, c.closed_high) for c in cells]
+    rows = [(float(c.low) if c.low is not None else float("-inf"), float(c.high) if c.high is not None else float("inf"), c.closed_low, c.closed_high) for c in cells]
     spans = spark.createDataFrame(rows, "low double, high double, closed_low boolean, closed_high boolean")
     w = Window.partitionBy(F.lit(0)).orderBy("low")  # one row per rule
     nxt = spans.withColumn("next", F.lead("low").over(w)).withColumn("next_closed", F.lead("closed_low").over(w))

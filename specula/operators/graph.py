@@ -59,7 +59,7 @@ def transitive_closure(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
         delta = settle(grown.select("child", "parent").distinct().join(known, ["child", "parent"], "left_anti"))
         if not delta.limit(1).count():
             break
-        known = settle(known.union(delta))
+        known = known.union(delta)  # both sides are written already
     return known if keep_loops else known.filter("child <> parent")
 
 
@@ -250,7 +250,7 @@ def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None,
                      .select(*FACT, F.lit("inferred").alias("prov_kind"), F.col("w.rule").alias("prov_rule"), F.col("w.via").alias("prov_via")))
         if not new.limit(1).count():
             break
-        known, delta = settle(known.union(new)), new.select(*FACT)
+        known, delta = known.union(new), new.select(*FACT)  # both sides are written already
     return known
 
 
@@ -287,7 +287,7 @@ def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 1
                     out = out.join(known[name], out.columns, "left_anti")
                 out = settle(out)
                 if out.limit(1).count():
-                    known[name] = settle(known[name].union(out)) if name in known else out
+                    known[name] = known[name].union(out) if name in known else out
                     changed = True
             if not changed:
                 break

@@ -14,6 +14,16 @@ from specula.operators.typing import level_counts
 from specula.plans.longform import contingency
 
 
+def eligible(df: DataFrame, groups: list[str], values: list[str], most_levels: int = 12,
+             least_values: int = 5) -> tuple[list[str], list[str]]:
+    """Group columns of 2 to 12 levels and value columns of more than 5 distinct values.
+
+    The limits are far from the estimate's error, which is a few percent.
+    """
+    row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in dict.fromkeys([*groups, *values])]).first()
+    return [g for g in groups if 2 <= row[g] <= most_levels], [v for v in values if row[v] > least_values]
+
+
 def _kept_levels(df: DataFrame, groups: list[str], values: list[str], least: int, least_rows: int) -> DataFrame:
     moments = tests.group_moments(df, groups, values).filter(F.col("n") >= least)
     per = Window.partitionBy(*PAIR)  # levels of small category columns only
@@ -41,6 +51,7 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
     Two levels: Welch's t, or Mann-Whitney when a small level is not normal. More levels:
     Welch's ANOVA, or Kruskal-Wallis.
     """
+    groups, values = eligible(df, groups, values)
     levels = tests.levels_of(df, groups)
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
@@ -66,6 +77,7 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
 
 def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float = 0.05, keep: int = 12) -> DataFrame:
     """Pairwise level comparisons: Games-Howell, or Dunn when normality fails; Holm on top of either."""
+    groups, values = eligible(df, groups, values)
     levels = tests.levels_of(df, groups)
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)

@@ -90,11 +90,15 @@ def games_howell(moments: DataFrame) -> DataFrame:
     return rows.withColumn("p", tails.p_studentized_range(F.abs("t") * math.sqrt(2), F.col("k").cast("double"), "df"))
 
 
-def levels_of(df: DataFrame, groups: list[str]) -> dict[str, list[str]]:
-    """The levels of small category columns, as plan parameters."""
+def levels_of(df: DataFrame, groups: list[str], most: int = 64) -> dict[str, list[str]]:
+    """The levels of small category columns, as plan parameters; wider columns are refused."""
     from specula.operators.typing import level_counts
-    out: dict[str, list[str]] = {g: [] for g in groups}
     rows = level_counts(df, groups).filter(F.col("value").isNotNull()).select("column", "value")
+    sizes = {r["column"]: r["n"] for r in rows.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wide = [g for g in groups if sizes.get(g, 0) > most]
+    if wide:
+        raise ValueError(f"{wide} have more than {most} levels")
+    out: dict[str, list[str]] = {g: [] for g in groups}
     for r in rows.orderBy("column", "value").collect():
         out[r["column"]].append(r["value"])
     return out
