@@ -10,13 +10,13 @@ from specula.plans.longform import rnd
 
 r = lambda c, d=6: rnd(F.col(c), d).alias(c)
 
-GAPS = """WITH d AS (SELECT DISTINCT o_orderdate AS t FROM orders WHERE o_custkey % 3 = 0), g AS (SELECT (epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t))) / 1e6 AS s FROM d), k AS (SELECT s, count(*) AS n FROM g WHERE s IS NOT NULL GROUP BY 1), m AS (SELECT arg_max(s, (n, -s)) AS modal FROM k)"""
+GAPS = """WITH d AS (SELECT DISTINCT date_trunc('minute', ts) AS t FROM events), g AS (SELECT (epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t))) / 1e6 AS s FROM d), k AS (SELECT s, count(*) AS n FROM g WHERE s IS NOT NULL GROUP BY 1), m AS (SELECT arg_max(s, (n, -s)) AS modal FROM k)"""
 
 
 @query("regularity", GAPS + """ SELECT max(modal) AS modal_seconds, CAST(sum(n) AS BIGINT) AS steps, CAST(sum(CASE WHEN s > 1.5 * modal THEN n ELSE 0 END) AS BIGINT) AS gaps, max(s) AS largest_seconds,
  round(sum(CASE WHEN s > 1.5 * modal THEN n ELSE 0 END) / sum(n), 6) + 0.0 AS gap_share FROM k, m""")
 def regularity(t):
-    return series.regularity(t.orders.filter("o_custkey % 3 = 0"), "o_orderdate").select("modal_seconds", "steps", "gaps", "largest_seconds", r("gap_share"))
+    return series.regularity(t.events.select(F.date_trunc("minute", "ts").alias("minute")), "minute").select("modal_seconds", "steps", "gaps", "largest_seconds", r("gap_share"))
 
 
 WAVE = "(SELECT *, value / 1000 + sin(epoch_us(ts) / 1e6 / 20000) AS wave FROM events)"
