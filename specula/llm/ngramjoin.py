@@ -22,12 +22,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specula.llm._worker import Remembering, once, slices
+from specula.llm._links import components as connected_components
+from specula.llm._worker import once, slices
 from specula.llm.bpe import _q
-from specula.plans.components import connected_components
 from specula.session import settle, shuffle_width
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+BASE = 0xD6E8FEB86659FD93
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+PIECE = 1 << 20
 
 
 def _mixed(v):
@@ -37,36 +40,110 @@ def _mixed(v):
     return v ^ (v >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int, word_hash) -> object:
-    """Sorted hashes of the distinct runs of ``n`` words; of the whole sequence if it is shorter; nothing without words."""
+def _powers(base: int, n: int):
     import numpy as np
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array(list(map(word_hash.__getitem__, words)), dtype=np.uint64)
-    n = min(n, len(h))
-    run = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        run = _mixed(run * np.uint64(MIX[0]) + h[i:len(h) - n + 1 + i])
-    return np.unique(run)
 
+    def build():
+        table = np.full(n, base, np.uint64)
+        table[0] = 1
+        return np.multiply.accumulate(table)
+    n = 1 << max(20, (n - 1).bit_length())
+    return once(("powers", base, n), build)
 
-def _hasher():
-    import xxhash
-    return once("words64", lambda: Remembering(xxhash.xxh3_64_intdigest))
 
+def word_hashes(data):
+    """(hashes, starts) of the words in UTF-8 bytes: A-Z lower-cased, cut at ASCII white space.
 
-def _digest(run) -> tuple[int, int, list[int]]:
-    """Two digests of a set, and the parities of the sizes of 256 hash cells."""
+    A word's hash is its polynomial over 2^64, taken from running sums and moved to the word's start.
+    """
     import numpy as np
-    a = int(_mixed(run + np.uint64(MIX[0])).sum(dtype=np.uint64))
-    b = int(_mixed(run ^ np.uint64(MIX[2])).sum(dtype=np.uint64))
-    odd = np.bincount((run & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return _signed(a), _signed(b), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    lower = once("lower", lambda: np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64))
+    space = once("space", lambda: np.array([b == 32 or 9 <= b <= 13 for b in range(256)]))
+    blank = space[data]
+    edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(lower[data] * _powers(BASE, len(data) + 1)[:len(data)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * _powers(BASE_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64)), start
+
 
+def shingle_sets(texts, n: int):
+    """(hashes, ends) for an Arrow column of texts: per text the sorted hashes of its distinct runs of ``n`` words.
 
-def _signed(v: int) -> int:
-    return v - (1 << 64) if v >> 63 else v
+    A text of fewer words has its whole sequence as the one run, a text without words none.
+    """
+    import numpy as np
+    import pyarrow as pa
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] if len(texts) and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    kept, ends, at = [], [], 0
+    first = 0
+    while first < len(texts):
+        # a few texts at once; the end of a text ends a word
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, side="right")) - 1)
+        low, high = int(offsets[first]), int(offsets[last])
+        cuts = offsets[first:last + 1] - low
+        gap = np.arange(len(cuts))
+        padded = np.full(high - low + len(cuts), 32, np.uint8)
+        if last - first == 1:
+            padded[:high - low] = data[low:high]
+        else:
+            place = np.ones(len(padded), bool)
+            place[cuts[1:] + gap[:-1]] = False
+            place[-1] = False
+            padded[place] = data[low:high]
+        h, begin = _long_words(padded) if len(padded) > 2 * PIECE else word_hashes(padded)
+        bound = np.searchsorted(begin, cuts + gap)
+        run = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for i in range(n):
+            run = _mixed(run * np.uint64(MIX[0]) + h[i:len(h) - n + 1 + i]) if len(run) else run
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            if b - a >= n:
+                s = np.sort(run[a:b - n + 1])
+                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+            elif b > a:
+                s = np.full(1, b - a, np.uint64)
+                for x in h[a:b]:
+                    s = _mixed(s * np.uint64(MIX[0]) + x)
+            else:
+                s = h[:0]
+            kept.append(s)
+            at += len(s)
+            ends.append(at)
+        first = last
+    return (np.concatenate(kept) if kept else np.empty(0, np.uint64)), np.array(ends, np.int64)
+
+
+def _long_words(data):
+    """``word_hashes`` of a long text in pieces that end at white space, to bound memory."""
+    import numpy as np
+    blank = np.flatnonzero((data == 32) | (data == 10))
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        k = int(np.searchsorted(blank, at + PIECE))
+        end = int(blank[k]) + 1 if k < len(blank) else len(data)
+        h, s = word_hashes(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _digests(hashes, ends):
+    """For sets one after another: two digests each, and the parities of the sizes of 256 hash cells."""
+    import numpy as np
+    size = np.diff(np.concatenate([[0], ends]))
+    first, second = np.zeros(len(ends), np.uint64), np.zeros(len(ends), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        start = (ends - size)[some]
+        first[some] = np.add.reduceat(_mixed(hashes + np.uint64(MIX[0])), start)
+        second[some] = np.add.reduceat(_mixed(hashes ^ np.uint64(MIX[2])), start)
+    cell = np.repeat(np.arange(len(ends)), size) * 256 + (hashes & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=256 * len(ends)) & 1).astype(np.uint8).reshape(-1, 256)
+    return size, first.view(np.int64), second.view(np.int64), np.packbits(odd, axis=1).view(np.int64)
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
@@ -76,19 +153,10 @@ def sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        hashes = _hasher()
-        empty = np.empty(0, np.uint64)
         for batch in slices(batches):
-            size, first, second, parity = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, n, hashes) if t else empty
-                a, b, p = _digest(s)
-                size.append(len(s))
-                first.append(a)
-                second.append(b)
-                parity.append(p)
+            size, first, second, parity = _digests(*shingle_sets(batch.column(1), n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                                              pa.array(parity, pa.list_(pa.int64()))], names=["id", "size", "class", "check", "parity"])
+                                              pa.array(list(parity), pa.list_(pa.int64()))], names=["id", "size", "class", "check", "parity"])
     return docs.select(_q(doc_id).alias("id"), _q(text).alias("text")).mapInArrow(
         run, f"id {kind}, size bigint, class bigint, check bigint, parity array<bigint>")
 
@@ -108,30 +176,33 @@ def _blocks(bucket, columns, schema):
     return pa.RecordBatch.from_arrays(arrays, names=schema)
 
 
-def frequent(docs: DataFrame, text: str, n: int, buckets: int, width: int, least: int, most: int):
+def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: int, most: int):
     """Counts of the most frequent n-grams as sorted (keys, counts) arrays: at least ``least``, and at most ``most`` of them."""
     import numpy as np
 
     def send(batches):
-        hashes, seen, held, many = _hasher(), set(), [], 0
+        seen, held, many = set(), [], 0
 
         def flush():
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
             again = count > 1
             for part, weights in ((~again, False), (again, True)):
                 if part.any():
-                    c = count[part].astype(np.uint32) if weights else np.empty((int(part.sum()), 0), np.uint32)
-                    yield _blocks(bucket[part], [keys[part].astype(np.uint32), c], ["bucket", "keys", "counts"])
+                    k = keys[part]
+                    c = count[part].astype(np.uint32) if weights else np.empty((len(k), 0), np.uint32)
+                    yield _blocks(k >> np.uint64(32), [k.astype(np.uint32), c], ["bucket", "keys", "counts"])
         for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                s = shingles(t, n, hashes)
-                mark = hash(s.tobytes())
-                if len(s) and mark not in seen:  # a task counts equal sets once
-                    seen.add(mark)
-                    held.append(s)
-                    many += len(s)
+            hashes, ends = shingle_sets(batch.column(0), n)
+            names = _digests(hashes, ends)[1].tolist()
+            keys = hashes >> np.uint64(32 - bits)
+            start = 0
+            for name, end in zip(names, ends.tolist()):
+                if end > start and name not in seen:  # a task counts equal sets once
+                    seen.add(name)
+                    held.append(keys[start:end])
+                    many += end - start
+                start = end
             if many > 2_000_000:
                 yield from flush()
                 many = 0
@@ -170,40 +241,46 @@ def frequent(docs: DataFrame, text: str, n: int, buckets: int, width: int, least
     return keys[order], counts[order]
 
 
-def postings(docs: DataFrame, text: str, n: int, percent: int, heavy, buckets: int, width: int) -> DataFrame:
+def postings(docs: DataFrame, text: str, n: int, percent: int, heavy, bits: int, width: int) -> DataFrame:
     """(key, class, size, place): prefix entries whose n-gram another class may share."""
 
     def send(batches):
         import numpy as np
         keys, counts = heavy.value
-        hashes, seen = _hasher(), set()
-        held: list = []
-        many = 0
+        seen, held, many = set(), [], 0
         names = ["bucket", "keys", "classes", "sizes", "places"]
 
+        def often(key):
+            if not len(keys):
+                return np.zeros(len(key), np.int64)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, counts[at], 0)
+
         def flush():
-            key, owner, size, place, often = (np.concatenate(x) for x in zip(*held))
+            key, owner, size, place, count = (np.concatenate(x) for x in zip(*held))
             held.clear()
             # entries of frequent n-grams are only passed on: they are dealt out by class
-            bucket = np.where(often > 0, buckets + (owner.view(np.uint64) % np.uint64(buckets)).astype(np.int64), key >> 32)
+            bucket = np.where(count > 0, (1 << bits) + (owner.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), key >> 32)
             return _blocks(bucket, [key, owner, size, place], names)
         for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                s = shingles(t, n, hashes)
-                if not len(s):
-                    continue
-                name = _digest(s)[0]
-                if name in seen:
+            hashes, ends = shingle_sets(batch.column(0), n)
+            every = (hashes >> np.uint64(32 - bits)).astype(np.int64)
+            start = 0
+            for name, end in zip(_digests(hashes, ends)[1].tolist(), ends.tolist()):
+                size, key = end - start, every[start:end]
+                start = end
+                if not size or name in seen:
                     continue
                 seen.add(name)
-                key = ((((s >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))).astype(np.int64)
-                often = np.zeros(len(s), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    often = np.where(keys[at] == key, counts[at], 0)
-                first = np.lexsort((s, key, often))[:len(s) + (-percent * len(s) // 100) + 1]
-                held.append((key[first], np.full(len(first), name, np.int64), np.full(len(first), len(s), np.int32), np.arange(len(first), dtype=np.int32), often[first]))
-                many += len(first)
+                want = size + (-percent * size // 100) + 1
+                # hashes are sorted: if enough rare ones are among the first, the rest need not be looked up
+                part = key[:2 * want]
+                count = often(part)
+                if (count == 0).sum() < want and len(part) < size:
+                    part, count = key, often(key)
+                first = np.argsort(count, kind="stable")[:want]
+                held.append((part[first], np.full(want, name, np.int64), np.full(want, size, np.int32), np.arange(want, dtype=np.int32), count[first]))
+                many += want
             if many > 500_000:
                 yield flush()
                 many = 0
@@ -222,7 +299,7 @@ def postings(docs: DataFrame, text: str, n: int, percent: int, heavy, buckets: i
         for batch in batches:
             for b, *parts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 columns = [np.frombuffer(p, k) for p, k in zip(parts, kinds)]
-                if b >= buckets:
+                if b >= 1 << bits:
                     yield rows(columns)
                 else:
                     held.append(columns)
@@ -258,10 +335,11 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
 
     def build(batches):
         import pyarrow as pa
-        hashes = _hasher()
         for batch in slices(batches):
-            found = [shingles(t, n, hashes) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+            hashes, ends = shingle_sets(batch.column(1), n)
+            names = _digests(hashes, ends)[1]
+            starts = [0, *ends[:-1].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([hashes[a:b].tobytes() for a, b in zip(starts, ends.tolist())], pa.binary())],
                                              names=["class", "grams"])
 
     def compare(batches):
@@ -284,7 +362,7 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
 
 
 def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, least: int = 8,
-               most: int = 1_000_000, rounds: int = 4) -> DataFrame:
+               most: int = 1_000_000, rounds: int = 3) -> DataFrame:
     """(id, size, component): each document's number of n-grams, and the smallest id it is connected to by links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their n-gram sets. Texts are
@@ -301,11 +379,12 @@ def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int
     if facts["clash"]:
         raise ValueError("two different sets have the same 64-bit digest; change MIX")
     total = facts["grams"] or 0
-    buckets = max(1024, total >> 23)
+    bits = max(10, (total >> 23).bit_length())
     width = max(shuffle_width(spark), total >> 22)
     texts = docs.filter(_q(doc_id).isNotNull())
-    heavy = spark.sparkContext.broadcast(frequent(texts, text, n, buckets, width, least, most))
-    live = settle(postings(texts, text, n, percent, heavy, buckets, width))
+    heavy = spark.sparkContext.broadcast(frequent(texts, text, n, bits, width, least, most))
+    live = settle(postings(texts, text, n, percent, heavy, bits, width))
+    heavy.destroy()
     links = _links(docs, doc_id, text, n, percent, live, classes, rounds)
     named = classes.select("class", "id")
     if links is not None:
@@ -320,7 +399,7 @@ def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int
 def _links(docs, doc_id, text, n, percent, live, classes, rounds):
     """Links that connect whatever is connected; None if there are none."""
     links, tried, owner = None, None, None
-    about = classes.select("class", "id", "parity")
+    about = classes.select("class", "id", "size", "parity")
     for turn in range(rounds + 1):
         here = live if owner is None else live.join(owner, "class", "left")
         here = here.withColumn("owner", F.coalesce("owner", "class") if owner is not None else F.col("class"))
@@ -347,12 +426,9 @@ def _links(docs, doc_id, text, n, percent, live, classes, rounds):
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        side = lambda s: about.select(F.col("class").alias(s), F.col("id").alias(f"{s}_id"), F.col("parity").alias(f"{s}_parity"))
+        side = lambda s: about.select(F.col("class").alias(s), F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("parity").alias(f"{s}_parity"))
         apart = sum(F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(4))
-        sized = classes.select("class", "size")
         pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b")
-                       .join(sized.select(F.col("class").alias("a"), F.col("size").alias("a_size")), "a")
-                       .join(sized.select(F.col("class").alias("b"), F.col("size").alias("b_size")), "b")
                        # the suffix filter: at least so many n-grams are in one of both sets only
                        .filter((100 + percent) * apart <= (100 - percent) * (F.col("a_size") + F.col("b_size")))
                        .select("a", "b", "a_id", "b_id"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm import bpe, contamination, ngramjoin, tokencount
+from specula.llm import bpe, caps, contamination, licenses, mainhtml, ngramjoin, pii, quality, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,12 +27,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: for the supplied tables; whoever pseudonymises real data passes a secret
+PII_KEY = "specula"
+#: bytes of text that a shard may have
+SHARD_BYTES = 1 << 20
+
+
+@query("op2_extendible_hashing", f"""
+WITH held AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash FROM documents),
+levels AS (SELECT doc_id, bytes, hash, d, hash >> (60 - d) AS prefix FROM held, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d)),
+nodes AS (SELECT d, prefix, sum(bytes) AS total, min(hash) = max(hash) AS single FROM levels GROUP BY d, prefix),
+leaf AS (SELECT l.doc_id, l.bytes, l.hash, min(l.d) AS depth, arg_min(n.total, l.d) AS total, arg_min(l.prefix, l.d) AS prefix
+         FROM levels l JOIN nodes n USING (d, prefix) WHERE n.total <= {SHARD_BYTES} OR n.single OR l.d = 60 GROUP BY l.doc_id, l.bytes, l.hash)
+SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), depth) END AS shard, depth, CAST(total AS BIGINT) AS shard_bytes,
+       total > {SHARD_BYTES} AS oversized FROM leaf""")
+def extendible_hashing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return sharding.shards(docs, "doc_id", F.col("size"), SHARD_BYTES).withColumnRenamed("key", "doc_id")
+
+
 @query("op3_byte_bpe")
 def byte_bpe(spark, folder):
     return bpe.encode(table(spark, folder, "documents"), "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                       public_tokenizers.PATTERN, ["doc_id"], ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op1_feistel_pseudonyms")
+def feistel_pseudonyms(spark, folder):
+    return pii.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), "text", key=PII_KEY, found="n_values")
+
+
+@query("op4_cap_filters", """
+WITH RECURSIVE ok AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.id = e.vec_id""")
+def cap_filters(spark, folder):
+    found = caps.links(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 @query("op5_decontamination", r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
@@ -53,6 +91,11 @@ def decontamination(spark, folder):
                                                     F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op6_license_scan")
+def license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"), "text", ["doc_id"])
+
+
 @query("op7_token_counts")
 def token_counts(spark, folder):
     return tokencount.count(table(spark, folder, "documents"), "text", public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], 4096)
@@ -62,3 +105,24 @@ def token_counts(spark, folder):
 def ngram_jaccard(spark, folder):
     found = ngramjoin.components(table(spark, folder, "documents"), "doc_id", "text", n=4, percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def quality_model(docs, labels):
+    """Learned without the rows that are held out."""
+    return quality.learn(docs, "doc_id", "text", labels.filter(~held_out(F.col("doc_id"))), "doc_id", "quality")
+
+
+@query("op9_attention_quality")
+def attention_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = quality.score(docs, "text", quality_model(docs, table(spark, folder, "labels")), ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_tree_scoring")
+def tree_scoring(spark, folder):
+    return mainhtml.main_text(table(spark, folder, "pages"), "html", ["page_id", "url"])
