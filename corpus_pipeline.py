@@ -1,18 +1,44 @@
-"""A corpus pipeline of stages over ``documents``; each stage's result is written and read again."""
+"""A corpus pipeline of stages over ``documents``; each stage's result is written and read again.
+
+Quality classifier, near-duplicate removal, benchmark decontamination, pseudonyms for personal data,
+byte-level BPE. Every stage reads all that the one before kept; whatever a stage decides takes effect in its result.
+"""
 
 from __future__ import annotations
 
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm import contamination
+from specula.llm import bpe, contamination, ngramjoin, pii, quality, queries
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.5 or more; null and empty texts are scored like others."""
+    model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, "text", model, COLUMNS).filter("score >= 0.5").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of 0.8 on runs of five words, the one of smallest id.
+
+    Documents without words, and rows without an id, stay. Of repeated rows with the same id one stays.
+    """
+    found = ngramjoin.components(docs.select("doc_id", "text"), "doc_id", "text", n=5, percent=80)
+    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
+    repeated = found.filter("size > 0 AND id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if not repeated.limit(1).count():
+        return left
+    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return left.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(again)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a contaminating share of benchmark passages. Null texts have none and stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -20,8 +46,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return contamination.contaminated(found).filter(~F.col("contaminated")).select(*COLUMNS)
 
 
-STAGES = [("decontamination", decontaminate)]
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal numbers, dates and addresses replaced; n_chars follows the text."""
+    made = pii.pseudonymise(docs.select(*COLUMNS), "text", key=queries.PII_KEY, found="n_values")
+    return made.withColumn("n_chars", F.when(F.col("n_values") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, with digests of the ids and of what they decode to."""
+    return bpe.encode(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "lang", "source"],
+                      ("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminate), ("pii", pseudonymise), ("bpe", tokenise)]
 
+#: SQL cannot say the learned classifier; the stages are tested one by one instead.
 ORACLE_SQL = None
 
 
