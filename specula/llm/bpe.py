@@ -151,10 +151,9 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, keep: list[s
     ``n_tokens``; ``ids_sha256`` of the ids as little-endian unsigned 32-bit integers;
     ``decoded_sha256`` of the bytes that the ids stand for. A null text counts as empty: no
     ids. Repeated rows give repeated results, an empty table an empty one. No row moves.
-    Names in ``keep`` must differ from the outputs.
+    A column of ``keep`` named like an output gives way to it.
     """
-    if clash := set(keep) & set(outputs):
-        raise ValueError(f"rename the columns {sorted(clash)}")
+    keep = [c for c in keep if c not in outputs]
     tokens = read_ranks(ranks_path)
     spark = df.sparkSession
     tables = spark.sparkContext.broadcast((tokens, *last_merges(tokens)))

@@ -187,6 +187,8 @@ def links(vectors: DataFrame, vec_id: str, embedding: str, label: str, least_cos
                 hit = hit[np.ix_(p, q)]
                 # filters of another part may come before the first of this one
                 hit &= _no_earlier([filters[i] for i in xs[p]], [filters[i] for i in y[q]], number[a])
+                if not hit.any():
+                    continue
                 degree[xs[p]] += hit @ weight[y[q]]
                 degree[y[q]] += weight[xs[p]] @ hit
                 for i, j in zip(*_forest(hit)):

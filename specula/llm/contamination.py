@@ -140,10 +140,9 @@ def match(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text:
     with an occurrence; near: ids of items whose ``span_terms`` rarest words (all of the item's words must
     occur in the same run of documents) lie within ``span`` words of the rarest. Null and empty
     texts have no words and no hits, items without words never occur; repeated documents get
-    repeated rows and repeated items count once by id. No document row moves.
+    repeated rows and repeated items count once by id. No document row moves. Kept columns named like the added ones give way.
     """
-    if clash := set(keep) & {"n_words", "hits", "items", "near"}:
-        raise ValueError(f"rename the columns {sorted(clash)}")
+    keep = [c for c in keep if c not in ("n_words", "hits", "items", "near")]
     spark = docs.sparkSession
     held = items.select(_q(item_id).cast("string").alias("name"), _q(item_text).alias("text"))
     total = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -121,9 +121,9 @@ def scan(docs: DataFrame, text: str, keep: list[str], templates: list[tuple[str,
     One entry for each license name: the window with the largest share of a template's shingles, the first of equal ones.
     Templates shorter than ``shingle`` words are one shingle. Null and empty texts have no licenses, whole texts are read; repeated
     rows give repeated results, an empty table an empty one. No row moves.
+    A kept column named licenses gives way.
     """
-    if "licenses" in keep:
-        raise ValueError("rename the column licenses")
+    keep = [c for c in keep if c != "licenses"]
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[_q(c) for c in keep]).schema]
     held = docs.sparkSession.sparkContext.broadcast((templates, shingle, containment, miss))
 

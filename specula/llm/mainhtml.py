@@ -212,10 +212,9 @@ def main_text(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` with text, the main text of column ``html``, and n_chars, its number of code points.
 
     Null and empty pages and pages without text give an empty text. Whole pages are read, broken and truncated ones too. No row moves;
-    repeated rows give repeated results, an empty table an empty one.
+    repeated rows give repeated results, an empty table an empty one. Kept columns named like the added ones give way.
     """
-    if clash := set(keep) & {"text", "n_chars"}:
-        raise ValueError(f"rename the columns {sorted(clash)}")
+    keep = [c for c in keep if c not in ("text", "n_chars")]
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in pages.select(*[_q(c) for c in keep]).schema]
 
     def run(batches):

@@ -362,7 +362,7 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
 
 
 def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, least: int = 8,
-               most: int = 1_000_000, rounds: int = 3) -> DataFrame:
+               most: int = 1_000_000, rounds: int = 1) -> DataFrame:
     """(id, size, component): each document's number of n-grams, and the smallest id it is connected to by links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their n-gram sets. Texts are

@@ -139,10 +139,9 @@ def score(docs: DataFrame, text: str, model: dict, keep: list[str]) -> DataFrame
     """Columns ``keep`` and score: how likely the label is 1, from 0 to 1, for every row.
 
     Null and empty texts are one empty passage and get a score too. Without two classes to learn from, every score is the
-    share of label 1 (0.5 without any label). Repeated rows get repeated scores, an empty table stays empty.
+    share of label 1 (0.5 without any label). Repeated rows get repeated scores, an empty table stays empty. A kept column named score gives way.
     """
-    if "score" in keep:
-        raise ValueError("rename the column score")
+    keep = [c for c in keep if c != "score"]
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[_q(c) for c in keep]).schema]
 

@@ -104,10 +104,9 @@ def count(df: DataFrame, text: str, model_path: str, keep: list[str], limit: int
     As the library counts with a leading space mark added and no begin, end or other special
     tokens; their strings inside texts are ordinary text. A null or empty text has 0 bytes and
     0 tokens. No row moves; repeated rows give repeated results, an empty table an empty one.
-    Names in ``keep`` must differ from the three added ones.
+    A column of ``keep`` named like an added one gives way to it.
     """
-    if clash := set(keep) & {"n_bytes", "n_tokens", "over_limit"}:
-        raise ValueError(f"rename the columns {sorted(clash)}")
+    keep = [c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit")]
     score = vocabulary(model_path)
     tables = df.sparkSession.sparkContext.broadcast((score, *shortcuts(score)))
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*[_q(c) for c in keep]).schema]
