@@ -12,8 +12,8 @@
    n-gram must suffice) and the suffix filter (parities of hash cells bound the difference), and
    are verified once per pair on whole sets.
 5. A group of thousands of variants has millions of similar pairs. As only components are asked
-   for, each round pairs the members of an n-gram with one leader, joins what is verified, and
-   leaves out what is already connected; the last round takes every pair across components.
+   for, a first round pairs the members of an n-gram with one leader and joins what is verified;
+   the second takes every pair across what is not connected yet.
    So no connection between different sets is lost, and none is verified twice.
 """
 
@@ -161,8 +161,11 @@ def sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
         run, f"id {kind}, size bigint, class bigint, check bigint, parity array<bigint>")
 
 
-def _blocks(bucket, columns, schema):
-    """One record batch with a row for each bucket: the bucket, and each column's part as bytes."""
+def _blocks(bucket, columns, schema, planes: int = 0):
+    """One record batch with a row for each bucket: the bucket, and each column's part as bytes.
+
+    Of the first ``planes`` columns all lowest bytes come first, then all second ones and so on.
+    """
     import numpy as np
     import pyarrow as pa
     order = np.argsort(bucket, kind="stable")
@@ -170,9 +173,13 @@ def _blocks(bucket, columns, schema):
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
     arrays = [pa.array(bucket[starts].astype(np.int64), pa.int64())]
-    for c in columns:
+    for i, c in enumerate(columns):
         c = np.ascontiguousarray(c[order])
-        arrays.append(pa.array([c[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()))
+        if i < planes:
+            c = c.view(np.uint8).reshape(len(c), -1)
+            arrays.append(pa.array([c[a:b].T.tobytes() for a, b in zip(starts, ends)], pa.binary()))
+        else:
+            arrays.append(pa.array([c[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=schema)
 
 
@@ -191,7 +198,9 @@ def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: i
                 if part.any():
                     k = keys[part]
                     c = count[part].astype(np.uint32) if weights else np.empty((len(k), 0), np.uint32)
-                    yield _blocks(k >> np.uint64(32), [k.astype(np.uint32), c], ["bucket", "keys", "counts"])
+                    gap = np.diff(k, prepend=np.uint64(0))
+                    gap = np.where(np.diff(k >> np.uint64(32), prepend=np.uint64(1 << 40)) != 0, k & np.uint64(0xFFFFFFFF), gap)
+                    yield _blocks(k >> np.uint64(32), [gap.astype(np.uint32), c], ["bucket", "keys", "counts"], planes=1)
         for batch in slices(batches):
             hashes, ends = shingle_sets(batch.column(0), n)
             names = _digests(hashes, ends)[1].tolist()
@@ -203,7 +212,7 @@ def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: i
                     held.append(keys[start:end])
                     many += end - start
                 start = end
-            if many > 2_000_000:
+            if many > 4_000_000:
                 yield from flush()
                 many = 0
         if held:
@@ -214,7 +223,8 @@ def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: i
         keys, counts = [], []
         for batch in batches:
             for b, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                k = np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(b << 32)
+                gap = np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+                k = np.cumsum(gap, dtype=np.uint64) | np.uint64(b << 32)
                 keys.append(k)
                 counts.append(np.frombuffer(c, np.uint32) if c else np.ones(len(k), np.uint32))
         if keys:
@@ -353,8 +363,7 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a_id", "b_id"]).filter(pa.array(keep, pa.bool_()))
 
-    grams = held.mapInArrow(build, "class bigint, grams binary").join(need.select("class"), "class", "left_semi").dropDuplicates(["class"])
-    grams = settle(grams)
+    grams = held.mapInArrow(build, "class bigint, grams binary")
     kind = pairs.schema["a_id"].dataType.simpleString()
     return (pairs.join(grams.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a")
             .join(grams.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
@@ -362,14 +371,14 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
 
 
 def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, least: int = 8,
-               most: int = 1_000_000, rounds: int = 1) -> DataFrame:
+               most: int = 1_000_000) -> DataFrame:
     """(id, size, component): each document's number of n-grams, and the smallest id it is connected to by links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their n-gram sets. Texts are
     lower-cased in A-Z and cut at ASCII white space; with fewer words than ``n`` the whole sequence
     is the one n-gram. Null and wordless texts have size 0 and link with nothing. Rows without an id take the
     component of their copies, or null. Repeated rows are repeated in the result. ``least`` and ``most``
-    say which n-grams count as frequent, ``rounds`` how often leaders are tried; they change the work, not the result.
+    say which n-grams count as frequent; they change the work, not the result.
     """
     spark = docs.sparkSession
     held = settle(sets(docs, doc_id, text, n))
@@ -385,60 +394,40 @@ def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int
     heavy = spark.sparkContext.broadcast(frequent(texts, text, n, bits, width, least, most))
     live = settle(postings(texts, text, n, percent, heavy, bits, width))
     heavy.destroy()
-    links = _links(docs, doc_id, text, n, percent, live, classes, rounds)
-    named = classes.select("class", "id")
-    if links is not None:
-        found = connected_components(links, "a_id", "b_id")
-        named = named.join(found.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))
-    else:
-        named = named.withColumnRenamed("id", "component")
+    found = connected_components(_links(docs, doc_id, text, n, percent, live, classes), "a_id", "b_id")
+    named = (classes.select("class", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
+             .select("class", F.coalesce("component", "id").alias("component")))
     return (held.join(settle(named), "class", "left")
             .select("id", "size", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component")))
 
 
-def _links(docs, doc_id, text, n, percent, live, classes, rounds):
-    """Links that connect whatever is connected; None if there are none."""
-    links, tried, owner = None, None, None
+def _links(docs, doc_id, text, n, percent, live, classes):
+    """Links that connect whatever is connected."""
     about = classes.select("class", "id", "size", "parity")
-    for turn in range(rounds + 1):
-        here = live if owner is None else live.join(owner, "class", "left")
-        here = here.withColumn("owner", F.coalesce("owner", "class") if owner is not None else F.col("class"))
-        # n-grams whose classes are all connected have nothing left to find
-        open_keys = settle(here.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high"),
-                                                   F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "owner", "size", "place")).alias("lead"))
-                           .filter("low <> high").drop("low", "high"))
-        facts = open_keys.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("entries"), F.max("n").alias("longest")).first()
-        if not facts["entries"]:
-            break
-        last = turn == rounds or facts["longest"] < 4 or facts["pairs"] < 8 * facts["entries"]
-        here = here.join(open_keys.select("key", "lead"), "key")
-        if last:
-            entry = settle(here.drop("lead"))
-            x, y = entry.alias("x"), entry.alias("y")
-            a, b = (lambda c, p=p: F.col(f"{p}.{c}") for p in ("x", "y"))
-            joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.owner") != F.col("y.owner"))
-                            & _may_match({c: a(c) for c in ("size", "place")}, {c: b(c) for c in ("size", "place")}, percent))
-            pairs = joined.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        else:
-            lead = {c: F.col(f"lead.{c}") for c in ("size", "place")}
-            pairs = here.filter((F.col("owner") != F.col("lead.owner")) & _may_match({c: F.col(c) for c in ("size", "place")}, lead, percent)).select(
-                F.least("class", "lead.class").alias("a"), F.greatest("class", "lead.class").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+
+    def check(pairs: DataFrame) -> DataFrame:
         side = lambda s: about.select(F.col("class").alias(s), F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("parity").alias(f"{s}_parity"))
         apart = sum(F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(4))
-        pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b")
-                       # the suffix filter: at least so many n-grams are in one of both sets only
-                       .filter((100 + percent) * apart <= (100 - percent) * (F.col("a_size") + F.col("b_size")))
-                       .select("a", "b", "a_id", "b_id"))
-        found = settle(verified(docs, doc_id, text, n, percent, pairs))
-        links = found if links is None else links.union(found)
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        if last:
-            break
-        ids = connected_components(links, "a_id", "b_id")
-        owner = settle(about.join(ids.withColumnRenamed("node", "id"), "id").select("class", F.col("component").alias("owner")))
-        # ids and class digests must not be mistaken for each other: name components by a class
-        owner = settle(owner.join(owner.groupBy("owner").agg(F.min("class").alias("name")), "owner").select("class", F.col("name").alias("owner")))
-    return links
+        # the suffix filter: at least so many n-grams are in one of both sets only
+        left = settle(pairs.join(side("a"), "a").join(side("b"), "b")
+                      .filter((100 + percent) * apart <= (100 - percent) * (F.col("a_size") + F.col("b_size"))).select("a", "b", "a_id", "b_id"))
+        return settle(verified(docs, doc_id, text, n, percent, left))
+
+    # first every class of an n-gram with one leader
+    leaders = settle(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("class").alias("draw"), "class", "size", "place")).alias("lead"))
+                     .filter("n > 1").select("key", F.col("lead.class").alias("other"), F.struct("lead.size", "lead.place").alias("lead")))
+    lead = {c: F.col(f"lead.{c}") for c in ("size", "place")}
+    tried = settle(live.join(leaders, "key").filter((F.col("class") != F.col("other")) & _may_match({c: F.col(c) for c in ("size", "place")}, lead, percent))
+                   .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
+    found = check(tried)
+    # then all pairs across what is not connected yet; components are named by the digest of one of their classes
+    ids = connected_components(found, "a_id", "b_id")
+    owner = about.select("class", "id").join(ids.withColumnRenamed("node", "id"), "id").select("class", F.xxhash64("component").alias("owner"))
+    owned = settle(live.join(settle(owner), "class", "left").select("key", "class", "size", "place", F.coalesce("owner", F.xxhash64("class", F.lit("alone"))).alias("owner")))
+    open_keys = owned.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("key")
+    entry = settle(owned.join(settle(open_keys), "key", "left_semi"))
+    x, y = entry.alias("x"), entry.alias("y")
+    a, b = ({c: F.col(f"{p}.{c}") for c in ("size", "place")} for p in "xy")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.owner") != F.col("y.owner")) & _may_match(a, b, percent)).select(
+        F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    return found.union(check(pairs.join(tried, ["a", "b"], "left_anti")))

@@ -53,11 +53,11 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("n, percent, least, rounds", [(4, 85, 8, 3), (5, 80, 2, 3), (4, 85, 2, 0)])
-def test_ngram_join_by_brute_force(spark, n, percent, least, rounds):
+@pytest.mark.parametrize("n, percent, least", [(4, 85, 8), (5, 80, 2)])
+def test_ngram_join_by_brute_force(spark, n, percent, least):
     rows = [(i * 7 % 1009, t) for i, t in enumerate(near_texts())] + [(3, "repeated row of the table"), (3, "repeated row of the table")]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id bigint, text string, class string, size int")
-    got = ngramjoin.components(df, "doc_id", "text", n, percent, least=least, rounds=rounds).collect()
+    got = ngramjoin.components(df, "doc_id", "text", n, percent, least=least).collect()
     assert sorted((r.id, r.size, r.component) for r in got) == brute_components(rows, n, percent)
 
 
