@@ -206,7 +206,7 @@ SELECT 'o_totalprice' AS a, 'o_custkey' AS b, n, CAST(concordant AS BIGINT) AS c
 
 @query("kendall", KENDALL_SQL)
 def kendall(t):
-    return depend.kendall(t.orders, "o_totalprice", "o_custkey").select("a", "b", "n", "concordant", "discordant", rnd(F.col("kendall"), 8).alias("kendall"))
+    return depend.kendall(t.orders, "o_totalprice", "o_custkey").select("a", "b", "n", F.col("concordant").cast("bigint").alias("concordant"), F.col("discordant").cast("bigint").alias("discordant"), rnd(F.col("kendall"), 8).alias("kendall"))
 
 
 @query("kendall_test")

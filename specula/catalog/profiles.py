@@ -366,10 +366,13 @@ def explorer_extract(t):
     return sampling.explorer_extract(t.events, types, ["event_id"], 2000, seed=7)
 
 
+DIGESTED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+
+
 @query("dataset_digest", """SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(k), 1, 12)) AS BIGINT)) AS BIGINT) AS digest FROM (
- SELECT concat_ws(chr(31), CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)) AS k FROM nation)""")
+ SELECT concat_ws(chr(31), """ + ", ".join(f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in DIGESTED) + """) AS k FROM lineitem)""")
 def dataset_digest(t):
-    return sampling.text_digest(t.nation)
+    return sampling.text_digest(t.lineitem.select(*DIGESTED))
 
 
 @query("row_digest")

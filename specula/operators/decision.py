@@ -203,7 +203,10 @@ def interval_gaps(spark: SparkSession, table: Table, column: str) -> DataFrame:
     rows = [(float(c.low) if c.low is not None else float("-inf"), float(c.high) if c.high is not None else float("inf"), c.closed_low, c.closed_high) for c in cells]
     spans = spark.createDataFrame(rows, "low double, high double, closed_low boolean, closed_high boolean")
     w = Window.partitionBy(F.lit(0)).orderBy("low")  # one row per rule
-    nxt = spans.withColumn("next", F.lead("low").over(w)).withColumn("next_closed", F.lead("closed_low").over(w))
+    # an interval is compared with the furthest end so far, not with the end of the one before it
+    reach = F.max(F.struct("high", F.col("closed_high").alias("closed"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nxt = (spans.withColumn("reach", reach).withColumn("next", F.lead("low").over(w)).withColumn("next_closed", F.lead("closed_low").over(w))
+           .withColumn("high", F.col("reach.high")).withColumn("closed_high", F.col("reach.closed")))
     issue = (F.when(F.col("next") > F.col("high"), "gap").when((F.col("next") == F.col("high")) & ~F.col("closed_high") & ~F.col("next_closed"), "point not covered")
              .when((F.col("next") == F.col("high")) & F.col("closed_high") & F.col("next_closed"), "point covered twice")
              .when(F.col("next") == F.col("high"), "shared end point").when(F.col("next") < F.col("high"), "overlap"))

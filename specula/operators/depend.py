@@ -182,8 +182,9 @@ def concordance(points: DataFrame, keys: list[str], rank: str, value: str, bits:
         F.sum(F.when(F.col("right"), 0).otherwise(F.col("n"))).alias("l"),
         F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("r"))
     run = running_totals(counts, [*keys, "bit", "node"], value, ["l"])
-    sums = [F.sum(F.col("r") * F.col("before_l")).alias("concordant"),
-            F.sum(F.col("r") * (F.col("total_l") - F.col("before_l") - F.col("l"))).alias("discordant")]
+    whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  pair counts pass 2**63 from some billions of rows on
+    sums = [F.sum(whole(F.col("r")) * whole(F.col("before_l"))).alias("concordant"),
+            F.sum(whole(F.col("r")) * whole(F.col("total_l") - F.col("before_l") - F.col("l"))).alias("discordant")]
     return run.groupBy(*keys).agg(*sums) if keys else run.agg(*sums)
 
 
@@ -208,7 +209,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     pairs = concordance(points, [], "rank", "y", bits)
     both = pairs.join(tie_sums(sub, "x"), F.lit(True)).join(tie_sums(sub, "y"), F.lit(True))
     m = F.col("n_x").cast("double") * (F.col("n_x") - 1)
-    s = F.col("concordant") - F.col("discordant")
+    s = (F.col("concordant") - F.col("discordant")).cast("double")
     tau = s / F.sqrt((m / 2 - F.col("t_x")) * (m / 2 - F.col("t_y")))
     spread = ((m * (2 * F.col("n_x") + 5) - F.col("t1_x") - F.col("t1_y")) / 18
               + 2 * F.col("t_x") * F.col("t_y") / m
@@ -244,9 +245,8 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, inverse)], "column string, vif double")
 
 
-def interactions(df: DataFrame, features: list[str], label: str, keep: int = 20) -> DataFrame:
+def interactions(df: DataFrame, features: list[str], label: str, keep: int | None = None) -> DataFrame:
     """How much a product a*b adds to a linear model of the label, with its F test."""
-    features = features[:8]
     exprs = {c: F.col(c) for c in [*features, label]}
     pairs = list(combinations(features, 2))
     exprs.update({f"{a}*{b}": F.col(a) * F.col(b) for a, b in pairs})
@@ -258,4 +258,5 @@ def interactions(df: DataFrame, features: list[str], label: str, keep: int = 20)
         rows.append((a, b, full - base, (full - base) / (left / (space.n - 4)) if left > 0 else None))
     out = df.sparkSession.createDataFrame(rows, "a string, b string, delta_r2 double, f double")
     out = out.withColumn("p", tails.p_f("f", F.lit(1.0), F.lit(float(space.n - 4))))
-    return benjamini_hochberg(out, order=["a", "b"]).orderBy(F.col("delta_r2").desc(), "a", "b").limit(keep)
+    out = benjamini_hochberg(out, order=["a", "b"]).orderBy(F.col("delta_r2").desc(), "a", "b")
+    return out.limit(keep) if keep else out

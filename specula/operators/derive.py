@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from specula.operators.typing import census
 from specula.plans.gram import Gram, gram
 from specula.plans.longform import level
+from specula.session import settle
 
 SCHEMA = "column string, kind string, r2 double, intercept double, terms map<string,double>, ambiguous boolean"
 
@@ -23,7 +24,7 @@ def derivable_columns(df: DataFrame, columns: list[str], r2: float = 0.999) -> D
     space = gram(df, columns)
     rows = linear_formulas(space, r2)
     found = {r[0] for r in rows}
-    if 3 <= len(columns) <= 14:
+    if len(columns) >= 3:
         rows += quadratic_formulas(df, columns, [c for c in columns if c not in found], r2)
         found = {r[0] for r in rows}
     positive = [c for c, low in zip(space.names, space.low) if low > 0]
@@ -183,11 +184,17 @@ def label_candidates(rules: DataFrame, basis: list[str], types: DataFrame) -> Da
 
 def derivation_depth(rules: DataFrame) -> DataFrame:
     """(column, depth): the longest chain of rules below each column; rules hold (head, body)."""
-    spark = rules.sparkSession
-    rules.createOrReplaceTempView("_rules")
-    return spark.sql("""
-        WITH RECURSIVE chain(column, depth) AS (
-            SELECT DISTINCT body, 0 FROM _rules WHERE body NOT IN (SELECT head FROM _rules)
-            UNION ALL
-            SELECT r.head, c.depth + 1 FROM chain c JOIN _rules r ON r.body = c.column WHERE c.depth < 64)
-        SELECT column, CAST(max(depth) AS BIGINT) AS depth FROM chain GROUP BY column""")
+    longest = settle(rules.select("head", "body", F.lit(1).cast("bigint").alias("n")).distinct())
+    known = None
+    while True:  # paths double in length each round, so a chain of d rules takes log2(d) rounds
+        if longest.filter("head = body").limit(1).count():
+            raise ValueError("columns derive from each other in a circle; they have no depth")
+        state = longest.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if state == known:
+            break
+        known = state
+        on = longest.select(F.col("head").alias("body"), F.col("body").alias("end"), F.col("n").alias("more"))
+        longest = settle(longest.union(longest.join(on, "body").select("head", F.col("end").alias("body"), F.col("n") + F.col("more")))
+                         .groupBy("head", "body").agg(F.max("n").alias("n")))
+    return (rules.select(F.explode(F.array("head", "body")).alias("head")).distinct().join(longest, "head", "left")
+            .groupBy(F.col("head").alias("column")).agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint")).alias("depth")))

@@ -7,6 +7,8 @@ stop when a round adds nothing.
 
 from __future__ import annotations
 
+from itertools import count
+
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -213,10 +215,10 @@ def _conclude(rule: Rule, rows: DataFrame) -> DataFrame:
 
 
 def fire(rule: Rule, delta: DataFrame, known: DataFrame) -> DataFrame:
-    """Conclusions whose body uses at least one fact of the last round."""
+    """Conclusions whose body uses at least one fact of the last round; absence is asked of all known facts."""
     new, old = fact_relation(delta), fact_relation(known)
     out = None
-    atoms = [i for i, b in enumerate(rule.body) if isinstance(b, Atom)]
+    atoms = [i for i, b in enumerate(rule.body) if isinstance(b, Atom) and not b.negated]
     for fresh in atoms:
         body = [Atom(f"{i}@{b.predicate}", b.args, b.negated) if isinstance(b, Atom) else b for i, b in enumerate(rule.body)]
 
@@ -229,7 +231,7 @@ def fire(rule: Rule, delta: DataFrame, known: DataFrame) -> DataFrame:
     return out
 
 
-def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None, max_rounds: int = 100) -> DataFrame:
+def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None, max_rounds: int | None = None) -> DataFrame:
     """(s, p, o, kind, prov_kind, prov_rule, prov_via): everything that follows, each fact once.
 
     Provenance is the first round that produced the fact; within a round the smallest rule name.
@@ -239,22 +241,28 @@ def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None,
     known = settle(facts.select(*FACT).distinct().select("*", F.lit("asserted").alias("prov_kind"), F.lit(None).cast("string").alias("prov_rule"),
                                                          F.lit(None).cast("string").alias("prov_via")))
     delta = known.select(*FACT)
-    for _ in range(max_rounds):
+    heads = {r.head.predicate for r in rules or []}
+    if any(isinstance(b, Atom) and b.negated and b.predicate in heads for r in rules or [] for b in r.body):
+        raise ValueError("a rule asks for the absence of what a rule concludes; use horn, which runs in strata")
+    for turn in count(1):
         types = delta.filter(F.col("p") == TYPE)
         grown = types.join(up, types["o"] == up["child"]).select("s", "p", F.col("parent").alias("o"), "kind", F.lit("sub-class").alias("rule"), F.col("child").alias("via"))
         grown = grown.union(propagate(delta, over, words.traits, words.inverse)).union(chain(delta, known.select(*FACT), words.traits))
         for rule in rules or []:
             grown = grown.union(fire(rule, delta, known.select(*FACT)))
-        first = grown.groupBy(*FACT).agg(F.min(F.struct("rule", "via")).alias("w"))
+        # facts are apart by s, p and o: of two kinds in one round the smaller is kept
+        first = grown.groupBy("s", "p", "o").agg(F.min("kind").alias("kind"), F.min(F.struct("rule", "via")).alias("w"))
         new = settle(first.join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
                      .select(*FACT, F.lit("inferred").alias("prov_kind"), F.col("w.rule").alias("prov_rule"), F.col("w.via").alias("prov_via")))
         if not new.limit(1).count():
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"more follows after {max_rounds} rounds")
         known, delta = known.union(new), new.select(*FACT)  # both sides are written already
     return known
 
 
-def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 100) -> dict[str, DataFrame]:
+def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int | None = None) -> dict[str, DataFrame]:
     """Relations derived by Horn rules of any arity, stratum by stratum.
 
     Relations have columns a0, a1, ...; a rule that negates a predicate runs after the
@@ -271,7 +279,7 @@ def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 1
     known = dict(relations)
     for stratum in sorted(set(level.values())):
         mine = [r for r in rules if level[r.head.predicate] == stratum]
-        for _ in range(max_rounds):
+        for turn in count(1):
             changed = False
             for name in dict.fromkeys(r.head.predicate for r in mine):
                 out = None
@@ -291,6 +299,8 @@ def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 1
                     changed = True
             if not changed:
                 break
+            if turn == max_rounds:
+                raise RuntimeError(f"more follows after {max_rounds} rounds")
     return known
 
 

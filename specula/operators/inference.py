@@ -45,7 +45,7 @@ def normal_enough(df: DataFrame, kept: DataFrame, groups: list[str], values: lis
             .select(*PAIR, F.col("bad").isNull().alias("norm_ok")))
 
 
-def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alpha: float = 0.05, keep: int = 60) -> DataFrame:
+def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alpha: float = 0.05, keep: int | None = None) -> DataFrame:
     """One assumption-checked test per group and value column, adjusted over the whole family.
 
     Two levels: Welch's t, or Mann-Whitney when a small level is not normal. More levels:
@@ -72,7 +72,8 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
               .join(F.broadcast(ok), PAIR).filter(F.col("wants") == F.col("norm_ok")).drop("wants"))
     spread = tests.levene(ranked, levels).select(*PAIR, "levene_p")
     out = chosen.join(F.broadcast(sizes), PAIR).join(F.broadcast(spread), PAIR, "left")
-    return benjamini_hochberg(out, order=PAIR).orderBy("p_adj", *PAIR).limit(keep)
+    out = benjamini_hochberg(out, order=PAIR).orderBy("p_adj", *PAIR)
+    return out.limit(keep) if keep else out
 
 
 def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float = 0.05, keep: int = 12) -> DataFrame:
@@ -95,10 +96,11 @@ def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float
     return adjusted.withColumn("_r", first).filter(F.col("_r") <= keep).drop("_r")
 
 
-def nominal_by_nominal(df: DataFrame, columns: list[str], keep: int = 60) -> DataFrame:
+def nominal_by_nominal(df: DataFrame, columns: list[str], keep: int | None = None) -> DataFrame:
     """Chi-square, or Fisher for small 2x2 tables, over all pairs; adjusted over the family."""
     table = tests.chi_square_from_cells(contingency(df, list(combinations(columns, 2))))
-    return benjamini_hochberg(table, order=["a", "b"]).orderBy("p_adj", "a", "b").limit(keep)
+    out = benjamini_hochberg(table, order=["a", "b"]).orderBy("p_adj", "a", "b")
+    return out.limit(keep) if keep else out
 
 
 def label_balance(df: DataFrame, label: str, top: int = 12) -> DataFrame:

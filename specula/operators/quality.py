@@ -122,7 +122,7 @@ def missingness_nominal(df: DataFrame, columns: list[str], others: list[str], mi
 
 
 def missingness_dependence(df: DataFrame, numeric: list[str], nominal: list[str], alpha: float = 0.05,
-                           keep: int = 40) -> DataFrame:
+                           keep: int | None = None) -> DataFrame:
     """Which columns' gaps depend on which other columns, corrected over the whole family."""
     counts = df.agg(F.count(F.lit(1)).alias("n"),
                     *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in [*numeric, *nominal]]).first()
@@ -130,7 +130,8 @@ def missingness_dependence(df: DataFrame, numeric: list[str], nominal: list[str]
     both = (missingness_numeric(df, gappy, numeric)
             .unionByName(missingness_nominal(df, gappy, nominal)))
     adjusted = benjamini_hochberg(both, order=["missing_in", "against"])
-    return adjusted.filter(F.col("p_adj") < alpha).orderBy("p_adj", "missing_in", "against").limit(keep)
+    out = adjusted.filter(F.col("p_adj") < alpha).orderBy("p_adj", "missing_in", "against")
+    return out.limit(keep) if keep else out
 
 
 def stored_as_text(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -172,6 +172,8 @@ def theil_sen(series: DataFrame, confidence: float = 0.95) -> DataFrame:
                 found.update({x: float(slopes[ranks[x] - nl]) for x in near})
             elif high - low <= 1e-12 * max(abs(low), abs(high)):
                 found[name] = (low + high) / 2
+            elif high - low <= 1e-15 * reach:  # ties at a slope of exactly zero never close in relative terms
+                found[name] = 0.0
         if len(found) == len(ranks):
             break
         tries = sorted({low + (high - low) * j / 33 for name, (low, high, _, _) in spans.items() if name not in found for j in range(1, 33)})

@@ -124,7 +124,8 @@ def _need(df: DataFrame, column: str | None, step: Step) -> None:
 def _time_part(state: Shaped, column: str, test: float, valid: float) -> Column:
     """Rows along (time, row id): the last are test, those before them valid; no time counts as last."""
     at = F.coalesce(F.unix_micros(F.col(column).cast("timestamp")).cast("double"), F.lit(9.0e18))
-    rows = state.df.select(at.alias("at"), F.col(state.row_id).cast("double").alias("id"))
+    rows = state.df.select(at.alias("at"), F.col(state.row_id).alias("id"))
+    whole = dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
     ends: dict[int, tuple] = {}
 
     def wanted(total: int) -> set[int]:
@@ -141,9 +142,22 @@ def _time_part(state: Shaped, column: str, test: float, valid: float) -> Column:
             return F.lit(False)
         value, before = found[("at", rank)]
         tied = rows.filter(F.col("at") == value)
-        _, ids = order_statistics(tied, ["id"], lambda n: {rank - before})
-        first = ids[("id", rank - before)][0]
-        return (at > value) | ((at == value) & (F.col(state.row_id) >= first))
+        return (at > value) | ((at == value) & from_tie(tied, rank - before))
+
+    def from_tie(tied, rank: int) -> Column:
+        """The same among rows of one time: whole ids in their order, exact beyond 2**53; other ids by their digest."""
+        mine = F.col(state.row_id)
+        if not whole:
+            draw = F.md5(mine.cast("string"))
+            last = hash_thresholds(tied.select(F.md5(F.col("id").cast("string")).alias("id")), F.col("id"), F.lit("all"), {"all": [rank]}).get(("all", rank), "")
+            return draw > last
+        parts = lambda c: (F.shiftright(c.cast("bigint"), 26).cast("double"), c.cast("bigint").bitwiseAND(F.lit((1 << 26) - 1)).cast("double"))
+        high, low = parts(F.col("id"))
+        split = tied.select(high.alias("high"), low.alias("low"))
+        _, highs = order_statistics(split, ["high"], lambda n: {rank})
+        top, above = highs[("high", rank)]
+        _, lows = order_statistics(split.filter(F.col("high") == top), ["low"], lambda n: {rank - above})
+        return (parts(mine)[0] > top) | ((parts(mine)[0] == top) & (parts(mine)[1] >= lows[("low", rank - above)][0]))
 
     return (F.when(from_rank(totals["at"] - n_test), "test")
             .when(from_rank(totals["at"] - n_test - n_valid) if n_valid else F.lit(False), "valid").otherwise("train"))

@@ -224,7 +224,8 @@ def lag(state: Shaped, step: Step) -> dict:
     lags = [int(x) for x in p.get("lags", [1])]
     group = p.get("group_by")
     keys = ["_part"] + (["_lag_group"] if group else [])
-    df = state.df.withColumn("_lag_at", F.unix_micros(F.expr(f"try_cast(`{p['time_column']}` AS timestamp)")).cast("double")
+    # rows without a time come last, as in a stable sort
+    df = state.df.withColumn("_lag_at", F.coalesce(F.unix_micros(F.expr(f"try_cast(`{p['time_column']}` AS timestamp)")).cast("double"), F.lit(9.0e18))
                              if p.get("time_column") else F.col(state.row_id).cast("double"))
     if group:
         df = df.withColumn("_lag_group", F.coalesce(F.col(group).cast("string"), F.lit("<null>")))

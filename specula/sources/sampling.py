@@ -33,15 +33,21 @@ def attach_labels(df: DataFrame, labels: DataFrame, row_id: str) -> DataFrame:
     return df.join(labels, row_id, "left")
 
 
+def _quoted(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def row_digest(df: DataFrame) -> DataFrame:
     """Row count with order-free sums of row hashes: equal exactly when two runs agree (up to collisions)."""
-    h = F.xxhash64(*df.columns)
+    # hashes skip nulls, so a mask of them is hashed too
+    mask = F.concat(*[F.when(_quoted(c).isNull(), "n").otherwise("v") for c in df.columns])
+    h = F.xxhash64(*[_quoted(c) for c in df.columns], mask)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor_digest"),
                   F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum_digest"))
 
 
 def text_digest(df: DataFrame) -> DataFrame:
     """The same idea over md5 of the row's text, which other engines can repeat."""
-    text = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in df.columns])
+    text = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), _quoted(c).cast("string")), F.lit("n")) for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.sum(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")).alias("digest"))

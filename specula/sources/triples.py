@@ -27,11 +27,21 @@ def rows_to_triples(df: DataFrame, table: str, row_id: str, links: dict[str, str
     return df.select(subject.alias("s"), F.inline(F.array(*facts))).filter("o IS NOT NULL")
 
 
+def _iri(name):
+    """A name between angle brackets; characters that may not stand there are percent-encoded."""
+    for c in '% <>"{}|^`\\\n\r\t':
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.concat(F.lit("<"), name, F.lit(">"))
+
+
 def statement_lines(triples: DataFrame) -> DataFrame:
     """One N-Triples-like line per statement, for ``write.text``."""
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\\\\\"), '"', '\\\\"'), F.lit('"'))
-    value = (F.when(F.col("kind").isin("class", "object"), F.concat(F.lit("<"), "o", F.lit(">")))
+    escaped = F.col("o")
+    for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(code))
+    quoted = F.concat(F.lit('"'), escaped, F.lit('"'))
+    value = (F.when(F.col("kind").isin("class", "object"), _iri(F.col("o")))
              .when(F.col("kind") == "string", quoted)
              .otherwise(F.concat(quoted, F.lit("^^<xsd:"), "kind", F.lit(">"))))
     prop = F.when(F.col("kind") == "class", F.lit("rdf:type")).otherwise(F.col("p"))
-    return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), prop, F.lit("> "), value, F.lit(" .")).alias("line"))
+    return triples.select(F.concat(_iri(F.col("s")), F.lit(" "), _iri(prop), F.lit(" "), value, F.lit(" .")).alias("line"))
