@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specula.operators.shaping.guards import Plan, faults
+
 # The phase each operation belongs to; phases never go backwards.
 PHASES = {
     "retype": 1, "drop_identity": 1, "drop_constant": 1, "dedupe": 1, "parse_datetime": 1, "parse_geometry": 1,
@@ -159,81 +161,7 @@ def fits(step: Step) -> bool:
 
 def check(steps: list[Step], geometry: Geometry | None = None) -> list[str]:
     """Every reason to refuse the recipe, found before any data is touched."""
-    errors: list[str] = []
-    if not steps:
-        return ["a recipe needs at least one step"]
-    seen: set[str] = set()
-    last, split_at = 0, None
-    for i, s in enumerate(steps):
-        where = f"step {i} ({s.id})"
-        if not s.id:
-            errors.append(f"step {i} has no id")
-        if s.id in seen:
-            errors.append(f"{where}: the id is used twice")
-        seen.add(s.id)
-        if s.op == "custom":
-            phase = s.params.get("phase")
-            if phase not in range(1, 7):
-                errors.append(f"{where}: a custom step names its phase, 1 to 6")
-                phase = last or 1
-            if not s.source.startswith("user"):
-                errors.append(f"{where}: only a user can ask for a custom step")
-            if not callable(s.params.get("function")):
-                errors.append(f"{where}: a custom step carries a function")
-        elif s.op not in PHASES:
-            errors.append(f"{where}: unknown operation {s.op!r}")
-            continue
-        else:
-            phase = PHASES[s.op]
-        if phase < last:
-            errors.append(f"{where}: {s.op} belongs to phase {phase} and cannot follow phase {last}")
-        last = max(last, phase)
-        if s.op == "split":
-            if split_at is not None:
-                errors.append(f"{where}: there is already a split")
-            split_at = i
-        if s.op == "parse_geometry" and not s.params.get("crs"):
-            errors.append(f"{where}: coordinates mean nothing without a declared crs")
-        if s.op == "lag" and split_at is not None and steps[split_at].params.get("kind", "random") in ("random", "stratified"):
-            errors.append(f"{where}: a lag after a {steps[split_at].params.get('kind', 'random')} split would skip the rows of other parts")
-        if s.op.startswith("spatial_") and not any(p.op == "parse_geometry" for p in steps[:i]):
-            errors.append(f"{where}: a spatial step needs parse_geometry before it")
-    for i, s in enumerate(steps):
-        if split_at is not None and i < split_at and fits(s):
-            errors.append(f"step {i} ({s.id}): {s.op} learns from rows and stands before the split")
-        if split_at is None and s.op == "encode" and s.params.get("strategy") == "target":
-            errors.append(f"step {i} ({s.id}): target encoding needs a split before it")
-    return errors + (_structure(steps, geometry) if geometry else [])
-
-
-def _structure(steps: list[Step], geometry: Geometry) -> list[str]:
-    errors = []
-    label = next((s.params.get("label") for s in steps if s.op == "select_partition"), None)
-    chosen = geometry.partition(label)
-    if label and geometry.partitions and chosen is None:
-        errors.append(f"{label!r} is not one of the label candidates")
-    kept = {c for s in steps if s.op == "drop_derived" for c in s.params.get("keep", [])}
-    projected = {c for s in steps if s.op == "keep_columns" for c in (s.params.get("columns") or s.columns)}
-    if chosen and chosen.leakage:
-        if not any(s.op == "drop_leakage" for s in steps):
-            errors.append(f"{label!r} is given away by {sorted(chosen.leakage)}, and no step drops them")
-        held = (kept | projected) & set(chosen.leakage)
-        if held:
-            errors.append(f"{sorted(held)} would be kept although they give {label!r} away")
-    for s in steps:
-        if s.op in ("drop_identity", "drop_constant", "select_features") and not s.source.startswith("user"):
-            hit = set(geometry.basis) & set(s.columns)
-            if hit:
-                errors.append(f"{s.id} drops basis columns {sorted(hit)} without a user's word")
-        if s.op == "transform":
-            dropped = any(d.op == "drop_derived" for d in steps)
-            for head, body in geometry.derivations.items():
-                family = {head, *body}
-                if dropped and head not in kept | projected:
-                    continue
-                if family & set(s.columns) and not family <= set(s.columns):
-                    errors.append(f"{s.id} transforms part of {head} = f({', '.join(body)}) and would break it")
-    return errors
+    return faults(Plan(steps, geometry, PHASES, fits))
 
 
 def operations() -> dict[str, Callable[[Shaped, Step], dict]]:
