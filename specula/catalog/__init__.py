@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from specula.catalog import (  # noqa: F401
-        decisions, dependencies, graphs, models, profiles, places, series, shaping, tests)
+        decisions, dependencies, graphs, models, profiles, places, series, shaping, hypothesis)

@@ -10,7 +10,7 @@ from specula.catalog import query
 from specula.catalog import sqltext as q
 from specula.catalog.profiles import dependent_gaps, union_sql
 from specula.functions.effects import benjamini_hochberg, holm
-from specula.operators import drift, inference, tests
+from specula.operators import drift, hypothesis, inference
 from specula.plans.longform import contingency, rnd
 
 VALUES = ["l_quantity", "l_extendedprice"]
@@ -35,14 +35,14 @@ HEDGES_SE = "sqrt((n1 + n2) / (n1 * n2) + d * d / (2 * (n1 + n2)))"
 
 @query("group_moments", f"WITH m AS ({moments_sql(['l_linestatus', 'l_returnflag'], VALUES)}) SELECT group_col, value_col, level, n, round(m, 4) AS m, round(v, 3) AS v FROM m")
 def group_moments(t):
-    return tests.group_moments(t.lineitem, ["l_linestatus", "l_returnflag"], VALUES).select("group_col", "value_col", "level", "n", F.round("m", 4).alias("m"), F.round("v", 3).alias("v"))
+    return hypothesis.group_moments(t.lineitem, ["l_linestatus", "l_returnflag"], VALUES).select("group_col", "value_col", "level", "n", F.round("m", 4).alias("m"), F.round("v", 3).alias("v"))
 
 
 @query("welch_t", f"""WITH m AS ({moments_sql(['l_linestatus', 'l_returnflag'], VALUES)}), w AS ({WELCH})
 SELECT group_col, value_col, a, b, n1, n2, round(t, 5) + 0.0 AS t, round(df, 2) AS df, round({HEDGES}, 6) + 0.0 AS hedges_g, round({HEDGES} - 1.96 * {HEDGES_SE}, 6) + 0.0 AS ci_low,
  round({HEDGES} + 1.96 * {HEDGES_SE}, 6) + 0.0 AS ci_high, round({q.p_t('t', 'df')}, 5) + 0.0 AS p FROM w""")
 def welch_t(t):
-    return tests.welch_t(tests.group_moments(t.lineitem, ["l_linestatus", "l_returnflag"], VALUES)).select(
+    return hypothesis.welch_t(hypothesis.group_moments(t.lineitem, ["l_linestatus", "l_returnflag"], VALUES)).select(
         "group_col", "value_col", "a", "b", "n1", "n2", r("t", 5), r("df", 2), r("hedges_g"), r("ci_low"), r("ci_high"), r("p", 5))
 
 
@@ -58,19 +58,19 @@ o AS (SELECT *, ssb / (k - 1) / (ssw / (n - k)) AS classic_f, wss / (k - 1) / (1
 SELECT group_col, value_col, k, n, round(classic_f, 5) AS classic_f, round(welch_f, 5) AS welch_f, round(df2, 1) AS df2, round(eta2, 8) AS eta2, round(omega2, 8) + 0.0 AS omega2,
  round({q.p_f('classic_f', '(k - 1)', '(n - k)')}, 5) AS classic_p, round({q.p_f('welch_f', '(k - 1)', 'df2')}, 5) AS welch_p FROM o""")
 def one_way_anova(t):
-    return tests.one_way(tests.group_moments(t.lineitem, GROUPS3, VALUES)).select(
+    return hypothesis.one_way(hypothesis.group_moments(t.lineitem, GROUPS3, VALUES)).select(
         "group_col", "value_col", "k", "n", r("classic_f", 5), r("welch_f", 5), r("df2", 1), r("eta2", 8), r("omega2", 8), r("classic_p", 5), r("welch_p", 5))
 
 
 @query("games_howell", f"""WITH m AS ({moments_sql(GROUPS3, VALUES)}), w AS ({WELCH})
 SELECT group_col, value_col, a, b, round(t, 5) + 0.0 AS t, round(df, 2) AS df, round({HEDGES}, 6) + 0.0 AS hedges_g FROM w""")
 def games_howell(t):
-    return tests.games_howell(tests.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", "a", "b", r("t", 5), r("df", 2), r("hedges_g"))
+    return hypothesis.games_howell(hypothesis.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", "a", "b", r("t", 5), r("df", 2), r("hedges_g"))
 
 
 @query("games_howell_p")
 def games_howell_p(t):
-    return tests.games_howell(tests.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", "a", "b", r("p", 5))
+    return hypothesis.games_howell(hypothesis.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", "a", "b", r("p", 5))
 
 
 # ----------------------------------------------------------------- ranks
@@ -85,16 +85,16 @@ RANK_SUMS = """s AS (SELECT group_col, value_col, level, count(*) AS n, sum(rk)
 
 @query("rank_sums", f"""WITH x AS ({ranks_sql(GROUPS3, VALUES)}), {RANK_SUMS} SELECT s.group_col, s.value_col, level, s.n, CAST(r AS DOUBLE) AS r, total, CAST(ties AS DOUBLE) AS ties FROM s JOIN z USING (group_col, value_col)""")
 def rank_sums(t):
-    levels = tests.levels_of(t.lineitem, GROUPS3)
-    return tests.rank_sums(tests.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "level", "n", "r", "total", "ties")
+    levels = hypothesis.levels_of(t.lineitem, GROUPS3)
+    return hypothesis.rank_sums(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "level", "n", "r", "total", "ties")
 
 
 @query("kruskal_wallis", f"""WITH x AS ({ranks_sql(GROUPS3, VALUES)}), {RANK_SUMS}, h AS (SELECT s.group_col, s.value_col, count(*) AS k, max(total) AS n,
  (12.0 / (max(total) * (max(total) + 1.0)) * sum(r * r / s.n) - 3 * (max(total) + 1)) / (1 - max(ties) / (pow(max(total), 3) - max(total))) AS h FROM s JOIN z USING (group_col, value_col) GROUP BY 1, 2)
 SELECT group_col, value_col, k, n, round(h, 4) AS h, round(greatest(0.0, (h - k + 1) / (n - k)), 8) + 0.0 AS epsilon2, round({q.p_chi2('h', '(k - 1)')}, 5) AS p FROM h""")
 def kruskal_wallis(t):
-    levels = tests.levels_of(t.lineitem, GROUPS3)
-    k = tests.kruskal(tests.rank_sums(tests.ranked_sides(t.lineitem, levels, VALUES), levels))
+    levels = hypothesis.levels_of(t.lineitem, GROUPS3)
+    k = hypothesis.kruskal(hypothesis.rank_sums(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels))
     return k.select("group_col", "value_col", "k", "n", r("h", 4), r("epsilon2", 8), r("p", 5))
 
 
@@ -102,8 +102,8 @@ def kruskal_wallis(t):
  (a.r / a.n - b.r / b.n) / sqrt((total * (total + 1.0) / 12 - ties / (12.0 * (total - 1))) * (1.0 / a.n + 1.0 / b.n)) AS z FROM s a JOIN s b ON a.group_col = b.group_col AND a.value_col = b.value_col AND a.level < b.level
  JOIN z ON z.group_col = a.group_col AND z.value_col = a.value_col) SELECT group_col, value_col, a, b, n1, n2, round(z, 5) + 0.0 AS z, round({q.p_normal('z')}, 5) AS p FROM d""")
 def dunn(t):
-    levels = tests.levels_of(t.lineitem, GROUPS3)
-    d = tests.dunn(tests.rank_sums(tests.ranked_sides(t.lineitem, levels, VALUES), levels))
+    levels = hypothesis.levels_of(t.lineitem, GROUPS3)
+    d = hypothesis.dunn(hypothesis.rank_sums(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels))
     return d.select("group_col", "value_col", "a", "b", "n1", "n2", r("z", 5), r("p", 5))
 
 
@@ -118,15 +118,15 @@ MW_PAIRS = [("l_returnflag", y, a, b) for y in VALUES for a, b in combinations("
 
 @query("mann_whitney", f"""SELECT group_col, value_col, a, b, n1, n2, CAST(u AS DOUBLE) AS u, round(z, 5) + 0.0 AS z, round(p, 5) AS p, round(2 * u / (n1 * n2) - 1, 8) + 0.0 AS rank_biserial FROM ({union_sql([mw_sql(*x) for x in MW_PAIRS])})""")
 def mann_whitney(t):
-    levels = tests.levels_of(t.lineitem, ["l_returnflag", "l_linestatus"])
-    m = tests.mann_whitney_pairs(tests.ranked_sides(t.lineitem, levels, VALUES), levels)
+    levels = hypothesis.levels_of(t.lineitem, ["l_returnflag", "l_linestatus"])
+    m = hypothesis.mann_whitney_pairs(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels)
     return m.select("group_col", "value_col", "a", "b", "n1", "n2", "u", r("z", 5), r("p", 5), r("rank_biserial", 8))
 
 
 @query("group_medians", union_sql([f"SELECT '{g}' AS group_col, '{y}' AS value_col, CAST({g} AS VARCHAR) AS level, round(median({y}), 6) AS median FROM lineitem GROUP BY 3" for g in GROUPS3 for y in VALUES]))
 def group_medians(t):
-    levels = tests.levels_of(t.lineitem, GROUPS3)
-    return tests.level_medians(tests.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "level", r("median"))
+    levels = hypothesis.levels_of(t.lineitem, GROUPS3)
+    return hypothesis.level_medians(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "level", r("median"))
 
 
 def _levene_moments():
@@ -136,8 +136,8 @@ def _levene_moments():
 
 @query("levene", f"WITH m AS ({_levene_moments()}), {ONE_WAY} SELECT group_col, value_col, k, n, round(classic_f, 5) AS levene_f, round({q.p_f('classic_f', '(k - 1)', '(n - k)')}, 5) AS levene_p FROM o")
 def levene(t):
-    levels = tests.levels_of(t.lineitem, GROUPS3)
-    return tests.levene(tests.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "k", "n", r("levene_f", 5), r("levene_p", 5))
+    levels = hypothesis.levels_of(t.lineitem, GROUPS3)
+    return hypothesis.levene(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "k", "n", r("levene_f", 5), r("levene_p", 5))
 
 
 # ----------------------------------------------------------------- contingency
@@ -157,7 +157,7 @@ CHI_PAIRS = list(combinations(["l_returnflag", "l_linestatus", "l_linenumber"],
 
 @query("chi_square", f"""SELECT a, b, r AS rows, c AS columns, n, round(chi2, 5) + 0.0 AS chi2, round({q.p_chi2('chi2', '((r - 1) * (c - 1))')}, 5) AS p, round({CRAMER}, 6) + 0.0 AS v, round(min_expected, 4) AS min_expected FROM ({chi_sql(CHI_PAIRS, 'lineitem')})""")
 def chi_square(t):
-    c = tests.chi_square_from_cells(contingency(t.lineitem, CHI_PAIRS))
+    c = hypothesis.chi_square_from_cells(contingency(t.lineitem, CHI_PAIRS))
     return c.select("a", "b", "rows", "columns", "n", r("chi2", 5), r("p", 5), r("v"), r("min_expected", 4))
 
 
@@ -170,7 +170,7 @@ p AS (SELECT x, a, exp(lgamma(c1 + 1) - lgamma(x + 1) - lgamma(c1 - x + 1) + lga
 SELECT 'debt' AS a, 'rare' AS b, 'fisher' AS used, round(sum(p) FILTER (p <= (SELECT p FROM p WHERE x = a) * (1 + 1e-7)), 6) AS p FROM p""")
 def fisher_exact(t):
     df = t.customer.select((F.col("c_custkey") % 400 == 3).alias("rare"), (F.col("c_acctbal") < -900).alias("debt"))
-    return tests.chi_square_from_cells(contingency(df, [("debt", "rare")])).select("a", "b", "used", r("p"))
+    return hypothesis.chi_square_from_cells(contingency(df, [("debt", "rare")])).select("a", "b", "used", r("p"))
 
 
 PROP = """SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(CASE WHEN f THEN y END) AS p1, avg(CASE WHEN NOT f THEN y END) AS p2, avg(y) AS p,
@@ -193,7 +193,7 @@ def early():
 SELECT n1, n2, round(p1, 6) AS rate1, round(p2, 6) AS rate2, round(p1 - p2, 6) + 0.0 AS difference, round(p1 - p2 - 1.96 * {SE}, 6) + 0.0 AS ci_low, round(p1 - p2 + 1.96 * {SE}, 6) + 0.0 AS ci_high, round(z, 5) + 0.0 AS z,
  round({OR}, 6) AS odds_ratio, round(exp(ln({OR}) - {OR_SE}), 6) AS or_low, round(exp(ln({OR}) + {OR_SE}), 6) AS or_high, round({q.p_normal('z')}, 5) AS p FROM s""")
 def two_proportions(t):
-    x = tests.two_proportions(urgent(t), "urgent", early())
+    x = hypothesis.two_proportions(urgent(t), "urgent", early())
     return x.select("n1", "n2", *[r(c) for c in ("rate1", "rate2", "difference", "ci_low", "ci_high")], r("z", 5), r("odds_ratio"), r("or_low"), r("or_high"), r("p", 5))
 
 
@@ -265,14 +265,14 @@ PVALUES = f"WITH m AS ({moments_sql(GROUPS3, VALUES)}), {ONE_WAY}, pv AS (SELECT
 @query("benjamini_hochberg", PVALUES + """, i AS (SELECT *, row_number() OVER (ORDER BY p, group_col, value_col) AS i, count(*) OVER () AS m FROM pv)
 SELECT group_col, value_col, round(p, 5) AS p, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 5) AS p_adj FROM i""")
 def bh(t):
-    rows = tests.one_way(tests.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", F.col("classic_p").alias("p"))
+    rows = hypothesis.one_way(hypothesis.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", F.col("classic_p").alias("p"))
     return benjamini_hochberg(rows, order=["group_col", "value_col"]).select("group_col", "value_col", r("p", 5), r("p_adj", 5))
 
 
 @query("holm", PVALUES + """, i AS (SELECT *, row_number() OVER (PARTITION BY group_col ORDER BY p, value_col) AS i, count(*) OVER (PARTITION BY group_col) AS m FROM pv)
 SELECT group_col, value_col, round(p, 5) AS p, round(least(1.0, max(p * (m - i + 1)) OVER (PARTITION BY group_col ORDER BY i)), 5) AS p_holm FROM i""")
 def holm_query(t):
-    rows = tests.one_way(tests.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", F.col("classic_p").alias("p"))
+    rows = hypothesis.one_way(hypothesis.group_moments(t.lineitem, GROUPS3, VALUES)).select("group_col", "value_col", F.col("classic_p").alias("p"))
     return holm(rows, family=["group_col"], order=["value_col"]).select("group_col", "value_col", r("p", 5), r("p_holm", 5))
 
 
@@ -286,13 +286,13 @@ c AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 6 + 8
 e AS (SELECT *, 1 + x * sqrt(2 / (A - 4)) AS den FROM c)
 SELECT 'l_linestatus' AS group_col, level, n, 'dagostino' AS test, round(z1 * z1 + pow((1 - 2 / (9 * A) - sign(den) * pow((1 - 2 / A) / abs(den), 1.0 / 3)) / sqrt(2 / (9 * A)), 2), 2) AS statistic FROM e WHERE n > 1000""")
 def normality_large(t):
-    return tests.normality(t.lineitem, ["l_linestatus"], ["l_quantity"], small=1000).select("group_col", "level", "n", "test", r("statistic", 2))
+    return hypothesis.normality(t.lineitem, ["l_linestatus"], ["l_quantity"], small=1000).select("group_col", "level", "n", "test", r("statistic", 2))
 
 
 @query("normality_small")
 def normality_small(t):
     c = t.customer.select(F.concat(F.lit("g"), (F.col("c_custkey") % 40).cast("string")).alias("g"), "c_acctbal")
-    return tests.normality(c, ["g"], ["c_acctbal"]).select("level", "n", "test", r("statistic"), r("p"))
+    return hypothesis.normality(c, ["g"], ["c_acctbal"]).select("level", "n", "test", r("statistic"), r("p"))
 
 
 PAIRED = "(SELECT l_extendedprice * l_discount AS a, l_extendedprice * l_tax AS b FROM lineitem)"
@@ -305,7 +305,7 @@ def paired(t):
 @query("paired_t", f"""WITH k AS (SELECT count(*) AS n, avg(a - b) AS mean, stddev_samp(a - b) AS sd FROM {PAIRED}) SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean / (sd / sqrt(n)), 4) AS t, round(mean / sd, 6) AS dz,
  round({q.p_t('mean / (sd / sqrt(n))', '(n - 1)')}, 6) + 0.0 AS p FROM k""")
 def paired_t(t):
-    return tests.paired_t(paired(t), "a", "b").select("n", r("mean", 4), r("sd", 4), r("t", 4), r("dz"), r("p"))
+    return hypothesis.paired_t(paired(t), "a", "b").select("n", r("mean", 4), r("sd", 4), r("t", 4), r("dz"), r("p"))
 
 
 @query("wilcoxon_signed_rank", f"""WITH d AS (SELECT l_discount * 100 - l_tax * 100 AS d FROM lineitem WHERE l_discount * 100 <> l_tax * 100), x AS (SELECT d, {q.average_rank('abs(d)')} AS rk, count(*) OVER (PARTITION BY abs(d)) AS tie FROM d),
@@ -313,25 +313,25 @@ s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS wp, sum(C
 SELECT n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus, round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48.0), 4) AS z FROM s""")
 def wilcoxon(t):
     df = t.lineitem.select((F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b"))
-    return tests.wilcoxon_signed_rank(df, "a", "b").select("n", "w_plus", "w_minus", r("z", 4))
+    return hypothesis.wilcoxon_signed_rank(df, "a", "b").select("n", "w_plus", "w_minus", r("z", 4))
 
 
 @query("permutation_test")
 def permutation_test(t):
-    p = tests.permutation_test(t.orders, "o_totalprice", F.col("o_orderstatus") == "F", "o_orderkey", reps=99)
+    p = hypothesis.permutation_test(t.orders, "o_totalprice", F.col("o_orderstatus") == "F", "o_orderkey", reps=99)
     return p.select(r("observed", 4), "reps", r("p", 4))
 
 
 @query("bootstrap_interval")
 def bootstrap(t):
-    return tests.bootstrap_interval(t.orders, "o_totalprice", "o_orderkey", reps=200).select("column", "reps", r("ci_low", 2), r("centre", 2), r("ci_high", 2))
+    return hypothesis.bootstrap_interval(t.orders, "o_totalprice", "o_orderkey", reps=200).select("column", "reps", r("ci_low", 2), r("centre", 2), r("ci_high", 2))
 
 
 @query("conditional_mutual_information", """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, l_linenumber AS z, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), t AS (SELECT sum(n) AS t FROM c)
 SELECT 'l_returnflag' AS x, 'l_linestatus' AS y, 'l_linenumber' AS z, CAST(max(t) AS BIGINT) AS n, round(sum(n / t * ln(n * nz / (nxz * nyz))), 8) + 0.0 AS cmi FROM (
  SELECT n, sum(n) OVER (PARTITION BY z) AS nz, sum(n) OVER (PARTITION BY x, z) AS nxz, sum(n) OVER (PARTITION BY y, z) AS nyz FROM c), t""")
 def cmi(t):
-    return tests.conditional_mutual_information(t.lineitem, "l_returnflag", "l_linestatus", "l_linenumber").select("x", "y", "z", "n", r("cmi", 8))
+    return hypothesis.conditional_mutual_information(t.lineitem, "l_returnflag", "l_linestatus", "l_linenumber").select("x", "y", "z", "n", r("cmi", 8))
 
 
 # ----------------------------------------------------------------- inference

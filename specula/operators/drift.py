@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specula.functions.effects import benjamini_hochberg
-from specula.operators import tests
+from specula.operators import hypothesis
 from specula.plans.longform import contingency
 
 
@@ -17,17 +17,17 @@ def _sides(df: DataFrame, first: Column) -> tuple[DataFrame, dict[str, list[str]
 def numeric_drift(df: DataFrame, columns: list[str], first: Column, least: int = 10) -> DataFrame:
     """KS distance, its p, PSI and Wasserstein distance per numeric column, from one value-count table."""
     marked, levels = _sides(df, first)
-    ranked = tests.ranked_sides(marked, levels, columns)
-    ks = tests.ks_from_ranked(ranked).filter((F.col("n1") >= least) & (F.col("n2") >= least))
-    return (ks.join(tests.psi_numeric(ranked), tests.PAIR, "left")
+    ranked = hypothesis.ranked_sides(marked, levels, columns)
+    ks = hypothesis.ks_from_ranked(ranked).filter((F.col("n1") >= least) & (F.col("n2") >= least))
+    return (ks.join(hypothesis.psi_numeric(ranked), hypothesis.PAIR, "left")
             .select(F.col("value_col").alias("column"), "n1", "n2", "ks_d", "p", "wasserstein", "psi"))
 
 
 def nominal_drift(df: DataFrame, columns: list[str], first: Column) -> DataFrame:
     """Chi-square, bias-corrected V and PSI per category column."""
     marked, _ = _sides(df, first)
-    table = tests.chi_square_from_cells(contingency(marked, [("_side", c) for c in columns]))
-    return (table.withColumnRenamed("b", "column").join(F.broadcast(tests.psi_categorical(df, columns, first)), "column")
+    table = hypothesis.chi_square_from_cells(contingency(marked, [("_side", c) for c in columns]))
+    return (table.withColumnRenamed("b", "column").join(F.broadcast(hypothesis.psi_categorical(df, columns, first)), "column")
             .select("column", "n", "chi2", F.col("chi2_p").alias("p"), F.col("v").alias("cramers_v"), "min_expected", "psi"))
 
 
@@ -40,5 +40,5 @@ def drift_report(df: DataFrame, numeric: list[str], nominal: list[str], first: C
 
 
 def label_rate_drift(df: DataFrame, label: str, first: Column) -> DataFrame:
-    return tests.two_proportions(df, label, first).select(
+    return hypothesis.two_proportions(df, label, first).select(
         F.col("rate1").alias("first_rate"), F.col("rate2").alias("rest_rate"), "difference", "ci_low", "ci_high")

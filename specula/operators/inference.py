@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specula.functions.effects import benjamini_hochberg, holm
-from specula.operators import tests
-from specula.operators.tests import PAIR
+from specula.operators import hypothesis
+from specula.operators.hypothesis import PAIR
 from specula.operators.typing import level_counts
 from specula.plans.longform import contingency
 
@@ -25,7 +25,7 @@ def eligible(df: DataFrame, groups: list[str], values: list[str], most_levels: i
 
 
 def _kept_levels(df: DataFrame, groups: list[str], values: list[str], least: int, least_rows: int) -> DataFrame:
-    moments = tests.group_moments(df, groups, values).filter(F.col("n") >= least)
+    moments = hypothesis.group_moments(df, groups, values).filter(F.col("n") >= least)
     per = Window.partitionBy(*PAIR)  # levels of small category columns only
     return (moments.withColumn("_k", F.count(F.lit(1)).over(per)).withColumn("_n", F.sum("n").over(per))
             .filter((F.col("_k") >= 2) & (F.col("_n") >= least_rows)).drop("_k", "_n"))
@@ -37,9 +37,9 @@ def normal_enough(df: DataFrame, kept: DataFrame, groups: list[str], values: lis
     Only levels below 30 rows are ever handed to the test.
     """
     few = kept.filter("n >= 8 AND n < 30 AND v > 0").select(*PAIR, "level")
-    rows = tests.group_values(df, groups, values).join(F.broadcast(few), [*PAIR, "level"], "left_semi")
+    rows = hypothesis.group_values(df, groups, values).join(F.broadcast(few), [*PAIR, "level"], "left_semi")
     bad = (rows.groupBy(*PAIR, "level").applyInPandas(
-        tests._shapiro_frame, "group_col string, value_col string, level string, n long, test string, statistic double, p double")
+        hypothesis._shapiro_frame, "group_col string, value_col string, level string, n long, test string, statistic double, p double")
         .filter(F.col("p") <= alpha).select(*PAIR).distinct().withColumn("bad", F.lit(True)))
     return (kept.select(*PAIR).distinct().join(F.broadcast(bad), PAIR, "left")
             .select(*PAIR, F.col("bad").isNull().alias("norm_ok")))
@@ -52,11 +52,11 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
     Welch's ANOVA, or Kruskal-Wallis.
     """
     groups, values = eligible(df, groups, values)
-    levels = tests.levels_of(df, groups)
+    levels = hypothesis.levels_of(df, groups)
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
-    ranked = tests.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
-    sums = tests.rank_sums(ranked, levels)
+    ranked = hypothesis.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
+    sums = hypothesis.rank_sums(ranked, levels)
     shape = lambda t, test, stat, p, effect, name: t.select(
         *PAIR, F.lit(test).alias("test"), F.col(stat).alias("statistic"), F.col(p).alias("p"),
         F.lit(name).alias("effect_name"), F.col(effect).alias("effect"))
@@ -64,13 +64,13 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
     two = sizes.filter("k = 2").select(*PAIR)
     many = sizes.filter("k > 2").select(*PAIR)
     some = lambda t, which: t.join(F.broadcast(which), PAIR, "left_semi")
-    parametric = (shape(some(tests.welch_t(kept), two), "welch-t", "t", "p", "hedges_g", "hedges_g")
-                  .union(shape(some(tests.one_way(kept), many), "welch-anova", "welch_f", "welch_p", "omega2", "omega_squared")))
-    by_rank = (shape(some(tests.mann_whitney_pairs(ranked, levels), two), "mann-whitney", "u", "p", "rank_biserial", "rank_biserial")
-               .union(shape(some(tests.kruskal(sums), many), "kruskal-wallis", "h", "p", "epsilon2", "epsilon_squared")))
+    parametric = (shape(some(hypothesis.welch_t(kept), two), "welch-t", "t", "p", "hedges_g", "hedges_g")
+                  .union(shape(some(hypothesis.one_way(kept), many), "welch-anova", "welch_f", "welch_p", "omega2", "omega_squared")))
+    by_rank = (shape(some(hypothesis.mann_whitney_pairs(ranked, levels), two), "mann-whitney", "u", "p", "rank_biserial", "rank_biserial")
+               .union(shape(some(hypothesis.kruskal(sums), many), "kruskal-wallis", "h", "p", "epsilon2", "epsilon_squared")))
     chosen = (parametric.withColumn("wants", F.lit(True)).union(by_rank.withColumn("wants", F.lit(False)))
               .join(F.broadcast(ok), PAIR).filter(F.col("wants") == F.col("norm_ok")).drop("wants"))
-    spread = tests.levene(ranked, levels).select(*PAIR, "levene_p")
+    spread = hypothesis.levene(ranked, levels).select(*PAIR, "levene_p")
     out = chosen.join(F.broadcast(sizes), PAIR).join(F.broadcast(spread), PAIR, "left")
     out = benjamini_hochberg(out, order=PAIR).orderBy("p_adj", *PAIR)
     return out.limit(keep) if keep else out
@@ -79,14 +79,14 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
 def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float = 0.05, keep: int = 12) -> DataFrame:
     """Pairwise level comparisons: Games-Howell, or Dunn when normality fails; Holm on top of either."""
     groups, values = eligible(df, groups, values)
-    levels = tests.levels_of(df, groups)
+    levels = hypothesis.levels_of(df, groups)
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
-    ranked = tests.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
-    gh = tests.games_howell(kept).select(*PAIR, "a", "b", F.lit("games-howell").alias("test"), F.col("t").alias("statistic"),
+    ranked = hypothesis.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
+    gh = hypothesis.games_howell(kept).select(*PAIR, "a", "b", F.lit("games-howell").alias("test"), F.col("t").alias("statistic"),
                                          "p", F.col("hedges_g").alias("effect"))
-    ranks = tests.mann_whitney_pairs(ranked, levels).select(*PAIR, "a", "b", F.col("rank_biserial").alias("effect"))
-    dn = (tests.dunn(tests.rank_sums(ranked, levels)).select(*PAIR, "a", "b", F.lit("dunn").alias("test"),
+    ranks = hypothesis.mann_whitney_pairs(ranked, levels).select(*PAIR, "a", "b", F.col("rank_biserial").alias("effect"))
+    dn = (hypothesis.dunn(hypothesis.rank_sums(ranked, levels)).select(*PAIR, "a", "b", F.lit("dunn").alias("test"),
                                                              F.col("z").alias("statistic"), "p")
           .join(ranks, [*PAIR, "a", "b"]))
     both = gh.withColumn("wants", F.lit(True)).unionByName(dn.withColumn("wants", F.lit(False)))
@@ -98,7 +98,7 @@ def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float
 
 def nominal_by_nominal(df: DataFrame, columns: list[str], keep: int | None = None) -> DataFrame:
     """Chi-square, or Fisher for small 2x2 tables, over all pairs; adjusted over the family."""
-    table = tests.chi_square_from_cells(contingency(df, list(combinations(columns, 2))))
+    table = hypothesis.chi_square_from_cells(contingency(df, list(combinations(columns, 2))))
     out = benjamini_hochberg(table, order=["a", "b"]).orderBy("p_adj", "a", "b")
     return out.limit(keep) if keep else out
 

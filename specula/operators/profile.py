@@ -129,15 +129,20 @@ def isolation_steps(df: DataFrame, column: str, row_id: str, trees: int = 100, s
                     seed: int = 7) -> tuple[list[float], list[float]]:
     """Mean isolation depth as a step function of the value: (cut points, depth per piece).
 
-    The forest needs at most ``trees x size`` sampled rows, whatever the table holds. A tree
-    over one column only cuts the line, so the whole forest is one sorted list of cuts.
+    Every row may be drawn for any tree: hashed draws deal rows out to trees, and each tree keeps
+    its first ``size``. Only some multiple of the rows that the forest needs is dealt out, whatever the
+    table holds. A tree over one column only cuts the line, so the whole forest is one sorted list of cuts.
     """
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
-    pool = (df.select(F.col(column).cast("double").alias("x"), draw.alias("h"))
-            .filter(F.col("x").isNotNull() & ~F.isnan("x")).orderBy("h").limit(16 * size))
+    held = df.select(F.col(column).cast("double").alias("x"), draw.alias("h")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, want = max(held.count(), 1), 4 * trees * size
+    often = min(trees, math.ceil(want / n))  # trees that a row of a small table is dealt to
+    pool = held.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(min(1.0, want / n) * (1 << 30)))
+    dealt = (F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(often - 1)), lambda j: F.pmod(F.xxhash64("h", j), F.lit(trees)).cast("int")))
+             if often < trees else F.sequence(F.lit(0), F.lit(trees - 1)))
     mine = F.md5(F.concat_ws(":", F.col("tree").cast("string"), "h"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("m"))
-    picks = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("m", mine)
+    picks = (pool.withColumn("tree", F.explode(dealt)).withColumn("m", mine)
              .withColumn("r", rank).filter(F.col("r") <= size).select("tree", "x"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

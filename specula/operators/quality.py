@@ -108,7 +108,7 @@ def mann_whitney_from_ranks(df: DataFrame) -> DataFrame:
 def missingness_nominal(df: DataFrame, columns: list[str], others: list[str], min_missing: int = 10,
                         max_levels: int = 30) -> DataFrame:
     """Chi-square of every other category against missing or not; Fisher for small 2x2 tables."""
-    from specula.operators.tests import chi_square_from_cells
+    from specula.operators.hypothesis import chi_square_from_cells
     cells = F.array(*[F.struct(F.lit(c).alias("a"), F.lit(o).alias("b"),
                                F.col(c).isNull().cast("string").alias("level_a"), level(o).alias("level_b"))
                       for c in columns for o in others if c != o])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specula.operators import tests
+from specula.operators import hypothesis
 from specula.operators.derive import formula_check, row_determination
 from specula.operators.shaping.columns import active_heads
 from specula.operators.shaping.recipe import Shaped
@@ -52,11 +52,11 @@ def untouched_drift(source: DataFrame, state: Shaped, limit: float = 0.25, least
     out = None
     if numeric:
         marked = both.withColumn("_side", F.when(F.col("_in"), "first").otherwise("rest"))
-        ranked = tests.ranked_sides(marked, {"_side": ["first", "rest"]}, numeric)
-        out = tests.psi_numeric(ranked.filter((F.col("total_n0") >= least) & (F.col("total_n1") >= least))).select(
+        ranked = hypothesis.ranked_sides(marked, {"_side": ["first", "rest"]}, numeric)
+        out = hypothesis.psi_numeric(ranked.filter((F.col("total_n0") >= least) & (F.col("total_n1") >= least))).select(
             F.col("value_col").alias("column"), "psi")
     if other:
-        nominal = tests.psi_categorical(both, other, F.col("_in"))
+        nominal = hypothesis.psi_categorical(both, other, F.col("_in"))
         out = nominal if out is None else out.union(nominal)
     return out.withColumn("moved", F.col("psi") > limit)
 
