@@ -133,9 +133,9 @@ def pattern_query(t):
     return graph.pattern_query(f.union(types), [has("isA", "?x", "?segment"), has("livesIn", "?x", "?nation")], ["?nation", "?segment"])
 
 
-@query("pattern_absence", f"WITH f AS {FACTS_SQL} SELECT DISTINCT s AS x FROM f WHERE p = 'livesIn' AND s NOT IN (SELECT o FROM f WHERE p = 'placedBy')")
+@query("pattern_absence", f"WITH f AS {FACTS_SQL} SELECT DISTINCT s AS x FROM f WHERE p = 'livesIn' AND s NOT IN (SELECT s FROM f WHERE p = 'type' AND o = 'BUILDING')")
 def pattern_absence(t):
-    return graph.pattern_query(facts(t), [has("livesIn", "?x", "?n"), Atom("property:placedBy", ("?o", "?x"), negated=True)], ["?x"])
+    return graph.pattern_query(facts(t), [has("livesIn", "?x", "?n"), Atom("class:BUILDING", ("?x",), negated=True)], ["?x"])
 
 
 @query("horn_rules", """WITH RECURSIVE p AS (SELECT c_custkey // 2 AS a, c_custkey AS b FROM customer WHERE c_custkey > 0), anc(a, b) AS (SELECT a, b FROM p UNION SELECT anc.a, p.b FROM anc JOIN p ON anc.b = p.a),
