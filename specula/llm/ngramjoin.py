@@ -12,8 +12,8 @@
    n-gram must suffice) and the suffix filter (parities of hash cells bound the difference), and
    are verified once per pair on whole sets.
 5. A group of thousands of variants has millions of similar pairs. As only components are asked
-   for, a first round pairs the members of an n-gram with one leader and joins what is verified;
-   the second takes every pair across what is not connected yet.
+   for, a first round groups classes by a leader that they share n-grams with, pairs all of a group with
+   some of it and joins what is verified; the second takes every pair across what is not connected yet.
    So no connection between different sets is lost, and none is verified twice.
 """
 
@@ -31,6 +31,8 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BASE = 0xD6E8FEB86659FD93
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 20
+#: of classes that have the same leader, about so many are paired with all others in the first round
+CHIEFS = 32
 
 
 def _mixed(v):
@@ -335,6 +337,12 @@ def _may_match(a, b, percent: int):
     return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (small + large))
 
 
+def _may_link(size_a, size_b, parity_a, parity_b, percent: int):
+    """Length and suffix filter of two sets: at least as many n-grams are in one of them only as cell parities differ."""
+    apart = sum(F.bit_count(parity_a[i].bitwiseXOR(parity_b[i])) for i in range(4))
+    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * apart <= (100 - percent) * (size_a + size_b))
+
+
 def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pairs: DataFrame, small: int = 500_000) -> DataFrame:
     """Of ``pairs`` (a, b, a_id, b_id) those whose sets are similar enough."""
     need = settle(pairs.select(F.col("a").alias("class"), F.col("a_id").alias("id"))
@@ -405,29 +413,28 @@ def _links(docs, doc_id, text, n, percent, live, classes):
     """Links that connect whatever is connected."""
     about = classes.select("class", "id", "size", "parity")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        side = lambda s: about.select(F.col("class").alias(s), F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("parity").alias(f"{s}_parity"))
-        apart = sum(F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(4))
-        # the suffix filter: at least so many n-grams are in one of both sets only
-        left = settle(pairs.join(side("a"), "a").join(side("b"), "b")
-                      .filter((100 + percent) * apart <= (100 - percent) * (F.col("a_size") + F.col("b_size"))).select("a", "b", "a_id", "b_id"))
-        return settle(verified(docs, doc_id, text, n, percent, left))
-
-    # first every class of an n-gram with one leader
-    leaders = settle(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("class").alias("draw"), "class", "size", "place")).alias("lead"))
-                     .filter("n > 1").select("key", F.col("lead.class").alias("other"), F.struct("lead.size", "lead.place").alias("lead")))
-    lead = {c: F.col(f"lead.{c}") for c in ("size", "place")}
-    tried = settle(live.join(leaders, "key").filter((F.col("class") != F.col("other")) & _may_match({c: F.col(c) for c in ("size", "place")}, lead, percent))
-                   .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
-    found = check(tried)
+    # first: classes with the same leader among those they share n-grams with are paired with some of them
+    leaders = settle(live.groupBy("key").agg(F.min(F.struct(F.xxhash64("class").alias("draw"), "class")).alias("lead")))
+    home = settle(live.join(leaders, "key").groupBy("class").agg(F.min("lead").alias("lead")).select("class", F.col("lead.class").alias("home")).join(about, "class"))
+    sizes = settle(home.groupBy("home").agg(F.count(F.lit(1)).alias("n")))
+    draw = F.pmod(F.xxhash64("class", F.lit("chief")), F.lit(1 << 30)).cast("double") / (1 << 30)
+    chiefs = settle(home.join(sizes, "home").filter((draw * F.col("n") < CHIEFS) | (F.col("class") == F.col("home"))).drop("n"))
+    x, y = home.alias("x"), chiefs.alias("y")
+    met = x.join(y, (F.col("x.home") == F.col("y.home")) & (F.col("x.class") != F.col("y.class")) & _may_link(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"), percent))
+    first = F.col("x.class") < F.col("y.class")
+    tried = settle(met.select(*[F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(n) for c, n in (("class", "a"), ("id", "a_id"))],
+                              *[F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(n) for c, n in (("class", "b"), ("id", "b_id"))]).distinct())
+    found = settle(verified(docs, doc_id, text, n, percent, tried))
     # then all pairs across what is not connected yet; components are named by the digest of one of their classes
     ids = connected_components(found, "a_id", "b_id")
     owner = about.select("class", "id").join(ids.withColumnRenamed("node", "id"), "id").select("class", F.xxhash64("component").alias("owner"))
     owned = settle(live.join(settle(owner), "class", "left").select("key", "class", "size", "place", F.coalesce("owner", F.xxhash64("class", F.lit("alone"))).alias("owner")))
     open_keys = owned.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("key")
-    entry = settle(owned.join(settle(open_keys), "key", "left_semi"))
+    entry = settle(owned.join(settle(open_keys), "key", "left_semi").join(about.select("class", "id", "parity"), "class"))
     x, y = entry.alias("x"), entry.alias("y")
-    a, b = ({c: F.col(f"{p}.{c}") for c in ("size", "place")} for p in "xy")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.owner") != F.col("y.owner")) & _may_match(a, b, percent)).select(
-        F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return found.union(check(pairs.join(tried, ["a", "b"], "left_anti")))
+    a, b = ({c: F.col(f"{p}.{c}") for c in ("class", "id", "owner", "size", "place", "parity")} for p in "xy")
+    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (a["class"] < b["class"]) & (a["owner"] != b["owner"]) & _may_match(a, b, percent)
+                    & _may_link(a["size"], b["size"], a["parity"], b["parity"], percent))
+             .select(a["class"].alias("a"), b["class"].alias("b"), a["id"].alias("a_id"), b["id"].alias("b_id")).distinct())
+    left = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    return found.union(settle(verified(docs, doc_id, text, n, percent, left)))
