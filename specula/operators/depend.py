@@ -214,7 +214,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     spread = ((m * (2 * F.col("n_x") + 5) - F.col("t1_x") - F.col("t1_y")) / 18
               + 2 * F.col("t_x") * F.col("t_y") / m
               + F.col("t0_x") * F.col("t0_y") / (9 * m * (F.col("n_x") - 2)))
-    return (both.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n_x").alias("n"), "concordant", "discordant",
+    return (both.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n_x").alias("n"), F.col("concordant").cast("double").alias("concordant"), F.col("discordant").cast("double").alias("discordant"),
                         tau.alias("kendall"), (s / F.sqrt(spread)).alias("z"))
             .withColumn("p", tails.p_normal("z")))
 
