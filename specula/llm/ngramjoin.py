@@ -30,7 +30,7 @@ from specula.session import settle, shuffle_width
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BASE = 0xD6E8FEB86659FD93
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: of classes that have the same leader, about so many are paired with all others in the first round
 CHIEFS = 32
 
@@ -49,7 +49,7 @@ def _powers(base: int, n: int):
         table = np.full(n, base, np.uint64)
         table[0] = 1
         return np.multiply.accumulate(table)
-    n = 1 << max(20, (n - 1).bit_length())
+    n = 1 << max(18, (n - 1).bit_length())
     return once(("powers", base, n), build)
 
 
@@ -155,7 +155,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             size, first, second, parity = _digests(*shingle_sets(batch.column(1), n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
                                               pa.array(list(parity), pa.list_(pa.int64()))], names=["id", "size", "class", "check", "parity"])
@@ -203,7 +203,7 @@ def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: i
                     gap = np.diff(k, prepend=np.uint64(0))
                     gap = np.where(np.diff(k >> np.uint64(32), prepend=np.uint64(1 << 40)) != 0, k & np.uint64(0xFFFFFFFF), gap)
                     yield _blocks(k >> np.uint64(32), [gap.astype(np.uint32), c], ["bucket", "keys", "counts"], planes=1)
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             hashes, ends = shingle_sets(batch.column(0), n)
             names = _digests(hashes, ends)[1].tolist()
             keys = hashes >> np.uint64(32 - bits)
@@ -214,7 +214,7 @@ def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: i
                     held.append(keys[start:end])
                     many += end - start
                 start = end
-            if many > 4_000_000:
+            if many > 1_500_000:
                 yield from flush()
                 many = 0
         if held:
@@ -274,7 +274,7 @@ def postings(docs: DataFrame, text: str, n: int, percent: int, heavy, bits: int,
             # entries of frequent n-grams are only passed on: they are dealt out by class
             bucket = np.where(count > 0, (1 << bits) + (owner.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), key >> 32)
             return _blocks(bucket, [key, owner, size, place], names)
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             hashes, ends = shingle_sets(batch.column(0), n)
             every = (hashes >> np.uint64(32 - bits)).astype(np.int64)
             start = 0
@@ -353,7 +353,7 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
 
     def build(batches):
         import pyarrow as pa
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             hashes, ends = shingle_sets(batch.column(1), n)
             names = _digests(hashes, ends)[1]
             starts = [0, *ends[:-1].tolist()]
@@ -363,7 +363,7 @@ def verified(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, pair
     def compare(batches):
         import numpy as np
         import pyarrow as pa
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
