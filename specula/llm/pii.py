@@ -16,15 +16,26 @@ from specula.llm.bpe import _q
 
 # Formats and ranges of the kinds, as published for each of them.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: lengths of the IBAN registry; a number printed in groups ends where its country says
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+                23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+                29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+SSN = r"(?<![\p{L}\p{N}-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)"
+DATE = r"(?<![\p{L}\p{N}-])(?:1[89]|2[01])\d{2}-\d{2}-\d{2}(?![\p{N}]|-\d)"
+IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"
+PHONE_STEP = r"(?:[ .-]|[ .-]?\(|\)[ .-]?)?\d"
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
     "secret": r"(?<=(?i:token|secret|key|password) ?[=:] ?[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}+(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "ssn": r"(?<![\p{L}\p{N}-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)",
-    "date": r"(?<![\p{L}\p{N}-])(?:1[89]|2[01])\d{2}-\d{2}-\d{2}(?![\p{N}]|-\d)",
-    "card": r"(?<![\p{L}\p{N}.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}\d{{2}})(?:{GROUPED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}+)(?![\p{{L}}\p{{N}}])",
+    # in the usual three groups, in pairs, and in any groups: to the end of the digits if these are 15 at most, else up to 12 digits
+    "phone": r"(?<![\p{L}\p{N}+])\+(?:\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
+             r"|\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ .-]\d{2}){3,4}(?!\d)"
+             rf"|\d(?:{PHONE_STEP}){{7,14}}+(?![ .-]?\d)|\d(?:{PHONE_STEP}){{7,11}}(?!\d))",
+    "ip": IP, "ssn": SSN, "date": DATE,
+    # a whole run of digits, up to a value of another kind; the numbers in it are looked for by their check digits
+    "card": rf"(?<![\p{{L}}\p{{N}}.-])(?=\d(?:[ -]?\d){{12}})(?!\d{{20}})\d++(?![\p{{L}}\p{{N}}])(?:[ -](?!{DATE}|{SSN}|{IP})\d++(?![\p{{L}}\p{{N}}]))*+",
 }
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -79,10 +90,10 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def _laid_out(text: Column, digits: Column) -> Column:
-    """``digits`` in the places that the digits of ``text`` have."""
+def _laid_out(text: Column, digits: Column, places: str = DIGITS) -> Column:
+    """``digits`` in the places that the digits (or the characters of ``places``) of ``text`` have."""
     done = F.aggregate(_chars(text), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), lambda s, c: F.when(
-        F.instr(F.lit(DIGITS), c) > 0, F.struct(F.concat(s["out"], F.substring(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k")))
+        F.instr(F.lit(places), c) > 0, F.struct(F.concat(s["out"], F.substring(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k")))
         .otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k"))))
     return done["out"]
 
@@ -101,17 +112,69 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(_chars(moved), F.lit(0), step)
 
 
+#: groups of digits as cards have them
+CARD = r"^(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}(?: \d{1,3})?|\d{4} \d{6} \d{4,5}|\d{4} \d{4} \d{4} \d|\d{4} \d{4} \d{5})$"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", [DIGITS])
     check = F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits) % 10 == 0, _laid_out(m, F.concat(body, check))).otherwise(m)
+    return _bound(F.concat(body, check), lambda made: _laid_out(m, made))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(new, n): the run ``m`` with the card numbers in it replaced, and how many these are.
+
+    A number is any sequence of whole groups of the run with 13 to 19 digits and a valid check digit. Numbers are taken
+    from left to right. Of those that begin with the same group, groups as cards have them come first, the shortest of
+    them, then the longest of the others; others that run into a number grouped like a card give way to it.
+    """
+    def spans(g: Column) -> Column:
+        """(a, b) for each group: how many groups a number has that begins there, grouped like a card or in another way; 0 for none."""
+        def at(i: Column) -> Column:
+            def candidate(k: Column) -> Column:
+                part = F.slice(g, i, k)
+                joined = F.array_join(part, "")
+                fits = joined.rlike(r"^\d{13,19}$") & (luhn_sum(joined) % 10 == 0)
+                return F.when(joined.rlike(r"^\d{13,19}$"), F.when(fits, F.when(F.array_join(part, " ").rlike(CARD), k).otherwise(-k)))
+            most = F.least(F.lit(19), F.size(g) - i + 1)
+            good = F.filter(F.transform(F.sequence(F.lit(1), most), candidate), lambda k: k.isNotNull())
+            return _bound(good, lambda ks: F.struct(F.coalesce(F.array_min(F.filter(ks, lambda k: k > 0)), F.lit(0)).alias("a"),
+                                                    F.coalesce(-F.array_min(F.filter(ks, lambda k: k < 0)), F.lit(0)).alias("b")))
+        return F.transform(F.sequence(F.lit(1), F.size(g)), at)
+
+    def replaced(s: Column) -> Column:
+        g, found = s["g"], s["found"]
+
+        def step(state: Column, i: Column) -> Column:
+            here = F.element_at(found, i)
+            clear = ~F.exists(F.slice(found, i + 1, F.greatest(here["b"] - 1, F.lit(0))), lambda x: x["a"] > 0)
+            span = F.when(state["skip"] > 0, 0).when(here["a"] > 0, here["a"]).when((here["b"] > 0) & clear, here["b"]).otherwise(0)
+            before = F.when(i > 1, F.substring(m, state["at"] - 1, F.lit(1))).otherwise("")
+            word = F.element_at(g, i)
+            return _bound(span, lambda k: F.struct(
+                F.when(state["skip"] > 0, state["new"]).when(k == 0, F.concat(state["new"], before, word)).otherwise(F.concat(
+                    state["new"], before, _card(F.substring(m, state["at"], F.length(F.array_join(F.slice(g, i, k), " "))), key))).alias("new"),
+                F.when(k > 0, k - 1).otherwise(F.greatest(state["skip"] - 1, F.lit(0))).alias("skip"),
+                (state["at"] + F.length(word) + 1).alias("at"), (state["n"] + F.when(k > 0, 1).otherwise(0)).alias("n")))
+        start = F.struct(F.lit("").alias("new"), F.lit(0).alias("skip"), F.lit(1).alias("at"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda x: F.struct(x["new"].alias("new"), x["n"].alias("n")))
+    return _bound(F.split(m, "[ -]"), lambda g: _bound(F.struct(g.alias("g"), spans(g).alias("found")), replaced))
 
 
 def _iban(m: Column, key: str) -> Column:
-    body = permute_text(F.substring(m, F.lit(5), F.length(m)), key, "iban", [DIGITS, UPPER])
-    check = F.lit(98) - mod97(F.concat(F.substring(m, 1, 2), F.lit("00"), body))
-    return F.when(mod97(m) == 1, F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), body)).otherwise(m)
+    """(new, n): what is no IBAN may still hold a card number."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    body = permute_text(F.substring(plain, F.lit(5), F.length(plain)), key, "iban", [DIGITS, UPPER])
+    check = F.lit(98) - mod97(F.concat(F.substring(plain, 1, 2), F.lit("00"), body))
+    made = F.concat(F.substring(plain, 1, 2), F.lpad(check.cast("string"), 2, "0"), body)
+    return F.when(mod97(plain) == 1, F.struct(_bound(made, lambda x: _laid_out(m, x, DIGITS + UPPER)).alias("new"), F.lit(1).alias("n"))).otherwise(_cards(m, key))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -144,7 +207,7 @@ def _date(m: Column, key: str) -> Column:
 CHANGES = {
     "email": lambda m, key: permute_text(m, key, "email", [DIGITS, LOWER, UPPER, ACCENTED]),
     "secret": lambda m, key: permute_text(m, key, "secret", [DIGITS + LOWER[:6], UPPER[:6]]),
-    "iban": _iban, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card,
+    "iban": _iban, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _cards,
 }
 
 
@@ -160,18 +223,19 @@ def pseudonymise(df: DataFrame, text: str, key: str, into: str | None = None, fo
     matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
     def changed(m: Column) -> Column:
-        out = m
+        out = F.struct(m.alias("new"), F.lit(0).alias("n"))
         # a value's kind shows in itself: the look-around parts of the formats only concern its neighbours
         for kind, test in (("card", F.lit(True)), ("date", m.rlike(r"^\d{4}-\d{2}-\d{2}$")), ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$")),
-                           ("ip", m.contains(".")), ("phone", m.startswith("+")), ("iban", m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")),
+                           ("ip", m.contains(".")), ("phone", m.startswith("+")), ("iban", m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$")),
                            ("secret", m.rlike("^[0-9A-Fa-f]{32,}$")), ("email", m.contains("@"))):
-            out = F.when(test, CHANGES[kind](m, key)).otherwise(out)
+            new = CHANGES[kind](m, key)
+            out = F.when(test, new if kind in ("card", "iban") else F.struct(new.alias("new"), F.lit(1).alias("n"))).otherwise(out)
         return out
     # every kind has a digit or an at sign: texts without either are passed through
     pieces = F.split(t, pattern, -1)
-    pairs = F.transform(matches, lambda m: F.struct(m.alias("old"), changed(m).alias("new")))
+    pairs = F.transform(matches, lambda m: F.struct(m.alias("old"), changed(m).alias("made")))
     made = df.withColumn("__pairs", F.when(t.rlike(r"[@\d]"), pairs))
-    joined = F.array_join(F.zip_with(pieces, F.transform("__pairs", lambda p: p["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(pieces, F.transform("__pairs", lambda p: p["made"]["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     if found:
-        made = made.withColumn(found, F.coalesce(F.size(F.filter("__pairs", lambda p: p["old"] != p["new"])), F.lit(0)))
+        made = made.withColumn(found, F.coalesce(F.aggregate("__pairs", F.lit(0), lambda n, p: n + F.when(p["old"] != p["made"]["new"], p["made"]["n"]).otherwise(0)), F.lit(0)))
     return made.withColumn(into or text, F.when(F.size("__pairs") > 0, joined).otherwise(t)).drop("__pairs")

@@ -171,6 +171,28 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0), "text", "key").count() == 0
 
 
+def test_pseudonyms_of_values_among_other_digits(spark):
+    """What holds the value (given in braces) stays as it is, and the value gets the pseudonym that it has alone."""
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    texts = ["{4111 1111 1111 1111} 12/27", "{4111111111111111} 123", "no 5 {4111111111111111}", "id 12 {4785380592391139}", "{4111-1111-1111-1111} 123 4", "1 2 3 {4111111111111111} {4111111111111111}",
+             "{4111111111111111} {2020-01-31}", "{4111111111111111} {123-45-6789}", "{4111111111111111} {192.168.0.1}", "{3782 822463 10005} 1234", "{4111111111111111} 2nd",
+             "{DE89 3704 0044 0532 0130 00} BIC COBADEFF", "IBAN {GB29 NWBK 6016 1331 9268 19}, {NO93 8601 1117 947} 12", "DE12 {4111 1111 1111 1111} 12",
+             "{+33 6 12 34 56 78}", "{+33.6.12.34.56.78} 9", "{+33 (0)6 12 34 56 78}", "{+41 44 668 18 00}, {+47 123 45 678}", "{+33 6 12 34 56 78} {4111 1111 1111 1111}",
+             "GB29 NWBK 6016 1331 9268 18 x", "4785380592391138 12", "7 " * 6 + "x"]
+    df = spark.createDataFrame([(i, re.sub("[{}]", "", t)) for i, t in enumerate(texts)], "id int, text string")
+    made = {r.id: r for r in pii.pseudonymise(df, "text", "key", into="made", found="n").collect()}
+    alone = sorted({v for t in texts for v in re.findall("{(.*?)}", t)} | {card, iban})
+    one = {r.text: r.made for r in pii.pseudonymise(spark.createDataFrame([(v,) for v in alone], "text string"), "text", "key", into="made").collect()}
+    assert all(v != new for v, new in one.items())
+    for i, t in enumerate(texts):
+        assert made[i].made == re.sub("{(.*?)}", lambda m: one[m[1]], t) and made[i].n == t.count("{"), (t, made[i])
+    plain = lambda s: re.sub("[ -]", "", s)
+    assert plain(one["4111 1111 1111 1111"]) == one[card] == plain(one["4111-1111-1111-1111"]) and luhn(one[card])
+    assert plain(one["DE89 3704 0044 0532 0130 00"]) == one[iban] and iban_ok(one[iban])
+    long = spark.createDataFrame([(" ".join(["12345"] * 3000) + " x " + card + " 9" * 40,)], "text string")
+    assert one[card] in pii.pseudonymise(long, "text", "key").first().text
+
+
 def test_permutations_have_no_collisions(spark):
     df = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"), F.floor(F.col("id") / 50).alias("l"), (F.col("id") % 50).alias("r"))
     left, right = pii.permute_number(F.col("l"), F.col("r"), 40, 50, "k", "test")
