@@ -1,8 +1,9 @@
 """The main text of web pages by scoring the element tree.
 
 The page becomes a tree, with the end tags that HTML lets authors omit. Parts that are never article text (scripts,
-forms, navigation, ...) or that say in class, id or role that they are none (menus, adverts, comments, ...)
-are cut. Each paragraph then passes points for its length and commas to its parent, half of them to
+forms, navigation, ...) or that say in a whole token of class, id or role that they are none (menus, adverts, comments, ...)
+are cut, unless they hold most of the paragraph text. Names that are part of a token, or general words, lower an element's points and
+cut it only if most of its text lies in links. Each paragraph then passes points for its length and commas to its parent, half of them to
 the next element, a third further on; every element's points are discounted by the share of its text that lies in links.
 The best container is kept, with the siblings that score well enough or read like paragraphs. An
 ``article`` or ``main`` element around the best container takes its place.
@@ -30,6 +31,10 @@ NAMES = set("ad ads advert adverts advertisement advertising advertorial banner
             "sidebar aside rail header masthead topbar footer colophon bottom cookie cookies consent gdpr notice notices notification alert warning disclaimer popup modal overlay "
             "comment comments commentlist respond reply replies disqus discussion share sharing social follow related recommended recommendations more newsletter subscribe subscription "
             "signup login search searchform form widget widgets toolbar pagination pager paging tags tagcloud copyright legal skip hidden complementary contentinfo".split())
+#: general words, which do not tell by themselves; parts that can be longer than the article; words for what a page has or lacks around its text
+GENERAL = set("more bottom header rail follow related legal".split())
+LONG = set("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr popup modal overlay".split())
+ABOUT_PAGE = set("no not non has have with without".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: what a start tag ends, up to the container in the second set
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
@@ -37,10 +42,10 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 
 
 class Element:
-    __slots__ = ("tag", "about", "up", "inside", "points")
+    __slots__ = ("tag", "about", "up", "inside", "points", "worth")
 
     def __init__(self, tag: str, about: str, up):
-        self.tag, self.about, self.up, self.inside, self.points = tag, about, up, [], 0.0
+        self.tag, self.about, self.up, self.inside, self.points, self.worth = tag, about, up, [], 0.0, 1.0
 
 
 class Tree(HTMLParser):
@@ -92,7 +97,7 @@ class Tree(HTMLParser):
 
 
 def _cut(e: Element) -> bool:
-    """Is this element no article text, by its tag or by its name?"""
+    """Is this element no article text, by its tag?"""
     if e.tag in NEVER:
         return True
     if e.tag == "header":  # of the page; within an article it holds the article's title
@@ -100,20 +105,62 @@ def _cut(e: Element) -> bool:
         while up is not None and up.tag not in ("article", "main"):
             up = up.up
         return up is None
-    if e.tag in ("html", "body", "article", "main") and not re.search(r"comment|reply", e.about, re.I):
-        return False
-    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", e.about).lower())
-    return any(w in NAMES for w in words)
+    return False
+
+
+def _named(e: Element) -> tuple[bool, bool, bool]:
+    """(whole, part, long): do its names say that it is none in a whole token, in a part of one, and that it may be longer than the article?"""
+    whole = part = long = False
+    if e.about and (e.tag not in ("html", "body", "article", "main") or re.search(r"comment|reply", e.about, re.I)):
+        for token in e.about.split():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+            if words and ABOUT_PAGE.isdisjoint(words):
+                if all(w in NAMES and w not in GENERAL for w in words):
+                    whole = True
+                    long |= not LONG.isdisjoint(words)
+                elif not NAMES.isdisjoint(words):
+                    part = True
+    return whole, part, long
 
 
 def _walk(root: Element) -> list[Element]:
     """All elements before what they contain, without the cut ones."""
-    out, todo = [], [root]
+    out, todo, named = [], [root], {}
     while todo:
         e = todo.pop()
         out.append(e)
         e.inside = [x for x in e.inside if isinstance(x, str) or not _cut(x)]
         todo += [x for x in reversed(e.inside) if not isinstance(x, str)]
+        if any(found := _named(e)):
+            named[id(e)] = found
+    if not named:
+        return out
+    text, linked, paragraph, title, article = {}, {}, {}, {}, {}
+    for e in reversed(out):
+        k, within = id(e), [id(x) for x in e.inside if not isinstance(x, str)]
+        text[k] = sum(len(x.strip()) for x in e.inside if isinstance(x, str)) + sum(text[x] for x in within)
+        linked[k] = text[k] if e.tag == "a" else sum(linked[x] for x in within)
+        paragraph[k] = text[k] if e.tag == "p" else sum(paragraph[x] for x in within)
+        title[k] = e.tag in ("h1", "main") or any(title[x] for x in within)
+        article[k] = e.tag in ("article", "main") and text[k] > 0 or any(article[x] for x in within)
+    share = paragraph if paragraph[id(root)] else text
+
+    def stays(e: Element) -> bool:
+        k = id(e)
+        whole, part, long = named.get(k, (False, False, False))
+        most = 2 * share[k] > share[id(root)] and (title[k] or not long) and (article[k] or not article[id(root)])
+        if most or not (whole or part):
+            return True
+        if not whole and (2 * linked[k] < text[k] or not text[k]):
+            e.worth = 0.75
+            return True
+        return False
+    out, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        out.append(e)
+        e.inside = [x for x in e.inside if isinstance(x, str) or stays(x)]
+        todo += [x for x in reversed(e.inside) if not isinstance(x, str)]
     return out
 
 
@@ -153,10 +200,11 @@ def extract(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     every = _walk(tree.root)
-    size, linked, plain, commas = {}, {}, {}, {}
+    size, linked, plain, commas, title = {}, {}, {}, {}, {}
     for e in reversed(every):  # contained elements come first
         n = marks = 0
         inner = near = near_marks = links = 0
+        titled = e.tag == "h1"
         for x in e.inside:
             if isinstance(x, str):
                 n += len(x.strip())
@@ -165,12 +213,14 @@ def extract(html: str | None) -> str:
                 k = id(x)
                 inner += size[k]
                 links += linked[k]
+                titled |= title[k]
                 if x.tag not in BLOCK:
                     near += plain[k]
                     near_marks += commas[k]
         k = id(e)
         plain[k], commas[k], size[k] = n + near, marks + near_marks, n + inner
         linked[k] = size[k] if e.tag == "a" else links
+        title[k] = titled
     best = None
     for e in every:
         k = id(e)
@@ -181,7 +231,7 @@ def extract(html: str | None) -> str:
                 up.points += points / far
                 up, far = up.up, far + 1
     for e in every:
-        e.points *= 1 - linked[id(e)] / max(size[id(e)], 1)
+        e.points *= e.worth * (1 - linked[id(e)] / max(size[id(e)], 1))
         if e.points > 0 and (best is None or e.points > best.points):
             best = e
     if best is None:
@@ -203,7 +253,7 @@ def extract(html: str | None) -> str:
         elif not isinstance(x, str):
             dense = linked[id(x)] / max(size[id(x)], 1)
             long = size[id(x)] > 80 and dense < 0.25 or size[id(x)] and dense == 0 and x.tag == "p"
-            if x.points >= 0.2 * best.points or long and x.tag in BLOCK or x.tag in HEADINGS and size[id(x)]:
+            if x.points >= 0.2 * best.points or long and x.tag in BLOCK or (x.tag in HEADINGS or title[id(x)] and dense < 0.5) and size[id(x)]:
                 kept.append(x)
     return "\n\n".join(blocks(kept))
 

@@ -167,6 +167,24 @@ def test_main_text(body, want):
     assert mainhtml.extract(PAGE % body) == want
 
 
+TEXT = "A text, with commas, that is long enough to be read, and it goes on, so that it is no short one."
+
+
+@pytest.mark.parametrize("body, want", [
+    (f'<div class="content no-sidebar"><p>{TEXT}</p><p>{TEXT}</p></div>', [TEXT, TEXT]),
+    (f'<div id="page" class="has-sidebar"><p>{TEXT}</p><p>{TEXT}</p></div>', [TEXT, TEXT]),
+    (f'<article><div class="article-header"><h1>Title</h1></div><p>{TEXT}</p></article>', ["Title", TEXT]),
+    (f'<div class="post"><div class="article-header"><h1>Title</h1></div><div class="text"><p>{TEXT}</p><p>{TEXT}</p></div></div>', ["Title", TEXT, TEXT]),
+    (f'<article><p class="margin-bottom-20">{TEXT}</p><p>End, all of it.</p></article>', [TEXT, "End, all of it."]),
+    (f'<div class="entry follow-up more"><p>{TEXT}</p></div>', [TEXT]),
+    (f'<div class="sidebar"><p>{TEXT}</p><p>{TEXT}</p></div>', [TEXT, TEXT]),
+    (f'<article><p>{TEXT}</p><div class="related-posts"><a href=x>Other</a> <a href=y>Another</a></div><div class="widget">Vote, now!</div></article>', [TEXT]),
+    (f'<div><h1>T</h1><p>{TEXT}</p></div><div class="comments">' + f"<p>I, too, say: {TEXT}</p>" * 5 + "</div>", ["T", TEXT]),
+])
+def test_names_of_wrappers(body, want):
+    assert mainhtml.extract(PAGE % body) == "\n\n".join(want)
+
+
 def test_main_text_table(spark):
     long = "<article>" + "<p>some words, and more</p>" * 20_000
     pages = [None, "", "   ", "<p>a", "no markup &lt;b&gt;", PAGE % "<article><p>x, y</p></article>", PAGE % "<article><p>x, y</p></article>", long, "<" * 1000, "<div" * 1000]
