@@ -149,6 +149,25 @@ def test_license_windows_by_brute_force():
         assert name in [h[0] for h in matcher.scan(text)]
 
 
+def test_every_place_of_a_license():
+    texts = dict(licenses.whole_texts())
+    matcher = licenses.Matcher(licenses.TEMPLATES + list(texts.items()), 5, 0.8, 1e-6)
+    prose = lambda n: " ".join(f"word{i}" for i in range(n))
+    line = "Released under the MIT License."
+    got = matcher.scan(" ".join([prose(10), line, prose(5000), line, prose(85_000), line]))
+    assert [h[0] for h in got] == ["MIT"] * 3
+    for (_, start, size, share), at in zip(got, (10, 5015, 90_020)):
+        assert start <= at and at + 5 <= start + size and size <= 15 and share == 1
+    for name, text in texts.items():
+        assert name in {h[0] for h in matcher.scan(f"{prose(700)} {text} {prose(300)}")}
+    only = lambda text: [h[0] for h in matcher.scan(f"{prose(40)} {text} {prose(500)}")]
+    for name in ("MIT", "ISC", "Unlicense", "BSD-2-Clause", "BSD-3-Clause"):
+        assert only(texts[name]) == [name]
+    assert only(texts["MIT"].split("restriction,", 1)[1]) == ["MIT"]
+    for name, text in licenses.TEMPLATES[-5:]:
+        assert only(text) == [name]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><p>Site name, site name, site name, site name</p></header>
 <nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><div class="cookie-notice"><p>We use cookies, many of them, really.</p></div>
 %s<aside><p>Aside, aside, aside, aside.</p></aside><form><p>Name</p><input></form><div id="comments"><p>I agree, I do, I do.</p></div>
