@@ -109,14 +109,17 @@ class Index:
                 yield self.postings[begin[which] + low + within] - column[which], w[which], order[at:end][which]
             at = end
 
-    def close(self, q: Questions, span: int, terms: int):
-        """(position, item): places of an item's rarest term with its next rarest ones within ``span`` words."""
+    def close(self, q: Questions, span: int, terms: int, often: list[int]):
+        """(position, item): places of an item's rarest term with its next rarest ones within ``span`` words.
+
+        ``often`` has the counts of the terms over all documents, so that a document's answer does not depend on its neighbours.
+        """
         import numpy as np
         out = []
         for k, bag in enumerate(q.bags):
-            if not bag or not all(self.frequency[t] for t in bag):
+            rare = sorted(bag, key=lambda t: (often[t], t))[:terms]
+            if not rare or not all(self.frequency[t] for t in rare):
                 continue
-            rare = sorted(bag, key=lambda t: (self.frequency[t], t))[:terms]
             place = self.postings[self.offset[rare[0]]:self.offset[rare[0] + 1]]
             document = np.searchsorted(self.starts, place, side="right")
             for t in rare[1:]:
@@ -137,8 +140,8 @@ def match(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text:
 
     hits: merged word intervals (start, end) of all exact occurrences of ``length`` consecutive
     words of an item (of the whole item if it is shorter); items: ids, as sorted strings, of the items
-    with an occurrence; near: ids of items whose ``span_terms`` rarest words (all of the item's words must
-    occur in the same run of documents) lie within ``span`` words of the rarest. Null and empty
+    with an occurrence; near: ids of items whose ``span_terms`` rarest words, by their counts over all documents (one
+    more pass over the texts), lie within ``span`` words of the rarest. An item without id counts as one named null. Null and empty
     texts have no words and no hits, items without words never occur; repeated documents get
     repeated rows and repeated items count once by id. No document row moves. Kept columns named like the added ones give way.
     """
@@ -153,16 +156,42 @@ def match(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text:
                       F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<string>").alias("near"), _q(text).alias("__text"))
     for b in range(blocks):
         rows = held.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).collect()
-        asked = spark.sparkContext.broadcast([(r["name"], r["text"]) for r in rows])
+        block = [(r["name"], r["text"]) for r in rows]
+        often = _often(docs, text, Questions(block, length).terms) if span else []
+        asked = spark.sparkContext.broadcast((block, often))
         out = out.mapInArrow(_pass(asked, length, span, span_terms, b + 1 == blocks), ", ".join([*fields, added] + ["__text string"] * (b + 1 < blocks)))
     return out if span else out.drop("near")
 
 
+def _often(docs: DataFrame, text: str, terms: dict[bytes, int]) -> list[int]:
+    """How often each of ``terms`` occurs in all documents; as long as the vocabulary of a block of test items."""
+    held = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        counts = np.zeros(len(held.value), np.int64)
+        for batch in slices(batches):
+            ids = [k for t in batch.column(0).to_pylist() for w in words_of(t) if (k := held.value.get(w)) is not None]
+            counts += np.bincount(np.array(ids, np.int64), minlength=len(counts))
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(counts[there], pa.int64())], names=["term", "n"])
+    often = [0] * len(terms)
+    for r in docs.select(_q(text).alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        often[r["term"]] = r["n"]
+    return often
+
+
+def in_order(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda n: (n is not None, n or ""))
+
+
 def _pass(asked, length: int, span: int, span_terms: int, last: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        questions = Questions(asked.value, length)
+        block, often = asked.value
+        questions = Questions(block, length)
         intervals = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches):
             table = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -178,12 +207,12 @@ def _pass(asked, length: int, span: int, span_terms: int, last: bool):
                 hits[d].append((s, s + int(questions.sizes[w])))
                 names[d].update(questions.names[k] for k in questions.owners[w])
             if span:
-                for p, k in index.close(questions, span, span_terms):
+                for p, k in index.close(questions, span, span_terms, often):
                     near[int(np.searchsorted(index.starts, p, side="right")) - 1].add(questions.names[k])
             table["n_words"] = pa.array(index.counts, pa.int64())
             table["hits"] = pa.array([[{"start": a, "end": b} for a, b in joined(h)] for h in hits], intervals)
-            table["items"] = pa.array([sorted(x) for x in names], pa.list_(pa.string()))
-            table["near"] = pa.array([sorted(x) for x in near], pa.list_(pa.string()))
+            table["items"] = pa.array([in_order(x) for x in names], pa.list_(pa.string()))
+            table["near"] = pa.array([in_order(x) for x in near], pa.list_(pa.string()))
             if last:
                 del table["__text"]
             yield pa.RecordBatch.from_arrays(list(table.values()), names=list(table))

@@ -124,6 +124,16 @@ def test_proximity(spark):
     assert got == {0: ["1"], 1: [], 2: ["1"], 3: []}
 
 
+def test_proximity_does_not_depend_on_neighbours(spark):
+    items = spark.createDataFrame([(1, "Alpha beta gamma delta"), (None, "alpha beta")], "item_id int, text string")
+    # delta is frequent in all documents, but alone in the first one
+    df = frame(spark, ["alpha beta x gamma", "delta " * 40, "alpha " + "x " * 50 + "beta gamma delta"])
+    for parts in (1, 3):
+        out = contamination.match(df.repartition(parts, "doc_id"), "text", items, "item_id", "text", ["doc_id"], span=8, span_terms=3).collect()
+        assert {r.doc_id: r.near for r in out} == {0: [None, "1"], 1: [], 2: []}
+        assert {r.doc_id: r["items"] for r in out} == {0: [None], 1: [], 2: []}
+
+
 def test_licenses(spark):
     prose = " ".join(f"word{i}" for i in range(60))
     texts = [f"{prose}\nReleased under the MIT License.\n{prose}", f"{prose} licensed UNDER the *Apache* license, version 2.0 {prose}", prose, None, "",
