@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm import bpe, caps, contamination, licenses, mainhtml, ngramjoin, pii, quality, sharding, tokencount
+from specula.llm import bpe, caps, contamination, divergence, licenses, mainhtml, ngramjoin, pii, quality, sharding, spelling, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,53 @@ def attention_quality(spark, folder):
 @query("op10_tree_scoring")
 def tree_scoring(spark, folder):
     return mainhtml.main_text(table(spark, folder, "pages"), "html", ["page_id", "url"])
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n, count(DISTINCT r) AS docs FROM w GROUP BY lang, source, term),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+sizes AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang),
+groups AS (SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce(s.total, 0) AS total, CAST(coalesce(t.n, 0) AS HUGEINT) AS n
+           FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sizes s USING (lang)
+           LEFT JOIN (SELECT lang, source, sum(c.n) AS n FROM c SEMI JOIN kept USING (lang, term) GROUP BY lang, source) t USING (lang, source)),
+share AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p,
+                 1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (g.total + 2 * g.v) AS q
+          FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+          FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""")
+def source_divergence(spark, folder):
+    return divergence.divergences(table(spark, folder, "documents"), "text", "lang", "source", least=10, top=10)
+
+
+#: every so many runs lose a letter, so that there are variants to find
+LOST_LETTER = 199
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8),
+runs AS (SELECT own, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS own, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(own || ':' || run)) AS code FROM runs WHERE length(run) >= 6),
+drawn AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(code) // 2), lambda i: CAST('0x' || substr(code, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda x, y: xor(x >> 8, steps[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {LOST_LETTER} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM drawn)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.part UNION SELECT b.word, a.word, a.n FROM words a JOIN less b ON a.word = b.part),
+about AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(near, (-n, near)) AS near FROM near GROUP BY word),
+found AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN near END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM words w LEFT JOIN about USING (word)),
+way(word, root, form) AS (SELECT word, word, form FROM found UNION ALL SELECT way.word, f.word, f.form FROM way JOIN found f ON f.word = way.form)
+SELECT f.word, f.form, way.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM found f JOIN way ON way.word = f.word AND way.form IS NULL""")
+def spelling_variants(spark, folder):
+    held = spelling.words(table(spark, folder, "documents"), "doc_id", "text", letters=6, least=5, every=LOST_LETTER)
+    return spelling.variants(held, ratio=5)
