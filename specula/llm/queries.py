@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm import bpe, caps, contamination, divergence, licenses, mainhtml, ngramjoin, pii, quality, sharding, spelling, tokencount
+from specula.llm import bpe, caps, contamination, divergence, licenses, mainhtml, ngramjoin, pii, quality, repeats, sharding, spelling, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,9 @@ SELECT f.word, f.form, way.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f
 def spelling_variants(spark, folder):
     held = spelling.words(table(spark, folder, "documents"), "doc_id", "text", letters=6, least=5, every=LOST_LETTER)
     return spelling.variants(held, ratio=5)
+
+
+@query("op11_suffix_repeats")
+def suffix_repeats(spark, folder):
+    found = repeats.without_repeats(table(spark, folder, "documents"), "doc_id", "text", length=200, keep=None)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
