@@ -9,6 +9,9 @@ undo it. All of it is column expressions: rounds are ``aggregate`` steps, no row
 
 from __future__ import annotations
 
+import hashlib
+from calendar import isleap, monthrange
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +25,27 @@ IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20:
                 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 SSN = r"(?<![\p{L}\p{N}-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)"
-DATE = r"(?<![\p{L}\p{N}-])(?:1[89]|2[01])\d{2}-\d{2}-\d{2}(?![\p{N}]|-\d)"
+YEAR = r"(?:1[89]|2[01])\d{2}"
+#: year first with hyphens or slashes, day first with dots, month or day first with slashes
+DATE = rf"(?<![\p{{L}}\p{{N}}./-])(?:{YEAR}-\d{{2}}-\d{{2}}|{YEAR}/\d{{2}}/\d{{2}}|\d{{2}}\.\d{{2}}\.{YEAR}|\d{{2}}/\d{{2}}/{YEAR})(?![\p{{L}}\p{{N}}]|[./-]\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"
+HEX4 = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}})(?![\p{{L}}\p{{N}}]|:[0-9A-Fa-f:])"
 PHONE_STEP = r"(?:[ .-]|[ .-]?\(|\)[ .-]?)?\d"
 FORMATS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
-    "secret": r"(?<=(?i:token|secret|key|password) ?[=:] ?[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
+    # no group is repeated without bound anywhere: each turn of such a loop takes a frame of the matcher's stack. Domains have 253 characters at most
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[\p{L}\p{N}-])[\p{L}\p{N}.-]{1,253}(?<=[\p{L}\p{N}-]\.\p{L}{2,63})",
+    "secret": r"(?<=(?i:token|secret|key|password) ?[=:] ?[\"']?)[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])",
     "iban": rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}\d{{2}})(?:{GROUPED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}+)(?![\p{{L}}\p{{N}}])",
     # in the usual three groups, in pairs, and in any groups: to the end of the digits if these are 15 at most, else up to 12 digits
     "phone": r"(?<![\p{L}\p{N}+])\+(?:\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
              r"|\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ .-]\d{2}){3,4}(?!\d)"
              rf"|\d(?:{PHONE_STEP}){{7,14}}+(?![ .-]?\d)|\d(?:{PHONE_STEP}){{7,11}}(?!\d))",
-    "ip": IP, "ssn": SSN, "date": DATE,
+    # three, three and four digits without a country
+    "national": r"(?<![\p{L}\p{N}.+-])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-.])[2-9]\d{2}[-.]\d{4}(?![\p{L}\p{N}]|[-.]\d)",
+    "ip": IP, "ip6": IP6, "ssn": SSN, "date": DATE,
     # a whole run of digits, up to a value of another kind; the numbers in it are looked for by their check digits
-    "card": rf"(?<![\p{{L}}\p{{N}}.-])(?=\d(?:[ -]?\d){{12}})(?!\d{{20}})\d++(?![\p{{L}}\p{{N}}])(?:[ -](?!{DATE}|{SSN}|{IP})\d++(?![\p{{L}}\p{{N}}]))*+",
+    "card": rf"(?<![\p{{L}}\p{{N}}.-])(?=\d(?:[ -]?\d){{12}})(?!\d{{20}})\d++(?![\p{{L}}\p{{N}}])(?:[ -](?!{DATE}|{SSN}|{IP}|{IP6})\d++(?![\p{{L}}\p{{N}}]))*+",
 }
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -43,9 +53,15 @@ ACCENTED = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 DAY_ZERO, DAYS = "1800-01-01", (27, 5411)
 
 
+def _subkey(key: str, kind: str) -> str:
+    """What stands in the plan instead of the key; the key does not follow from it."""
+    return hashlib.sha256(f"{kind}|{key}|{kind}".encode()).hexdigest()
+
+
 def _draw(key: str, kind: str, turn: Column, value: Column) -> Column:
     """64 hexadecimal digits that depend on all arguments."""
-    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), turn.cast("string"), F.lit("|"), value, F.lit(f"|{key}")), 256)
+    own = _subkey(key, kind)
+    return F.sha2(F.concat(F.lit(f"{own[:32]}|"), turn.cast("string"), F.lit("|"), value, F.lit(f"|{own[32:]}")), 256)
 
 
 def _number(hexadecimal: Column) -> Column:
@@ -68,12 +84,17 @@ def _shift(text: Column, draw: Column, alphabets: list[str]) -> Column:
     return F.array_join(F.transform(_chars(text), moved), "")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def permute_text(value: Column, key: str, kind: str, alphabets: list[str], rounds: int = 8) -> Column:
     """A permutation of the strings that have the same alphabet at each place. Draws ignore case, so it does too."""
     half = (F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(2 * ((rounds + 1) // 2))), start, lambda s, r: F.struct(
-        s["b"].alias("a"), _shift(s["a"], _draw(key, kind, r, F.lower(s["b"])), alphabets).alias("b")))
+        s["b"].alias("a"), _bound(_draw(key, kind, r, F.lower(s["b"])), lambda draw: _shift(s["a"], draw, alphabets)).alias("b")))
     return F.concat(done["a"], done["b"])
 
 
@@ -116,11 +137,6 @@ def mod97(iban: Column) -> Column:
 CARD = r"^(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}(?: \d{1,3})?|\d{4} \d{6} \d{4,5}|\d{4} \d{4} \d{4} \d|\d{4} \d{4} \d{5})$"
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", [DIGITS])
@@ -149,23 +165,34 @@ def _cards(m: Column, key: str) -> Column:
                                                     F.coalesce(-F.array_min(F.filter(ks, lambda k: k < 0)), F.lit(0)).alias("b")))
         return F.transform(F.sequence(F.lit(1), F.size(g)), at)
 
-    def replaced(s: Column) -> Column:
-        g, found = s["g"], s["found"]
+    def chosen(s: Column) -> Column:
+        """For each group how many groups its number has, 0 for none, -1 within a number. Kept in blocks, so that long runs are not copied at every step."""
+        found = s["found"]
 
         def step(state: Column, i: Column) -> Column:
             here = F.element_at(found, i)
             clear = ~F.exists(F.slice(found, i + 1, F.greatest(here["b"] - 1, F.lit(0))), lambda x: x["a"] > 0)
-            span = F.when(state["skip"] > 0, 0).when(here["a"] > 0, here["a"]).when((here["b"] > 0) & clear, here["b"]).otherwise(0)
-            before = F.when(i > 1, F.substring(m, state["at"] - 1, F.lit(1))).otherwise("")
-            word = F.element_at(g, i)
+            span = F.when(state["skip"] > 0, -1).when(here["a"] > 0, here["a"]).when((here["b"] > 0) & clear, here["b"]).otherwise(0)
+            full = F.size(state["block"]) >= 256
             return _bound(span, lambda k: F.struct(
-                F.when(state["skip"] > 0, state["new"]).when(k == 0, F.concat(state["new"], before, word)).otherwise(F.concat(
-                    state["new"], before, _card(F.substring(m, state["at"], F.length(F.array_join(F.slice(g, i, k), " "))), key))).alias("new"),
-                F.when(k > 0, k - 1).otherwise(F.greatest(state["skip"] - 1, F.lit(0))).alias("skip"),
-                (state["at"] + F.length(word) + 1).alias("at"), (state["n"] + F.when(k > 0, 1).otherwise(0)).alias("n")))
-        start = F.struct(F.lit("").alias("new"), F.lit(0).alias("skip"), F.lit(1).alias("at"), F.lit(0).alias("n"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda x: F.struct(x["new"].alias("new"), x["n"].alias("n")))
-    return _bound(F.split(m, "[ -]"), lambda g: _bound(F.struct(g.alias("g"), spans(g).alias("found")), replaced))
+                F.when(full, F.concat(state["blocks"], F.array(state["block"]))).otherwise(state["blocks"]).alias("blocks"),
+                F.when(full, F.array(k)).otherwise(F.concat(state["block"], F.array(k))).alias("block"),
+                F.when(k > 0, k - 1).otherwise(F.greatest(state["skip"] - 1, F.lit(0))).alias("skip")))
+        none = F.array().cast("array<int>")
+        start = F.struct(F.array().cast("array<array<int>>").alias("blocks"), none.alias("block"), F.lit(0).alias("skip"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(s["g"])), start, step, lambda x: F.flatten(F.concat(x["blocks"], F.array(x["block"]))))
+
+    def written(s: Column) -> Column:
+        g, gaps = s["g"], s["gaps"]
+
+        def part(k: Column, i: Column) -> Column:
+            more = F.zip_with(F.slice(gaps, i + 2, F.greatest(k - 1, F.lit(0))), F.slice(g, i + 2, F.greatest(k - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+            return F.when(k < 0, "").when(k == 0, F.concat(F.element_at(gaps, i + 1), F.element_at(g, i + 1))).otherwise(
+                F.concat(F.element_at(gaps, i + 1), _bound(F.concat(F.element_at(g, i + 1), F.array_join(more, "")), lambda number: _card(number, key))))
+        return F.struct(F.array_join(F.transform(s["chosen"], part), "").alias("new"), F.size(F.filter(s["chosen"], lambda k: k > 0)).alias("n"))
+    # the gap before each group, and groups between gaps
+    return _bound(F.split(m, "[ -]"), lambda g: _bound(F.struct(g.alias("g"), spans(g).alias("found")), lambda s: _bound(F.struct(
+        s["g"].alias("g"), F.split(m, "[^ -]+", -1).alias("gaps"), chosen(s).alias("chosen")), written)))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -198,16 +225,45 @@ def _ssn(m: Column, key: str) -> Column:
     return F.element_at(F.transform(F.array(both), lambda s: F.concat_ws("-", pad(s["l"], 3), pad(F.floor(s["r"] / 9999) + 1, 2), pad(s["r"] % 9999 + 1, 4))), 1)
 
 
+def _ip6(m: Column, key: str) -> Column:
+    """Eight groups, or fewer with two colons; names with colons in them have no digit."""
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    fits = m.rlike(r"\d") & F.when(m.contains("::"), (groups <= 7) & (groups >= 2)).otherwise(groups == 8)
+    return F.when(fits, permute_text(m, key, "ip6", [DIGITS + LOWER[:6], UPPER[:6]])).otherwise(m)
+
+
+#: the days after the 12th of a month that every year has, and the leap years: places in these texts are numbers
+LATE_DAYS = ",".join(f"{d:02d}/{m:02d}" for m in range(1, 13) for d in range(13, monthrange(1999, m)[1] + 1))
+LEAP_YEARS = ",".join(str(y) for y in range(1800, 2200) if isleap(y))
+
+
 def _date(m: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit(DAY_ZERO).cast("date"))
+    """A date of the same layout. With slashes the month comes first unless the first number is above 12; such dates are permuted among themselves."""
+    year_first, part = m.rlike(r"^\d{4}"), lambda i, n: F.substring(m, i, n)
+    day_first = m.contains(".")
+    late = m.contains("/") & ~year_first & (part(1, 2).cast("int") > 12)
+    plain = F.when(year_first, F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2))).when(day_first, F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))).otherwise(
+        F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
+    day = F.datediff(F.try_to_timestamp(plain, F.lit("yyyy-MM-dd")).cast("date"), F.lit(DAY_ZERO).cast("date"))
     left, right = permute_number(F.floor(day / DAYS[1]), day % DAYS[1], *DAYS, key, "date")
-    return F.when(day.isNull(), m).otherwise(F.date_format(F.date_add(F.lit(DAY_ZERO).cast("date"), (left * DAYS[1] + right).cast("int")), "yyyy-MM-dd"))
+    made = F.date_add(F.lit(DAY_ZERO).cast("date"), (left * DAYS[1] + right).cast("int"))
+    usual = F.when(day.isNull(), m).otherwise(F.when(year_first, F.date_format(made, "yyyy-MM-dd")).when(day_first, F.date_format(made, "dd.MM.yyyy")).otherwise(F.date_format(made, "MM/dd/yyyy")))
+    usual = F.when(year_first & m.contains("/"), F.translate(usual, "-", "/")).otherwise(usual)
+    at = F.instr(F.lit(LATE_DAYS), part(1, 5))
+    year, slot = permute_number(part(7, 4).cast("int") - 1800, F.floor((at - 1) / 6), 400, (len(LATE_DAYS) + 1) // 6, key, "late date")
+    both = F.struct(year.alias("l"), slot.alias("r"))
+    moved = _bound(both, lambda s: F.concat(F.substring(F.lit(LATE_DAYS), (s["r"] * 6 + 1).cast("int"), F.lit(5)), F.lit("/"), (s["l"] + 1800).cast("string")))
+    leap = F.instr(F.lit(LEAP_YEARS), part(7, 4))
+    other, _ = permute_number(F.floor((leap - 1) / 5), F.lit(0), (len(LEAP_YEARS) + 1) // 5, 1, key, "leap day")
+    leap_day = F.concat(F.lit("29/02/"), F.substring(F.lit(LEAP_YEARS), (other * 5 + 1).cast("int"), F.lit(4)))
+    return F.when(~late, usual).when(at > 0, moved).when((part(1, 5) == "29/02") & (leap > 0), leap_day).otherwise(m)
 
 
 CHANGES = {
     "email": lambda m, key: permute_text(m, key, "email", [DIGITS, LOWER, UPPER, ACCENTED]),
     "secret": lambda m, key: permute_text(m, key, "secret", [DIGITS + LOWER[:6], UPPER[:6]]),
-    "iban": _iban, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _cards,
+    "national": lambda m, key: permute_text(m, key, "national", ["01", DIGITS[2:]]),
+    "iban": _iban, "phone": _phone, "ip": _ip, "ip6": _ip6, "ssn": _ssn, "date": _date, "card": _cards,
 }
 
 
@@ -225,8 +281,8 @@ def pseudonymise(df: DataFrame, text: str, key: str, into: str | None = None, fo
     def changed(m: Column) -> Column:
         out = F.struct(m.alias("new"), F.lit(0).alias("n"))
         # a value's kind shows in itself: the look-around parts of the formats only concern its neighbours
-        for kind, test in (("card", F.lit(True)), ("date", m.rlike(r"^\d{4}-\d{2}-\d{2}$")), ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$")),
-                           ("ip", m.contains(".")), ("phone", m.startswith("+")), ("iban", m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$")),
+        for kind, test in (("card", F.lit(True)), ("date", m.rlike(r"^(?:\d{4}[/-]\d{2}[/-]\d{2}|\d{2}[./]\d{2}[./]\d{4})$")), ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$")),
+                           ("ip", m.rlike(r"^\d+\.\d+\.\d+\.\d+$")), ("ip6", m.contains(":")), ("national", m.rlike(r"^\(?\d{3}(?:\) ?|[-.])\d{3}[-.]\d{4}$")), ("phone", m.startswith("+")), ("iban", m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$")),
                            ("secret", m.rlike("^[0-9A-Fa-f]{32,}$")), ("email", m.contains("@"))):
             new = CHANGES[kind](m, key)
             out = F.when(test, new if kind in ("card", "iban") else F.struct(new.alias("new"), F.lit(1).alias("n"))).otherwise(out)

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +195,56 @@ def test_pseudonyms_of_values_among_other_digits(spark):
     assert one[card] in pii.pseudonymise(long, "text", "key").first().text
 
 
+def test_no_text_ends_the_job_or_takes_long(spark):
+    """100 KB and more of every format's unit; addresses and numbers beyond what the formats allow stay as they are."""
+    units = ["a@" + "b." * 50_000 + "com", "x@" * 50_000, "a@b.c-" * 20_000, "." * 100_000 + "@a.de", "4111 1111 1111 1111 " * 6_000, "4 " * 60_000, "1234-" * 25_000, "+1 2 " * 25_000, "+" * 100_000,
+             "1.2.3." * 20_000, "1:2:" * 30_000, "::" * 60_000, "12/12/" * 20_000, "2020-01-" * 15_000, "key=" * 30_000, "token = " + "0f" * 60_000, "DE89 3704 " * 12_000, "(415) " * 20_000, "9" * 120_000]
+    df = spark.createDataFrame(list(enumerate(units)), "id int, text string").repartition(8)
+    start = time.time()
+    got = {r.id: r for r in pii.pseudonymise(df, "text", "key", into="made", found="n").collect()}
+    assert time.time() - start < 120
+    for i, text in enumerate(units):
+        assert len(got[i].made) == len(text)
+    assert got[0].made == units[0] and got[4].n == 6_000 and got[4].made[:20] == got[4].made[20:40] != units[4][:20]
+
+
+def test_formats_of_dates_phones_and_addresses(spark):
+    values = ["01/02/1990", "12/31/1990", "31/12/1990", "29/02/2000", "13/06/1815", "31.12.1990", "1990/01/02", "(415) 555-0132", "(415)555-0132", "415-555-0132", "415.555.0132",
+              "2001:db8:0:42:8a2e:370:7334:1", "2001:db8::8a2e:370:7334", "fe80::1", "FE80::A1"]
+    stays = ["32/13/1990", "30.02.1990", "1990/13/02", "29/02/1999", "12/31/1790", "115-555-0132", "1415-555-0132", "a::b", "std::size", "12:30:45", "1:2:3:4:5:6:7:8:9", "v1.02.1990.3"]
+    rows = [(v, f"see {v}, or ({v}).") for v in values + stays]
+    df = spark.createDataFrame(rows, "value string, text string")
+    got = {r.value: r for r in pii.pseudonymise(df, "text", "key", into="made", found="n").collect()}
+    shape = lambda t: re.sub("[0-9a-f]", "9", t)
+    for v in values:
+        r = got[v]
+        new = r.made[4:4 + len(v)]
+        assert r.n == 2 and new != v and r.made == f"see {new}, or ({new})." and shape(new.lower()) == shape(v.lower()), r
+    dates = {"/": lambda t: datetime.strptime(t, "%d/%m/%Y" if int(t[:2]) > 12 else "%m/%d/%Y"), ".": lambda t: datetime.strptime(t, "%d.%m.%Y")}
+    for v in values[:6]:
+        new = got[v].made[4:14]
+        assert dates[v[2]](new) and (int(new[:2]) > 12) == (int(v[:2]) > 12) or "." in v
+    for v in stays:
+        assert got[v].n == 0 and got[v].made == got[v].text, got[v]
+    secret = "24be64" * 6
+    plain = spark.createDataFrame([(f"key={secret} x",), (f"token: '{secret}'",), (f"monkey {secret}",)], "text string")
+    made = [r.made for r in pii.pseudonymise(plain, "text", "key", into="made").collect()]
+    assert secret not in made[0] + made[1] and secret in made[2]
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    df = pii.pseudonymise(spark.createDataFrame([("x",)], "text string"), "text", "a very secret key")
+    assert "a very secret key" not in df._jdf.queryExecution().toString()
+
+
+def test_late_dates_are_permuted_among_themselves(spark):
+    days = [f"{d}/{y}" for d in pii.LATE_DAYS.split(",") for y in range(1990, 1994)] + [f"29/02/{y}" for y in pii.LEAP_YEARS.split(",")]
+    df = spark.createDataFrame([(d,) for d in days], "text string").repartition(8)
+    made = {r.text: r.made for r in pii.pseudonymise(df, "text", "key", into="made").collect()}
+    assert len(set(made.values())) == len(days) and all(datetime.strptime(v, "%d/%m/%Y") and int(v[:2]) > 12 for v in made.values())
+    assert {v for d, v in made.items() if d.startswith("29/02")} == {d for d in days if d.startswith("29/02")}
+
+
 def test_permutations_have_no_collisions(spark):
     df = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"), F.floor(F.col("id") / 50).alias("l"), (F.col("id") % 50).alias("r"))
     left, right = pii.permute_number(F.col("l"), F.col("r"), 40, 50, "k", "test")
