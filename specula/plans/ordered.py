@@ -2,9 +2,11 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer and a window
 without ``partitionBy`` puts the whole table in one task. Here rows are first collapsed to
-value counts (so a hot value is one row), value ranges are spread over buckets cut at
-approximate quantiles, and a bucket's start is the sum of the buckets before it. The cut
-points only balance the work; results do not depend on them.
+value counts (so a hot value is one row), value ranges are spread over cells, and a cell's
+start is the sum of the cells before it. Cells are cut at approximate quantiles and counted;
+one with more than ``MOST`` different values is cut again at quantiles of its own values until
+none is left, whatever the distribution. The cut points only balance the work; results do not
+depend on them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from specula.plans.longform import numeric_long
 from specula.session import settle, shuffle_width
 
-MAX_CUTS = 32      # quantile cut points per column: the depth of the comparison tree
+MAX_CUTS = 32      # cut points per column that are compared one by one in the plan
 PER_TASK = 4       # buckets per shuffle partition, so that hashing them spreads evenly
+MOST = 1_000_000   # different values that a cell, and so a window task, may have
+MOST_CELLS = 20_000  # cells per column; beyond that times MOST values, cells grow with the table
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -30,24 +34,74 @@ def slices_for(df: DataFrame) -> int:
     return max(1, math.ceil(PER_TASK * shuffle_width(df.sparkSession) / MAX_CUTS))
 
 
-def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) -> dict[str, list[float]]:
-    """Approximate quantiles per numeric column: at most ``columns x buckets`` doubles.
+def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None, most: int | None = None) -> dict[str, list[float]]:
+    """Cut points per numeric column, between which there are at most ``most`` different values.
 
-    A tenth of the rows is enough to balance buckets; no result depends on the cut points.
+    Approximate quantiles of a tenth of the rows come first, as many as the number of rows asks
+    for. Tables in which a cell could then have more than ``most`` rows are counted, and cells
+    with too many different values are cut again.
     """
-    buckets = buckets or bucket_count(df)
-    shares = [i / buckets for i in range(1, buckets)]
+    most = most or MOST
     known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    row = df.sample(0.1, seed=7).agg(*[F.percentile_approx(known(c), shares, 20 * buckets).alias(f"c{i}")
-                                       for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
+    part = df.sample(0.1, seed=7)
+
+    def quantiles(n: int) -> tuple[int, dict[str, list[float]]]:
+        shares = [i / n for i in range(1, n)]
+        row = part.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(known(c), shares, 20 * n).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        return row["n"] * 10, {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
+    n = buckets or bucket_count(df)
+    rows, cuts = quantiles(n)
+    if 2 * rows <= n * most:
+        return cuts
+    cuts = quantiles(min(MOST_CELLS, max(n, math.ceil(2 * rows / most))))[1]
+    long = numeric_long(df, columns)
+    while True:
+        sizes = cell_sizes(long, cuts)
+        large = {cell: values for cell, (_, values) in sizes.items() if values > max(1, 0.8 * max(most, rows / MOST_CELLS))}
+        before, cuts = cuts, narrowed(long, cuts, large, most) if large else cuts
+        if cuts == before:
+            return cuts
+
+
+def cell_sizes(long: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, int], tuple[int, int]]:
+    """{(column, cell): (rows, about how many different values)} of an unpivoted table."""
+    cells = long.withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts))
+    return {(r["column"], r["bucket"]): (r["n"], min(r["n"], r["values"])) for r in cells.groupBy("column", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("value", 0.03).alias("values")).collect()}
+
+
+def narrowed(long: DataFrame, cuts: dict[str, list[float]], large: dict[tuple[str, int], int], most: int) -> dict[str, list[float]]:
+    """``cuts`` with more points inside the ``large`` cells {(column, cell): different values}.
+
+    The points are quantiles of the cell's different values, so a value with most of the rows cannot hold them all.
+    """
+    cells = long.withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts))
+    wanted = F.lit(False)
+    for c in {c for c, _ in large}:
+        wanted |= (F.col("column") == c) & F.col("bucket").isin(sorted(b for name, b in large if name == c))
+    pieces = min(500, max(4, math.ceil(2 * max(large.values()) / most)))
+    shares = [i / pieces for i in range(1, pieces)]
+    points = (cells.filter(wanted).select("column", "bucket", "value").distinct().groupBy("column", "bucket")
+              .agg(F.percentile_approx("value", shares, 20 * pieces).alias("points")).collect())
+    return {c: sorted({*bounds, *(x for r in points if r["column"] == c for x in r["points"])}) for c, bounds in cuts.items()}
 
 
 def bucket_of(value: Column, bounds: list[float], slices: int = 1) -> Column:
     """An ascending bucket number: a balanced tree over the cut points, then equal slices.
 
-    The slice index rises with the value, so buckets stay in order whatever the data.
+    The slice index rises with the value, so buckets stay in order whatever the data. Many cut points
+    are one literal in which the value is looked up by halving, and have no slices.
     """
+    if len(bounds) > 2 * MAX_CUTS:
+        points = F.lit([float(x) for x in bounds])
+        start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))  # the number of points up to the value lies between
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.shiftright(s["lo"] + s["hi"], 1)
+            above = (s["lo"] < s["hi"]) & (value < F.get(points, mid))
+            return F.struct(F.when(above | (s["lo"] >= s["hi"]), s["lo"]).otherwise(mid + 1).alias("lo"), F.when(above, mid).otherwise(s["hi"]).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+
     def leaf(i: int) -> Column:
         if slices == 1 or i == 0 or i == len(bounds):
             return F.lit(i * slices)
@@ -141,27 +195,37 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     return out
 
 
-def order_statistics(df: DataFrame, columns: list[str], ranks_of) -> tuple[dict, dict]:
+def order_statistics(df: DataFrame, columns: list[str], ranks_of, most: int | None = None) -> tuple[dict, dict]:
     """({column: rows}, {(column, rank): (value, rows before that value)}) for 0-based ranks.
 
-    ``ranks_of(rows)`` names the wanted ranks once the number of rows is known.
+    ``ranks_of(rows)`` names the wanted ranks once the number of rows is known. Selection by
+    repeated counting: only cells that hold a wanted rank are cut further, until each has at most
+    ``most`` different values; these alone are collapsed to counts and put in order.
     """
-    cuts = cut_points(df, columns, max(32, bucket_count(df)))
-    long = numeric_long(df, columns).withColumn(
-        "bucket", bucket_by_column(F.col("column"), F.col("value"), cuts))
-    sizes: dict[str, dict[int, int]] = {c: {} for c in columns}
-    for row in long.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
-        sizes[row["column"]][row["bucket"]] = row["n"]
-    totals = {c: sum(sizes[c].values()) for c in columns}
-    spots = []
-    for c in columns:
-        ranks = sorted(k for k in ranks_of(totals[c]) if 0 <= k < totals[c])
-        begin = 0
-        for b in sorted(sizes[c]):
-            spots += [(c, b, k, begin) for k in ranks if begin <= k < begin + sizes[c][b]]
-            begin += sizes[c][b]
+    most = most or MOST
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    n = max(32, bucket_count(df))
+    row = df.sample(0.1, seed=7).agg(*[F.percentile_approx(known(c), [i / n for i in range(1, n)], 20 * n).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    cuts = {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
+    long = numeric_long(df, columns)
+    while True:
+        sizes = cell_sizes(long, cuts)
+        totals = {c: sum(rows for (name, _), (rows, _) in sizes.items() if name == c) for c in columns}
+        spots = []
+        for c in columns:
+            ranks = sorted(k for k in ranks_of(totals[c]) if 0 <= k < totals[c])
+            begin = 0
+            for b in sorted(b for name, b in sizes if name == c):
+                rows = sizes[c, b][0]
+                spots += [(c, b, k, begin) for k in ranks if begin <= k < begin + rows]
+                begin += rows
+        large = {(c, b): sizes[c, b][1] for c, b, _, _ in spots if sizes[c, b][1] > max(1, 0.8 * most)}
+        before, cuts = cuts, narrowed(long, cuts, large, most) if large else cuts
+        if cuts == before:
+            break
     if not spots:
         return totals, {}
+    long = long.withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts))
     keep = F.lit(False)
     for c in columns:
         buckets = {b for name, b, _, _ in spots if name == c}
