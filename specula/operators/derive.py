@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from specula.operators.typing import census
 from specula.plans.gram import Gram, gram
 from specula.plans.longform import level
 from specula.session import settle
@@ -76,43 +76,66 @@ def multiplicative_formulas(df: DataFrame, positive: list[str], r2: float) -> li
     return rows
 
 
+def _grouped(named: DataFrame, sides: list[tuple[int, ...]]) -> DataFrame:
+    """Every row once for each side, with the side's number and the id of its group there: the product of its columns' ids."""
+    spread = named.select("*", F.posexplode(F.lit([list(side) for side in sides])).alias("side", "at"))
+    part = lambda ids: [F.get(ids, F.get("at", F.lit(i))) for i in range(len(sides[0]))]
+    return spread.select("side", F.xxhash64(*part("a")).alias("ka"), F.xxhash64(F.lit("second"), *part("b")).alias("kb"), "a")
+
+
+def _surviving(named: DataFrame, sides: list[tuple[int, ...]], limit: float) -> list[tuple[int, ...]]:
+    """The sides that can have at most ``limit`` groups, by sketches of the number of groups: one pass in which only sketches are shuffled.
+
+    A sketch is off by some 5%; only sides estimated half as many again as the limit go.
+    """
+    if not sides:
+        return []
+    sizes = _grouped(named, sides).groupBy("side").agg(F.approx_count_distinct("ka", 0.05).alias("n")).collect()
+    return [sides[r["side"]] for r in sorted(sizes, key=lambda r: r["side"]) if r["n"] <= 1.5 * limit]
+
+
+def _level(named: DataFrame, sides: list[tuple[int, ...]], wanted: dict[tuple, list[int]]) -> dict[tuple, Row]:
+    """{side: number of groups and the share of them that determine each wanted column} in one pass."""
+    if not sides:
+        return {}
+    asked = sorted({j for side in sides for j in wanted[side]})
+    use = F.get(F.lit([[j in wanted[side] for j in asked] for side in sides]), F.col("side"))
+    rows = _grouped(named, sides).select("side", "ka", "kb", *[F.when(F.get(use, F.lit(i)), F.get("a", F.lit(j))).alias(f"r{j}") for i, j in enumerate(asked)])
+    groups = rows.groupBy("side", "ka", "kb").agg(F.lit(1).alias("one"), *[f(f"r{j}").alias(f"{name}{j}") for j in asked for name, f in (("lo", F.min), ("hi", F.max))])
+    stats = groups.groupBy("side").agg(F.count(F.lit(1)).alias("groups"), *[F.avg((F.col(f"lo{j}") == F.col(f"hi{j}")).cast("int")).alias(f"d{j}") for j in asked])
+    return {sides[r["side"]]: r for r in stats.collect()}
+
+
 def functional_dependencies(df: DataFrame, columns: list[str], max_lhs: int = 2, near: float = 0.95,
                             near_key: float = 0.3) -> DataFrame:
     """(lhs, rhs, exact, determination_ratio, groups) over the whole table.
 
-    One job per size of left side: a group determines a column when its smallest and largest
-    values agree, which combines map-side, so no group is ever gathered. Left sides that are
-    almost keys are left out, and a right side already determined by a subset is skipped.
+    Level by level over the size of left sides. A column's partition is a group id per row, the partition of more columns the
+    product of these ids. A left side with more groups than ``near_key`` allows is almost a key; so are all that contain it, and
+    none of them is ever grouped. A right side settled exactly by a subset is not looked at again. Each level is one pass: a group determines a
+    column when the smallest and largest of its ids agree, which combines before the shuffle, so no group is gathered and
+    only ids move, not values. Ids of groups have 128 bits and ids of right sides 64.
     """
-    sizes = {r["column"]: (r["nunique"] + (1 if r["missing"] else 0), r["rows"]) for r in census(df, columns).collect()}
-    rows = max((n for _, n in sizes.values()), default=0)
-    pool = [c for c in columns if sizes[c][0] <= near_key * rows]
-    found: list[tuple] = []
+    limit = near_key * df.count()
+    named = df.select(F.array(*[F.xxhash64(level(c)) for c in columns]).alias("a"), F.array(*[F.xxhash64(F.lit("second"), level(c)) for c in columns]).alias("b"))
+    sides, found = [(j,) for j in range(len(columns))], []
     for k in range(1, max_lhs + 1):
-        sides = list(combinations(pool, k))
+        settled = [(set(side), j) for side, j, exact, *_ in found if exact]
+        wanted = {side: [j for j in range(len(columns)) if j not in side and not any(r == j and lhs < set(side) for lhs, r in settled)] for side in sides}
+        # sides whose parts have few groups cannot have many themselves
+        few = [side for side in sides if k > 1 and math.prod(singles[j] for j in side) <= limit]
+        sides = sorted(few + _surviving(named, [side for side in sides if side not in set(few)], limit))
+        groups = {side: row for side, row in _level(named, sides, wanted).items() if row["groups"] <= limit}
+        found += [(side, j, groups[side][f"d{j}"] == 1.0, float(groups[side][f"d{j}"]), groups[side]["groups"])
+                  for side in sides if side in groups for j in wanted[side] if groups[side][f"d{j}"] >= near]
+        # what is almost a key makes all larger sides keys
+        singles = {side[0]: row["groups"] for side, row in groups.items()} if k == 1 else singles
+        sides = [side for side in combinations(sorted(singles), k + 1) if all(part in groups for part in combinations(side, k))]
         if not sides:
-            continue
-        keys = F.array(*[F.struct(F.lit(i).alias("side"), F.array(*[level(c) for c in side]).alias("key"))
-                         for i, side in enumerate(sides)])
-        rhs = [level(c).alias(f"r{j}") for j, c in enumerate(columns)]
-        groups = (df.select(F.inline(keys), *rhs).groupBy("side", "key")
-                  .agg(*[f(f"r{j}").alias(f"{n}{j}") for j in range(len(columns))
-                         for n, f in (("lo", F.min), ("hi", F.max))]))
-        stats = groups.groupBy("side").agg(
-            F.count(F.lit(1)).alias("groups"),
-            *[F.avg((F.col(f"lo{j}") == F.col(f"hi{j}")).cast("int")).alias(f"d{j}") for j in range(len(columns))])
-        exact_before = [(set(lhs), r) for lhs, r, exact, *_ in found if exact]
-        for row in stats.collect():
-            side = sides[row["side"]]
-            if row["groups"] > near_key * rows:
-                continue
-            for j, c in enumerate(columns):
-                if c in side or any(r == c and lhs < set(side) for lhs, r in exact_before):
-                    continue
-                if row[f"d{j}"] >= near:
-                    found.append((list(side), c, row[f"d{j}"] == 1.0, float(row[f"d{j}"]), row["groups"]))
+            break
     return df.sparkSession.createDataFrame(
-        found, "lhs array<string>, rhs string, exact boolean, determination_ratio double, groups long")
+        [([columns[i] for i in side], columns[j], *rest) for side, j, *rest in found],
+        "lhs array<string>, rhs string, exact boolean, determination_ratio double, groups long")
 
 
 def row_determination(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
