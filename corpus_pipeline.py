@@ -27,16 +27,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 on runs of five words, the one of smallest id.
 
-    Documents without words, and rows without an id, stay. Of repeated rows with the same id one stays.
+    Documents are told apart by id and text, so of different texts under one id each is judged by itself. Documents without words, and rows
+    without an id, stay. Of rows with the same id and the same text one stays.
     """
-    found = ngramjoin.components(docs.select("doc_id", "text"), "doc_id", "text", n=5, percent=80)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    repeated = found.filter("size > 0 AND id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    own = F.xxhash64("text")
+    named = docs.filter("doc_id IS NOT NULL").select(F.struct("doc_id", own.alias("h")).alias("key"), "text")
+    found = ngramjoin.components(named, "key", "text", n=5, percent=80)
+    gone = found.filter(F.col("id") != F.col("component")).select("id.doc_id", "id.h").distinct()
+    repeated = found.filter("size > 0 AND id = component").groupBy("id").count().filter("count > 1").select("id.doc_id", "id.h")
+    left = docs.withColumn("h", own).join(gone, ["doc_id", "h"], "left_anti")
     if not repeated.limit(1).count():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return left.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(again)
+        return left.select(*COLUMNS)
+    again = left.join(repeated, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select(*COLUMNS)
+    return left.join(repeated, ["doc_id", "h"], "left_anti").select(*COLUMNS).unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

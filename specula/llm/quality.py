@@ -4,8 +4,8 @@ A document is a bag of passages. Every passage of the whole text is encoded as a
 gives each passage a weight from its vector; the weighted sum is the document's vector, and a
 logistic layer scores it. Only documents have labels: the weights of passages are learned from them.
 
-Learning runs on the driver over a bounded sample of labelled documents: at most ``sample`` of them,
-those of lowest hash, each with at most ``bag`` passages spread evenly over its text. Scoring is one pass
+Learning runs on the driver over a bounded sample of labelled documents, with all passages of each: at most ``sample``
+of them and ``most_bytes`` of text together, taken by the order of a hash. Scoring is one pass
 over whole texts, no row moves, and the model (some ten thousand numbers) goes to the tasks by broadcast.
 """
 
@@ -18,12 +18,18 @@ from specula.llm._worker import Remembering, once, slices
 from specula.llm.bpe import _q
 
 WORDS, HASHED = 64, 96
+LONG, PIECE = 256, 8
 PLACES = 32 + 8 + 6 + HASHED
 
 
 def passages(text: str | None) -> list[list[bytes]]:
-    """Consecutive runs of ``WORDS`` words of the whole text; one empty passage if there are none."""
+    """Consecutive runs of ``WORDS`` words of the whole text; one empty passage if there are none.
+
+    What has no blanks for more than ``LONG`` bytes, like text in scripts without them, is cut into words of ``PIECE`` code points.
+    """
     words = (text or "").encode("utf-8").split()
+    if max(map(len, words), default=0) > LONG:
+        words = [x for w in words for x in ([w] if len(w) <= LONG else [s[i:i + PIECE].encode() for s in [w.decode()] for i in range(0, len(s), PIECE)])]
     return [words[i:i + WORDS] for i in range(0, len(words), WORDS)] or [[]]
 
 
@@ -107,22 +113,31 @@ def fit(x, owner, y, hidden: int = 32, gate: int = 16, epochs: int = 24, batch:
     return m | {"mean": mean, "scale": scale}
 
 
-def learn(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, sample: int = 5000, bag: int = 32):
-    """A model from labelled documents; labels other than 0 and 1, and ids that are null or whose labels differ, are left out."""
+def learn(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, sample: int = 5000, most_bytes: int = 64 << 20):
+    """A model from labelled documents; labels other than 0 and 1, and ids that are null or whose labels differ, are left out.
+
+    ``sample`` and ``most_bytes`` bound what is learned from: labelled documents by the order of a hash of their id, until either is
+    reached. Each of them counts with its whole text.
+    """
     import numpy as np
     known = (labels.filter(_q(label).isin(0, 1)).groupBy(_q(label_id).alias("id")).agg(F.min(_q(label)).alias("y"), F.max(_q(label)).alias("other"))
              .filter("y = other AND id IS NOT NULL").select("id", "y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # TakeOrdered: the sample is small and its size fixed
     held = docs.select(_q(doc_id).alias("id"), _q(text).alias("text")).join(F.broadcast(chosen), "id")
+    sizes = held.select(F.xxhash64("id").alias("draw"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")).orderBy("draw", "id").limit(sample).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["size"]
+        if total > most_bytes:
+            break
+        last = r["draw"]
+    held = held.filter(F.xxhash64("id") <= F.lit(last)) if last is not None else held.limit(0)
 
     def run(batches):
         import pyarrow as pa
         slot = _slots()
         for batch in slices(batches, 64):
-            bags = []
-            for t in batch.column(1).to_pylist():
-                p = passages(t)
-                bags.append([p[i * len(p) // bag] for i in range(bag)] if len(p) > bag else p)
+            bags = [passages(t) for t in batch.column(1).to_pylist()]
             x = encode(bags, slot)
             ends = np.cumsum([len(b) for b in bags])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()),

@@ -310,3 +310,34 @@ def test_stages_of_odd_tables(spark, folder):
         for name, stage in corpus_pipeline.STAGES:
             got = stage(spark, table, folder).count()
             assert got == (n - 1 if n and name == "near_duplicates" else n) or name == "quality" and got <= n
+
+
+def test_texts_under_one_id_are_judged_by_themselves(spark, folder):
+    words = lambda seed, n=40: " ".join(str(x) for x in random.Random(seed).sample(range(1000), n))
+    near = words(1).split()
+    rows = [(1, words(1)), (7, words(1)), (7, words(2)), (9, words(3)), (9, words(4)), (9, words(4)), (11, " ".join(near + ["more"])), (None, words(1)), (12, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, folder).collect()), key=repr)
+    assert got == sorted([(1, words(1)), (7, words(2)), (9, words(3)), (9, words(4)), (None, words(1)), (12, "")], key=repr)
+
+
+def test_learning_uses_whole_texts_within_its_bounds(spark):
+    decisive = "bad " * 64 * 40 + "good " * 64  # what tells the classes apart comes after many passages
+    rows = [(i, decisive if i % 2 else "bad " * 64 * 41, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, text string, y int")
+    model = quality.learn(df.select("id", "text"), "id", "text", df, "id", "y")
+    assert all((r.score > 0.5) == (r.id % 2 == 1) for r in quality.score(df, "text", model, ["id"]).collect())
+    assert quality.learn(df.select("id", "text"), "id", "text", df, "id", "y", most_bytes=100) == {"constant": 0.5}
+    assert len(quality.passages("日本語の文" * 4000)) > 30 and b"".join(b"".join(p) for p in quality.passages("日本語 x" * 900)) == ("日本語x" * 900).encode()
+
+
+def test_attention_by_a_plain_loop():
+    draw = np.random.default_rng(3)
+    x, owner = draw.normal(size=(9, 4)), np.repeat(np.arange(3), [2, 4, 3])
+    m = {"w": draw.normal(size=(4, 3)), "b": draw.normal(size=3), "v": draw.normal(size=(3, 2)), "u": draw.normal(size=(3, 2)), "a": draw.normal(size=2), "c": draw.normal(size=3), "d": np.array(0.3)}
+    logit, _ = quality._attend(x, owner, 3, m)
+    for doc in range(3):
+        h = [np.tanh(row @ m["w"] + m["b"]) for row in x[owner == doc]]
+        gate = [sum(a * np.tanh(hi @ m["v"][:, k]) / (1 + np.exp(-(hi @ m["u"][:, k]))) for k, a in enumerate(m["a"])) for hi in h]
+        share = np.exp(gate) / np.exp(gate).sum()
+        assert np.isclose(logit[doc], sum(s * hi for s, hi in zip(share, h)) @ m["c"] + m["d"])
