@@ -105,6 +105,19 @@ def inference_provenance(t):
     return known.filter("prov_kind = 'inferred' AND prov_rule IN ('rule', 'symmetric', 'inverse')").groupBy("prov_rule", "prov_via").agg(F.count(F.lit(1)).alias("n"))
 
 
+# who is no company after all that the hierarchy says is a private party, and who is neither rich nor private is modest
+ABSENT = [Rule("private", is_class("Private", "?x"), [has("livesIn", "?x", "?n"), Atom("class:Company", ("?x",), True)]),
+          Rule("modest", is_class("Modest", "?x"), [has("livesIn", "?x", "?n"), Atom("class:Rich", ("?x",), True), Atom("class:Private", ("?x",), True)])]
+
+
+@query("inference_with_absence", INFERRED + RICH_SQL + """, private AS (SELECT DISTINCT s FROM f WHERE p = 'livesIn' AND s NOT IN (SELECT s FROM allf WHERE p = 'type' AND o = 'Company')),
+modest AS (SELECT DISTINCT s FROM f WHERE p = 'livesIn' AND s NOT IN (SELECT s FROM rich) AND s NOT IN (SELECT s FROM private))
+SELECT s, 'Private' AS o FROM private UNION ALL SELECT s, 'Modest' FROM modest UNION ALL SELECT s, 'Rich' FROM rich""")
+def inference_with_absence(t):
+    known = graph.infer(facts(t), words(t), [*ABSENT, RULES[0]])
+    return known.filter("p = 'type' AND o IN ('Private', 'Modest', 'Rich')").select("s", "o")
+
+
 @query("property_propagation", f"""WITH RECURSIVE f AS {FACTS_SQL}, {CLOSURE} SELECT s, parent AS p, o, 'sub-property' AS rule FROM f JOIN pc ON f.p = pc.child
 UNION ALL SELECT o, p, s, 'symmetric' FROM f WHERE p = 'borders' UNION ALL SELECT o, 'placed', s, 'inverse' FROM f WHERE p = 'placedBy'""")
 def property_propagation(t):

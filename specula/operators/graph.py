@@ -231,34 +231,75 @@ def fire(rule: Rule, delta: DataFrame, known: DataFrame) -> DataFrame:
     return out
 
 
+def _strata(rules: list[Rule], words: Vocabulary, up: DataFrame) -> list[list[Rule]]:
+    """Rules by stratum: what a rule asks the absence of is complete before the rule fires, axioms included.
+
+    A conclusion feeds an atom if they name the same class or property, or if axioms lead from one to the other:
+    sub-classes for classes, sub-properties and inverses for properties. Only pairs that rules name are looked up.
+    Stratum 0 has the axioms and the rules that ask for no absence and need nothing of rules that do.
+    """
+    atoms = {id(r): [b for b in r.body if isinstance(b, Atom)] for r in rules}
+    if not any(b.negated for body in atoms.values() for b in body):
+        return [rules]
+
+    def split(predicate: str) -> tuple[bool, str]:
+        kind, name = predicate.split(":", 1)
+        return kind == "class", name
+    heads = {split(r.head.predicate) for r in rules}
+    asked = {split(b.predicate) for body in atoms.values() for b in body}
+    turned = words.inverse.select(F.col("p").alias("child"), F.col("q").alias("parent"))
+    links = words.sub_property.select("child", "parent").union(turned).union(turned.select("parent", "child"))
+    leads = set()
+    for kind, pairs in ((True, up), (False, transitive_closure(links))):
+        named = [[n for k, n in names if k == kind] for names in (heads, asked)]
+        leads |= {(kind, r["child"], r["parent"]) for r in pairs.filter(F.col("child").isin(named[0]) & F.col("parent").isin(named[1])).collect()}
+
+    def feeds(head: str, predicate: str) -> bool:
+        (kind, a), (other, b) = split(head), split(predicate)
+        return kind == other and (a == b or (kind, a, b) in leads)
+    level = {id(r): int(any(b.negated for b in atoms[id(r)])) for r in rules}
+    for _ in range(len(rules) + 1):
+        before = dict(level)
+        for r in rules:
+            for b in atoms[id(r)]:
+                level[id(r)] = max([level[id(r)], *(level[id(q)] + b.negated for q in rules if feeds(q.head.predicate, b.predicate))])
+        if level == before:
+            return [[r for r in rules if level[id(r)] == k] for k in range(max(level.values()) + 1)]
+    raise ValueError("a rule asks for the absence of what follows, through rules or axioms, from its own conclusion")
+
+
 def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None, max_rounds: int | None = None) -> DataFrame:
     """(s, p, o, kind, prov_kind, prov_rule, prov_via): everything that follows, each fact once.
 
-    Provenance is the first round that produced the fact; within a round the smallest rule name.
+    Rules that ask for absence fire in strata, after all that axioms and other rules say about what they ask for; an absence
+    that depends on the rule's own conclusion is an error. Provenance is the first round that produced the fact; within a round
+    the smallest rule name.
     """
     up = settle(transitive_closure(words.sub_class))
     over = settle(transitive_closure(words.sub_property))
     known = settle(facts.select(*FACT).distinct().select("*", F.lit("asserted").alias("prov_kind"), F.lit(None).cast("string").alias("prov_rule"),
                                                          F.lit(None).cast("string").alias("prov_via")))
-    delta = known.select(*FACT)
-    heads = {r.head.predicate for r in rules or []}
-    if any(isinstance(b, Atom) and b.negated and b.predicate in heads for r in rules or [] for b in r.body):
-        raise ValueError("a rule asks for the absence of what a rule concludes; use horn, which runs in strata")
-    for turn in count(1):
-        types = delta.filter(F.col("p") == TYPE)
-        grown = types.join(up, types["o"] == up["child"]).select("s", "p", F.col("parent").alias("o"), "kind", F.lit("sub-class").alias("rule"), F.col("child").alias("via"))
-        grown = grown.union(propagate(delta, over, words.traits, words.inverse)).union(chain(delta, known.select(*FACT), words.traits))
-        for rule in rules or []:
-            grown = grown.union(fire(rule, delta, known.select(*FACT)))
-        # facts are apart by s, p and o: of two kinds in one round the smaller is kept
-        first = grown.groupBy("s", "p", "o").agg(F.min("kind").alias("kind"), F.min(F.struct("rule", "via")).alias("w"))
-        new = settle(first.join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-                     .select(*FACT, F.lit("inferred").alias("prov_kind"), F.col("w.rule").alias("prov_rule"), F.col("w.via").alias("prov_via")))
-        if not new.limit(1).count():
-            break
-        if turn == max_rounds:
-            raise RuntimeError(f"more follows after {max_rounds} rounds")
-        known, delta = known.union(new), new.select(*FACT)  # both sides are written already
+    turns, active = count(1), []
+    for stratum, firing in enumerate(_strata(rules or [], words, up)):
+        # what is known has been through the axioms and earlier rules, so a later stratum begins with its own rules alone
+        active, delta, axioms = active + firing, known.select(*FACT), stratum == 0
+        while axioms or firing:
+            turn = next(turns)
+            steps = [fire(rule, delta, known.select(*FACT)) for rule in firing]
+            if axioms:
+                types = delta.filter(F.col("p") == TYPE)
+                higher = types.join(up, types["o"] == up["child"]).select("s", "p", F.col("parent").alias("o"), "kind", F.lit("sub-class").alias("rule"), F.col("child").alias("via"))
+                steps = [higher, propagate(delta, over, words.traits, words.inverse), chain(delta, known.select(*FACT), words.traits), *steps]
+            # facts are apart by s, p and o: of two kinds in one round the smaller is kept
+            first = reduce(DataFrame.union, steps).groupBy("s", "p", "o").agg(F.min("kind").alias("kind"), F.min(F.struct("rule", "via")).alias("w"))
+            new = settle(first.join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+                         .select(*FACT, F.lit("inferred").alias("prov_kind"), F.col("w.rule").alias("prov_rule"), F.col("w.via").alias("prov_via")))
+            if not new.limit(1).count():
+                break
+            if turn == max_rounds:
+                raise RuntimeError(f"more follows after {max_rounds} rounds")
+            known, delta = known.union(new), new.select(*FACT)  # both sides are written already
+            firing, axioms = active, True
     return known
 
 

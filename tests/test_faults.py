@@ -24,6 +24,26 @@ def test_absence_is_asked_of_all_facts(spark):
     assert graph.fire(rule, facts.filter("o = 'A'"), facts).select("s").distinct().count() == 1
 
 
+def test_absence_waits_for_axioms_and_rules(spark):
+    typed = lambda *pairs: spark.createDataFrame([(s, graph.TYPE, o, "class") for s, o in pairs], "s string, p string, o string, kind string")
+    absent = graph.Rule("absent", graph.is_class("C", "?x"), [graph.is_class("D", "?x"), graph.Atom("class:A", ("?x",), True)])
+    words = graph.vocabulary(spark, sub_class=[("B", "M"), ("M", "A"), ("C", "E")], sub_property=[("near", "by")], inverse=[("by", "beside")])
+    got = {(r["s"], r["o"]) for r in graph.infer(typed(("x", "B"), ("x", "D"), ("y", "D")), words, [absent]).collect()}
+    assert got == {("x", "B"), ("x", "M"), ("x", "A"), ("x", "D"), ("y", "D"), ("y", "C"), ("y", "E")}
+    # what a rule concludes reaches the absence through the hierarchy, and what follows from absence feeds other rules
+    makes = graph.Rule("makes", graph.is_class("B", "?x"), [graph.is_class("F", "?x")])
+    uses = graph.Rule("uses", graph.is_class("G", "?x"), [graph.is_class("E", "?x")])
+    got = {(r["s"], r["o"]) for r in graph.infer(typed(("x", "F"), ("x", "D"), ("y", "D")), words, [absent, uses, makes]).collect()}
+    assert ("x", "C") not in got and {("x", "A"), ("y", "C"), ("y", "E"), ("y", "G")} <= got and ("x", "G") not in got
+    # an absence of properties, through a sub-property and an inverse
+    facts = spark.createDataFrame([("a", "near", "b", "object"), ("a", graph.TYPE, "D", "class"), ("b", graph.TYPE, "D", "class")], "s string, p string, o string, kind string")
+    alone = graph.Rule("alone", graph.is_class("Alone", "?x"), [graph.is_class("D", "?x"), graph.Atom("property:beside", ("?x", "?y"), True)])
+    assert {r["s"] for r in graph.infer(facts, words, [alone]).filter("o = 'Alone'").collect()} == {"a"}
+    for head in ("class:A", "class:B"):
+        with pytest.raises(ValueError):
+            graph.infer(typed(("y", "D")), words, [graph.Rule("circle", graph.Atom(head, ("?x",)), absent.body)])
+
+
 def test_bounds_on_rounds_are_errors(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "a0 string, a1 string")
     rules = [graph.Rule("base", graph.Atom("reach", ["?a", "?b"]), [graph.Atom("edge", ["?a", "?b"])]),
