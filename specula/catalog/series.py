@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specula.catalog import query
-from specula.operators import series
+from specula.operators import series, stl
 from specula.plans.longform import rnd
 
 r = lambda c, d=6: rnd(F.col(c), d).alias(c)
@@ -103,6 +103,38 @@ def season_strength(t):
     return series.season_strength(series.decompose(hourly(t), 24), 24).select("period", r("seasonal_strength"), r("trend_strength"))
 
 
+# one round of local regression with the widths of a period of 24: cycle 7, level 25, trend 47
+def _lines(points: str, places: str, q: int) -> str:
+    """Locally weighted lines: points (g, k, n, v) and places (g, x, n) to (g, x, v)."""
+    return f"""(SELECT g, x, CASE WHEN sqrt(greatest(c, 0)) > 0.001 * (n - 1) THEN my - a * (wkv - a * my) / c ELSE my END AS v FROM (
+ SELECT g, x, any_value(n) AS n, sum(w * k) / sum(w) AS a, sum(w * k * k) / sum(w) - (sum(w * k) / sum(w)) * (sum(w * k) / sum(w)) AS c, sum(w * v) / sum(w) AS my, sum(w * k * v) / sum(w) AS wkv FROM (
+  SELECT p.g, p.x, t.n, t.k - p.x AS k, t.v, CASE WHEN abs(t.k - p.x) <= 0.001 * h THEN 1.0 WHEN abs(t.k - p.x) <= 0.999 * h THEN pow(1 - pow(abs(t.k - p.x) / h, 3), 3) ELSE 0.0 END AS w
+  FROM (SELECT g, x, lo, least(lo + {q}, n) - 1 AS hi, greatest(x - lo, least(lo + {q}, n) - 1 - x) + greatest({q} - n, 0) // 2 AS h
+        FROM (SELECT g, x, n, greatest(least(x + 1 - {(q + 1) // 2}, n - {q}), 0) AS lo FROM {places})) p JOIN {points} t ON t.g = p.g AND t.k BETWEEN p.lo AND p.hi) GROUP BY g, x))"""
+
+
+def _run(table: str, n: int) -> str:
+    return f"(SELECT k, v FROM (SELECT k, avg(v) OVER w AS v, count(*) OVER w AS m FROM {table} WINDOW w AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE m = {n})"
+
+
+ONE_PASS = f"""h AS (SELECT CAST(i AS BIGINT) AS i, v FROM {HOURLY}), t AS (SELECT i % 24 AS g, i // 24 AS k, count(*) OVER (PARTITION BY i % 24) AS n, v FROM h),
+tx AS (SELECT g, n, unnest(range(-1, n + 1)) AS x FROM (SELECT DISTINCT g, n FROM t)), cycle AS (SELECT (x + 1) * 24 + g AS k, v FROM {_lines('t', 'tx', 7)}),
+m1 AS {_run('cycle', 24)}, m2 AS {_run('m1', 24)}, m3 AS (SELECT 0 AS g, k, count(*) OVER () AS n, v FROM {_run('m2', 3)}), mx AS (SELECT g, k AS x, n FROM m3),
+level AS (SELECT x AS i, v FROM {_lines('m3', 'mx', 25)}), season AS (SELECT h.i, h.v, c.v - l.v AS seasonal FROM h JOIN level l USING (i) JOIN cycle c ON c.k = h.i + 24),
+d AS (SELECT 0 AS g, i AS k, count(*) OVER () AS n, v - seasonal AS v FROM season), dx AS (SELECT g, k AS x, n FROM d), trend AS (SELECT x AS i, v AS trend FROM {_lines('d', 'dx', 47)})"""
+
+
+@query("seasonal_trend_pass", f"WITH {ONE_PASS} SELECT i, round(trend, 5) + 0.0 AS trend, round(seasonal, 5) + 0.0 AS seasonal FROM season JOIN trend USING (i)")
+def seasonal_trend_pass(t):
+    found = stl.robust_decompose(hourly(t), 24, inner=1, outer=0)
+    return found.select("i", rnd(F.col("trend"), 5).alias("trend"), rnd(F.col("seasonal"), 5).alias("seasonal"))
+
+
+@query("robust_decomposition")
+def robust_decomposition(t):
+    return stl.robust_decompose(hourly(t), 24)
+
+
 @query("partial_autocorrelation", f"""WITH {ACF}, v AS (SELECT max(CASE WHEN lag = 1 THEN acf END) AS a, max(CASE WHEN lag = 2 THEN acf END) AS b, max(CASE WHEN lag = 3 THEN acf END) AS c FROM a)
 SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS lag, round(unnest([1.0, a, (b - a * a) / (1 - a * a), (c - 2 * a * b + a * a * a - a * a * c + a * b * b) / (1 - 2 * a * a + 2 * a * a * b - b * b)]), 6) + 0.0 AS pacf FROM v""")
 def partial_autocorrelation(t):
