@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specula.catalog import query
-from specula.operators import importance, segments
+from specula.operators import importance, linkage, segments
 from specula.operators.importance import Task
 from specula.plans.longform import rnd
 
@@ -34,6 +34,13 @@ def segments_against_planted(t):
     return segments.adjusted_rand(found, "segment", "planted").join(found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("segment").alias("segments")), F.lit(True))
 
 
+@query("linkage_groups", """WITH p AS (SELECT p_partkey % 3 = 0 AS planted, p_size + CASE WHEN p_partkey % 3 = 0 THEN 200 ELSE 0 END AS size FROM part),
+g AS (SELECT count(*) AS n, avg(size) AS size FROM p GROUP BY planted) SELECT CAST(row_number() OVER (ORDER BY n DESC, size) - 1 AS INTEGER) AS segment, n, round(size, 6) AS size FROM g""")
+def linkage_groups(t):
+    found = linkage.with_groups(two_groups(t).select("size", "price"), ["size", "price"], 2)
+    return found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size"), 6).alias("size"))
+
+
 @query("adjusted_rand", """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM c GROUP BY a)) AS i,
  (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM c GROUP BY b)) AS j, (SELECT count(*) * (count(*) - 1.0) / 2 FROM lineitem) AS t) SELECT round((ij - i * j / t) / ((i + j) / 2 - i * j / t), 8) + 0.0 AS ari FROM s""")
 def adjusted_rand(t):

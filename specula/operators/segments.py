@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specula.operators import linkage
 from specula.plans.longform import level, numeric_long
 from specula.plans.ordered import quantile_columns, ranked_counts
 
@@ -37,9 +39,13 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def kmeans_scan(df: DataFrame, features: list[str], row_id: str, ks=range(2, 9), refits: int = 10, seed: int = 7) -> DataFrame:
     """(k, inertia, silhouette, stability_mean, stability_sd, agreement, score), all rows, no sample for fit or score.
 
-    Stability refits on seeded 80% subsamples; agreement is with bisecting k-means.
+    Stability refits on seeded 80% subsamples; agreement is with Ward's hierarchy over clustering features.
     """
-    points = standardised(df, features, row_id).cache()
+    points = standardised(df, features, row_id)
+    places = [f"f{j}" for j in range(len(features))]
+    wide = points.select("*", *[vector_to_array("features")[j].alias(p) for j, p in enumerate(places)])
+    tree = linkage.ward(wide, places)
+    points = linkage.with_leaf(wide, places, tree).select(*points.columns, "leaf").cache()
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
     rows = []
     for k in ks:
@@ -53,8 +59,8 @@ def kmeans_scan(df: DataFrame, features: list[str], row_id: str, ks=range(2, 9),
             scores.append(float(adjusted_rand(again.transform(model.transform(part)), "cluster", "again").first()[0]))
         mean = sum(scores) / len(scores) if scores else 0.0
         sd = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else 0.0
-        other = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="other").fit(points)
-        agree = float(adjusted_rand(other.transform(labelled), "cluster", "other").first()[0])
+        other = labelled.withColumn("other", F.get(F.lit(tree.labels(k)), F.col("leaf")))
+        agree = float(adjusted_rand(other, "cluster", "other").first()[0])
         rows.append((k, float(model.summary.trainingCost), silhouette, mean, sd, agree, silhouette * (0.5 + 0.5 * mean)))
     points.unpersist()
     return df.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double, stability_mean double, stability_sd double, agreement double, score double")
