@@ -25,7 +25,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
             "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - set("body html caption legend summary tbody td tfoot th thead tr dd dt li".split())
-NEVER = set("script style noscript template head title iframe object embed applet svg math canvas audio video nav footer aside form button select textarea "
+NEVER = set("script style noscript template head title iframe object embed applet svg math canvas audio video nav footer aside button select textarea "
             "input label option menu dialog map".split())
 NAMES = set("ad ads advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
             "sidebar aside rail header masthead topbar footer colophon bottom cookie cookies consent gdpr notice notices notification alert warning disclaimer popup modal overlay "
@@ -34,6 +34,10 @@ NAMES = set("ad ads advert adverts advertisement advertising advertorial banner
 #: general words, which do not tell by themselves; parts that can be longer than the article; words for what a page has or lacks around its text
 GENERAL = set("more bottom header rail follow related legal".split())
 LONG = set("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr popup modal overlay".split())
+#: words beside such a name that only say what kind of box it is
+BOXES = set("area block box container holder inner item items list outer panel section slot unit user users wrap wrapper".split())
+#: names of what holds an article and its own header
+POSTS = set("article entry hentry post story".split())
 ABOUT_PAGE = set("no not non has have with without".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: what a start tag ends, up to the container in the second set
@@ -101,6 +105,8 @@ def _cut(e: Element) -> bool:
     if e.tag in NEVER:
         return True
     if e.tag == "header":  # of the page; within an article it holds the article's title
+        if any(not isinstance(x, str) and x.tag == "p" for x in e.up.inside) or not POSTS.isdisjoint(re.findall("[a-z]+", e.up.about.lower())):
+            return False
         up = e.up
         while up is not None and up.tag not in ("article", "main"):
             up = up.up
@@ -111,11 +117,14 @@ def _cut(e: Element) -> bool:
 def _named(e: Element) -> tuple[bool, bool, bool]:
     """(whole, part, long): do its names say that it is none in a whole token, in a part of one, and that it may be longer than the article?"""
     whole = part = long = False
+    if e.tag == "form":  # some sites have the whole page in one
+        whole = True
     if e.about and (e.tag not in ("html", "body", "article", "main") or re.search(r"comment|reply", e.about, re.I)):
         for token in e.about.split():
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
             if words and ABOUT_PAGE.isdisjoint(words):
-                if all(w in NAMES and w not in GENERAL for w in words):
+                telling = [w in NAMES and w not in GENERAL for w in words]
+                if any(telling) and all(t or w in BOXES for t, w in zip(telling, words)):
                     whole = True
                     long |= not LONG.isdisjoint(words)
                 elif not NAMES.isdisjoint(words):
@@ -243,11 +252,14 @@ def extract(html: str | None) -> str:
             around = up
         up = up.up
     if around is not None and around.points > 0:
-        return "\n\n".join(blocks([around]))
+        # articles beside it count if they are no teasers: as long as a quarter of it at least, with few links
+        beside = around.up.inside if around.tag == "article" else [around]
+        return "\n\n".join(blocks([x for x in beside if x is around or not isinstance(x, str) and x.tag == "article" and 4 * size[id(x)] >= size[id(around)] and 10 * linked[id(x)] < 3 * size[id(x)]]))
     if best.up is None or best.tag in ("html", "body"):
         return "\n\n".join(blocks([best]))
-    kept = []
+    kept, between = [], []
     for x in best.up.inside:
+        before = len(kept)
         if x is best:
             kept.append(x)
         elif not isinstance(x, str):
@@ -255,6 +267,11 @@ def extract(html: str | None) -> str:
             long = size[id(x)] > 80 and dense < 0.25 or size[id(x)] and dense == 0 and x.tag == "p"
             if x.points >= 0.2 * best.points or long and x.tag in BLOCK or (x.tag in HEADINGS or title[id(x)] and dense < 0.5) and size[id(x)]:
                 kept.append(x)
+            elif kept and x.tag in ("ul", "ol", "dl", "blockquote", "table", "pre", "figure") and 2 * linked[id(x)] < size[id(x)]:
+                between.append(x)  # stays if more of the text follows
+        if len(kept) > before:
+            kept[before:before] = between
+            between = []
     return "\n\n".join(blocks(kept))
 
 

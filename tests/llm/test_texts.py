@@ -222,3 +222,32 @@ def test_main_text_table(spark):
     assert [got[i].text for i in (0, 1, 2, 3, 4, 5, 6)] == ["", "", "", "a", "no markup <b>", "x, y", "x, y"]
     assert got[7].text.count("\n\n") == 19_999 and all(r.n_chars == len(r.text) for r in got.values())
     assert mainhtml.main_text(df.limit(0), "html", ["page_id"]).count() == 0
+
+
+LONG_TEXT = "A sentence of the article, with commas, and enough words to be scored as a paragraph of its own, as articles have them."
+LAYOUTS = {
+    "a page within a form": (f'<body><form action="x"><nav>Menu</nav><main><article><h1>Title</h1><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></article></main><input value="z"></form></body>', ["Title", LONG_TEXT, LONG_TEXT]),
+    "a form in an article": (f'<article><h1>Title</h1><p>{LONG_TEXT}</p><form><label>Mail</label><p>Subscribe to us, now.</p></form></article>', ["Title", LONG_TEXT]),
+    "a header in a post": (f'<body><header>Site</header><div class="post"><header><h1>Title</h1></header><div class="entry-content"><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></div></body>', ["Title", LONG_TEXT, LONG_TEXT]),
+    "a list between containers": (f'<body><div id="c"><div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><ul><li>first step</li><li>second step</li></ul><blockquote>said</blockquote><div><p>{LONG_TEXT}</p></div><ul><li>after</li></ul></div></body>',
+                                  [LONG_TEXT, LONG_TEXT, "first step", "second step", "said", LONG_TEXT, "after"]),
+    "two articles": (f'<main><article><h2>One</h2><p>{LONG_TEXT}</p></article><article><h2>Two</h2><p>{LONG_TEXT}</p></article><article><a href="x">teaser</a></article></main>', ["One", LONG_TEXT, "Two", LONG_TEXT]),
+    "comments in lists": (f'<article><h1>Title</h1><p>{LONG_TEXT}</p><ol class="comment-list"><li>First! {LONG_TEXT}</li></ol><ul class="user-comments-list"><li>Second!</li></ul></article>', ["Title", LONG_TEXT]),
+    "an advert in a slot": (f'<article><p>{LONG_TEXT}</p><div class="ad-slot">Buy this now</div><p>{LONG_TEXT}</p></article>', [LONG_TEXT, LONG_TEXT]),
+}
+
+
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_layouts_of_pages(layout):
+    html, want = LAYOUTS[layout]
+    assert mainhtml.extract(html).split("\n\n") == want
+
+
+def test_plain_article_pages_by_a_plain_pattern():
+    """Pages whose article holds nothing but paragraphs, against what a regular expression takes from them."""
+    draw = random.Random(6)
+    for _ in range(100):
+        inside = "".join(f"<p>{' '.join(draw.choice(['word', 'Wort,', '&amp;', '<b>bold</b>', 'naïve']) for _ in range(draw.randint(5, 60)))}</p>" for _ in range(draw.randint(1, 8)))
+        page = f"<html><head><title>t</title></head><body><nav><a>x</a></nav><article>{inside}</article><footer>f</footer></body></html>"
+        want = [re.sub("<.*?>", "", p).replace("&amp;", "&") for p in re.findall("<p>(.*?)</p>", page)]
+        assert mainhtml.extract(page).split("\n\n") == want
