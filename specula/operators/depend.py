@@ -12,6 +12,7 @@ from specula.functions import tails
 from specula.functions.effects import benjamini_hochberg, fisher_z_interval
 from specula.plans.gram import gram
 from specula.plans.longform import contingency, level, numeric_long
+from specula.session import settle
 from specula.plans.ordered import (average_rank, bucket_of, cut_points, exact_quantiles, ranked_counts,
                                    running_totals, slices_for, spread_lookup)
 
@@ -89,7 +90,7 @@ def rank_columns(df: DataFrame, columns: list[str], keep: list[str] | None = Non
     Ranks come from value counts and return to the rows by a lookup that spreads hot values.
     """
     keep = keep or []
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, *columns)
+    rows = settle(df.select(F.monotonically_increasing_id().alias("_row"), *keep, *columns))  # written, so that numbers stay when tasks are repeated
     table = (ranked_counts(df, columns).withColumn("rank", average_rank())
              .select("column", "value", "n", "total_n", "rank"))
     long = numeric_long(rows, columns, ["_row", *keep])
