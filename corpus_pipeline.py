@@ -30,16 +30,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents are told apart by id and text, so of different texts under one id each is judged by itself. Documents without words, and rows
     without an id, stay. Of rows with the same id and the same text one stays.
     """
-    own = F.xxhash64("text")
-    named = docs.filter("doc_id IS NOT NULL").select(F.struct("doc_id", own.alias("h")).alias("key"), "text")
-    found = ngramjoin.components(named, "key", "text", n=5, percent=80)
-    gone = found.filter(F.col("id") != F.col("component")).select("id.doc_id", "id.h").distinct()
-    repeated = found.filter("size > 0 AND id = component").groupBy("id").count().filter("count > 1").select("id.doc_id", "id.h")
-    left = docs.withColumn("h", own).join(gone, ["doc_id", "h"], "left_anti")
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    named = docs.filter("doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").limit(1).count()
+    # ids that name one text each are lighter to move than ids with a digest
+    keys = ["doc_id", "h"] if several else ["doc_id"]
+    own = [F.col(f"id.{k}") for k in keys] if several else [F.col("id").alias("doc_id")]
+    found = ngramjoin.components(named.select(F.struct(*keys).alias("key") if several else F.col("doc_id").alias("key"), "text"), "key", "text", n=5, percent=80)
+    gone = found.filter(F.col("id") != F.col("component")).select(*own).distinct()
+    repeated = found.filter("size > 0 AND id = component").groupBy("id").count().filter("count > 1").select(*own)
+    left = docs.join(gone, keys, "left_anti")
     if not repeated.limit(1).count():
         return left.select(*COLUMNS)
-    again = left.join(repeated, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select(*COLUMNS)
-    return left.join(repeated, ["doc_id", "h"], "left_anti").select(*COLUMNS).unionByName(again)
+    again = left.join(repeated, keys, "left_semi").dropDuplicates(keys).select(*COLUMNS)
+    return left.join(repeated, keys, "left_anti").select(*COLUMNS).unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
