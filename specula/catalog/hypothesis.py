@@ -12,6 +12,7 @@ from specula.catalog.profiles import dependent_gaps, union_sql
 from specula.functions.effects import benjamini_hochberg, holm
 from specula.operators import drift, hypothesis, inference
 from specula.plans.longform import contingency, rnd
+from specula.plans.resample import MODULUS, poisson_limits
 
 VALUES = ["l_quantity", "l_extendedprice"]
 r = lambda c, d=6: rnd(F.col(c), d).alias(c)
@@ -316,15 +317,26 @@ def wilcoxon(t):
     return hypothesis.wilcoxon_signed_rank(df, "a", "b").select("n", "w_plus", "w_minus", r("z", 4))
 
 
-@query("permutation_test")
+def drawn_sql(first: int, reps: int) -> str:
+    """A row of ``x`` (y, g) for every order and repetition, with its draw u."""
+    part = lambda start: f"CAST('0x' || substr(md5(o_orderkey || ':7'), {start}, 8) AS BIGINT) % {MODULUS}"
+    return (f"x AS (SELECT CAST(o_totalprice AS DOUBLE) AS y, o_orderstatus = 'F' AS g, {part(1)} AS a, {part(9)} AS b FROM orders), "
+            f"e AS (SELECT y, g, rep, (a + b * rep) % {MODULUS} AS u FROM x, range({first}, {reps + 1}) t(rep))")
+
+
+@query("permutation_test", f"""WITH {drawn_sql(0, 200)}, k AS (SELECT avg(CAST(g AS INT)) * {MODULUS} AS share FROM x), l AS (SELECT rep, y, CASE WHEN rep = 0 THEN g ELSE u < share END AS side FROM e, k),
+d AS (SELECT rep, avg(y) FILTER (WHERE side) - avg(y) FILTER (WHERE NOT side) AS d FROM l GROUP BY rep), o AS (SELECT d AS observed FROM d WHERE rep = 0)
+SELECT round(max(observed), 4) AS observed, count(d) AS reps, round((1 + count(*) FILTER (WHERE abs(d) >= abs(observed))) / (1.0 + count(d)), 4) AS p FROM d, o WHERE rep > 0""")
 def permutation_test(t):
-    p = hypothesis.permutation_test(t.orders, "o_totalprice", F.col("o_orderstatus") == "F", "o_orderkey", reps=99)
+    p = hypothesis.permutation_test(t.orders, "o_totalprice", F.col("o_orderstatus") == "F", "o_orderkey")
     return p.select(r("observed", 4), "reps", r("p", 4))
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", f"""WITH {drawn_sql(1, 2000)}, w AS (SELECT rep, y, {' + '.join(f'CAST(u >= {x} AS INT)' for x in poisson_limits())} AS w FROM e),
+d AS (SELECT rep, sum(w * y) / sum(w) AS stat FROM w GROUP BY rep)
+SELECT 'o_totalprice' AS "column", count(stat) AS reps, round(quantile_cont(stat, 0.025), 2) AS ci_low, round(quantile_cont(stat, 0.5), 2) AS centre, round(quantile_cont(stat, 0.975), 2) AS ci_high FROM d""")
 def bootstrap(t):
-    return hypothesis.bootstrap_interval(t.orders, "o_totalprice", "o_orderkey", reps=200).select("column", "reps", r("ci_low", 2), r("centre", 2), r("ci_high", 2))
+    return hypothesis.bootstrap_interval(t.orders, "o_totalprice", "o_orderkey").select("column", "reps", r("ci_low", 2), r("centre", 2), r("ci_high", 2))
 
 
 @query("conditional_mutual_information", """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, l_linenumber AS z, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), t AS (SELECT sum(n) AS t FROM c)

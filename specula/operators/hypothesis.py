@@ -19,6 +19,7 @@ from specula.functions import tails
 from specula.functions.effects import epsilon_squared, hedges_g, rank_biserial
 from specula.functions.probability import shapiro_wilk
 from specula.plans.ordered import bucket_by_column, cut_points, running_totals, slices_for
+from specula.plans.resample import coin_sums, poisson_sums
 
 PAIR = ["group_col", "value_col"]
 
@@ -393,20 +394,20 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
 def permutation_test(df: DataFrame, value: str, group: Column, row_id: str, reps: int = 200, seed: int = 7) -> DataFrame:
     """Difference of two group means against seeded relabelings.
 
-    Each repetition relabels every row by a hashed coin that keeps the group's expected
-    share; only sums per repetition are shuffled.
+    Each repetition relabels every row by a coin that keeps the group's expected share
+    (``resample.draws``); a task folds its rows into one row of sums per repetition, the first of
+    which (0) has the labels as they are. Rows without a value or a side are left out; a side
+    without rows in a repetition gives that repetition no difference.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("y"), group.cast("int").alias("g")).dropna()
     share = base.agg(F.avg("g")).first()[0]
-    coin = (F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < share).cast("int")
-    label = F.when(F.col("rep") == 0, F.col("g")).otherwise(coin)
-    drawn = (base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("l", label)
-             .groupBy("rep").agg((F.sum(F.col("l") * F.col("y")) / F.sum("l")
-                                  - F.sum((1 - F.col("l")) * F.col("y")) / F.sum(1 - F.col("l"))).alias("d")))
+    sums = coin_sums(base, "id", "y", "g", 0.0 if share is None else share, reps, seed)
+    side = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n))
+    drawn = sums.select("rep", (side("s1", "n1") - side("s0", "n0")).alias("d"))
     seen = drawn.agg(F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("observed"))
     return (drawn.filter("rep > 0").join(F.broadcast(seen), F.lit(True))
-            .agg(F.max("observed").alias("observed"), F.count(F.lit(1)).alias("reps"),
-                 ((1 + F.sum((F.abs("d") >= F.abs("observed")).cast("long"))) / (1 + F.count(F.lit(1)))).alias("p")))
+            .agg(F.max("observed").alias("observed"), F.count("d").alias("reps"),
+                 ((1 + F.sum((F.abs("d") >= F.abs("observed")).cast("long"))) / (1 + F.count("d"))).alias("p")))
 
 
 def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -427,17 +428,12 @@ def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str) -> Dat
 def bootstrap_interval(df: DataFrame, value: str, row_id: str, reps: int = 2000, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean by the Poisson bootstrap.
 
-    A row's weight in a repetition is drawn from a hash of (row, repetition), so the result
-    repeats; only one sum per repetition and task is shuffled.
+    A row's weight in a repetition follows from its draw (``resample.draws``), so the result
+    repeats; a task folds its rows into one row of sums per repetition. Rows without a value are
+    left out; without rows there are no repetitions and the interval is null.
     """
     base = df.select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("y")).dropna()
-    cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.lit(0)
-    for c in cumulative:
-        weight = weight + (F.col("u") > float(c)).cast("int")
-    drawn = (base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("u", u).withColumn("w", weight)
-             .groupBy("rep").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("stat")))
+    drawn = poisson_sums(base, "id", "y", reps, seed).filter("n > 0").select((F.col("s") / F.col("n")).alias("stat"))
     ends = F.percentile("stat", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")  # reps rows only
     return (drawn.agg(F.count("stat").alias("reps"), ends)
             .select(F.lit(value).alias("column"), "reps", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("centre"),
