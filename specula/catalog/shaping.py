@@ -127,6 +127,11 @@ def split_stratified(t):
     return shaped(t, split=Step("s", "split", params={"kind": "stratified", "by": "o_orderstatus", "test": 0.2, "valid": 0.1})).select("o_orderkey", "_part")
 
 
+@query("split_stratified_many", f"SELECT o_orderkey, {part_sql('i', 'n').replace('round(', 'round_even(').replace(' * n)', ' * n, 0)')} AS _part FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {draw('o_orderkey')}) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
+def split_stratified_many(t):
+    return shaped(t, split=Step("s", "split", params={"kind": "stratified", "by": "o_custkey", "test": 0.2, "valid": 0.1})).select("o_orderkey", "_part")
+
+
 @query("split_group", f"""SELECT o_orderkey, _part FROM orders JOIN (SELECT o_custkey, {part_sql('i', 'n')} AS _part FROM (SELECT o_custkey, row_number() OVER (ORDER BY {draw('o_custkey')}) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders))) USING (o_custkey)""")
 def split_group(t):
     return shaped(t, split=Step("s", "split", params={"kind": "group", "by": "o_custkey", "test": 0.2, "valid": 0.1})).select("o_orderkey", "_part")
@@ -239,6 +244,13 @@ def encode_one_hot(t):
     return d.select("o_orderkey", *[f"`o_orderstatus={s}`" for s in "FOP"], F.col("`prio=1-URGENT`").alias("urgent"))
 
 
+@query("encode_ordinal_many", f"""WITH o AS (SELECT DISTINCT 'Customer#' || o_custkey AS c FROM {TRAIN}), p AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM o)
+SELECT o_orderkey, code AS name FROM orders LEFT JOIN p ON 'Customer#' || o_custkey = c""")
+def encode_ordinal_many(t):
+    df = base(t).withColumn("name", F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")))
+    return shaped(t, Step("o", "encode", ["name"], {"strategy": "ordinal"}), df=df).select("o_orderkey", "name")
+
+
 @query("encode_ordinal_and_frequency", f"""WITH o AS (SELECT DISTINCT coalesce(prio, '<null>') AS c FROM {TRAIN}), p AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM o), f AS (SELECT CAST(o_custkey AS VARCHAR) AS k, count(*) / (SELECT count(*) FROM {TRAIN}) AS s FROM {TRAIN} GROUP BY 1)
 SELECT o_orderkey, p.code AS prio, round(coalesce(f.s, 0.0), 8) AS o_custkey, CAST(list_position(['O', 'F'], o_orderstatus) - 1 AS BIGINT) AS o_orderstatus FROM {BASE} b LEFT JOIN p ON p.c = coalesce(b.prio, '<null>') LEFT JOIN f ON f.k = CAST(b.o_custkey AS VARCHAR)""")
 def encode_ordinal_and_frequency(t):

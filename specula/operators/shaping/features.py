@@ -13,7 +13,7 @@ from specula.operators.shaping.values import as_numbers, number
 from specula.operators.typing import kind_of
 from specula.plans.gram import gram
 from specula.plans.longform import level, numeric_long
-from specula.plans.ordered import exact_quantiles, running_totals, spread_lookup
+from specula.plans.ordered import exact_quantiles, running_totals, spread_lookup, text_cells
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
@@ -58,8 +58,8 @@ def encode(state: Shaped, step: Step) -> dict:
             place = F.array_position(F.array(*[F.lit(str(v)) for v in p["order"]]), level(c))
             state.df = state.df.withColumn(c, F.when(place > 0, place - 1))
         elif strategy == "ordinal":
-            placed = running_totals(counts.select("cat", "n", F.lit(1).alias("one"), F.substring("cat", 1, 2).alias("bucket")),
-                                    [], "cat", ["one"]).select("cat", "n", F.col("before_one").cast("long").alias("code"))
+            placed = running_totals(text_cells(counts.select("cat", "n", F.lit(1).alias("one")), "cat"), [], "cat", ["one"]).select(
+                "cat", "n", F.col("before_one").cast("long").alias("code"))
             _replace(state, c, placed, None, total)
         elif strategy == "frequency":
             _replace(state, c, counts.withColumn("code", F.col("n") / F.lit(total)), 0.0, total)

@@ -1,4 +1,4 @@
-"""De-duplication and the split. A split assigns parts by thresholds and shuffles no rows."""
+"""De-duplication and the split. A split assigns parts by thresholds; only one by levels joins rows, with the table of these."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from specula.operators.quality import near_duplicates, short_key
 from specula.operators.shaping.recipe import Shaped, Step
-from specula.plans.ordered import order_statistics
+from specula.plans.ordered import order_statistics, spread_lookup
+from specula.session import settle
 
 CELL = 10_000
 
@@ -73,34 +74,91 @@ def _sizes(n: int, test: float, valid: float) -> tuple[int, int]:
     return int(round(test * n)), int(round(valid * n))
 
 
-def _by_draw(rows: DataFrame, draw: Column, level: Column, test: float, valid: float) -> Column:
-    """The part of each row: its draw against the thresholds of its level."""
-    sizes = {r["level"]: r["n"] for r in rows.groupBy(level.cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = {lv: [_sizes(n, test, valid)[0], sum(_sizes(n, test, valid))] for lv, n in sizes.items()}
-    found = hash_thresholds(rows, draw, level, cuts)
-    lookup = F.create_map(*[x for lv, (a, b) in cuts.items() for x in (
-        F.lit(lv), F.array(F.lit(found.get((lv, a), "")), F.lit(found.get((lv, b), ""))))])
-    limits = lookup[level.cast("string")]
+def _by_draw(rows: DataFrame, draw: Column, test: float, valid: float) -> Column:
+    """The part of each row: its draw against two thresholds of the whole table."""
+    first, second = _sizes(rows.count(), test, valid)
+    found = hash_thresholds(rows, draw, F.lit("all"), {"all": [first, first + second]})
+    limits = [F.lit(found.get(("all", k), "")) for k in (first, first + second)]
     return F.when(draw <= limits[0], "test").when(draw <= limits[1], "valid").otherwise("train")
 
 
+def level_thresholds(rows: DataFrame, test: float, valid: float, most: int = CELL) -> DataFrame:
+    """(level, n, test_to, valid_to) from (level, h): the largest draws of each level's parts, empty for no row.
+
+    Any number of levels of any size: a round counts every open cell of a level (draws with one
+    prefix) by two more digits, turns each wanted rank into a cell of these and keeps only the rows
+    of such cells, 1/128 of them. When no cell has more than ``most`` rows, ranks are read off
+    within the cells. Counts combine before the shuffle, so a hot level is 256 rows of a task.
+    """
+    names = ("test", "valid")
+    cells = rows.groupBy("level", F.substring("h", 1, 2).alias("d")).agg(F.count(F.lit(1)).alias("rows"))
+    of_level = Window.partitionBy("level")  # 256 cells at most
+    n = F.sum("rows").over(of_level)
+    upto = F.sum("rows").over(of_level.orderBy("d")) - F.col("rows")
+    first, second = (F.bround(F.lit(share) * F.col("n").cast("double")).cast("long") for share in (test, valid))
+    wanted = {"test": first, "valid": first + second}
+    placed = cells.select("level", "d", "rows", n.alias("n"), upto.alias("before"))
+
+    def within(column: str, rank: Column) -> Column:
+        """The one cell that holds the rank: (prefix, rank within it, rows)."""
+        return F.max(F.when((F.col("before") < rank) & (rank <= F.col("before") + F.col("rows")),
+                            F.struct("d", (rank - F.col("before")).alias("k"), "rows"))).alias(column)
+
+    spots = settle(placed.groupBy("level").agg(F.max("n").alias("n"), *[within(c, wanted[c]) for c in names]))
+    total, depth = spots.agg(F.sum("n")).first()[0] or 0, 2
+    while True:
+        largest = spots.agg(F.greatest(*[F.max(F.coalesce(F.col(f"{c}.rows"), F.lit(0))) for c in names])).first()[0] or 0
+        marked = spread_lookup(rows.select("level", "h"), spots.withColumn("total_n", F.lit(total)), ["level"], list(names), "n")
+        at = F.substring("h", 1, depth)
+        inside = F.array_distinct(F.array_compact(F.array(*[F.when(at == F.col(f"{c}.d"), F.col(f"{c}.d")) for c in names])))
+        rows = settle(marked.filter(F.size(inside) > 0).select("level", "h"))
+        if largest <= most or depth >= 32:
+            break
+        cells = rows.groupBy("level", F.substring("h", 1, depth).alias("p"), F.substring("h", 1, depth + 2).alias("d")).agg(F.count(F.lit(1)).alias("rows"))
+        order = Window.partitionBy("level", "p").orderBy("d")
+        held = cells.select("level", "p", "d", "rows", (F.sum("rows").over(order) - F.col("rows")).alias("before"))
+        finer = held.join(spots.select("level", "n", *[F.col(c).alias(f"old_{c}") for c in names]), "level")
+        here = lambda c: F.when(F.col("p") == F.col(f"old_{c}.d"), F.col(f"old_{c}.k"))
+        narrowed = finer.groupBy("level").agg(*[within(c, here(c)) for c in names])
+        spots = settle(spots.select("level", "n").join(narrowed, "level", "left"))
+        depth += 2
+    ordered = rows.withColumn("p", F.substring("h", 1, depth)).withColumn("r", F.row_number().over(Window.partitionBy("level", "p").orderBy("h")))
+    ranked = ordered.join(spots, "level")
+    ends = ranked.groupBy("level").agg(*[F.max(F.when((F.col("p") == F.col(f"{c}.d")) & (F.col("r") == F.col(f"{c}.k")), F.col("h"))).alias(f"{c}_to")
+                                         for c in names])
+    return spots.select("level", "n").join(ends, "level", "left").select("level", "n", *[F.coalesce(f"{c}_to", F.lit("")).alias(f"{c}_to") for c in names])
+
+
+def _by_level(df: DataFrame, draw: Column, level: Column, test: float, valid: float) -> DataFrame:
+    """``df`` with ``_part``: each row's draw against the thresholds of its level, from a joined table."""
+    rows = df.withColumns({"level_of_row": level, "draw_of_row": draw})
+    table = level_thresholds(rows.select(F.col("level_of_row").alias("level"), F.col("draw_of_row").alias("h")), test, valid)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    limits = table.select(F.col("level").alias("level_of_row"), F.col("n").alias("rows_of_level"), F.col("test_to").alias("_test_to"),
+                          F.col("valid_to").alias("_valid_to"))
+    got = spread_lookup(rows, limits.withColumn("total_n", F.lit(total)), ["level_of_row"], ["_test_to", "_valid_to"], "rows_of_level")
+    part = F.when(F.col("draw_of_row") <= F.col("_test_to"), "test").when(F.col("draw_of_row") <= F.col("_valid_to"), "valid").otherwise("train")
+    return got.withColumn("_part", part).select(*[c for c in df.columns if c != "_part"], "_part")
+
+
 def split(state: Shaped, step: Step) -> dict:
     p = step.params
     kind, test, valid = p.get("kind", "random"), float(p.get("test", 0.2)), float(p.get("valid", 0.0))
     df = state.df
     if kind == "random":
-        part = _by_draw(df, seeded(state.seed, F.col(state.row_id)), F.lit("all"), test, valid)
+        part = _by_draw(df, seeded(state.seed, F.col(state.row_id)), test, valid)
     elif kind == "stratified":
         by = p.get("by") or state.label
         _need(df, by, step)
         level = F.coalesce(F.col(by).cast("string"), F.lit("<null>"))
-        part = _by_draw(df, seeded(state.seed, F.col(state.row_id)), level, test, valid)
+        df = _by_level(df, seeded(state.seed, F.col(state.row_id)), level, test, valid)
+        part = F.col("_part")
     elif kind == "group":
         by = p["by"]
         _need(df, by, step)
         key = F.coalesce(F.col(by).cast("string"), F.lit("<null>"))
         keys = df.select(key.alias("_key")).distinct()
-        found = _by_draw(keys, seeded(state.seed, F.col("_key")), F.lit("all"), test, valid)
+        found = _by_draw(keys, seeded(state.seed, F.col("_key")), test, valid)
         df = df.withColumn("_key", key)
         part = found
     elif kind == "cutoff":

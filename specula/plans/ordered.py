@@ -242,6 +242,15 @@ def order_statistics(df: DataFrame, columns: list[str], ranks_of, most: int | No
     return totals, found
 
 
+def text_cells(distinct: DataFrame, value: str, most: int = 100_000) -> DataFrame:
+    """Add ``bucket``, ascending with a text column of different values: about ``most`` rows each.
+
+    Cut points are sampled by the range exchange, so texts with one common beginning are cut as well.
+    """
+    pieces = max(1, math.ceil(distinct.count() / most))
+    return settle(distinct.repartitionByRange(pieces, value).withColumn("bucket", F.spark_partition_id()))
+
+
 def spread_lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list[str],
                   size: str, hot_share: float = 0.001) -> DataFrame:
     """Left-join ``table`` (unique on keys, ``size`` = rows per key) without a hot shuffle key.
