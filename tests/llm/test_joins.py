@@ -110,6 +110,27 @@ def test_cap_filters_by_brute_force(spark, block, per_filter):
     assert caps.links(df.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+def test_cap_filters_of_floats_are_those_of_doubles(spark):
+    rows = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in vectors()[:300]]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    asked = lambda d: sorted(map(tuple, caps.links(d, "vec_id", "embedding", "label", 0.98).collect()))
+    assert asked(df) == asked(df.withColumn("embedding", F.col("embedding").cast("array<float>")))
+
+
+@pytest.mark.parametrize("dim, size", [(64, 12), (64, 21), (128, 16)])
+def test_recall_of_pairs_at_the_least_cosine(dim, size):
+    """Codes for one to ten million vectors: pairs at exactly 0.98, the hardest, share a filter but for one in a thousand at most."""
+    code, draw, missed = caps.Code(dim, size, 40), np.random.default_rng(dim + size), 0
+    for _ in range(6):
+        a, b = draw.normal(size=(2, 1000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.98 * a + (1 - 0.98 ** 2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+        missed += sum(not np.intersect1d(x, y).size for x, y in zip(code.decode(a, 28), code.decode(b, 28)))
+    print(f"{dim} dimensions, code of {size}: {missed} of 6000 missed")
+    assert missed <= 6
+
+
 def test_shards(spark):
     draw = random.Random(6)
     rows = [(i, draw.choice([0, 5, 40, 200, None])) for i in range(400)] + [(7, 900), (7, 900), (None, 3), (5000, 5000)]
