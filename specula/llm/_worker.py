@@ -19,6 +19,17 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    release()
+
+
+def release():
+    """Hand freed memory back to the system: a worker waits for its next task with what the last one left."""
+    import ctypes
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Remembering(dict):

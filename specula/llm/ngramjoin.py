@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specula.llm._links import components as connected_components
-from specula.llm._worker import once, slices
+from specula.llm._worker import once, release, slices
 from specula.llm.bpe import _q
 from specula.session import settle, shuffle_width
 
@@ -31,6 +31,7 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BASE = 0xD6E8FEB86659FD93
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 18
+ROWS = 1 << 16
 #: of classes that have the same leader, about so many are paired with all others in the first round
 CHIEFS = 32
 
@@ -236,7 +237,8 @@ def frequent(docs: DataFrame, text: str, n: int, bits: int, width: int, least: i
             at = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
             total = np.add.reduceat(counts.astype(np.int64), at)
             top = total >= least
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at][top].astype(np.int64), pa.int64()), pa.array(total[top], pa.int64())], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at[top]].astype(np.int64), pa.int64()), pa.array(total[top], pa.int64())], names=["key", "n"])
+        release()
 
     counted = settle(docs.select(_q(text).alias("text")).mapInArrow(send, "bucket bigint, keys binary, counts binary")
                      .repartition(width, "bucket").mapInArrow(tally, "key bigint, n bigint"))
@@ -316,15 +318,20 @@ def postings(docs: DataFrame, text: str, n: int, percent: int, heavy, bits: int,
                 else:
                     held.append(columns)
         if held:
-            key, owner, size, place = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((owner, key))
-            key, owner, size, place = key[order], owner[order], size[order], place[order]
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            order = np.lexsort((columns[1], columns[0]))
+            for i in range(len(columns)):  # one by one, so that only one is there twice
+                columns[i] = columns[i][order]
+            key, owner = columns[:2]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-            key, owner, size, place = key[new], owner[new], size[new], place[new]
-            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-            shared = count[back] > 1
-            if shared.any():
-                yield rows([c[shared] for c in (key, owner, size, place)])
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            many = np.add.reduceat(new.astype(np.int64), at)  # different owners of each key
+            shared = np.flatnonzero(new & np.repeat(many > 1, np.diff(np.append(at, len(key)))))
+            del key, owner, order, new
+            for i in range(0, len(shared), ROWS):
+                yield rows([c[shared[i:i + ROWS]] for c in columns])
+        release()
 
     return (docs.select(_q(text).alias("text")).mapInArrow(send, "bucket bigint, keys binary, classes binary, sizes binary, places binary")
             .repartition(width, "bucket").mapInArrow(gather, "key bigint, class bigint, size bigint, place bigint"))
@@ -397,7 +404,7 @@ def components(docs: DataFrame, doc_id: str, text: str, n: int = 4, percent: int
         raise ValueError("two different sets have the same 64-bit digest; change MIX")
     total = facts["grams"] or 0
     bits = max(10, (total >> 23).bit_length())
-    width = max(shuffle_width(spark), total >> 22)
+    width = max(shuffle_width(spark), total >> 20)
     texts = docs.filter(_q(doc_id).isNotNull())
     heavy = spark.sparkContext.broadcast(frequent(texts, text, n, bits, width, least, most))
     live = settle(postings(texts, text, n, percent, heavy, bits, width))
