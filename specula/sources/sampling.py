@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,10 @@ def row_digest(df: DataFrame) -> DataFrame:
 
 
 def text_digest(df: DataFrame) -> DataFrame:
-    """The same idea over md5 of the row's text, which other engines can repeat."""
+    """The same idea over md5 of the row's text, which other engines can repeat.
+
+    The sum of 48-bit hashes is exact and given modulo 2**63, so tables of any size have one.
+    """
     text = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), _quoted(c).cast("string")), F.lit("n")) for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")).alias("digest"))
+                  (F.sum(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(28,0)")) % F.lit(Decimal(1 << 63))).cast("long").alias("digest"))
