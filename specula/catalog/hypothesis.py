@@ -171,7 +171,7 @@ p AS (SELECT x, a, exp(lgamma(c1 + 1) - lgamma(x + 1) - lgamma(c1 - x + 1) + lga
 SELECT 'debt' AS a, 'rare' AS b, 'fisher' AS used, round(sum(p) FILTER (p <= (SELECT p FROM p WHERE x = a) * (1 + 1e-7)), 6) AS p FROM p""")
 def fisher_exact(t):
     df = t.customer.select((F.col("c_custkey") % 400 == 3).alias("rare"), (F.col("c_acctbal") < -900).alias("debt"))
-    return hypothesis.chi_square_from_cells(contingency(df, [("debt", "rare")])).select("a", "b", "used", r("p"))
+    return hypothesis.chi_square_from_cells(contingency(df, [("debt", "rare")]), exact=True).select("a", "b", "used", r("p"))
 
 
 PROP = """SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(CASE WHEN f THEN y END) AS p1, avg(CASE WHEN NOT f THEN y END) AS p2, avg(y) AS p,

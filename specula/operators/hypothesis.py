@@ -224,8 +224,8 @@ def levene(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     return one_way(table).select(*PAIR, "k", "n", F.col("classic_f").alias("levene_f"), F.col("classic_p").alias("levene_p"))
 
 
-def chi_square_from_cells(cells: DataFrame) -> DataFrame:
-    """Per pair (a, b): chi-square, p, bias-corrected V, least expected count; Fisher for small 2x2."""
+def chi_square_from_cells(cells: DataFrame, exact: bool = False) -> DataFrame:
+    """Per pair (a, b): chi-square, p, bias-corrected V, least expected count; Fisher for small 2x2, with ``exact`` for any 2x2."""
     pair = ["a", "b"]
     rows = cells.groupBy(*pair, "level_a").agg(F.sum("n").alias("na"))
     cols = cells.groupBy(*pair, "level_b").agg(F.sum("n").alias("nb"))
@@ -246,7 +246,7 @@ def chi_square_from_cells(cells: DataFrame) -> DataFrame:
     table = (side_a.join(side_b, pair).join(inner, pair).filter("rows > 1 AND columns > 1")
              .select(*pair, "rows", "columns", "n", chi2.alias("chi2"), v.alias("v"),
                      (F.col("least_a") * F.col("least_b") / n).alias("min_expected"), "c11", "r1", "c1"))
-    small = (F.col("min_expected") < 5) & (F.col("rows") == 2) & (F.col("columns") == 2)
+    small = (F.lit(exact) | (F.col("min_expected") < 5)) & (F.col("rows") == 2) & (F.col("columns") == 2)
     other = lambda e: F.when(small, e.cast("double"))
     table = (table.withColumn("used", F.when(small, "fisher").otherwise("chi-square"))
              .withColumn("chi2_p", tails.p_chi2("chi2", (F.col("rows") - 1) * (F.col("columns") - 1)))
