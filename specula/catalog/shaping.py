@@ -28,7 +28,7 @@ def base(t):
         F.when(F.col("o_totalprice") > 300000, 1).otherwise(0).alias("big"))
 
 
-TIME_SPLIT = Step("split", "split", params={"kind": "time", "time_column": "o_orderdate", "test": 0.2, "valid": 0.1})
+TIME_SPLIT = Step("split", "split", params={"kind": "time", "time_column": "o_orderdate", "test": 0.2, "valid": 0.1, "halves": "up"})
 CUTOFF = Step("split", "split", params={"kind": "cutoff", "time_column": "o_orderdate", "cutoff": "2000-01-01"})
 CUT = "CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'test' ELSE 'train' END"
 PARTED = f"(SELECT *, {CUT} AS _part FROM {BASE})"
@@ -119,12 +119,12 @@ def part_sql(rank, n, test=0.2, valid=0.1):
 
 @query("split_random", f"SELECT o_orderkey, {part_sql('i', 'n')} AS _part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {draw('o_orderkey')}) AS i, count(*) OVER () AS n FROM orders)")
 def split_random(t):
-    return shaped(t, split=Step("s", "split", params={"kind": "random", "test": 0.2, "valid": 0.1})).select("o_orderkey", "_part")
+    return shaped(t, split=Step("s", "split", params={"kind": "random", "test": 0.2, "valid": 0.1, "halves": "up"})).select("o_orderkey", "_part")
 
 
 @query("split_stratified", f"SELECT o_orderkey, {part_sql('i', 'n')} AS _part FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {draw('o_orderkey')}) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)")
 def split_stratified(t):
-    return shaped(t, split=Step("s", "split", params={"kind": "stratified", "by": "o_orderstatus", "test": 0.2, "valid": 0.1})).select("o_orderkey", "_part")
+    return shaped(t, split=Step("s", "split", params={"kind": "stratified", "by": "o_orderstatus", "test": 0.2, "valid": 0.1, "halves": "up"})).select("o_orderkey", "_part")
 
 
 @query("split_stratified_many", f"SELECT o_orderkey, {part_sql('i', 'n').replace('round(', 'round_even(').replace(' * n)', ' * n, 0)')} AS _part FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {draw('o_orderkey')}) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
@@ -134,7 +134,7 @@ def split_stratified_many(t):
 
 @query("split_group", f"""SELECT o_orderkey, _part FROM orders JOIN (SELECT o_custkey, {part_sql('i', 'n')} AS _part FROM (SELECT o_custkey, row_number() OVER (ORDER BY {draw('o_custkey')}) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders))) USING (o_custkey)""")
 def split_group(t):
-    return shaped(t, split=Step("s", "split", params={"kind": "group", "by": "o_custkey", "test": 0.2, "valid": 0.1})).select("o_orderkey", "_part")
+    return shaped(t, split=Step("s", "split", params={"kind": "group", "by": "o_custkey", "test": 0.2, "valid": 0.1, "halves": "up"})).select("o_orderkey", "_part")
 
 
 TIME_PART = "SELECT o_orderkey, o_orderdate, CASE WHEN i > n - round(0.2 * n) THEN 'test' WHEN i > n - round(0.2 * n) - round(0.1 * n) THEN 'valid' ELSE 'train' END AS _part FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER () AS n FROM orders)"
@@ -357,7 +357,7 @@ def recipe_digest(t):
 def preset_train_ready(t):
     geometry = Geometry(roles={"o_custkey": "key"}, partitions=[Partition("big", leakage=["total"])])
     types = {"price": "numeric", "prio": "nominal", "o_orderstatus": "nominal", "o_custkey": "numeric", "total": "numeric"}
-    steps = preset("train-ready", geometry, types, label="big")
+    steps = preset("train-ready", geometry, types, label="big", halves="up")
     return run(base(t).drop("o_orderdate"), steps, "o_orderkey", geometry).df.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -199,8 +199,8 @@ def run(df: DataFrame, steps: list[Step], row_id: str, geometry: Geometry | None
 
 
 def preset(name: str, geometry: Geometry, types: dict[str, str], label: str | None = None,
-           time_column: str | None = None, coordinates: tuple[str, str, str] | None = None) -> list[Step]:
-    """Ready-made step lists by phase; ``coordinates`` is (lat, lon, crs)."""
+           time_column: str | None = None, coordinates: tuple[str, str, str] | None = None, halves: str = "even") -> list[Step]:
+    """Ready-made step lists by phase; ``coordinates`` is (lat, lon, crs), ``halves`` goes to the split."""
     identity = [c for c, r in geometry.roles.items() if r in ("identity", "key")]
     steps = []
     if coordinates and name in ("train-ready", "spatial-features"):
@@ -222,7 +222,7 @@ def preset(name: str, geometry: Geometry, types: dict[str, str], label: str | No
     if name == "clean":
         return steps
     kind = {"kind": "time", "time_column": time_column} if time_column else {"kind": "stratified", "by": label} if label else {"kind": "random"}
-    steps.append(Step("split", "split", params={**kind, "test": 0.2, "valid": 0.1}))
+    steps.append(Step("split", "split", params={**kind, "test": 0.2, "valid": 0.1, "halves": halves}))
     gone = {*identity, *geometry.derivations, label, time_column, *((geometry.partition(label).leakage if label and geometry.partition(label) else []))}
     numeric = [c for c, t in types.items() if t == "numeric" and c not in gone]
     nominal = [c for c, t in types.items() if t in ("nominal", "boolean") and c not in gone]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +72,23 @@ def hash_thresholds(rows: DataFrame, draw: Column, level: Column, cuts: dict[str
     return {(r["level"], r["rank"]): r["h"] for r in found.collect()}
 
 
-def _sizes(n: int, test: float, valid: float) -> tuple[int, int]:
-    return int(round(test * n)), int(round(valid * n))
+HALVES = {"even": ROUND_HALF_EVEN, "up": ROUND_HALF_UP}
+
+
+def _sizes(n: int, test: float, valid: float, halves: str = "even") -> tuple[int, int]:
+    """Rows of the two parts; a half goes to the even number, or up as SQL's ``round`` has it."""
+    return tuple(int((Decimal(str(share)) * n).quantize(Decimal(1), HALVES[halves])) for share in (test, valid))
 
 
-def _by_draw(rows: DataFrame, draw: Column, test: float, valid: float) -> Column:
+def _by_draw(rows: DataFrame, draw: Column, test: float, valid: float, halves: str = "even") -> Column:
     """The part of each row: its draw against two thresholds of the whole table."""
-    first, second = _sizes(rows.count(), test, valid)
+    first, second = _sizes(rows.count(), test, valid, halves)
     found = hash_thresholds(rows, draw, F.lit("all"), {"all": [first, first + second]})
     limits = [F.lit(found.get(("all", k), "")) for k in (first, first + second)]
     return F.when(draw <= limits[0], "test").when(draw <= limits[1], "valid").otherwise("train")
 
 
-def level_thresholds(rows: DataFrame, test: float, valid: float, most: int = CELL) -> DataFrame:
+def level_thresholds(rows: DataFrame, test: float, valid: float, most: int = CELL, halves: str = "even") -> DataFrame:
     """(level, n, test_to, valid_to) from (level, h): the largest draws of each level's parts, empty for no row.
 
     Any number of levels of any size: a round counts every open cell of a level (draws with one
@@ -95,7 +101,8 @@ def level_thresholds(rows: DataFrame, test: float, valid: float, most: int = CEL
     of_level = Window.partitionBy("level")  # 256 cells at most
     n = F.sum("rows").over(of_level)
     upto = F.sum("rows").over(of_level.orderBy("d")) - F.col("rows")
-    first, second = (F.bround(F.lit(share) * F.col("n").cast("double")).cast("long") for share in (test, valid))
+    whole = {"even": F.bround, "up": F.round}[halves]
+    first, second = (whole(F.lit(Decimal(str(share))) * F.col("n").cast("decimal(19,0)")).cast("long") for share in (test, valid))
     wanted = {"test": first, "valid": first + second}
     placed = cells.select("level", "d", "rows", n.alias("n"), upto.alias("before"))
 
@@ -129,10 +136,10 @@ def level_thresholds(rows: DataFrame, test: float, valid: float, most: int = CEL
     return spots.select("level", "n").join(ends, "level", "left").select("level", "n", *[F.coalesce(f"{c}_to", F.lit("")).alias(f"{c}_to") for c in names])
 
 
-def _by_level(df: DataFrame, draw: Column, level: Column, test: float, valid: float) -> DataFrame:
+def _by_level(df: DataFrame, draw: Column, level: Column, test: float, valid: float, halves: str) -> DataFrame:
     """``df`` with ``_part``: each row's draw against the thresholds of its level, from a joined table."""
     rows = df.withColumns({"level_of_row": level, "draw_of_row": draw})
-    table = level_thresholds(rows.select(F.col("level_of_row").alias("level"), F.col("draw_of_row").alias("h")), test, valid)
+    table = level_thresholds(rows.select(F.col("level_of_row").alias("level"), F.col("draw_of_row").alias("h")), test, valid, halves=halves)
     total = table.agg(F.sum("n")).first()[0] or 0
     limits = table.select(F.col("level").alias("level_of_row"), F.col("n").alias("rows_of_level"), F.col("test_to").alias("_test_to"),
                           F.col("valid_to").alias("_valid_to"))
@@ -144,21 +151,22 @@ def _by_level(df: DataFrame, draw: Column, level: Column, test: float, valid: fl
 def split(state: Shaped, step: Step) -> dict:
     p = step.params
     kind, test, valid = p.get("kind", "random"), float(p.get("test", 0.2)), float(p.get("valid", 0.0))
+    halves = p.get("halves", "even")
     df = state.df
     if kind == "random":
-        part = _by_draw(df, seeded(state.seed, F.col(state.row_id)), test, valid)
+        part = _by_draw(df, seeded(state.seed, F.col(state.row_id)), test, valid, halves)
     elif kind == "stratified":
         by = p.get("by") or state.label
         _need(df, by, step)
         level = F.coalesce(F.col(by).cast("string"), F.lit("<null>"))
-        df = _by_level(df, seeded(state.seed, F.col(state.row_id)), level, test, valid)
+        df = _by_level(df, seeded(state.seed, F.col(state.row_id)), level, test, valid, halves)
         part = F.col("_part")
     elif kind == "group":
         by = p["by"]
         _need(df, by, step)
         key = F.coalesce(F.col(by).cast("string"), F.lit("<null>"))
         keys = df.select(key.alias("_key")).distinct()
-        found = _by_draw(keys, seeded(state.seed, F.col("_key")), test, valid)
+        found = _by_draw(keys, seeded(state.seed, F.col("_key")), test, valid, halves)
         df = df.withColumn("_key", key)
         part = found
     elif kind == "cutoff":
@@ -166,7 +174,7 @@ def split(state: Shaped, step: Step) -> dict:
         part = F.when(F.col(p["time_column"]) >= F.lit(p["cutoff"]).cast("timestamp"), "test").otherwise("train")
     elif kind == "time":
         _need(df, p["time_column"], step)
-        part = _time_part(state, p["time_column"], test, valid)
+        part = _time_part(state, p["time_column"], test, valid, halves)
     else:
         raise ValueError(f"unknown split {kind!r}")
     state.df = df.withColumn("_part", part).drop("_key")
@@ -179,7 +187,7 @@ def _need(df: DataFrame, column: str | None, step: Step) -> None:
         raise ValueError(f"{step.id}: the split needs an existing column, not {column!r}")
 
 
-def _time_part(state: Shaped, column: str, test: float, valid: float) -> Column:
+def _time_part(state: Shaped, column: str, test: float, valid: float, halves: str = "even") -> Column:
     """Rows along (time, row id): the last are test, those before them valid; no time counts as last."""
     at = F.coalesce(F.unix_micros(F.col(column).cast("timestamp")).cast("double"), F.lit(9.0e18))
     rows = state.df.select(at.alias("at"), F.col(state.row_id).alias("id"))
@@ -187,12 +195,12 @@ def _time_part(state: Shaped, column: str, test: float, valid: float) -> Column:
     ends: dict[int, tuple] = {}
 
     def wanted(total: int) -> set[int]:
-        n_test, n_valid = _sizes(total, test, valid)
+        n_test, n_valid = _sizes(total, test, valid, halves)
         ends.update({total - n_test: (), total - n_test - n_valid: ()})
         return set(ends)
 
     totals, found = order_statistics(rows, ["at"], wanted)
-    n_test, n_valid = _sizes(totals["at"], test, valid)
+    n_test, n_valid = _sizes(totals["at"], test, valid, halves)
 
     def from_rank(rank: int) -> Column:
         """Whether a row's position is at or after the rank."""
