@@ -81,7 +81,7 @@ def neighbours_within(points: DataFrame, radius: float) -> DataFrame:
     Two cells whose farthest corners are within the radius count each other as cells; only
     cell pairs cut by the circle compare locations. Denser data gets finer cells.
     """
-    places = locations(points)
+    places = locations(points)  # files of points are small for their rows: planned by these, joins would send them through the driver
     coarse = places.groupBy("part", F.floor(F.col("_x") / radius), F.floor(F.col("_y") / radius)).agg(F.count(F.lit(1)).alias("k"))
     crowd = coarse.agg(F.max("k")).first()[0] or 1
     fine = max(1, min(12, math.ceil(math.sqrt(crowd / 16))))
@@ -103,18 +103,18 @@ def neighbours_within(points: DataFrame, radius: float) -> DataFrame:
     if inside:
         moved = cells.select("part", "cx", "cy", F.inline(offsets(inside))).select(
             "part", "cx", "cy", (F.col("cx") + F.col("dx")).alias("ox"), (F.col("cy") + F.col("dy")).alias("oy"))
-        other = cells.select("part", F.col("cx").alias("ox"), F.col("cy").alias("oy"), "k")
+        other = cells.select("part", F.col("cx").alias("ox"), F.col("cy").alias("oy"), "k").hint("merge")
         whole = moved.join(other, ["part", "ox", "oy"]).groupBy("part", "cx", "cy").agg(F.sum("k").alias("s"))
-        totals.append(celled.join(whole, ["part", "cx", "cy"]).select("part", "_x", "_y", "s"))
+        totals.append(celled.join(whole.hint("merge"), ["part", "cx", "cy"]).select("part", "_x", "_y", "s"))
     probes = celled.select("part", "_x", "_y", "cx", "cy", F.inline(offsets(cut))).select(
         "part", "_x", "_y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    others = celled.select("part", "cx", "cy", F.col("_x").alias("ox"), F.col("_y").alias("oy"), "m")
+    others = celled.select("part", "cx", "cy", F.col("_x").alias("ox"), F.col("_y").alias("oy"), "m").hint("merge")
     close = F.hypot(F.col("_x") - F.col("ox"), F.col("_y") - F.col("oy")) <= radius
     totals.append(probes.join(others, ["part", "cx", "cy"]).filter(close).groupBy("part", "_x", "_y").agg(F.sum("m").alias("s")))
     found = totals[0]
     for t in totals[1:]:
         found = found.union(t)
-    sums = found.groupBy("part", "_x", "_y").agg(F.sum("s").alias("s")).join(places, ["part", "_x", "_y"])
+    sums = found.groupBy("part", "_x", "_y").agg(F.sum("s").alias("s")).join(places.hint("merge"), ["part", "_x", "_y"])
     counted = _at_places(points, sums.select("part", "_x", "_y", "m", "s"), ["s"])
     return counted.select("id", (F.col("s") - 1).alias("n"))
 
@@ -223,7 +223,7 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     local = points.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
     first = (local.withColumn("r", F.row_number().over(Window.partitionBy("part", "_x", "_y").orderBy("id")))
              .filter(F.col("r") <= k + 1).groupBy("part", "_x", "_y").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    sites = settle(locations(points).join(first, ["part", "_x", "_y"]))
+    sites = settle(locations(points).join(first.hint("merge"), ["part", "_x", "_y"]))
     probes = sites.filter(F.col("m") <= k).select("part", F.col("_x").alias("px"), F.col("_y").alias("py"),
                                                   (F.lit(k + 1) - F.col("m")).cast("long").alias("need"))
     if probes.limit(1).count():
@@ -259,7 +259,7 @@ def morans_i(points: DataFrame, neighbours: DataFrame, values: DataFrame, column
     ``values`` is (id, column). Every repetition deals the centred values anew; one row holds a
     point's values in all repetitions, so the neighbour table is joined twice in total.
     """
-    base = points.select("id").join(values.select("id", F.col(column).cast("double").alias("v")), "id", "left")
+    base = points.select("id").join(values.select("id", F.col(column).cast("double").alias("v")).hint("merge"), "id", "left")
     mean = base.agg(F.avg("v")).first()[0]
     z = base.select("id", F.coalesce(F.col("v") - mean, F.lit(0.0)).alias("z"))
     reps = z.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
@@ -267,7 +267,7 @@ def morans_i(points: DataFrame, neighbours: DataFrame, values: DataFrame, column
         F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 52)).cast("double"))
     dealt = with_position(reps.withColumn("at", drawn), ["rep"], "at", "id", "to")
     homes = with_position(z.select("id", F.col("id").cast("double").alias("at"), F.lit(0).alias("one")), ["one"], "at", "id", "to")
-    given = (homes.select("id", "to").join(dealt.select("rep", "to", "z"), "to")
+    given = (homes.select("id", "to").join(dealt.select("rep", "to", "z").hint("merge"), "to")
              .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rep", "z"))).alias("zs")))
     given = settle(given.select("id", F.col("zs.z").alias("zs")))
     pairs = (neighbours.select("id", "other").join(given, "id")
@@ -285,7 +285,7 @@ def morans_i(points: DataFrame, neighbours: DataFrame, values: DataFrame, column
 
 def gearys_c(neighbours: DataFrame, values: DataFrame, column: str, k: int) -> DataFrame:
     """Geary's C over the neighbour table."""
-    v = values.select("id", F.col(column).cast("double").alias("v"))
+    v = values.select("id", F.col(column).cast("double").alias("v")).hint("merge")
     squares = (neighbours.select("id", "other").join(v, "id").join(v.select(F.col("id").alias("other"), F.col("v").alias("o")), "other")
                .agg(F.sum((F.col("v") - F.col("o")) ** 2).alias("s"), F.count(F.lit(1)).alias("w")))
     spread = v.agg(F.count("v").alias("n"), F.var_pop("v").alias("var"))
@@ -302,7 +302,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     components of cells. Two cells join when a core location of one lies within eps of one
     of the other.
     """
-    counted = neighbours_within(points, eps).join(points, "id")
+    counted = neighbours_within(points, eps).join(points.hint("merge"), "id")
     counted = counted.withColumn("core", F.col("n") + 1 >= min_samples)
     size = eps / math.sqrt(2)
     cell = [F.floor(F.col("_x") / size).alias("cx"), F.floor(F.col("_y") / size).alias("cy")]
@@ -331,7 +331,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
             .filter(F.hypot(F.col("_x") - F.col("bx"), F.col("_y") - F.col("by")) <= eps)
             .groupBy("id").agg(F.min("component").alias("component")))
     inner = rows.filter("core").withColumn("node", key("cx", "cy")).join(groups, "node").select("id", "component")
-    return points.select("id").join(inner.union(edge), "id", "left").select("id", F.col("component").alias("cluster"))
+    return points.select("id").join(inner.union(edge).hint("merge"), "id", "left").select("id", F.col("component").alias("cluster"))
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
