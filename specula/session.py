@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,5 +22,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_round(df: DataFrame) -> DataFrame:
+    """``settle`` for a table that a loop joins in every round.
+
+    A checkpoint passes its plan's estimated size on, and joins multiply these: after a dozen rounds the
+    driver would plan with numbers of millions of digits. Rows that are held have their measured size.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    held.count()
+    out = settle(held.select("*"))
+    held.unpersist()
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
