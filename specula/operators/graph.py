@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from specula.session import settle
 
 FACT = ["s", "p", "o", "kind"]
+FEW = 10_000  # rows of a vocabulary that may be broadcast
 TYPE = "type"
 
 
@@ -49,6 +50,11 @@ def seed(statements: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return facts, Vocabulary(sub, pick("subPropertyOf", "child", "parent"), pick("trait", "p", "trait"), pick("inverseOf", "p", "q"), pick("disjointWith", "a", "b"))
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A vocabulary's table for a join with facts: few rows are broadcast, so that facts with one property or class stay where they are."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 # ------------------------------------------------------------------ closures
 
 def transitive_closure(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
@@ -73,24 +79,26 @@ def subclass_cycles(sub_class: DataFrame) -> DataFrame:
 def inherited_types(facts: DataFrame, closure: DataFrame) -> DataFrame:
     """Membership in every super class."""
     types = facts.filter(F.col("p") == TYPE)
+    closure = few(closure)
     return (types.join(closure, types["o"] == closure["child"]).select("s", "p", F.col("parent").alias("o"), "kind")
             .distinct().join(types.select(*FACT), FACT, "left_anti"))
 
 
 def propagate(delta: DataFrame, closure: DataFrame, traits: DataFrame, inverse: DataFrame) -> DataFrame:
     """Consequences of sub-properties, symmetry and inverses: (fact, rule, via)."""
+    closure = few(closure)
     up = delta.join(closure, delta["p"] == closure["child"]).select("s", F.col("parent").alias("p"), "o", "kind", F.lit("sub-property").alias("rule"), delta["p"].alias("via"))
     objects = delta.filter("kind = 'object'")
     symmetric = traits.filter("trait = 'symmetric'").select("p")
-    swap = objects.join(symmetric, "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "kind", F.lit("symmetric").alias("rule"), F.col("p").alias("via"))
+    swap = objects.join(few(symmetric), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "kind", F.lit("symmetric").alias("rule"), F.col("p").alias("via"))
     pairs = inverse.union(inverse.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
-    turned = objects.join(pairs, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), "kind", F.lit("inverse").alias("rule"), F.col("p").alias("via"))
+    turned = objects.join(few(pairs), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), "kind", F.lit("inverse").alias("rule"), F.col("p").alias("via"))
     return up.union(swap).union(turned)
 
 
 def chain(delta: DataFrame, known: DataFrame, traits: DataFrame) -> DataFrame:
     """New links of transitive properties, at least one leg from the last round."""
-    transitive = traits.filter("trait = 'transitive'").select("p")
+    transitive = few(traits.filter("trait = 'transitive'").select("p"))
     new, old = (d.filter("kind = 'object'").join(transitive, "p").select("s", "p", "o") for d in (delta, known))
     legs = lambda a, b: a.select("s", "p", F.col("o").alias("mid")).join(b.select(F.col("s").alias("mid"), "p", "o"), ["p", "mid"])
     return (legs(new, old).union(legs(old, new)).filter("s <> o")
@@ -275,7 +283,7 @@ def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None,
     that depends on the rule's own conclusion is an error. Provenance is the first round that produced the fact; within a round
     the smallest rule name.
     """
-    up = settle(transitive_closure(words.sub_class))
+    up = few(settle(transitive_closure(words.sub_class)))
     over = settle(transitive_closure(words.sub_property))
     known = settle(facts.select(*FACT).distinct().select("*", F.lit("asserted").alias("prov_kind"), F.lit(None).cast("string").alias("prov_rule"),
                                                          F.lit(None).cast("string").alias("prov_via")))
@@ -384,7 +392,7 @@ def disjoint_members(types: DataFrame, disjoint: DataFrame, member: str = "s", g
 def functional_conflicts(facts: DataFrame, traits: DataFrame) -> DataFrame:
     """(p, rule, holder, low, high): functional properties with two values, inverse-functional with two subjects."""
     def clash(trait: str, by: str, other: str) -> DataFrame:
-        mine = traits.filter(F.col("trait") == trait).select("p")
+        mine = few(traits.filter(F.col("trait") == trait).select("p"))
         return (facts.join(mine, "p").groupBy("p", by).agg(F.min(other).alias("low"), F.max(other).alias("high"))
                 .filter("low <> high").select("p", F.lit(trait).alias("rule"), F.col(by).alias("holder"), "low", "high"))
     return clash("functional", "s", "o").union(clash("inverse-functional", "o", "s"))
