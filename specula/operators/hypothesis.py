@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from specula.functions import tails
 from specula.functions.effects import epsilon_squared, hedges_g, rank_biserial
 from specula.functions.probability import shapiro_wilk
-from specula.plans.ordered import bucket_by_column, cut_points, running_totals, slices_for
+from specula.plans.ordered import range_cells, running_totals
 from specula.plans.resample import coin_sums, poisson_sums
 
 PAIR = ["group_col", "value_col"]
@@ -112,15 +112,18 @@ def side_counts(df: DataFrame, levels: dict[str, list[str]], values: list[str],
     ``kept`` (group_col, value_col, level) leaves other levels out; it is as small as the levels.
     """
     width = max(len(v) for v in levels.values())
-    long = group_values(df, list(levels), values)
+    index = lambda g: F.coalesce(F.lit(None).cast("int"), *[F.when(F.col(g).cast("string") == name, F.lit(j)) for j, name in enumerate(levels[g])])
+    wide = df.select(*[index(g).alias(f"_{i}") for i, g in enumerate(levels)], *[F.col(y).cast("double").alias(f"_{y}") for y in values])
+    sides = [f"_{i}" for i in range(len(levels))]
+    long = (wide.unpivot(sides, [f"_{y}" for y in values], "value_col", "value").filter(F.col("value").isNotNull())
+            .unpivot(["value_col", "value"], sides, "group_col", "i").filter(F.col("i").isNotNull()))
+    names = F.create_map(*[F.lit(x) for pair in zip(sides, levels) for x in pair])
+    long = long.select(names[F.col("group_col")].alias("group_col"), F.substring("value_col", 2, 10**9).alias("value_col"), "value", "i")
     if kept is not None:
-        long = long.join(F.broadcast(kept), [*PAIR, "level"], "left_semi")
-    index = F.create_map(*[x for g, names in levels.items() for i, name in enumerate(names)
-                           for x in (F.lit(f"{g}\x1f{name}"), F.lit(i))])
-    placed = (long.withColumn("i", index[F.concat_ws("\x1f", "group_col", "level")]).filter(F.col("i").isNotNull())
-              .withColumn("bucket", bucket_by_column(F.col("value_col"), F.col("value"), cut_points(df, values), slices_for(df))))
-    return placed.groupBy(*PAIR, "bucket", "value").agg(
-        *[F.sum((F.col("i") == j).cast("long")).alias(f"n{j}") for j in range(width)])
+        mine = kept.join(_level_table(df, levels), ["group_col", "level"]).select(*PAIR, "i")
+        long = long.join(F.broadcast(mine), [*PAIR, "i"], "left_semi")
+    counts = long.groupBy(*PAIR, "value").agg(*[F.sum((F.col("i") == j).cast("long")).alias(f"n{j}") for j in range(width)])
+    return range_cells(counts, [*PAIR, "value"], df.count() * len(levels) * len(values))
 
 
 def ranked_sides(df: DataFrame, levels: dict[str, list[str]], values: list[str],

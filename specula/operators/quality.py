@@ -9,7 +9,7 @@ from specula.functions import tails
 from specula.functions.effects import benjamini_hochberg, rank_biserial
 from specula.operators.typing import SHORT, census, kind_of, level_counts
 from specula.plans.longform import level, numeric_long
-from specula.plans.ordered import average_rank, bucket_by_column, cut_points, running_totals, slices_for
+from specula.plans.ordered import average_rank, range_cells, running_totals
 
 # Name parts that mark percentages and quantities that cannot be negative.
 QUANTITY_PARTS = ("qty", "count", "quantity", "n_", "days", "age", "price", "amount", "weight")
@@ -75,11 +75,9 @@ def missingness_numeric(df: DataFrame, columns: list[str], others: list[str], mi
     marked = df.select(*[F.col(o).cast("double").alias(o) for o in others],
                        *[F.col(c).isNull().cast("long").alias(f"miss_{i}") for i, c in enumerate(columns)])
     flags = [f"miss_{i}" for i in range(len(columns))]
-    cuts = cut_points(marked, others)
-    counts = (numeric_long(marked, others, flags).withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts, slices_for(df)))
-              .groupBy("column", "bucket", "value")
-              .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in flags]))
-    ranked = running_totals(counts, ["column"], "value", ["n"], few_keys=True).withColumn("rank", average_rank())
+    counts = numeric_long(marked, others, flags).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in flags])
+    placed = range_cells(counts, ["column", "value"], df.count() * len(others))
+    ranked = running_totals(placed, ["column"], "value", ["n"], few_keys=True).withColumn("rank", average_rank())
     sides = F.array(*[F.struct(F.lit(c).alias("missing_in"), F.col(f"miss_{i}").alias("m")) for i, c in enumerate(columns)])
     n = F.col("n").cast("double")
     grouped = (ranked.select("column", "rank", "n", F.inline(sides)).filter(F.col("column") != F.col("missing_in"))

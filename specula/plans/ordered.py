@@ -145,14 +145,22 @@ def running_totals(counts: DataFrame, keys: list[str], value: str, weights: list
         F.col(f"total_{w}"))])
 
 
+def range_cells(counts: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """Add ``bucket``, ascending along ``order``, to value counts of a table of at most ``rows`` entries.
+
+    The range exchange samples the different values, not the rows, so no cell holds much more than
+    ``MOST`` of them; rows are placed after they are collapsed, and no row is compared with cut points.
+    """
+    pieces = max(shuffle_width(counts.sparkSession), math.ceil(rows / MOST))
+    return settle(counts.repartitionByRange(pieces, *order).withColumn("bucket", F.spark_partition_id()))
+
+
 def ranked_counts(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """(column, keys, value, n, before_n, total_n) for numeric columns; ranks run per column and key."""
     keys = keys or []
-    cuts = cut_points(df, columns)
-    long = numeric_long(df, columns, keys)
-    counts = (long.withColumn("bucket", bucket_by_column(F.col("column"), F.col("value"), cuts, slices_for(df)))
-              .groupBy("column", *keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n")))
-    return running_totals(counts, ["column", *keys], "value", ["n"], few_keys=not keys)
+    counts = numeric_long(df, columns, keys).groupBy("column", *keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = range_cells(counts, ["column", "value"], df.count() * len(columns))
+    return running_totals(placed, ["column", *keys], "value", ["n"], few_keys=not keys)
 
 
 def average_rank() -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from specula.operators import hypothesis
 from specula.plans import ordered
 from specula.plans.longform import numeric_long
 
@@ -57,3 +58,16 @@ def test_lookup_by_halving_agrees_with_the_tree(spark):
     df = spark.createDataFrame([(float(x),) for x in [*bounds, *np.random.default_rng(2).normal(0, 6, 500), float("inf"), float("-inf")]], "v double")
     got = df.select("v", ordered.bucket_of(F.col("v"), bounds).alias("b")).collect()
     assert all(r["b"] == np.searchsorted(bounds, r["v"], side="right") for r in got)
+
+
+def test_rows_are_collapsed_before_values_are_placed(spark, skewed, monkeypatch):
+    # comparing every row with cut points took most of the time of large tables
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows are compared with cut points")
+    for module in (ordered, hypothesis):
+        monkeypatch.setattr(module, "cut_points", refuse, raising=False)
+    monkeypatch.setattr(ordered, "MOST", 300)
+    df = table(spark, skewed).withColumn("g", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"))
+    got = {r["value"]: (r["n0"], r["n1"], r["before_n0"], r["before_n1"], r["total_n0"]) for r in hypothesis.ranked_sides(df, {"g": ["a", "b"]}, ["v"]).collect()}
+    a, b = skewed[0::3], skewed[1::3]
+    assert got == {float(x): (int((a == x).sum()), int((b == x).sum()), int((a < x).sum()), int((b < x).sum()), len(a)) for x in np.unique(np.concatenate([a, b]))}
