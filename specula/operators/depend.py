@@ -87,16 +87,16 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def rank_columns(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """The rows with every listed column replaced by its average rank; others in ``keep``.
 
-    Ranks come from value counts and return to the rows by a lookup that spreads hot values.
+    Ranks come from value counts and return to the rows column by column: those of few values by
+    broadcast, the others by a lookup that spreads hot values and whose tasks stay small.
     """
     keep = keep or []
-    rows = settle(df.select(F.monotonically_increasing_id().alias("_row"), *keep, *columns))  # written, so that numbers stay when tasks are repeated
-    table = (ranked_counts(df, columns).withColumn("rank", average_rank())
-             .select("column", "value", "n", "total_n", "rank"))
-    long = numeric_long(rows, columns, ["_row", *keep])
-    got = spread_lookup(long, table, ["column", "value"], ["rank"], "n")
-    return (got.groupBy("_row", *keep).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
-            .drop("_row"))
+    table = settle(ranked_counts(df, columns).select("column", "value", "n", "total_n", average_rank().alias("rank")))
+    rows = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        mine = table.filter(F.col("column") == c).select(F.col("value").alias(c), "n", "total_n", F.col("rank").alias(f"_rank_{c}"))
+        rows = spread_lookup(rows, mine, [c], [f"_rank_{c}"], "n")
+    return rows.select(*keep, *[F.col(f"_rank_{c}").alias(c) for c in columns])
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ depend on them.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,18 +265,30 @@ def spread_lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list
     """Left-join ``table`` (unique on keys, ``size`` = rows per key) without a hot shuffle key.
 
     Keys holding more than ``hot_share`` of a column's rows are at most 1/hot_share per
-    column: they go by broadcast. All other keys are small and go by shuffle. The table is
-    written once, since both ways read it.
+    column: they go by broadcast, and so does a rest of at most as many. Otherwise all other keys
+    are small and go by shuffle, in tasks of about ``MOST`` rows. The table is written once, since
+    both ways read it.
     """
     total = Window.partitionBy(keys[0])
     whole = F.col("total_n") if "total_n" in table.columns else F.sum(size).over(total)
-    marked = settle(table.select(*keys, *take, (F.col(size) > hot_share * whole).alias("_hot")))
+    marked = settle(table.select(*keys, *take, F.col(size).alias("_size"), (F.col(size) > hot_share * whole).alias("_hot")))
+    seen = marked.agg(F.sum("_size").alias("rows"), F.count_if(~F.col("_hot")).alias("rest")).first()
+    if seen["rest"] <= 1 / hot_share:
+        return rows.join(F.broadcast(marked.select(*keys, *take)), keys, "left").select(*rows.columns, *take)
     hot = marked.filter("_hot").select(*keys, *[F.col(t).alias(f"_hot_{t}") for t in take])
     cold = marked.filter("NOT _hot").select(*keys, F.lit(0).alias("_salt"), *take)
     flagged = rows.join(F.broadcast(hot), keys, "left")
-    flagged = flagged.withColumn("_salt", F.when(F.col(f"_hot_{take[0]}").isNull(), F.lit(0))
+    flagged = flagged.withColumn("_salt", F.when(F.col(f"_hot_{take[0]}").isNull() & reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), F.lit(0))
                                  .otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(512)).cast("int")))
-    joined = flagged.join(cold, [*keys, "_salt"], "left")
+    pieces = math.ceil(seen["rows"] / MOST)
+    if pieces > shuffle_width(rows.sparkSession):
+        # dealt by one hash, since a join deals fractions by a normal form of its own, so once more and in the usual number of tasks
+        dealt = lambda d: d.withColumn("_hash", F.xxhash64(*keys, "_salt")).repartition(pieces, "_hash")
+        cold = dealt(cold).select(*[F.col(c).alias(f"_cold{c}") for c in ("_hash", *keys)], *take).hint("merge")
+        same = [(F.col(k) <= F.col(f"_cold{k}")) & (F.col(k) >= F.col(f"_cold{k}")) for k in keys]
+        joined = dealt(flagged).join(cold, reduce(Column.__and__, same, F.col("_hash") == F.col("_cold_hash")), "left")
+    else:
+        joined = flagged.join(cold, [*keys, "_salt"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_hot_{t}", t).alias(t) for t in take])
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specula.operators import hypothesis
+from specula.operators import depend, hypothesis
 from specula.plans import ordered
 from specula.plans.longform import numeric_long
 
@@ -71,3 +71,16 @@ def test_rows_are_collapsed_before_values_are_placed(spark, skewed, monkeypatch)
     got = {r["value"]: (r["n0"], r["n1"], r["before_n0"], r["before_n1"], r["total_n0"]) for r in hypothesis.ranked_sides(df, {"g": ["a", "b"]}, ["v"]).collect()}
     a, b = skewed[0::3], skewed[1::3]
     assert got == {float(x): (int((a == x).sum()), int((b == x).sum()), int((a < x).sum()), int((b < x).sum()), len(a)) for x in np.unique(np.concatenate([a, b]))}
+
+
+def test_ranks_return_to_rows_in_small_tasks(spark, skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST", 300)
+    df = table(spark, skewed)
+    ranked = depend.rank_columns(df, ["v", "w"], ["id"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_row" not in plan  # v by shuffle, w by broadcast, and no table of rows times columns
+    values, place, counts = np.unique(skewed, return_inverse=True, return_counts=True)
+    want = (np.cumsum(counts) - counts + (counts + 1) / 2)[place]
+    rows = ranked.collect()
+    assert len(rows) == len(skewed) and all(r["v"] == want[r["id"]] and (r["w"] is None) == (r["id"] % 7 == 0) for r in rows)
+    assert ranked.rdd.getNumPartitions() >= len(skewed) // 300
