@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from specula.plans.ordered import (average_rank, bucket_of, cut_points, exact_qu
                                    running_totals, slices_for, spread_lookup)
 
 NUMERIC = ("numeric", "ordinal", "boolean")
+CELL = 100_000    # rows of one value from which kendall gives it a cell of its own; other cells have less than twice as many
+MOST_CELLS = 5000  # cells per column; beyond that times CELL rows, cells grow with the table
 
 
 def bin_edges(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, list[float]]:
@@ -175,10 +178,10 @@ def concordance(points: DataFrame, keys: list[str], rank: str, value: str, bits:
     """
     cuts = cut_points(points, [value])[value]
     collapsed = points.groupBy(*keys, rank, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    placed = (collapsed.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    placed = (collapsed.withColumn("bucket", bucket_of(F.col(value), cuts, slices_for(points)))
+              .withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
               .withColumn("node", F.expr(f"shiftright({rank}, bit + 1)"))
-              .withColumn("right", F.expr(f"shiftright({rank}, bit) & 1") == 1)
-              .withColumn("bucket", bucket_of(F.col(value), cuts, slices_for(points))))
+              .withColumn("right", F.expr(f"shiftright({rank}, bit) & 1") == 1))
     counts = placed.groupBy(*keys, "bit", "node", "bucket", value).agg(
         F.sum(F.when(F.col("right"), 0).otherwise(F.col("n"))).alias("l"),
         F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("r"))
@@ -189,26 +192,66 @@ def concordance(points: DataFrame, keys: list[str], rank: str, value: str, bits:
     return run.groupBy(*keys).agg(*sums) if keys else run.agg(*sums)
 
 
-def tie_sums(sub: DataFrame, column: str) -> DataFrame:
+def tie_sums(counts: DataFrame, column: str) -> DataFrame:
     """One row: n and the tie sums of a column's value counts, suffixed with its name."""
     n = F.col("n").cast("double")
-    return (sub.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.sum("n").alias(f"n_{column}"), F.sum(n * (n - 1) / 2).alias(f"t_{column}"),
-                 F.sum(n * (n - 1) * (n - 2)).alias(f"t0_{column}"),
-                 F.sum(n * (n - 1) * (2 * n + 5)).alias(f"t1_{column}")))
+    return counts.filter(F.col("column") == column).agg(
+        F.sum("n").alias(f"n_{column}"), F.sum(n * (n - 1) / 2).alias(f"t_{column}"),
+        F.sum(n * (n - 1) * (n - 2)).alias(f"t0_{column}"), F.sum(n * (n - 1) * (2 * n + 5)).alias(f"t1_{column}"))
+
+
+def count_pairs(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Concordant and discordant pairs of the rows of one cell, by merging sorted blocks."""
+    m = len(x)
+    order = np.lexsort((y, x))
+    x, rank = x[order], np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    base, at, crossed, width = m + 1, np.arange(m), 0, 1
+
+    def tied(values: np.ndarray) -> int:
+        k = np.unique(values, return_counts=True)[1]
+        return int((k * (k - 1) // 2).sum())
+    place = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    ties = tied(place) + tied(rank) - tied(place * base + rank)
+    while width < m:
+        start = at // (2 * width) * base
+        right = at // width % 2 == 1
+        key = start + rank
+        crossed += int(np.searchsorted(key[right], key[~right]).sum()) - int(np.searchsorted(key[right], start[~right]).sum())
+        rank = np.sort(key) - start
+        width *= 2
+    return m * (m - 1) // 2 - ties - crossed, crossed
+
+
+def pairs_in_cells(points: DataFrame, cell: str, x: str, y: str) -> DataFrame:
+    """(concordant, discordant) per cell; a cell with an odd number holds one value, so no pairs."""
+    def count(key, rows):
+        return pd.DataFrame([count_pairs(rows[x].to_numpy(), rows[y].to_numpy())], columns=["concordant", "discordant"])
+    return points.filter(F.col(cell) % 2 == 0).select(cell, x, y).groupBy(cell).applyInPandas(count, "concordant long, discordant long")
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b and its normal p-value over all complete rows, exact and without pairs."""
+    """Kendall's tau-b and its normal p-value over all complete rows, exact and without pairs.
+
+    Each column is cut into cells of consecutive values with at most twice ``CELL`` rows; a value with
+    more rows is a cell of its own. Two rows share a cell of x, or else a cell of y, or neither:
+    the first two kinds are counted inside the cells, the third from the rows per pair of cells.
+    """
     sub = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna()
-    cuts = cut_points(sub, ["x"])["x"]
-    counts = (sub.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-              .select("x", "n", F.lit(1).cast("long").alias("one"), bucket_of(F.col("x"), cuts, slices_for(df)).alias("bucket")))
-    dense = running_totals(counts, [], "x", ["one", "n"], few_keys=True).withColumn("rank", F.col("before_one"))
-    points = spread_lookup(sub, dense, ["x"], ["rank"], "n")
-    bits = max(1, counts.count().bit_length())
-    pairs = concordance(points, [], "rank", "y", bits)
-    both = pairs.join(tie_sums(sub, "x"), F.lit(True)).join(tie_sums(sub, "y"), F.lit(True))
+    counts = settle(ranked_counts(sub, ["x", "y"]).select("column", "value", "n", "before_n", "total_n"))
+    rows = counts.filter("column = 'x'").agg(F.sum("n")).first()[0] or 0
+    size = max(CELL, -(-rows // MOST_CELLS))
+    cell = 2 * F.floor(F.col("before_n") / size) + (F.col("n") >= size).cast("long")
+    points = sub
+    for c in ("x", "y"):
+        mine = counts.filter(F.col("column") == c).select(F.col("value").alias(c), "n", "total_n", cell.alias(f"c{c}"))
+        points = spread_lookup(points, mine, [c], [f"c{c}"], "n")
+    points = settle(points.select("x", "y", "cx", "cy"))
+    grid = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    apart = concordance(grid, [], "cx", "cy", (2 * (rows // size) + 1).bit_length(), weight="n")
+    parts = pairs_in_cells(points, "cx", "x", "y").union(pairs_in_cells(points, "cy", "cx", "y"))
+    whole = [F.col(c).cast("decimal(38,0)").alias(c) for c in ("concordant", "discordant")]
+    pairs = parts.select(*whole).union(apart.select(*whole)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("concordant", "discordant")])
+    both = pairs.join(tie_sums(counts, "x"), F.lit(True)).join(tie_sums(counts, "y"), F.lit(True))
     m = F.col("n_x").cast("double") * (F.col("n_x") - 1)
     s = (F.col("concordant") - F.col("discordant")).cast("double")
     tau = s / F.sqrt((m / 2 - F.col("t_x")) * (m / 2 - F.col("t_y")))

@@ -55,6 +55,19 @@ def test_kendall_counts_every_pair(spark):
     assert (row["concordant"], row["discordant"]) == ((s > 0).sum(), (s < 0).sum())
 
 
+@pytest.mark.parametrize("cell", [25, 60, 10_000])
+def test_kendall_by_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(depend, "CELL", cell)
+    draw = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": np.where(draw.random(900) < 0.2, 3.0, draw.normal(3, 2, 900).round(1)), "y": np.where(draw.random(900) < 0.3, -1.0, draw.integers(-200, 200, 900))})
+    given, counted = [], depend.concordance
+    monkeypatch.setattr(depend, "concordance", lambda points, *args, **kwargs: given.append(points.count()) or counted(points, *args, **kwargs))
+    s = np.triu(np.sign(np.subtract.outer(pdf.x.values, pdf.x.values)) * np.sign(np.subtract.outer(pdf.y.values, pdf.y.values)), 1)
+    row = depend.kendall(spark.createDataFrame(pdf), "x", "y").first()
+    assert (row["concordant"], row["discordant"]) == ((s > 0).sum(), (s < 0).sum())
+    assert given[0] < 800  # pairs of cells, where rows used to enter once per bit of their rank
+
+
 def test_positions_and_lags_across_blocks(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 500, p=[0.8, 0.2]), "t": np.where(rng.random(500) < 0.3, 7.0, rng.random(500) * 20).round(1), "id": range(500)})
