@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from specula.plans.components import connected_components
 from specula.plans.ordered import exact_quantiles, spread_lookup
 from specula.plans.sequence import with_position
-from specula.session import settle
+from specula.session import settle, shuffle_width
 
 # Earth radii in metres used by the analysis and by the shaping steps.
 EARTH_ANALYSIS = 6371000.0
@@ -24,6 +24,9 @@ EARTH_SHAPING = 6371008.8
 
 FEW = 1000        # probes that may be broadcast to every task
 DENSE = 64        # locations per cell that a search starts from
+BLOCK = 5000      # points of a block whose values in all repetitions a task holds
+BUCKET = 50_000   # most rows of a repetition that are put in order at once, about
+DEALT = 2_000_000  # dealt values per task
 
 
 def coordinate_sanity(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -257,23 +260,31 @@ def morans_i(points: DataFrame, neighbours: DataFrame, values: DataFrame, column
     """Moran's I over k-nearest weights with a permutation p.
 
     ``values`` is (id, column). Every repetition deals the centred values anew; one row holds a
-    point's values in all repetitions, so the neighbour table is joined twice in total.
+    point's values in all repetitions. These rows go to the blocks of the map that hold the point
+    or one of which it is a neighbour, and the products are summed inside the blocks.
     """
     base = points.select("id").join(values.select("id", F.col(column).cast("double").alias("v")).hint("merge"), "id", "left")
     mean = base.agg(F.avg("v")).first()[0]
-    z = base.select("id", F.coalesce(F.col("v") - mean, F.lit(0.0)).alias("z"))
-    reps = z.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    drawn = F.when(F.col("rep") == 0, F.col("id").cast("double")).otherwise(
-        F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 52)).cast("double"))
-    dealt = with_position(reps.withColumn("at", drawn), ["rep"], "at", "id", "to")
-    homes = with_position(z.select("id", F.col("id").cast("double").alias("at"), F.lit(0).alias("one")), ["one"], "at", "id", "to")
-    given = (homes.select("id", "to").join(dealt.select("rep", "to", "z").hint("merge"), "to")
-             .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rep", "z"))).alias("zs")))
-    given = settle(given.select("id", F.col("zs.z").alias("zs")))
-    pairs = (neighbours.select("id", "other").join(given, "id")
-             .join(given.select(F.col("id").alias("other"), F.col("zs").alias("zo")), "other")
-             .select(F.posexplode(F.zip_with("zs", "zo", lambda a, b: a * b)).alias("rep", "p")))
-    sums = pairs.groupBy("rep").agg(F.sum("p").alias("s"))
+    z = settle(base.select("id", F.coalesce(F.col("v") - mean, F.lit(0.0)).alias("z")))
+    n = z.count()
+    pieces = max(shuffle_width(z.sparkSession), math.ceil(n * permutations / DEALT))
+    homes = with_position(z.select("*", F.col("id").cast("double").alias("at"), F.lit(0).alias("one")), ["one"], "at", "id", "to").select("id", "to", "z")
+    pairs = settle(neighbours.select("id", "other").join(_blocks(points, n).hint("merge"), "id"))
+    needs = pairs.select("block", "id").union(pairs.select("block", F.col("other").alias("id"))).distinct()
+    wanted = needs.join(homes.hint("merge"), "id").repartition(pieces, "to")
+    vectors = wanted.join(_dealt(z, n, permutations, seed, pieces).repartition(pieces, "to").hint("merge"), "to").select(F.col("block").alias("home"), F.col("id").alias("point"), "z", "zs")
+
+    def products(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        table = np.column_stack([right["z"].to_numpy(), np.frombuffer(b"".join(right["zs"])).reshape(len(right), permutations)])
+        order = np.argsort(right["point"].to_numpy())
+        ids, total = right["point"].to_numpy()[order], np.zeros(permutations + 1)
+        at = [order[np.searchsorted(ids, left[c].to_numpy())] for c in ("id", "other")]
+        for start in range(0, len(left), 4096):
+            total += np.einsum("ij,ij->j", *[table[i[start:start + 4096]] for i in at])
+        return pd.DataFrame({"rep": np.arange(permutations + 1), "s": total})
+
+    by_block = lambda d, key: d.repartition(pieces, key).groupBy(key)
+    sums = by_block(pairs, "block").cogroup(by_block(vectors, "home")).applyInPandas(products, "rep int, s double").groupBy("rep").agg(F.sum("s").alias("s"))
     totals = z.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("den"))
     table = sums.join(F.broadcast(totals), F.lit(True)).withColumn("i", F.col("s") / F.col("den") / k)
     seen = table.filter("rep = 0").select(F.col("i").alias("seen"), F.col("n").alias("points"))
@@ -283,6 +294,41 @@ def morans_i(points: DataFrame, neighbours: DataFrame, values: DataFrame, column
         F.count(F.lit(1)).alias("permutations")).select(F.lit(column).alias("column"), "*", F.lit(k).cast("long").alias("k")))
 
 
+def _blocks(points: DataFrame, n: int) -> DataFrame:
+    """(id, block): squares of the map with about ``BLOCK`` points; a crowded square is split by a hash."""
+    row = points.agg(F.max("_x").alias("x1"), F.min("_x").alias("x0"), F.max("_y").alias("y1"), F.min("_y").alias("y0")).first()
+    wide = max(row["x1"] - row["x0"], row["y1"] - row["y0"], 1e-6)
+    size = math.sqrt(max((row["x1"] - row["x0"]) * (row["y1"] - row["y0"]), wide * wide * 1e-6) * BLOCK / n)
+    placed = points.select("id", "part", F.floor(F.col("_x") / size).alias("cx"), F.floor(F.col("_y") / size).alias("cy"))
+    crowd = placed.groupBy("part", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("split"))
+    return placed.join(F.broadcast(crowd), ["part", "cx", "cy"]).select(
+        "id", F.concat_ws("_", "part", "cx", "cy", F.pmod(F.xxhash64("id"), "split")).alias("block"))
+
+
+def _dealt(z: DataFrame, n: int, permutations: int, seed: int, pieces: int) -> DataFrame:
+    """(to, zs): the values that repetitions 1 to ``permutations`` deal to each position, as the bytes of their doubles.
+
+    A repetition deals the values in the order of a hash. Hashes are uniform, so their leading bits give
+    buckets of even size, and a bucket's first position is the number of rows in those before it.
+    """
+    bits = (n // BUCKET).bit_length()
+    rows = z.repartition(pieces, "id").select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 52))).withColumn("bucket", F.shiftright("draw", 52 - bits))
+    upto = Window.partitionBy("rep").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    starts = rows.groupBy("rep", "bucket").agg(F.count(F.lit(1)).alias("k")).select("rep", "bucket", (F.sum("k").over(upto) - F.col("k")).alias("start"))
+    inside = Window.partitionBy("rep", "bucket").orderBy("draw", "id")
+    placed = (rows.repartition(pieces, "rep", "bucket").withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["rep", "bucket"])
+              .select("rep", "z", (F.col("start") + F.col("at")).alias("to")).withColumn("chunk", F.floor(F.col("to") / BLOCK)))
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        to, first = rows["to"].to_numpy(), int(rows["to"].min())
+        table = np.empty((int(to.max()) - first + 1, permutations))
+        table[to - first, rows["rep"].to_numpy() - 1] = rows["z"].to_numpy()
+        return pd.DataFrame({"to": first + np.arange(len(table)), "zs": [r.tobytes() for r in table]})
+
+    return placed.repartition(pieces, "chunk").groupBy("chunk").applyInPandas(gather, "to long, zs binary")
+
+
 def gearys_c(neighbours: DataFrame, values: DataFrame, column: str, k: int) -> DataFrame:
     """Geary's C over the neighbour table."""
     v = values.select("id", F.col(column).cast("double").alias("v")).hint("merge")
