@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specula.session import settle
+from specula.session import dealt, settle
 
 FACT = ["s", "p", "o", "kind"]
 FEW = 10_000  # rows of a vocabulary that may be broadcast
@@ -58,16 +58,28 @@ def few(table: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ closures
 
 def transitive_closure(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
-    """All (child, parent) pairs; paths double each round, so depth d needs log2(d) rounds."""
-    known = settle(edges.select("child", "parent").distinct())
-    delta = known
+    """All (child, parent) pairs; paths double each round, so depth d needs log2(d) rounds.
+
+    Pairs know the steps of their shortest path. A round puts the paths of exactly 2**k steps before all paths of up to
+    2**k, so a shortest path is cut in one place and not found again for every cut.
+    """
+    pairs = edges.select("child", "parent")
+    known = settle(dealt(pairs, pairs.count(), "child", "parent").distinct().withColumn("steps", F.lit(1)))
+    reach = 1
     while True:
-        grown = (delta.select("child", F.col("parent").alias("mid")).join(known.select(F.col("child").alias("mid"), "parent"), "mid")
-                 .union(known.select("child", F.col("parent").alias("mid")).join(delta.select(F.col("child").alias("mid"), "parent"), "mid")))
-        delta = settle(grown.select("child", "parent").distinct().join(known, ["child", "parent"], "left_anti"))
-        if not delta.limit(1).count():
+        heads = known.filter(F.col("steps") == reach).select("child", F.col("parent").alias("mid"))
+        tails = known.select(F.col("child").alias("mid"), "parent", "steps")
+        per = lambda d, n: d.groupBy("mid").agg(F.count(F.lit(1)).alias(n))
+        met = per(heads, "a").join(per(tails, "b"), "mid").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+        if not met:
             break
-        known = known.union(delta)  # both sides are written already
+        rows = known.count()
+        grown = (dealt(heads, rows, "mid").join(dealt(tails, rows, "mid"), "mid")
+                 .select("child", "parent", (F.col("steps") + reach).alias("steps")))
+        first = dealt(grown, rows + met, "child", "parent").groupBy("child", "parent").agg(F.min("steps").alias("steps"))
+        new = settle(first.join(dealt(known.select("child", "parent"), rows + met, "child", "parent"), ["child", "parent"], "left_anti"))
+        known, reach = known.union(new), 2 * reach  # both sides are written already
+    known = known.select("child", "parent")
     return known if keep_loops else known.filter("child <> parent")
 
 
