@@ -340,15 +340,27 @@ def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int | N
     known = dict(relations)
     for stratum in sorted(set(level.values())):
         mine = [r for r in rules if level[r.head.predicate] == stratum]
+        for name in dict.fromkeys(r.head.predicate for r in mine) if max_rounds is None else ():
+            base = _closed([r for r in mine if r.head.predicate == name])
+            if base and name not in known and base in relations and base not in level and {t for _, t in known[base].dtypes} == {"string"}:
+                known[name] = transitive_closure(known[base].toDF("child", "parent"), keep_loops=True).toDF("a0", "a1")
+                mine = [r for r in mine if r.head.predicate != name]
+        last: dict[str, DataFrame] = {}  # what the last round added; the first round takes everything as new
         for turn in count(1):
-            changed = False
+            added: dict[str, DataFrame] = {}
             for name in dict.fromkeys(r.head.predicate for r in mine):
                 out = None
                 for r in (x for x in mine if x.head.predicate == name):
                     if all(not isinstance(b, Atom) or b.predicate in known or b.negated for b in r.body):
-                        rows = match(r.body, lambda p: known[p])
-                        one = rows.select(*[_value(a).cast("string").alias(f"a{i}") for i, a in enumerate(r.head.args)])
-                        out = one if out is None else out.union(one)
+                        for fresh in [None] if turn == 1 else [i for i, b in enumerate(r.body) if isinstance(b, Atom) and not b.negated and b.predicate in last]:
+                            body = [Atom(f"{i}@{b.predicate}", b.args, b.negated) if isinstance(b, Atom) else b for i, b in enumerate(r.body)]
+
+                            def table(predicate: str, fresh=fresh) -> DataFrame:
+                                i, p = predicate.split("@", 1)
+                                return last[p] if int(i) == fresh else known[p]
+                            rows = match(body, table)
+                            one = rows.select(*[_value(a).cast("string").alias(f"a{i}") for i, a in enumerate(r.head.args)])
+                            out = one if out is None else out.union(one)
                 if out is None:
                     continue
                 out = out.distinct()
@@ -357,14 +369,30 @@ def horn(relations: dict[str, DataFrame], rules: list[Rule], max_rounds: int | N
                 out = settle(out)
                 if out.limit(1).count():
                     known[name] = known[name].union(out) if name in known else out
-                    changed = True
-            if not changed:
+                    added[name] = out
+            if not added:
                 break
             if turn == max_rounds:
                 raise RuntimeError(f"more follows after {max_rounds} rounds")
+            last = added
     return known
 
 
+def _closed(rules: list[Rule]) -> str | None:
+    """The predicate q if the rules of one head h say that h is q's transitive closure: h(x, y) from q(x, y); h(x, z) from h and q, or q and h, along y."""
+    if sorted(len(r.body) for r in rules) != [1, 2] or any(not isinstance(b, Atom) or b.negated for r in rules for b in r.body):
+        return None
+    step, again = sorted(rules, key=lambda r: len(r.body))
+    base, (one, two), head = step.body[0], again.body, again.head
+    if any(len(a.args) != 2 for a in (base, one, two, head, step.head)):
+        return None
+    names = [head.args[0], one.args[1], head.args[1]]
+    if any(not isinstance(v, str) or not v.startswith("?") for v in (*names, *base.args)) or len(set(names)) < 3 or base.args[0] == base.args[1]:
+        return None
+    along = step.head.args == base.args and one.args == (names[0], names[1]) and two.args == (names[1], names[2])
+    return base.predicate if along and {one.predicate, two.predicate} == {head.predicate, base.predicate} and base.predicate != head.predicate else None
+
+
 def cross_record(df: DataFrame, key: str, attribute: str, time: str, row_id: str, gap_seconds: float) -> DataFrame:
     """Rows with another row of the same key, another attribute, at most the gap away in time.
 
