@@ -297,12 +297,14 @@ def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None,
     """
     up = few(settle(transitive_closure(words.sub_class)))
     over = settle(transitive_closure(words.sub_property))
-    known = settle(facts.select(*FACT).distinct().select("*", F.lit("asserted").alias("prov_kind"), F.lit(None).cast("string").alias("prov_rule"),
+    said = facts.select(*FACT)
+    known = settle(dealt(said, said.count(), "s", "o").distinct().select("*", F.lit("asserted").alias("prov_kind"), F.lit(None).cast("string").alias("prov_rule"),
                                                          F.lit(None).cast("string").alias("prov_via")))
-    turns, active = count(1), []
+    turns, active, known_rows = count(1), [], known.count()
     for stratum, firing in enumerate(_strata(rules or [], words, up)):
         # what is known has been through the axioms and earlier rules, so a later stratum begins with its own rules alone
         active, delta, axioms = active + firing, known.select(*FACT), stratum == 0
+        delta_rows = known_rows
         while axioms or firing:
             turn = next(turns)
             steps = [fire(rule, delta, known.select(*FACT)) for rule in firing]
@@ -310,15 +312,18 @@ def infer(facts: DataFrame, words: Vocabulary, rules: list[Rule] | None = None,
                 types = delta.filter(F.col("p") == TYPE)
                 higher = types.join(up, types["o"] == up["child"]).select("s", "p", F.col("parent").alias("o"), "kind", F.lit("sub-class").alias("rule"), F.col("child").alias("via"))
                 steps = [higher, propagate(delta, over, words.traits, words.inverse), chain(delta, known.select(*FACT), words.traits), *steps]
+            rows = known_rows + len(steps) * delta_rows  # a step mostly says one thing of a fact, so about as many meet below
             # facts are apart by s, p and o: of two kinds in one round the smaller is kept
-            first = reduce(DataFrame.union, steps).groupBy("s", "p", "o").agg(F.min("kind").alias("kind"), F.min(F.struct("rule", "via")).alias("w"))
-            new = settle(first.join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+            first = dealt(reduce(DataFrame.union, steps), rows, *FACT[:3]).groupBy(*FACT[:3]).agg(F.min("kind").alias("kind"), F.min(F.struct("rule", "via")).alias("w"))
+            new = settle(first.join(dealt(known.select(*FACT[:3]), rows, *FACT[:3]), FACT[:3], "left_anti")
                          .select(*FACT, F.lit("inferred").alias("prov_kind"), F.col("w.rule").alias("prov_rule"), F.col("w.via").alias("prov_via")))
-            if not new.limit(1).count():
+            delta_rows = new.count()
+            if not delta_rows:
                 break
             if turn == max_rounds:
                 raise RuntimeError(f"more follows after {max_rounds} rounds")
             known, delta = known.union(new), new.select(*FACT)  # both sides are written already
+            known_rows += delta_rows
             firing, axioms = active, True
     return known
 
