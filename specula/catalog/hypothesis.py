@@ -87,7 +87,7 @@ RANK_SUMS = """s AS (SELECT group_col, value_col, level, count(*) AS n, sum(rk)
 @query("rank_sums", f"""WITH x AS ({ranks_sql(GROUPS3, VALUES)}), {RANK_SUMS} SELECT s.group_col, s.value_col, level, s.n, CAST(r AS DOUBLE) AS r, total, CAST(ties AS DOUBLE) AS ties FROM s JOIN z USING (group_col, value_col)""")
 def rank_sums(t):
     levels = hypothesis.levels_of(t.lineitem, GROUPS3)
-    return hypothesis.rank_sums(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "level", "n", "r", "total", "ties")
+    return hypothesis.rank_sums(hypothesis.rank_cells(t.lineitem, levels, VALUES), levels).select("group_col", "value_col", "level", "n", "r", "total", "ties")
 
 
 @query("kruskal_wallis", f"""WITH x AS ({ranks_sql(GROUPS3, VALUES)}), {RANK_SUMS}, h AS (SELECT s.group_col, s.value_col, count(*) AS k, max(total) AS n,
@@ -95,7 +95,7 @@ def rank_sums(t):
 SELECT group_col, value_col, k, n, round(h, 4) AS h, round(greatest(0.0, (h - k + 1) / (n - k)), 8) + 0.0 AS epsilon2, round({q.p_chi2('h', '(k - 1)')}, 5) AS p FROM h""")
 def kruskal_wallis(t):
     levels = hypothesis.levels_of(t.lineitem, GROUPS3)
-    k = hypothesis.kruskal(hypothesis.rank_sums(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels))
+    k = hypothesis.kruskal(hypothesis.rank_sums(hypothesis.rank_cells(t.lineitem, levels, VALUES), levels))
     return k.select("group_col", "value_col", "k", "n", r("h", 4), r("epsilon2", 8), r("p", 5))
 
 
@@ -104,7 +104,7 @@ def kruskal_wallis(t):
  JOIN z ON z.group_col = a.group_col AND z.value_col = a.value_col) SELECT group_col, value_col, a, b, n1, n2, round(z, 5) + 0.0 AS z, round({q.p_normal('z')}, 5) AS p FROM d""")
 def dunn(t):
     levels = hypothesis.levels_of(t.lineitem, GROUPS3)
-    d = hypothesis.dunn(hypothesis.rank_sums(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels))
+    d = hypothesis.dunn(hypothesis.rank_sums(hypothesis.rank_cells(t.lineitem, levels, VALUES), levels))
     return d.select("group_col", "value_col", "a", "b", "n1", "n2", r("z", 5), r("p", 5))
 
 

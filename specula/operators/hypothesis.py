@@ -19,7 +19,9 @@ from specula.functions import tails
 from specula.functions.effects import epsilon_squared, hedges_g, rank_biserial
 from specula.functions.probability import shapiro_wilk
 from specula.plans.ordered import range_cells, running_totals
+from specula.plans.packed import cell_counts, packed_counts
 from specula.plans.resample import coin_sums, poisson_sums
+from specula.session import settle
 
 PAIR = ["group_col", "value_col"]
 
@@ -142,16 +144,64 @@ def _level_table(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, "group_col string, i int, level string"))
 
 
-def rank_sums(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
-    """(group_col, value_col, level, n, r): size and rank sum per level, with pair-wide n and ties."""
+def rank_cells(df: DataFrame, levels: dict[str, list[str]], values: list[str], kept: DataFrame | None = None, pairs: bool = False) -> DataFrame:
+    """(group_col, value_col, bucket, n, r, ties, size, start): sizes and rank sums per level inside cells of the value range.
+
+    Ranks count from the cell's first value; ``start`` rows lie in earlier cells. ``pairs`` adds ``u`` and ``t``, a row per level: U
+    inside the cell and mixed terms of the ties against each level. ``kept`` is as in ``side_counts``.
+    """
     width = max(len(v) for v in levels.values())
-    n = F.col("n").cast("double")
-    wide = ranked.groupBy(*PAIR).agg(
-        F.sum("n").alias("total"), F.sum(n * n * n - n).alias("ties"),
-        *[x for j in range(width) for x in (F.sum(f"n{j}").alias(f"n{j}"), F.sum(F.col(f"n{j}") * F.col("rank")).alias(f"r{j}"))])
-    cells = F.array(*[F.struct(F.lit(j).alias("i"), F.col(f"n{j}").alias("n"), F.col(f"r{j}").alias("r")) for j in range(width)])
-    return (wide.select(*PAIR, "total", "ties", F.inline(cells)).filter("n > 0")
-            .join(_level_table(ranked, levels), ["group_col", "i"]).drop("i"))
+    wide = df.select(*[F.col(g).cast("string").alias(f"_g{i}") for i, g in enumerate(levels)], *[F.col(y).cast("double").alias(f"_v{i}") for i, y in enumerate(values)])
+    numbers = [F.coalesce(F.lit(None).cast("int"), *[F.when(F.col(f"_g{i}") == name, F.lit(j)) for j, name in enumerate(names)]) for i, names in enumerate(levels.values())]
+    places = None
+    if kept is not None:
+        at = {(g, name): (i, j) for i, (g, names) in enumerate(levels.items()) for j, name in enumerate(names)}
+        places = {(at[g, name][0], values.index(y), at[g, name][1]) for g, y, name in kept.select(*PAIR, "level").collect() if (g, name) in at}
+    counts = packed_counts(wide, [f"_v{i}" for i in range(len(values))], numbers, width, places)
+
+    def sums(key, table):
+        import pyarrow as pa
+        n, r, ties, u, t = _rank_parts(*cell_counts(table, width), width, pairs)
+        rows = {"g": [key[0].as_py()], "v": [key[1].as_py()], "bucket": [key[2].as_py()], "n": [n.astype(np.int64)], "r": [r], "ties": [ties], "u": [u], "t": [t]}
+        kinds = [pa.int32()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64()] + [pa.list_(pa.list_(pa.float64()))] * 2
+        return pa.table([pa.array([x.tolist() if isinstance(x, np.ndarray) else x for x in c], k) for c, k in zip(rows.values(), kinds)], names=list(rows))
+    cells = counts.groupBy("g", "v", "bucket").applyInArrow(
+        sums, "g int, v int, bucket int, n array<bigint>, r array<double>, ties double, u array<array<double>>, t array<array<double>>")
+    named = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), F.col(i))
+    size = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    cells = settle(cells.select(named(levels, "g").alias("group_col"), named(values, "v").alias("value_col"), "bucket", "n", "r", "ties", size.alias("size"), "u", "t"))
+    return cells.withColumn("start", _earlier(F.col("size")))
+
+
+def _rank_parts(run: np.ndarray, level: np.ndarray, n: np.ndarray, width: int, pairs: bool) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]:
+    """Of a cell's counts: sizes, rank sums and, with ``pairs``, U and mixed terms of the ties of level i against level j."""
+    by_level = lambda x: np.bincount(level, weights=x, minlength=width)
+    size = np.bincount(run, weights=n)
+    rank = np.cumsum(size) - size + (size + 1) / 2
+    u, t = np.zeros((2, width, width if pairs else 0))
+    for j in range(u.shape[1]):
+        own = np.bincount(run, weights=np.where(level == j, n, 0))
+        u[:, j] = by_level(n * (np.cumsum(own) - own / 2)[run])
+        t[:, j] = by_level(3 * n * own[run] * (n + own[run]))
+        t[j, j] = (own ** 3 - own).sum()
+    return by_level(n), by_level(n * rank[run]), float((size ** 3 - size).sum()), u, t
+
+
+def _earlier(x: Column) -> Column:
+    """The sum of ``x`` over the earlier cells of a pair; there is a row per cell only."""
+    return F.coalesce(F.sum(x).over(Window.partitionBy(*PAIR).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def rank_sums(cells: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """(group_col, value_col, level, n, r): size and rank sum per level, with pair-wide n and ties, from ``rank_cells``."""
+    width = max(len(v) for v in levels.values())
+    n, r = F.col("n"), F.col("r")
+    wide = cells.groupBy(*PAIR).agg(
+        F.sum("size").alias("total"), F.sum("ties").alias("ties"),
+        *[x for j in range(width) for x in (F.sum(n[j]).alias(f"n{j}"), F.sum(r[j] + F.col("start") * n[j]).alias(f"r{j}"))])
+    parts = F.array(*[F.struct(F.lit(j).alias("i"), F.col(f"n{j}").alias("n"), F.col(f"r{j}").alias("r")) for j in range(width)])
+    return (wide.select(*PAIR, "total", "ties", F.inline(parts)).filter("n > 0")
+            .join(_level_table(cells, levels), ["group_col", "i"]).drop("i"))
 
 
 def mann_whitney_pairs(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:

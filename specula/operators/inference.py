@@ -56,7 +56,8 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
     ranked = hypothesis.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
-    sums = hypothesis.rank_sums(ranked, levels)
+    cells = hypothesis.rank_cells(df, levels, values, kept)
+    sums = hypothesis.rank_sums(cells, levels)
     shape = lambda t, test, stat, p, effect, name: t.select(
         *PAIR, F.lit(test).alias("test"), F.col(stat).alias("statistic"), F.col(p).alias("p"),
         F.lit(name).alias("effect_name"), F.col(effect).alias("effect"))
@@ -83,10 +84,11 @@ def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
     ranked = hypothesis.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
+    cells = hypothesis.rank_cells(df, levels, values, kept)
     gh = hypothesis.games_howell(kept).select(*PAIR, "a", "b", F.lit("games-howell").alias("test"), F.col("t").alias("statistic"),
                                          "p", F.col("hedges_g").alias("effect"))
     ranks = hypothesis.mann_whitney_pairs(ranked, levels).select(*PAIR, "a", "b", F.col("rank_biserial").alias("effect"))
-    dn = (hypothesis.dunn(hypothesis.rank_sums(ranked, levels)).select(*PAIR, "a", "b", F.lit("dunn").alias("test"),
+    dn = (hypothesis.dunn(hypothesis.rank_sums(cells, levels)).select(*PAIR, "a", "b", F.lit("dunn").alias("test"),
                                                              F.col("z").alias("statistic"), "p")
           .join(ranks, [*PAIR, "a", "b"]))
     both = gh.withColumn("wants", F.lit(True)).unionByName(dn.withColumn("wants", F.lit(False)))

@@ -84,3 +84,72 @@ def test_ranks_return_to_rows_in_small_tasks(spark, skewed, monkeypatch):
     rows = ranked.collect()
     assert len(rows) == len(skewed) and all(r["v"] == want[r["id"]] and (r["w"] is None) == (r["id"] % 7 == 0) for r in rows)
     assert ranked.rdd.getNumPartitions() >= len(skewed) // 300
+
+
+@pytest.fixture()
+def sides(spark, monkeypatch):
+    """Rows of two values and two groups that fill many chunks and cells, with ties, nulls, NaN, infinities and a hot value."""
+    from specula.plans import packed
+    monkeypatch.setattr(packed, "CHUNK", 70)
+    monkeypatch.setattr(packed, "MOST", 40)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a row per value is shuffled and put in order again")
+    for name in ("range_cells", "running_totals"):
+        monkeypatch.setattr(hypothesis, name, refuse)
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(1500) < 0.4, 7.0, np.round(rng.lognormal(0, 3, 1500), 1))
+    x[:6] = [float("nan"), float("nan"), float("inf"), float("-inf"), 0.0, -0.0]
+    y = rng.normal(0, 1, 1500)
+    rows = [(None if i % 31 == 9 else float(x[i]), float(y[i]), None if i % 17 == 3 else "abc"[i * i % 7 % 3], "pq"[int(y[i] > rng.normal())]) for i in range(1500)]
+    return rows, spark.createDataFrame(rows, "x double, y double, g string, h string").repartition(3)
+
+
+LEVELS = {"g": ["a", "b", "c"], "h": ["p", "q"]}
+
+
+def samples(rows, group, value):
+    """{level: values} of one pair, minus zero and NaN made plain numbers that keep the order."""
+    plain = lambda v: 1e300 * 1e8 if v != v else min(v + 0.0, 1e300) if v > 0 else max(v + 0.0, -1e300)
+    out = {name: [] for name in LEVELS[group]}
+    for r in rows:
+        level, v = r[2 if group == "g" else 3], r[0 if value == "x" else 1]
+        if level is not None and v is not None:
+            out[level].append(plain(v))
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def test_rank_sums_come_from_packed_cells(spark, sides):
+    rows, df = sides
+    got = {(r["group_col"], r["value_col"], r["level"]): (r["n"], r["r"], r["total"], r["ties"]) for r in hypothesis.rank_sums(hypothesis.rank_cells(df, LEVELS, ["x", "y"]), LEVELS).collect()}
+    want = {}
+    for g in LEVELS:
+        for v in ("x", "y"):
+            own = samples(rows, g, v)
+            both = np.concatenate(list(own.values()))
+            sizes = np.unique(both, return_counts=True)[1].astype(float)
+            for level, a in own.items():
+                want[g, v, level] = (len(a), sum((both < z).sum() + ((both == z).sum() + 1) / 2 for z in a), len(both), (sizes ** 3 - sizes).sum())
+    assert got == want
+
+
+def test_kept_levels_of_packed_cells(spark, sides):
+    rows, df = sides
+    kept = spark.createDataFrame([("g", "x", "a"), ("g", "x", "c"), ("h", "y", "q")], "group_col string, value_col string, level string")
+    got = {(r["group_col"], r["value_col"], r["level"]): (r["n"], r["total"]) for r in hypothesis.rank_sums(hypothesis.rank_cells(df, LEVELS, ["x", "y"], kept), LEVELS).collect()}
+    a, c, q = (len(samples(rows, *w)[level]) for *w, level in (("g", "x", "a"), ("g", "x", "c"), ("h", "y", "q")))
+    assert got == {("g", "x", "a"): (a, a + c), ("g", "x", "c"): (c, a + c), ("h", "y", "q"): (q, q)}
+
+
+def test_packed_counts_shuffle_few_rows(spark):
+    from specula.plans import packed
+    df = spark.range(0, 50_000, 1, 4).select((F.col("id") * 37 % 9973).cast("double").alias("x"), (F.col("id") % 3).cast("int").alias("i"))
+    counts = packed.packed_counts(df, ["x"], [F.col("i")], 3)
+    assert counts.count() <= 4 * 8  # a row per task and cell
+    assert counts.select(F.sum(F.octet_length("n") / 4)).first()[0] > 20_000
+
+
+def test_rank_cells_of_no_rows(spark):
+    df = spark.createDataFrame([], "x double, g string")
+    cells = hypothesis.rank_cells(df, {"g": ["a", "b"]}, ["x"])
+    assert hypothesis.rank_sums(cells, {"g": ["a", "b"]}).collect() == []
