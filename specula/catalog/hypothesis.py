@@ -120,7 +120,7 @@ MW_PAIRS = [("l_returnflag", y, a, b) for y in VALUES for a, b in combinations("
 @query("mann_whitney", f"""SELECT group_col, value_col, a, b, n1, n2, CAST(u AS DOUBLE) AS u, round(z, 5) + 0.0 AS z, round(p, 5) AS p, round(2 * u / (n1 * n2) - 1, 8) + 0.0 AS rank_biserial FROM ({union_sql([mw_sql(*x) for x in MW_PAIRS])})""")
 def mann_whitney(t):
     levels = hypothesis.levels_of(t.lineitem, ["l_returnflag", "l_linestatus"])
-    m = hypothesis.mann_whitney_pairs(hypothesis.ranked_sides(t.lineitem, levels, VALUES), levels)
+    m = hypothesis.mann_whitney_pairs(hypothesis.rank_cells(t.lineitem, levels, VALUES, pairs=True), levels)
     return m.select("group_col", "value_col", "a", "b", "n1", "n2", "u", r("z", 5), r("p", 5), r("rank_biserial", 8))
 
 

@@ -204,21 +204,21 @@ def rank_sums(cells: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
             .join(_level_table(cells, levels), ["group_col", "i"]).drop("i"))
 
 
-def mann_whitney_pairs(ranked: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
-    """U, z, p and rank-biserial of every pair of levels, each from its own two-sample counts."""
+def mann_whitney_pairs(cells: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """U, z, p and rank-biserial of every pair of levels, each from its own two-sample counts, from ``rank_cells`` with ``pairs``."""
     width = max(len(v) for v in levels.values())
     pairs = list(combinations(range(width), 2))
+    n, u, t = F.col("n"), F.col("u"), F.col("t")
+    placed = cells.select("*", *[_earlier(n[j]).alias(f"start{j}") for j in range(width)])
     terms = []
     for i, j in pairs:
-        a, b = F.col(f"n{i}").cast("double"), F.col(f"n{j}").cast("double")
-        both = a + b
-        terms += [F.sum(a * (F.col(f"before_n{j}") + b / 2)).alias(f"u{i}_{j}"),
-                  F.sum(both * both * both - both).alias(f"t{i}_{j}")]
-    wide = ranked.groupBy(*PAIR).agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(width)], *terms)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{i}").alias("n1"), F.col(f"n{j}").alias("n2"),
-                               F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties")) for i, j in pairs])
-    table = _level_table(ranked, levels)
-    rows = (wide.select(*PAIR, F.inline(cells)).filter("n1 > 0 AND n2 > 0")
+        terms += [F.sum(u[i][j] + n[i] * F.col(f"start{j}")).alias(f"u{i}_{j}"),
+                  F.sum(t[i][i] + t[j][j] + t[i][j]).alias(f"t{i}_{j}")]
+    wide = placed.groupBy(*PAIR).agg(*[F.sum(n[j]).alias(f"n{j}") for j in range(width)], *terms)
+    rows_of = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{i}").alias("n1"), F.col(f"n{j}").alias("n2"),
+                                 F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties")) for i, j in pairs])
+    table = _level_table(cells, levels)
+    rows = (wide.select(*PAIR, F.inline(rows_of)).filter("n1 > 0 AND n2 > 0")
             .join(table.withColumnRenamed("level", "a"), ["group_col", "i"])
             .join(table.withColumnRenamed("level", "b").withColumnRenamed("i", "j"), ["group_col", "j"]))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")

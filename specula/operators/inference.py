@@ -56,7 +56,7 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
     ranked = hypothesis.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
-    cells = hypothesis.rank_cells(df, levels, values, kept)
+    cells = hypothesis.rank_cells(df, levels, values, kept, pairs=True)
     sums = hypothesis.rank_sums(cells, levels)
     shape = lambda t, test, stat, p, effect, name: t.select(
         *PAIR, F.lit(test).alias("test"), F.col(stat).alias("statistic"), F.col(p).alias("p"),
@@ -67,7 +67,7 @@ def numeric_by_nominal(df: DataFrame, groups: list[str], values: list[str], alph
     some = lambda t, which: t.join(F.broadcast(which), PAIR, "left_semi")
     parametric = (shape(some(hypothesis.welch_t(kept), two), "welch-t", "t", "p", "hedges_g", "hedges_g")
                   .union(shape(some(hypothesis.one_way(kept), many), "welch-anova", "welch_f", "welch_p", "omega2", "omega_squared")))
-    by_rank = (shape(some(hypothesis.mann_whitney_pairs(ranked, levels), two), "mann-whitney", "u", "p", "rank_biserial", "rank_biserial")
+    by_rank = (shape(some(hypothesis.mann_whitney_pairs(cells, levels), two), "mann-whitney", "u", "p", "rank_biserial", "rank_biserial")
                .union(shape(some(hypothesis.kruskal(sums), many), "kruskal-wallis", "h", "p", "epsilon2", "epsilon_squared")))
     chosen = (parametric.withColumn("wants", F.lit(True)).union(by_rank.withColumn("wants", F.lit(False)))
               .join(F.broadcast(ok), PAIR).filter(F.col("wants") == F.col("norm_ok")).drop("wants"))
@@ -83,11 +83,10 @@ def contrasts(df: DataFrame, groups: list[str], values: list[str], alpha: float
     levels = hypothesis.levels_of(df, groups)
     kept = _kept_levels(df, groups, values, 5, 20)
     ok = normal_enough(df, kept, groups, values, alpha)
-    ranked = hypothesis.ranked_sides(df, levels, values, kept.select(*PAIR, "level"))
-    cells = hypothesis.rank_cells(df, levels, values, kept)
+    cells = hypothesis.rank_cells(df, levels, values, kept, pairs=True)
     gh = hypothesis.games_howell(kept).select(*PAIR, "a", "b", F.lit("games-howell").alias("test"), F.col("t").alias("statistic"),
                                          "p", F.col("hedges_g").alias("effect"))
-    ranks = hypothesis.mann_whitney_pairs(ranked, levels).select(*PAIR, "a", "b", F.col("rank_biserial").alias("effect"))
+    ranks = hypothesis.mann_whitney_pairs(cells, levels).select(*PAIR, "a", "b", F.col("rank_biserial").alias("effect"))
     dn = (hypothesis.dunn(hypothesis.rank_sums(cells, levels)).select(*PAIR, "a", "b", F.lit("dunn").alias("test"),
                                                              F.col("z").alias("statistic"), "p")
           .join(ranks, [*PAIR, "a", "b"]))

@@ -133,6 +133,22 @@ def test_rank_sums_come_from_packed_cells(spark, sides):
     assert got == want
 
 
+def test_mann_whitney_comes_from_packed_cells(spark, sides):
+    rows, df = sides
+    cells = hypothesis.rank_cells(df, LEVELS, ["x", "y"], pairs=True)
+    assert cells.filter("group_col = 'g' AND value_col = 'y'").count() > 20
+    got = {(r["group_col"], r["value_col"], r["a"], r["b"]): r for r in hypothesis.mann_whitney_pairs(cells, LEVELS).collect()}
+    assert len(got) == 8
+    for (g, v, a, b), r in got.items():
+        one, two = samples(rows, g, v)[a], samples(rows, g, v)[b]
+        u = sum((two < z).sum() + (two == z).sum() / 2 for z in one)
+        sizes = np.unique(np.concatenate([one, two]), return_counts=True)[1].astype(float)
+        n1, n2 = len(one), len(two)
+        spread = np.sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - (sizes ** 3 - sizes).sum() / ((n1 + n2) * (n1 + n2 - 1))))
+        assert (r["n1"], r["n2"], r["u"]) == (n1, n2, u)
+        assert r["z"] == pytest.approx(max(0.0, (max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / spread), rel=1e-12)
+
+
 def test_kept_levels_of_packed_cells(spark, sides):
     rows, df = sides
     kept = spark.createDataFrame([("g", "x", "a"), ("g", "x", "c"), ("h", "y", "q")], "group_col string, value_col string, level string")
@@ -151,5 +167,5 @@ def test_packed_counts_shuffle_few_rows(spark):
 
 def test_rank_cells_of_no_rows(spark):
     df = spark.createDataFrame([], "x double, g string")
-    cells = hypothesis.rank_cells(df, {"g": ["a", "b"]}, ["x"])
-    assert hypothesis.rank_sums(cells, {"g": ["a", "b"]}).collect() == []
+    cells = hypothesis.rank_cells(df, {"g": ["a", "b"]}, ["x"], pairs=True)
+    assert hypothesis.rank_sums(cells, {"g": ["a", "b"]}).collect() == [] and hypothesis.mann_whitney_pairs(cells, {"g": ["a", "b"]}).collect() == []
