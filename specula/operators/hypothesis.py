@@ -1,8 +1,9 @@
-"""Hypothesis tests and effect sizes, all from two small tables.
+"""Hypothesis tests and effect sizes, all from small tables.
 
 ``group_moments`` holds count, mean and variance per (group column, level, value column).
 ``side_counts`` holds, per (group column, value column, value), one count per level; its
-running totals give ranks, medians, U statistics and cumulative distributions at once.
+running totals give ranks, medians and cumulative distributions at once. Rank sums and U statistics
+come from ``rank_cells``, which holds their parts per cell of the value range.
 """
 
 from __future__ import annotations
