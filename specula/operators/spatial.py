@@ -29,6 +29,7 @@ BUCKET = 50_000   # most rows of a repetition that are put in order at once, abo
 DEALT = 2_000_000  # dealt values per task; pairs that are compared at once
 SIDE = 64         # cells along a block whose clusters a task finds
 HALO = 4          # cells around it that the task sees: those within reach and what these reach
+BUNDLE = 50_000   # locations of the blocks that are worked on at once, about
 CROWDED = 16      # locations of a cell that its block sees one by one, at least
 DEEPEST = 12      # times that boxes of a cell are cut in 16
 
@@ -370,15 +371,12 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
         listed = listed.join(more.hint("merge"), ["part", "_x", "_y"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
     columns = [*at, "_x", "_y", "m", "k", "whole", "more"]
     rows = listed.select(*columns).union(_corners(places).select(*columns))
-    blocks = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-HALO, 0, HALO)])))
-    spread = rows.withColumn("bx", blocks("cx")).withColumn("by", blocks("cy"))
-    total = places.agg(F.count(F.lit(1)).alias("places"), F.sum("m").alias("points")).first()
-    pieces = max(shuffle_width(points.sparkSession), math.ceil(8 * total["places"] / DEALT))
+    total = places.agg(F.count_if("whole").alias("listed"), F.sum("m").alias("points")).first()
 
-    def solve(block: pd.DataFrame) -> pd.DataFrame:
-        return _block_clusters(block, eps, min_samples, side)
+    def solve(bundle: pd.DataFrame) -> pd.DataFrame:
+        return _block_clusters(bundle, eps, min_samples, side)
 
-    solved = settle(spread.repartition(pieces, "part", "bx", "by").groupBy("part", "bx", "by").applyInPandas(
+    solved = settle(_bundles(rows, side, HALO, total["listed"]).applyInPandas(
         solve, "kind string, part string, _x double, _y double, cx long, cy long, ox long, oy long, k long, node string"))
     own = solved.filter("kind = 'cell'").select(*at, "k", "node")
     other = [F.col("ox").alias("cx"), F.col("oy").alias("cy")]
@@ -416,8 +414,9 @@ def _grouped_nodes(cells: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return settle(cells.join(groups.hint("merge"), node, "left").select("part", "cx", "cy", "k", F.coalesce("component", node).alias("component")))
 
 
-def _squared(dx: Column, dy: Column) -> Column:
-    return dx * dx + dy * dy
+def _distance(dx, dy):
+    """To the last bit the same in plans (columns) and in tasks (arrays)."""
+    return F.sqrt(dx * dx + dy * dy) if isinstance(dx, Column) else np.sqrt(dx * dx + dy * dy)
 
 
 def _beside_crowded(places: DataFrame, min_samples: int, eps: float) -> DataFrame | None:
@@ -430,7 +429,7 @@ def _beside_crowded(places: DataFrame, min_samples: int, eps: float) -> DataFram
     around = crowds.select("*", F.inline(offsets)).select("part", "ox", "oy", (F.col("ox") + F.col("dx")).alias("cx"), (F.col("oy") + F.col("dy")).alias("cy"))
     probes = places.filter(F.col("k") < min_samples).select("part", "cx", "cy", "_x", "_y").join(around.hint("merge"), ["part", "cx", "cy"])
     others = dense.select("part", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("_x").alias("px"), F.col("_y").alias("py"), "m")
-    close = _squared(F.col("_x") - F.col("px"), F.col("_y") - F.col("py")) <= eps * eps
+    close = _distance(F.col("_x") - F.col("px"), F.col("_y") - F.col("py")) <= eps
     return settle(probes.join(others.hint("merge"), ["part", "ox", "oy"]).filter(close).groupBy("part", "_x", "_y", "ox", "oy").agg(F.sum("m").alias("s")))
 
 
@@ -443,6 +442,33 @@ def _corners(places: DataFrame) -> DataFrame:
     return dense.select("part", "cx", "cy", "k", F.inline(kept)).withColumns({"whole": F.lit(False), "more": F.lit(0).cast("long")})
 
 
+def _bundles(rows: DataFrame, side: int, halo: int, n: int):
+    """Rows with the blocks (bx, by) of ``side`` cells in which, or up to ``halo`` cells beside which, they lie, grouped by bundles of whole blocks."""
+    block = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-halo, 0, halo)])))
+    pieces = max(shuffle_width(rows.sparkSession), math.ceil(n / BUNDLE))
+    spread = rows.withColumn("bx", block("cx")).withColumn("by", block("cy"))
+    return spread.withColumn("bundle", F.pmod(F.xxhash64("part", "bx", "by"), F.lit(pieces))).repartition(pieces, "bundle").groupBy("bundle")
+
+
+def _cells_of(rows: pd.DataFrame, side: int, halo: int):
+    """Order of a bundle's rows by their cells, each cell's first row, size and whether it is a block's own, each row's cell, and a function for
+    the cell (or -1) at an offset of at most two from each of some cells, in the same block."""
+    wide, edge = side + 2 * halo + 4, halo + 2
+    block = rows.groupby(["part", "bx", "by"], sort=False).ngroup().to_numpy()
+    inside = [rows[c].to_numpy() - rows[b].to_numpy() * side + edge for c, b in (("cx", "bx"), ("cy", "by"))]
+    code = (block * wide + inside[0]) * wide + inside[1]
+    order = np.argsort(code, kind="stable")
+    codes, start, home, size = np.unique(code[order], return_index=True, return_inverse=True, return_counts=True)
+    own = np.all([(i >= edge) & (i < edge + side) for i in (codes // wide % wide, codes % wide)], axis=0)
+
+    def beside(cells: np.ndarray, offset: tuple[int, int]) -> np.ndarray:
+        to = codes[cells] + offset[0] * wide + offset[1]
+        at = np.minimum(np.searchsorted(codes, to), len(codes) - 1)
+        return np.where(codes[at] == to, at, -1)
+
+    return order, start, size, own, home, beside
+
+
 def _expand(start: np.ndarray, size: np.ndarray):
     """(which, at): the numbers ``start[i]`` to ``start[i] + size[i]`` of every i, in pieces of bounded size."""
     ends, done = np.cumsum(size), 0
@@ -466,26 +492,16 @@ def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _block_clusters(rows: pd.DataFrame, eps: float, min_samples: int, side: int) -> pd.DataFrame:
-    """What a block finds, by ``kind``: its core cells with their local component (cell), components that go on in a cell of
+    """What blocks find, by ``kind``: their core cells with their local component (cell), components that go on in a cell of
     another block (edge), pairs of cells that corners leave open (unsure), locations that are not core (thin) and the core cells near these (near).
 
-    The margin of ``HALO`` cells gives the cells that the block's own reach, and the neighbours of their locations.
+    The margin of ``HALO`` cells gives the cells that a block's own reach, and the neighbours of their locations.
     """
-    part, wide, square = rows["part"].iloc[0], side + 2 * HALO + 4, eps * eps
-    first = [int(rows[c].iloc[0]) * side - HALO - 2 for c in ("bx", "by")]
-    code = (rows["cx"].to_numpy() - first[0]) * wide + rows["cy"].to_numpy() - first[1]
-    order = np.argsort(code, kind="stable")
-    x, y, m, k, whole, more = (rows[c].to_numpy()[order] for c in ("_x", "_y", "m", "k", "whole", "more"))
-    codes, start, home, size = np.unique(code[order], return_index=True, return_inverse=True, return_counts=True)
-    find = np.full(wide * wide, -1)
-    find[codes] = np.arange(len(codes))
-    lx, ly = codes // wide, codes % wide
-    own = (lx >= HALO + 2) & (lx < HALO + 2 + side) & (ly >= HALO + 2) & (ly < HALO + 2 + side)
-    cell_whole, cell_k = whole[start], k[start]
+    order, start, size, own, home, beside = _cells_of(rows, side, HALO)
+    part, cx, cy, x, y, m, k, whole, more = (rows[c].to_numpy()[order] for c in ("part", "cx", "cy", "_x", "_y", "m", "k", "whole", "more"))
+    cell_part, cx, cy, cell_whole, cell_k = (v[start] for v in (part, cx, cy, whole, k))
     offsets = sorted(((a, b) for a in range(-2, 3) for b in range(-2, 3)), key=lambda o: (math.hypot(*o), o))
-
-    def beside(cells: np.ndarray, offset: tuple[int, int]) -> np.ndarray:
-        return find[codes[cells] + offset[0] * wide + offset[1]]
+    within = lambda p, q: _distance(x[p] - x[q], y[p] - y[q]) <= eps
 
     s = (k + more).astype(np.int64)
     for offset in offsets[1:]:
@@ -493,15 +509,15 @@ def _block_clusters(rows: pd.DataFrame, eps: float, min_samples: int, side: int)
         j = beside(home[p], offset)
         p, j = p[(j >= 0) & cell_whole[j]], j[(j >= 0) & cell_whole[j]]
         for which, q in _expand(start[j], size[j]):
-            near = (x[p[which]] - x[q]) ** 2 + (y[p[which]] - y[q]) ** 2 <= square
+            near = within(p[which], q)
             np.add.at(s, p[which[near]], m[q[near]])
     core = ~whole | (s >= min_samples)
 
     cores = np.flatnonzero(core)
-    held = np.bincount(home[cores], minlength=len(codes))
+    held = np.bincount(home[cores], minlength=len(start))
     begin = np.cumsum(held) - held
     x0, x1, y0, y1 = (f.reduceat(v, start) for v in (x, y) for f in (np.minimum, np.maximum))
-    label, mine, open_pairs = np.arange(len(codes)), np.flatnonzero(own & (held > 0)), []
+    label, mine, open_pairs = np.arange(len(start)), np.flatnonzero(own & (held > 0)), []
     for offset in [o for o in offsets if o > (0, 0)]:
         j = beside(mine, offset)
         keep = (j >= 0) & (held[j] > 0) & (label[mine] != label[j])
@@ -509,11 +525,10 @@ def _block_clusters(rows: pd.DataFrame, eps: float, min_samples: int, side: int)
         hit = np.zeros(len(i), dtype=bool)
         for pair, p in _expand(begin[i], held[i]):
             for which, q in _expand(begin[j[pair]], held[j[pair]]):
-                a, b = cores[p[which]], cores[q]
-                hit[pair[which[(x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 <= square]]] = True
+                hit[pair[which[within(cores[p[which]], cores[q])]]] = True
         label = _merged(label, i[hit], j[hit])
-        gap = np.maximum(0, np.maximum(x0[j] - x1[i], x0[i] - x1[j])) ** 2 + np.maximum(0, np.maximum(y0[j] - y1[i], y0[i] - y1[j])) ** 2
-        left = ~hit & ~(cell_whole[i] & cell_whole[j]) & (gap <= square)
+        gap = [np.maximum(0, np.maximum(lo[j] - hi[i], lo[i] - hi[j])) for lo, hi in ((x0, x1), (y0, y1))]
+        left = ~hit & ~(cell_whole[i] & cell_whole[j]) & (_distance(*gap) <= eps)
         open_pairs.append(np.column_stack([i[left], j[left]]))
     unsure = np.concatenate(open_pairs)
     unsure = unsure[label[unsure[:, 0]] != label[unsure[:, 1]]]
@@ -524,21 +539,20 @@ def _block_clusters(rows: pd.DataFrame, eps: float, min_samples: int, side: int)
         keep = (j >= 0) & (held[j] > 0) & cell_whole[j]
         p, j = thin[keep], j[keep]
         for which, q in _expand(begin[j], held[j]):
-            close = which[(x[p[which]] - x[cores[q]]) ** 2 + (y[p[which]] - y[cores[q]]) ** 2 <= square]
+            close = which[within(p[which], cores[q])]
             near_pairs.append(np.unique(np.column_stack([p[close], j[close]]), axis=0))
     near = np.concatenate([np.empty((0, 2), dtype=int), *near_pairs])
 
-    cx, cy = lx + first[0], ly + first[1]
-    names = pd.Series([f"{part}_{a}_{b}" for a, b in zip(cx[mine].tolist(), cy[mine].tolist())], dtype=object)
+    names = pd.Series([f"{a}_{b}_{c}" for a, b, c in zip(cell_part[mine], cx[mine].tolist(), cy[mine].tolist())], dtype=object)
     node = names.groupby(label[mine]).min()
     on = np.flatnonzero(~own & np.isin(label, label[mine]))
-    rows_of = lambda kind, n, **has: pd.DataFrame({"kind": np.repeat(kind, n), "part": part, "_x": 0.0, "_y": 0.0, "cx": 0, "cy": 0, "ox": 0, "oy": 0, "k": 0, "node": ""} | has)
+    rows_of = lambda kind, of, **has: pd.DataFrame({"kind": np.repeat(kind, len(of)), "part": of, "_x": 0.0, "_y": 0.0, "cx": 0, "cy": 0, "ox": 0, "oy": 0, "k": 0, "node": ""} | has)
     return pd.concat([
-        rows_of("cell", len(mine), cx=cx[mine], cy=cy[mine], k=cell_k[mine], node=node.reindex(label[mine]).to_numpy()),
-        rows_of("edge", len(on), ox=cx[on], oy=cy[on], node=node.reindex(label[on]).to_numpy()),
-        rows_of("unsure", len(unsure), cx=cx[unsure[:, 0]], cy=cy[unsure[:, 0]], ox=cx[unsure[:, 1]], oy=cy[unsure[:, 1]]),
-        rows_of("thin", len(thin), _x=x[thin], _y=y[thin]),
-        rows_of("near", len(near), _x=x[near[:, 0]], _y=y[near[:, 0]], ox=cx[near[:, 1]], oy=cy[near[:, 1]])], ignore_index=True)
+        rows_of("cell", cell_part[mine], cx=cx[mine], cy=cy[mine], k=cell_k[mine], node=node.reindex(label[mine]).to_numpy()),
+        rows_of("edge", cell_part[on], ox=cx[on], oy=cy[on], node=node.reindex(label[on]).to_numpy()),
+        rows_of("unsure", cell_part[unsure[:, 0]], cx=cx[unsure[:, 0]], cy=cy[unsure[:, 0]], ox=cx[unsure[:, 1]], oy=cy[unsure[:, 1]]),
+        rows_of("thin", part[thin], _x=x[thin], _y=y[thin]),
+        rows_of("near", part[near[:, 0]], _x=x[near[:, 0]], _y=y[near[:, 0]], ox=cx[near[:, 1]], oy=cy[near[:, 1]])], ignore_index=True)
 
 
 def _touching(pairs: DataFrame, core: DataFrame, size: float, eps: float) -> DataFrame:
@@ -549,7 +563,7 @@ def _touching(pairs: DataFrame, core: DataFrame, size: float, eps: float) -> Dat
     """
     ends = pairs.select("part", F.col("ax").alias("cx"), F.col("ay").alias("cy")).union(pairs.select("part", "bx", "by")).distinct()
     core = settle(core.join(ends.hint("merge"), ["part", "cx", "cy"], "left_semi"))
-    limit, square, met = max(DEALT, 16 * core.count()), eps * eps, None
+    limit, met = max(DEALT, 16 * core.count()), None
     of = ["part", "ax", "ay", "bx", "by", "src", "dst"]
     todo = pairs.select(*of, *[F.lit(0).cast("long").alias(c) for c in ("au", "av", "bu", "bv")])
     for depth in range(DEEPEST + 1):
@@ -563,9 +577,9 @@ def _touching(pairs: DataFrame, core: DataFrame, size: float, eps: float) -> Dat
         v = lambda e, c: F.col(f"{e}.{c}")
         gap = lambda c: F.greatest(v("b", f"{c}0") - v("a", f"{c}1"), v("a", f"{c}0") - v("b", f"{c}1"), F.lit(0.0))
         reach = lambda c: F.greatest(v("b", f"{c}1"), v("a", f"{c}1")) - F.least(v("b", f"{c}0"), v("a", f"{c}0"))
-        one = _squared(v("a", "p._x") - v("b", "p._x"), v("a", "p._y") - v("b", "p._y"))
-        judged = settle(both.filter(_squared(gap("x"), gap("y")) <= square).select(
-            *of, *[v(e, c).alias(e + c) for e in "ab" for c in "uv"], ((_squared(reach("x"), reach("y")) <= square) | (one <= square)).alias("hit"), (v("a", "n") * v("b", "n")).alias("work")))
+        one = _distance(v("a", "p._x") - v("b", "p._x"), v("a", "p._y") - v("b", "p._y"))
+        judged = settle(both.filter(_distance(gap("x"), gap("y")) <= eps).select(
+            *of, *[v(e, c).alias(e + c) for e in "ab" for c in "uv"], ((_distance(reach("x"), reach("y")) <= eps) | (one <= eps)).alias("hit"), (v("a", "n") * v("b", "n")).alias("work")))
         hits = judged.filter("hit").select(*of).distinct()
         met = hits if met is None else met.union(hits)
         todo = settle(judged.filter("NOT hit AND work > 1").join(hits.hint("merge"), of, "left_anti"))
@@ -575,7 +589,7 @@ def _touching(pairs: DataFrame, core: DataFrame, size: float, eps: float) -> Dat
         todo = todo.drop("hit", "work")
         if work <= limit or depth == DEEPEST:
             side = lambda e: placed.select("part", *[F.col(c).alias(e + n) for c, n in (("cx", "x"), ("cy", "y"), ("u", "u"), ("v", "v"), ("_x", "p"), ("_y", "q"))]).hint("merge")
-            close = _squared(F.col("ap") - F.col("bp"), F.col("aq") - F.col("bq")) <= square
+            close = _distance(F.col("ap") - F.col("bp"), F.col("aq") - F.col("bq")) <= eps
             met = met.union(todo.join(side("a"), ["part", "ax", "ay", "au", "av"]).join(side("b"), ["part", "bx", "by", "bu", "bv"]).filter(close).select(*of).distinct())
             break
     return met.select("src", "dst")
