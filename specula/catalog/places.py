@@ -91,7 +91,7 @@ def dbscan_summary(t):
     """eps is the 90th percentile of the 8th neighbour's distance."""
     from specula.plans.ordered import exact_quantiles
     p = points(t)
-    kth = spatial.nearest(p, 8).filter("rank = 8")
+    kth = spatial.settle(spatial.kth_distances(p, 8).select("distance"))
     eps = exact_quantiles(kth, ["distance"], [0.9])["distance"][0]
     return spatial.cluster_summary(spatial.dbscan(p, eps, 4)).withColumn("eps", F.round(F.lit(eps), 3))
 

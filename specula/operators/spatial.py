@@ -149,14 +149,14 @@ def _start_size(sites: DataFrame) -> float:
     return size
 
 
-def nearest_places(probes: DataFrame, sites: DataFrame, need: str, same_place: bool) -> DataFrame:
+def nearest_places(probes: DataFrame, sites: DataFrame, need: str, same_place: bool, size: float | None = None) -> DataFrame:
     """(part, px, py, _x, _y, m, distance): the closest sites of each probe place until ``need`` points are covered.
 
     Each round searches the 3x3 block of cells around a probe; whatever lies within one cell
     size is final. Probes that still need points go on with cells twice as large, and the last
     few are measured against all sites by every task at once.
     """
-    size = _start_size(sites)
+    size = size or _start_size(sites)
     open_probes = probes
     found = None
     cell = lambda x, y: [F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy")]
@@ -252,6 +252,61 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
             .select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("e.other").alias("other"), F.col("e.distance").alias("distance")))
 
 
+def kth_distances(points: DataFrame, k: int) -> DataFrame:
+    """(id, distance): how far the k-th nearest other point of the same part is; points with fewer others are left out.
+
+    Blocks of cells find the distance of every place that two cells around its own cover; rounds of ``nearest_places`` find the others'.
+    """
+    sites = settle(locations(points))
+    size = _start_size(sites)
+    total = sites.agg(F.count(F.lit(1)).alias("places"), F.sum("m").alias("points")).first()
+    cells = sites.select("*", F.floor(F.col("_x") / size).alias("cx"), F.floor(F.col("_y") / size).alias("cy"))
+
+    def solve(bundle: pd.DataFrame) -> pd.DataFrame:
+        return _block_distances(bundle, k, size, SIDE)
+
+    solved = settle(_bundles(cells, SIDE, 2, total["places"]).applyInPandas(solve, "part string, _x double, _y double, m long, distance double"))
+    found = solved.filter("distance IS NOT NULL")
+    far = solved.filter("distance IS NULL").select("part", F.col("_x").alias("px"), F.col("_y").alias("py"), F.col("m").alias("pm"), (k + 1 - F.col("m")).alias("need"))
+    if far.limit(1).count():
+        near = nearest_places(far.select("part", "px", "py", "need"), sites, "need", False, 4 * size)
+        last = near.groupBy("part", "px", "py").agg(F.max("distance").alias("distance"), F.sum("m").alias("s"))
+        found = found.union(far.join(last.hint("merge"), ["part", "px", "py"]).filter(F.col("s") >= F.col("need")).select("part", "px", "py", "pm", "distance"))
+    table = found.withColumn("total_n", F.lit(total["points"]))
+    return spread_lookup(points, table, ["part", "_x", "_y"], ["distance"], "m").filter("distance IS NOT NULL").select("id", "distance")
+
+
+def _block_distances(rows: pd.DataFrame, k: int, size: float, side: int) -> pd.DataFrame:
+    """(part, _x, _y, m, distance) of blocks' own places; those that are not covered within two cells have no distance."""
+    order, start, held, own, home, beside = _cells_of(rows, side, 2)
+    part, x, y, m = (rows[c].to_numpy()[order] for c in ("part", "_x", "_y", "m"))
+    distance = np.where(m > k, 0.0, np.nan)
+    for reach in (1, 2):
+        todo = np.flatnonzero(own[home] & np.isnan(distance))
+        around = np.column_stack([beside(home[todo], (a, b)) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
+        sizes = np.where(around >= 0, held[around], 0)
+        ends, done = np.cumsum(sizes.sum(1)), 0
+        while done < len(todo):
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + DEALT, "right")))
+            n = sizes[done:to].ravel()
+            probe = np.repeat(np.repeat(np.arange(to - done), around.shape[1]), n)
+            q = np.arange(len(probe)) + np.repeat(start[around[done:to].ravel()] - np.cumsum(n) + n, n)
+            p = todo[done:to][probe]
+            d = _distance(x[p] - x[q], y[p] - y[q])
+            keep = (d <= reach * size) & (p != q)
+            probe, q, d = probe[keep], q[keep], d[keep]
+            nearer = np.lexsort((d, probe))
+            probe, d, upto = probe[nearer], d[nearer], np.concatenate([[0], np.cumsum(m[q[nearer]])])
+            first, last = (np.searchsorted(probe, np.arange(to - done), way) for way in ("left", "right"))
+            mine = todo[done:to]
+            kth = np.searchsorted(upto, upto[first] + k + 1 - m[mine]) - 1
+            covered = kth < last
+            distance[mine[covered]] = d[kth[covered]]
+            done = to
+    mine = np.flatnonzero(own[home])
+    return pd.DataFrame({"part": part[mine], "_x": x[mine], "_y": y[mine], "m": m[mine], "distance": distance[mine]})
+
+
 def neighbour_distances(neighbours: DataFrame, k: int) -> DataFrame:
     """Median and 95th percentile of the nearest distance."""
     q = exact_quantiles(neighbours.filter("rank = 1"), ["distance"], [0.5, 0.95])["distance"]
